@@ -1,16 +1,19 @@
 """Queries of the corpus operators and their DuckDB SQL."""
 
-from . import decontam, exact_dedup, line_dedup, sharding
+from . import decontam, exact_dedup, line_dedup, minmax, pfp_dedup, sharding
 
 QUERIES = {
     "op1_kk_sharding": sharding.op1_kk_sharding,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_line_spread": line_dedup.op3_line_spread,
     "op4_automaton_decontam": decontam.op4_automaton_decontam,
+    "op5_pfp_substrings": pfp_dedup.op5_pfp_substrings,
+    "op7_minmax_near_dedup": minmax.op7_minmax_near_dedup,
 }
 
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op3_line_spread": line_dedup.OP3_SQL,
     "op4_automaton_decontam": decontam.OP4_SQL,
+    "op7_minmax_near_dedup": minmax.OP7_SQL,
 }
