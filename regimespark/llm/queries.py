@@ -1,6 +1,6 @@
 """Queries of the corpus operators and their DuckDB SQL."""
 
-from . import decontam, exact_dedup, line_dedup, minmax, pfp_dedup, sharding
+from . import decontam, exact_dedup, line_dedup, minmax, mixing, pfp_dedup, sharding, tokens
 
 QUERIES = {
     "op1_kk_sharding": sharding.op1_kk_sharding,
@@ -9,6 +9,8 @@ QUERIES = {
     "op4_automaton_decontam": decontam.op4_automaton_decontam,
     "op5_pfp_substrings": pfp_dedup.op5_pfp_substrings,
     "op7_minmax_near_dedup": minmax.op7_minmax_near_dedup,
+    "op8_token_frames": tokens.op8_token_frames,
+    "op9_poisson_mix": mixing.op9_poisson_mix,
 }
 
 ORACLE_SQL = {
@@ -16,4 +18,5 @@ ORACLE_SQL = {
     "op3_line_spread": line_dedup.OP3_SQL,
     "op4_automaton_decontam": decontam.OP4_SQL,
     "op7_minmax_near_dedup": minmax.OP7_SQL,
+    "op9_poisson_mix": mixing.OP9_SQL,
 }
