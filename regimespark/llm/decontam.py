@@ -17,10 +17,12 @@ judged alike.
 
 from __future__ import annotations
 
+import pickle
 import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -151,7 +153,7 @@ def merged(hits) -> list[tuple[int, int]]:
 
 
 def automata(benchmark: DataFrame, window: int) -> list:
-    """Broadcast automata, each over at most about BLOCK_WORDS words."""
+    """Broadcast pickled automata, each over at most about BLOCK_WORDS words."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -159,7 +161,8 @@ def automata(benchmark: DataFrame, window: int) -> list:
     out = []
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).collect()
-        out.append(spark.sparkContext.broadcast(Automaton([(r.id, words(r.text.encode())) for r in sorted(rows, key=lambda r: (r.id or "", r.text))], window)))
+        automaton = Automaton([(r.id, words(r.text.encode())) for r in sorted(rows, key=lambda r: (r.id or "", r.text))], window)
+        out.append(spark.sparkContext.broadcast(cloudpickle.dumps(automaton)))
     return out
 
 
@@ -177,7 +180,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: lis
         kept = docs.columns if keep is None or k < len(blocks) - 1 else keep
 
         def step(batches, automaton=automaton, later=k > 0, kept=tuple(kept)):
-            a = automaton.value
+            a = pickle.loads(automaton.value)
             get = a.ids.get
             for batch in batches:
                 rows = []

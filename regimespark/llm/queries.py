@@ -1,6 +1,6 @@
 """Queries of the corpus operators and their DuckDB SQL."""
 
-from . import decontam, exact_dedup, line_dedup, minmax, mixing, pfp_dedup, sharding, tokens
+from . import decontam, exact_dedup, langid, line_dedup, minmax, mixing, pfp_dedup, sharding, tokens, urlfilter
 
 QUERIES = {
     "op1_kk_sharding": sharding.op1_kk_sharding,
@@ -8,9 +8,11 @@ QUERIES = {
     "op3_line_spread": line_dedup.op3_line_spread,
     "op4_automaton_decontam": decontam.op4_automaton_decontam,
     "op5_pfp_substrings": pfp_dedup.op5_pfp_substrings,
+    "op6_bayes_langid": langid.op6_bayes_langid,
     "op7_minmax_near_dedup": minmax.op7_minmax_near_dedup,
     "op8_token_frames": tokens.op8_token_frames,
     "op9_poisson_mix": mixing.op9_poisson_mix,
+    "op10_link_trust": urlfilter.op10_link_trust,
 }
 
 ORACLE_SQL = {
