@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, materialise
+from .common import BROADCAST_BYTES, hot_join, materialise
 
 OVERHEAD = 16
 
@@ -76,7 +76,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temper: float
     keyed = docs.withColumn("src", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
     ident = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")).cast("binary"))]
     drawn = uniform(seed, *ident)
-    joined = hot_join(keyed.withColumn("_u", drawn), rated.select("src", "rows", "rate", "steps"), ["src"], "rows", n, ["doc_id"], "inner")
+    table = rated.select("src", "rows", "rate", "steps")
+    widest = rated.agg(F.max(F.size("steps"))).first()[0] or 0
+    if rated.count() * (100 + 8 * widest) <= BROADCAST_BYTES:
+        joined = keyed.withColumn("_u", drawn).join(F.broadcast(table), "src")
+    else:
+        joined = hot_join(keyed.withColumn("_u", drawn), table, ["src"], "rows", n, ["doc_id"], "inner")
     counted = joined.withColumn("copies", F.size(F.filter("steps", lambda s: s <= F.col("_u"))))
     copies = counted.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     keyed = copies.withColumn("mix_key", F.xxhash64(F.lit(seed), "doc_id", "_u", "copy"))
