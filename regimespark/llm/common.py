@@ -54,7 +54,8 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, to
     right = right.withColumn("_parts", F.when(hot, parts).otherwise(F.lit(1)))
     listed = F.broadcast(right.where("_parts > 1").select(*keys, F.col("_parts").alias("_cut")))
     left = left.join(listed, keys, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_cut")).cast("int"), F.lit(0))).drop("_cut")
-    right = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    # the other rows are shuffled at every size: `right` grows with the data, so it is not left to a broadcast while it happens to be small
+    right = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts").hint("shuffle_hash")
     return left.join(right, [*keys, "_part"], how).drop("_part")
 
 
