@@ -2,11 +2,247 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from . import oracles as o
+from .functions.windows import lag, numbered, percent_rank, rolling, rolling_kurt, rolling_skew, zscore
+from .operators import backtest, classification, features, folds, labels, metrics, regimes, signals, significance
+from .operators import indicators as ind
+from .operators.backtest import BacktestConfig
+from .sources import bars as src
 
 QUERIES = {}
 ORACLE_SQL = {}
 
 
-def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+def register(name: str, oracle: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if oracle is not None:
+            ORACLE_SQL[name] = oracle
+        return f
+
+    return add
+
+
+def show(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
+    return df.select("symbol", "ts", *(F.round(c, digits).alias(c) for c in cols))
+
+
+def m15(spark: SparkSession, d: str) -> DataFrame:
+    return src.from_events(spark, d, "M15")
+
+
+# ---------------------------------------------------------------- bars and sources
+
+H1_SQL = "SELECT symbol, ts, open, high, low, close, volume FROM "
+
+
+@register("bars_from_events", o.sql(o.bars(), H1_SQL + "b"))
+def _(spark, d):
+    return m15(spark, d)
+
+
+_RESAMPLE = "arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, sum(volume) AS volume"
+
+
+@register("bars_resample_h1", o.sql(o.bars("5 minutes"), f"SELECT symbol, time_bucket(INTERVAL '1 hour', ts) AS ts, {_RESAMPLE} FROM b GROUP BY 1, 2"))
+def _(spark, d):
+    return src.resample(src.from_events(spark, d, "M5"), "H1")
+
+
+@register("bars_resample_h4", o.sql(o.bars("5 minutes"), f"SELECT symbol, time_bucket(INTERVAL '4 hours', ts) AS ts, {_RESAMPLE} FROM b GROUP BY 1, 2"))
+def _(spark, d):
+    return src.resample(src.from_events(spark, d, "M5"), "H4")
+
+
+_DAILY = """d0 AS MATERIALIZED (SELECT o_orderpriority AS symbol, date_trunc('day', o_orderdate)::TIMESTAMP AS ts, arg_min(o_totalprice, struct_pack(a := o_orderdate, b := o_orderkey)) AS open,
+ max(o_totalprice) AS high, min(o_totalprice) AS low, arg_max(o_totalprice, struct_pack(a := o_orderdate, b := o_orderkey)) AS close, count(*)::DOUBLE AS volume FROM orders GROUP BY 1, 2),
+d AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS rn FROM d0 WHERE low > 0)"""
+
+
+@register("bars_resample_w1", o.sql(_DAILY, f"SELECT symbol, (date_trunc('week', ts) + INTERVAL 6 DAYS)::TIMESTAMP AS ts, {_RESAMPLE} FROM d GROUP BY 1, 2"))
+def _(spark, d):
+    return src.resample(src.from_orders(spark, d), "W1")
+
+
+@register("bars_resample_mn1", o.sql(_DAILY, f"SELECT symbol, date_trunc('month', ts)::TIMESTAMP AS ts, {_RESAMPLE} FROM d GROUP BY 1, 2"))
+def _(spark, d):
+    return src.resample(src.from_orders(spark, d), "MN1")
+
+
+@register(
+    "bars_from_lineitem",
+    """SELECT l_returnflag AS symbol, date_trunc('day', l_shipdate)::TIMESTAMP AS ts, arg_min(l_extendedprice, struct_pack(a := l_shipdate, b := l_orderkey, c := l_linenumber)) AS open,
+    max(l_extendedprice) AS high, min(l_extendedprice) AS low, arg_max(l_extendedprice, struct_pack(a := l_shipdate, b := l_orderkey, c := l_linenumber)) AS close, sum(l_quantity)::DOUBLE AS volume
+    FROM lineitem GROUP BY 1, 2 HAVING min(l_extendedprice) > 0""",
+)
+def _(spark, d):
+    return src.from_lineitem(spark, d)
+
+
+@register("bars_window", o.sql(o.bars(), "n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM b WHERE ts >= '2024-01-05' AND ts <= '2024-01-20')", H1_SQL + "n WHERE k <= 200"))
+def _(spark, d):
+    return src.between(m15(spark, d), "2024-01-05", "2024-01-20", 200)
+
+
+@register(
+    "dataset_describe",
+    o.sql(
+        o.bars(), f"g AS (SELECT *, date_diff('second', {o.lag('ts')}, ts)::DOUBLE AS gap, ln(close) - ln({o.lag('close')}) AS r FROM b)",
+        "m AS (SELECT symbol, quantile_cont(gap, 0.5) AS median_gap FROM g GROUP BY 1)",
+        """SELECT g.symbol, count(*) AS bars, min(ts) AS start, max(ts) AS "end", any_value(m.median_gap) AS median_gap, round(count(*) FILTER (WHERE gap > 1.5 * m.median_gap) / count(*) * 100, 6) AS missing_pct,
+        round(avg(r) * 1e4, 6) AS mean_return_bps, round(stddev_samp(r) * 1e4, 6) AS volatility_bps, round(skewness(r), 6) AS skew, round(kurtosis(r), 6) AS kurtosis, round(max(high / low - 1) * 100, 6) AS max_range_pct
+        FROM g JOIN m ON g.symbol = m.symbol GROUP BY 1""",
+    ),
+)
+def _(spark, d):
+    out = src.describe(m15(spark, d))
+    return out.withColumns({c: F.round(c, 6) for c in ("missing_pct", "mean_return_bps", "volatility_bps", "skew", "kurtosis", "max_range_pct")})
+
+
+@register("return_quantiles", o.sql(o.bars(), f"r AS (SELECT symbol, ln(close) - ln({o.lag('close')}) AS r FROM b)", "q AS (SELECT symbol, unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) AS q FROM (SELECT DISTINCT symbol FROM b))",
+    "SELECT q.symbol, q.q::DOUBLE AS q, round((SELECT quantile_cont(r.r, [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) FROM r WHERE r.symbol = q.symbol)[list_position([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99], q.q)], 9) AS value FROM q"))
+def _(spark, d):
+    qs = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
+    rows = ind.log_return(m15(spark, d), "r").groupBy("symbol").agg(F.percentile("r", F.array(*map(F.lit, qs))).alias("v"))
+    return rows.select("symbol", F.posexplode("v").alias("i", "value")).select("symbol", F.element_at(F.array(*map(F.lit, qs)), F.col("i") + 1).alias("q"), F.round("value", 9).alias("value"))
+
+
+@register("return_histogram", o.sql(o.bars(), f"r AS (SELECT symbol, ln(close) - ln({o.lag('close')}) AS r FROM b)", "m AS (SELECT symbol, min(r) AS lo, max(r) AS hi FROM r GROUP BY 1)",
+    "SELECT r.symbol, least(59, floor((r.r - lo) / (hi - lo) * 60))::INT AS bin, count(*) AS bars FROM r JOIN m ON r.symbol = m.symbol WHERE r.r IS NOT NULL GROUP BY 1, 2"))
+def _(spark, d):
+    rows = ind.log_return(m15(spark, d), "r").where("r IS NOT NULL")
+    lim = rows.groupBy("symbol").agg(F.min("r").alias("lo"), F.max("r").alias("hi"))
+    b = F.least(F.lit(59), F.floor((F.col("r") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 60)).cast("int")
+    return rows.join(lim, "symbol").groupBy("symbol", b.alias("bin")).agg(F.count("*").alias("bars"))
+
+
+# ---------------------------------------------------------------- indicators
+
+
+def indicator(name: str, f, cols: list[str], *ctes, source: str | None = None):
+    """Register f(bars) showing cols against the CTEs, whose last (or `source`) has the same columns."""
+    last = source or [x for p in ctes for x in ([p] if isinstance(p, str) else p)][-1].split(" AS")[0].split("(")[0]
+    register(name, o.sql(o.bars(), *ctes, o.show(last, cols)))(lambda spark, d: show(f(m15(spark, d)), cols))
+
+
+def cte(name: str, cols: str, frm: str = "b") -> str:
+    return f"{name} AS MATERIALIZED (SELECT *, {cols} FROM {frm})"
+
+
+_R = f"ln(close) - ln({o.lag('close')})"
+_TP = "(high + low + close) / 3"
+indicator("ind_true_range_atr", lambda b: ind.atr(ind.true_range(b)), ["true_range", "atr_14"], o.atr())
+indicator("ind_rsi", lambda b: ind.rsi(ind.rsi(b), 50), ["rsi_14", "rsi_50"], o.rsi(14, "r1"), o.rsi(50, "r2", "r1"))
+_MACD = [*o.emas("mm", "b", 12, 26), cte("ml", "ema_12 - ema_26 AS macd_line", "mm"), *o.ewm("ms", "ml", "macd_line", 0.2), o.plus("mp", "ml", ("ms", "macd_signal", 0)), cte("mc", "macd_line - macd_signal AS macd_hist", "mp")]
+indicator("ind_macd", ind.macd, ["macd_line", "macd_signal", "macd_hist"], _MACD)
+_LO, _HI = o.roll("min", "low", 14), o.roll("max", "high", 14)
+_STOCH = [cte("sk", f"100 * (close - {_LO}) / nullif({_HI} - {_LO}, 0) AS stoch_k"), cte("st", f"{o.roll('avg', 'stoch_k', 3)} AS stoch_d", "sk")]
+indicator("ind_stochastic", ind.stochastic, ["stoch_k", "stoch_d"], _STOCH)
+_WILL = f"-100 * ({_HI} - close) / nullif({_HI} - {_LO}, 0) AS williams_r"
+indicator("ind_williams_r", ind.williams_r, ["williams_r"], cte("w", _WILL))
+_CCI = [
+    cte("ci0", f"{_TP} AS tp"), cte("ci1", f"CASE WHEN count(tp) OVER f = 20 THEN list(tp) OVER f END AS tps, avg(tp) OVER f AS m", "ci0 WINDOW f AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING)".replace(" WINDOW", " WINDOW")),
+    cte("ci", "(tp - m) / nullif(0.015 * list_avg(list_transform(tps, lambda x: abs(x - m))), 0) AS cci_20", "ci1"),
+]
+indicator("ind_cci", ind.cci, ["cci_20"], _CCI)
+indicator("ind_adx", ind.directional_index, ["plus_di", "minus_di", "adx_14"], o.atr(), o.adx())
+_BB = [cte("bb0", f"{o.roll('avg', 'close', 20)} AS bb_mid, {o.roll('stddev_pop', 'close', 20)} AS sd"), cte("bb1", "bb_mid + 2 * sd AS bb_upper, bb_mid - 2 * sd AS bb_lower", "bb0"),
+       cte("bb", "(bb_upper - bb_lower) / nullif(bb_mid, 0) AS bb_width, (close - bb_lower) / nullif(bb_upper - bb_lower, 0) AS bb_position", "bb1")]
+indicator("ind_bollinger", ind.bollinger, ["bb_mid", "bb_upper", "bb_lower", "bb_width", "bb_position"], _BB)
+indicator("ind_keltner", ind.keltner, ["kc_mid", "kc_upper", "kc_lower"], o.atr(20), o.emas("k", "a", 20), cte("kc", "ema_20 AS kc_mid, ema_20 + 1.5 * atr_20 AS kc_upper, ema_20 - 1.5 * atr_20 AS kc_lower", "k"))
+
+
+def _dc(k: int, frm: str, name: str) -> list[str]:
+    return [cte(f"{name}_0", f"{o.roll('max', 'high', k, 1)} AS dc_{k}_upper, {o.roll('min', 'low', k, 1)} AS dc_{k}_lower", frm), cte(name, f"(close - dc_{k}_lower) / nullif(dc_{k}_upper - dc_{k}_lower, 0) AS dc_{k}_position", f"{name}_0")]
+
+
+indicator("ind_donchian", ind.donchian, ["dc_20_upper", "dc_20_lower", "dc_20_position"], _dc(20, "b", "dc"))
+_OBV = [cte("ob0", f"coalesce(sign(close - {o.lag('close')}), 0) * volume AS mv"), cte("ob", f"{o.upto('sum', 'mv')} AS obv", "ob0")]
+indicator("ind_obv", ind.on_balance_volume, ["obv"], _OBV)
+_MFI = [cte("mf0", f"{_TP} AS tp"), cte("mf1", f"CASE WHEN tp > {o.lag('tp')} THEN tp * volume ELSE 0 END AS fi, CASE WHEN tp < {o.lag('tp')} THEN tp * volume ELSE 0 END AS fo", "mf0"),
+        cte("mf", f"coalesce(100 - 100 / (1 + ({o.roll('sum', 'fi', 14)}) / nullif({o.roll('sum', 'fo', 14)}, 0)), 50) AS mfi_14", "mf1")]
+indicator("ind_mfi", ind.money_flow_index, ["mfi_14"], _MFI)
+_ADL = [cte("ad0", "coalesce(((close - low) - (high - close)) / nullif(high - low, 0), 0) * volume AS fl"), cte("ad", f"{o.upto('sum', 'fl')} AS adl", "ad0")]
+indicator("ind_adl", ind.accumulation_distribution, ["adl"], _ADL)
+indicator("ind_realised_vol", lambda b: ind.realised_volatility(b, 20), ["realised_vol_20"], cte("rv0", f"{_R} AS r"), cte("rv", f"{o.roll('stddev_pop', 'r', 20)} AS realised_vol_20", "rv0"))
+indicator("ind_parkinson", lambda b: ind.parkinson_volatility(b, 14), ["parkinson_vol_14"], cte("pk0", "power(ln(high / low), 2) AS hl"), cte("pk", f"sqrt(({o.roll('avg', 'hl', 14)}) / (4 * ln(2))) AS parkinson_vol_14", "pk0"))
+indicator("ind_zscore", lambda b: b.withColumn("z", zscore("close", 100)), ["z"], cte("zs", f"{o.zscore('close', 100)} AS z"))
+indicator("ind_pct_rank", lambda b: b.withColumn("p", percent_rank("close", 100)), ["p"], cte("pr", f"{o.rank('close', 100)} AS p"))
+indicator("ind_hurst", ind.hurst, ["hurst_100"], o.hurst())
+_SW = [cte("sw0", f"{o.lag('high', 5)} AS ch, {o.lag('low', 5)} AS cl, {o.roll('max', 'high', 11)} AS mh, {o.roll('min', 'low', 11)} AS ml"),
+       cte("sw1", "CASE WHEN ch >= mh THEN 1.0 ELSE 0.0 END AS swing_high, CASE WHEN cl <= ml THEN 1.0 ELSE 0.0 END AS swing_low", "sw0"),
+       cte("sw", f"{o.ffill('CASE WHEN swing_high = 1 THEN ch END')} AS last_swing_high, {o.ffill('CASE WHEN swing_low = 1 THEN cl END')} AS last_swing_low", "sw1")]
+indicator("ind_swings", ind.swing_points, ["swing_high", "swing_low", "last_swing_high", "last_swing_low"], _SW)
+indicator("ind_ema_overlay", lambda b: ind.ema(b, 20, 50, 200), ["ema_20", "ema_50", "ema_200"], o.emas("e", "b", 20, 50, 200))
+
+# ---------------------------------------------------------------- features
+
+_HS = [3, 5, 10, 20, 50]
+_RET = ["ret_1", *(n for h in _HS for n in (f"ret_{h}", f"ret_{h}_norm")), "up_bar_ratio_20"]
+indicator(
+    "feat_returns", features.returns_block, _RET, cte("f0", f"{_R} AS ret_1, " + ", ".join(f"ln(close) - ln({o.lag('close', h)}) AS ret_{h}" for h in _HS)),
+    cte("f1", ", ".join(f"ret_{h} / (nullif({o.roll('stddev_pop', 'ret_1', 3 * h)}, 0) * sqrt({h})) AS ret_{h}_norm" for h in _HS) + f", {o.roll('avg', '(CASE WHEN ret_1 > 0 THEN 1.0 ELSE 0.0 END)', 20)} AS up_bar_ratio_20", "f0"),
+)
+_F50 = f"(PARTITION BY symbol ORDER BY ts ROWS 49 PRECEDING)"
+indicator(
+    "feat_return_moments", lambda b: features.returns_block(b), ["ret_skew_50", "ret_kurt_50", "ret_autocorr_50"], cte("f0", f"{_R} AS r"), cte("f1", f"{o.lag('r')} AS p, CASE WHEN count(r) OVER {_F50} = 50 THEN list(r) OVER {_F50} END AS rs", "f0"),
+    f"f2 AS (SELECT symbol, ts, CASE WHEN rs IS NOT NULL THEN skewness(r) OVER {_F50} END AS ret_skew_50, CASE WHEN rs IS NOT NULL THEN kurtosis(r) OVER {_F50} END AS ret_kurt_50, "
+    "CASE WHEN rs IS NOT NULL THEN (SELECT corr(x, y) FROM (SELECT unnest(rs[2:]) AS x, unnest(rs[:49]) AS y)) END AS ret_autocorr_50 FROM f1)",
+)
+_TREND = [*(f"ema_{w}_{k}_atr" for w in (20, 50, 200) for k in ("dist", "slope")), "ema_20_50_spread_atr", "ema_50_200_spread_atr", "adx_14", "di_balance", "macd_hist_atr", "macd_cross", "hurst_100"]
+indicator(
+    "feat_trend", features.trend_block, _TREND, o.atr(), o.adx("x", "a"), o.hurst("hu", "x"), o.emas("e", "hu", 20, 50, 200, 12, 26), cte("ml", "ema_12 - ema_26 AS macd_line", "e"), o.ewm("ms", "ml", "macd_line", 0.2), o.plus("mp", "ml", ("ms", "macd_signal", 0)),
+    cte("tr", ", ".join(f"(close - ema_{w}) / nullif(atr_14, 0) AS ema_{w}_dist_atr, (ema_{w} - {o.lag(f'ema_{w}', max(2, w // 4))}) / nullif(atr_14, 0) AS ema_{w}_slope_atr" for w in (20, 50, 200))
+        + ", (ema_20 - ema_50) / nullif(atr_14, 0) AS ema_20_50_spread_atr, (ema_50 - ema_200) / nullif(atr_14, 0) AS ema_50_200_spread_atr, (plus_di - minus_di) / nullif(plus_di + minus_di, 0) AS di_balance, (macd_line - macd_signal) / nullif(atr_14, 0) AS macd_hist_atr, sign(macd_line - macd_signal)::DOUBLE AS macd_cross", "mp"),
+)
+indicator(
+    "feat_momentum", features.momentum_block, ["rsi_14", "rsi_50", "rsi_14_delta", "stoch_k", "stoch_d", "williams_r", "cci_20", "roc_12", "roc_48"], o.rsi(14, "r1"), o.rsi(50, "r2", "r1"),
+    cte("m1", f"100 * (close - {_LO}) / nullif({_HI} - {_LO}, 0) AS stoch_k, {_WILL}, rsi_14 - {o.lag('rsi_14', 5)} AS rsi_14_delta, (close / {o.lag('close', 12)} - 1) * 100 AS roc_12, (close / {o.lag('close', 48)} - 1) * 100 AS roc_48, {_TP} AS tp", "r2"),
+    cte("m2", f"{o.roll('avg', 'stoch_k', 3)} AS stoch_d, CASE WHEN count(tp) OVER f = 20 THEN list(tp) OVER f END AS tps, avg(tp) OVER f AS m", "m1 WINDOW f AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING)"),
+    cte("m3", "(tp - m) / nullif(0.015 * list_avg(list_transform(tps, lambda x: abs(x - m))), 0) AS cci_20", "m2"),
+)
+_VW = (14, 50, 200)
+indicator(
+    "feat_volatility", features.volatility_block,
+    [*(n for w in _VW for n in (f"atr_{w}_rel", f"realised_vol_{w}", f"parkinson_vol_{w}")), "vol_term_structure", "vol_of_vol", "bb_width", "bb_position", "bb_squeeze", "gap_atr", "bar_range_atr"],
+    cte("v0", f"{_R} AS r, power(ln(high / low), 2) AS hl"), o.true_range("v1", "v0"), *(o.ewm(f"va{w}", "v1", "true_range", 1 / w) for w in _VW), o.plus("v2", "v1", *((f"va{w}", f"atr_{w}", w) for w in _VW)),
+    cte("v3", ", ".join(f"atr_{w} / close AS atr_{w}_rel, {o.roll('stddev_pop', 'r', w)} AS realised_vol_{w}, sqrt(({o.roll('avg', 'hl', w)}) / (4 * ln(2))) AS parkinson_vol_{w}" for w in _VW) + f", {o.roll('avg', 'close', 20)} AS mid, {o.roll('stddev_pop', 'close', 20)} AS sd, (open - {o.lag('close')}) / nullif(atr_14, 0) AS gap_atr, (high - low) / nullif(atr_14, 0) AS bar_range_atr", "v2"),
+    cte("v4", f"realised_vol_14 / nullif(realised_vol_200, 0) AS vol_term_structure, {o.roll('stddev_pop', 'realised_vol_14', 200)} AS vol_of_vol, 4 * sd / nullif(mid, 0) AS bb_width, (close - mid + 2 * sd) / nullif(4 * sd, 0) AS bb_position", "v3"),
+    cte("v5", f"{o.rank('round(bb_width, 12)', 200)} AS bb_squeeze", "v4"),
+)
+indicator(
+    "feat_structure", features.structure_block, [*(n for w in (20, 55, 200) for n in (f"dc_{w}_position", f"dc_{w}_width_atr")), "dist_swing_high_atr", "dist_swing_low_atr", "swing_position", "bars_since_swing_high", "bars_since_swing_low"],
+    o.atr(), _dc(20, "a", "s1"), _dc(55, "s1", "s2"), _dc(200, "s2", "s3"), cte("s4", f"{o.lag('high', 5)} AS ch, {o.lag('low', 5)} AS cl, {o.roll('max', 'high', 11)} AS mh, {o.roll('min', 'low', 11)} AS ml", "s3"),
+    cte("s5", f"{o.ffill('CASE WHEN ch >= mh THEN ch END')} AS sh, {o.ffill('CASE WHEN cl <= ml THEN cl END')} AS sl, (rn - {o.ffill('CASE WHEN ch >= mh THEN rn END')})::DOUBLE AS bars_since_swing_high, (rn - {o.ffill('CASE WHEN cl <= ml THEN rn END')})::DOUBLE AS bars_since_swing_low", "s4"),
+    cte("s6", ", ".join(f"(dc_{w}_upper - dc_{w}_lower) / nullif(atr_14, 0) / (CASE WHEN dc_{w}_upper <> dc_{w}_lower THEN 1 END) AS dc_{w}_width_atr" for w in (20, 55, 200)) + ", (sh - close) / nullif(atr_14, 0) AS dist_swing_high_atr, (close - sl) / nullif(atr_14, 0) AS dist_swing_low_atr, (close - sl) / nullif(sh - sl, 0) AS swing_position", "s5"),
+)
+indicator(
+    "feat_volume", features.volume_block, ["obv_slope_20", "adl_slope_20", "mfi_14", "force_index_z", "volume_z_50", "volume_ratio_20"], _MFI,
+    cte("u0", f"coalesce(sign(close - {o.lag('close')}), 0) * volume AS mv, coalesce(((close - low) - (high - close)) / nullif(high - low, 0), 0) * volume AS fl, (close - {o.lag('close')}) * volume AS fc", "mf"),
+    cte("u1", f"{o.upto('sum', 'mv')} AS obv, {o.upto('sum', 'fl')} AS adl", "u0"), cte("u2", f"obv - {o.lag('obv', 20)} AS os, adl - {o.lag('adl', 20)} AS al", "u1"),
+    cte("u3", f"{o.zscore('os', 200)} AS obv_slope_20, {o.zscore('al', 200)} AS adl_slope_20, {o.zscore('fc', 100)} AS force_index_z, {o.zscore('volume', 50)} AS volume_z_50, volume / nullif({o.roll('avg', 'volume', 20)}, 0) AS volume_ratio_20", "u2"),
+)
+indicator(
+    "feat_session", features.session_block, ["hour_sin", "hour_cos", "weekday_sin", "weekday_cos", "is_london_ny_overlap"], cte("h0", "hour(ts)::DOUBLE AS h, (isodow(ts) - 1)::DOUBLE AS wd"),
+    cte("h1", "sin(2 * pi() * h / 24) AS hour_sin, cos(2 * pi() * h / 24) AS hour_cos, sin(2 * pi() * wd / 5) AS weekday_sin, cos(2 * pi() * wd / 5) AS weekday_cos, CASE WHEN h >= 13 AND h < 17 THEN 1.0 ELSE 0.0 END AS is_london_ny_overlap", "h0"),
+)
+_DESC = [*o.atr(), *o.rsi(14, "r", "a"), *o.hurst("hu", "r"), *o.emas("e", "hu", 20, 100), cte("de0", f"{_R} AS r1", "e"), cte("de1", f"{o.roll('stddev_pop', 'r1', 20)} AS rv", "de0"),
+         cte("de", f"(ema_20 - ema_100) / nullif(atr_14, 0) AS trend_strength, {o.rank('rv', 500)} AS vol_percentile, (rsi_14 - 50) / 50 AS momentum_score, 0.5 - hurst_100 AS mean_reversion_score", "de1")]
+indicator("feat_descriptors", features.descriptor_block, features.DESCRIPTORS, _DESC)
+
+
+@register("feat_matrix")
+def _(spark, d):
+    return features.build_features(m15(spark, d))
+
+
+@register("feat_summary")
+def _(spark, d):
+    """Mean, spread, least, median and greatest of every feature."""
+    df = features.build_features(m15(spark, d))
+    names = features.feature_columns(df)
+    long = df.unpivot(["symbol"], names, "feature", "value").groupBy("feature")
+    return long.agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.percentile("value", F.lit(0.5)).alias("median"), F.max("value").alias("max"))
