@@ -106,8 +106,9 @@ def ewm(df: DataFrame, specs: Iterable[tuple[str, str, float, int]]) -> DataFram
 
     specs: (name, column, a, least number of values before the first result). Each block of
     rows is a weighted running sum, to which the end of the block before is carried over; what
-    lies two blocks back weighs under 1e-13. All specs share one sort by block. NULLs may only
-    lead the series, as in all indicators here.
+    lies two blocks back weighs under 1e-13. Sums run over distances from the first value, which
+    keeps their rounding errors small. All specs share one sort by block. NULLs may only lead the
+    series, as in all indicators here.
     """
     specs = [s for s in specs if s[0] not in df.columns]
     if not specs:
@@ -116,13 +117,13 @@ def ewm(df: DataFrame, specs: Iterable[tuple[str, str, float, int]]) -> DataFram
     kept = df.columns
     df = df if "rn" in kept else numbered(df)
     columns = list(dict.fromkeys(s[1] for s in specs))
-    df = df.withColumns({f"_seed_{x}": F.min(F.when(F.col(x).isNotNull(), F.col("rn"))).over(running()) for x in columns})
+    df = df.withColumns({f"_seed_{x}": F.min(F.when(F.col(x).isNotNull(), F.col("rn"))).over(running()) for x in columns} | {f"_from_{x}": F.first(x, ignorenulls=True).over(running()) for x in columns})
     local = {}
     for name, x, a, _ in specs:
         pos, log_b = F.col("rn") % sizes[name], math.log(1 - a)
         weight = F.when(F.col("rn") == F.col(f"_seed_{x}"), 1.0).otherwise(a)
         block = Window.partitionBy(*KEYS, F.floor(F.col("rn") / sizes[name])).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-        local[f"_loc_{name}"] = F.sum(F.col(x) * weight * F.exp(-log_b * pos)).over(block) * F.exp(log_b * pos)
+        local[f"_loc_{name}"] = F.sum((F.col(x) - F.col(f"_from_{x}")) * weight * F.exp(-log_b * pos)).over(block) * F.exp(log_b * pos)
     df = df.withColumns(local)
     past = series().rowsBetween(Window.unboundedPreceding, -1)
     ends = {f"_end_{n}": F.last(F.when(F.col("rn") % sizes[n] == sizes[n] - 1, F.col(f"_loc_{n}")), ignorenulls=True).over(past) for n, *_ in specs}
@@ -131,7 +132,7 @@ def ewm(df: DataFrame, specs: Iterable[tuple[str, str, float, int]]) -> DataFram
     for name, x, a, least in specs:
         carried = F.coalesce(F.col(f"_end_{name}"), F.lit(0.0)) * F.exp(math.log(1 - a) * (F.col("rn") % sizes[name] + 1))
         ready = F.col("rn") - F.col(f"_seed_{x}") + 1 >= max(1, least)
-        out[name] = F.when(ready, F.coalesce(F.col(f"_loc_{name}"), F.lit(0.0)) + carried)
+        out[name] = F.when(ready, F.coalesce(F.col(f"_loc_{name}"), F.lit(0.0)) + carried + F.col(f"_from_{x}"))
     return df.withColumns(out).select(*kept, *out)
 
 

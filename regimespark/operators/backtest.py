@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.windows import lag, lead, numbered, running, series
+from ..functions.windows import lag, lead, numbered, running
 from .signals import min_holding, session_filter, sized_at_entry, volatility_scalar
 
 
@@ -70,7 +70,7 @@ def longest_underwater(result: DataFrame, equity: str = "equity") -> DataFrame:
 
 def indexed(result: DataFrame, equity: str = "equity") -> DataFrame:
     """Equity as a percentage of its first value."""
-    return result.withColumn("indexed_equity", F.col(equity) / F.first(equity).over(series().rowsBetween(-(1 << 40), 0)) * 100)
+    return result.withColumn("indexed_equity", F.col(equity) / F.first(equity).over(running()) * 100)
 
 
 def signal_changes(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.windows import c, ffill, full, lag, numbered, percent_rank, ratio, rolling, rolling_corr, rolling_kurt, rolling_skew, running, series, trailing, zscore
+from ..functions.windows import ffill, lag, numbered, percent_rank, ratio, rolling, rolling_corr, rolling_kurt, rolling_skew, trailing, zscore
 from . import indicators as ind
 
 OHLCV = ["symbol", "ts", "open", "high", "low", "close", "volume"]
@@ -61,11 +61,13 @@ def volatility_block(df: DataFrame, windows=VOL_WINDOWS) -> DataFrame:
     out = ind.bollinger(ind.parkinson_volatility(ind.realised_volatility(df, *windows), *windows))
     for w in dict.fromkeys([14, *windows]):
         out = ind.atr(out, w)
+    # windows of the same closes in another order have the same width
+    out = out.withColumn("_width", F.round("bb_width", 10))
     short, long = min(windows), max(windows)
     cols = {f"atr_{w}_rel": F.col(f"atr_{w}") / F.col("close") for w in windows}
     cols |= {
         "vol_term_structure": ratio(f"realised_vol_{short}", f"realised_vol_{long}"), "vol_of_vol": rolling(F.stddev_pop, f"realised_vol_{short}", long),
-        "bb_squeeze": percent_rank("bb_width", long), "gap_atr": (F.col("open") - lag("close")) / _atr14(), "bar_range_atr": (F.col("high") - F.col("low")) / _atr14(),
+        "bb_squeeze": percent_rank("_width", long), "gap_atr": (F.col("open") - lag("close")) / _atr14(), "bar_range_atr": (F.col("high") - F.col("low")) / _atr14(),
     }
     names = [n for w in windows for n in (f"atr_{w}_rel", f"realised_vol_{w}", f"parkinson_vol_{w}")]
     return _kept(out.withColumns(cols), df, [*names, "vol_term_structure", "vol_of_vol", "bb_width", "bb_position", "bb_squeeze", "gap_atr", "bar_range_atr"])
@@ -100,8 +102,9 @@ def session_block(df: DataFrame) -> DataFrame:
 
 def descriptor_block(df: DataFrame) -> DataFrame:
     out = ind.hurst(ind.rsi(ind.realised_volatility(ind.ema(ind.atr(df), 20, 100), 20)))
+    out = out.withColumn("_rv", F.round("realised_vol_20", 12))
     cols = {
-        "trend_strength": (F.col("ema_20") - F.col("ema_100")) / _atr14(), "vol_percentile": percent_rank("realised_vol_20", 500),
+        "trend_strength": (F.col("ema_20") - F.col("ema_100")) / _atr14(), "vol_percentile": percent_rank("_rv", 500),
         "momentum_score": (F.col("rsi_14") - 50) / 50, "mean_reversion_score": 0.5 - F.col("hurst_100"),
     }
     return _kept(out.withColumns(cols), df, DESCRIPTORS)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.windows import ewm, ffill, full, lag, numbered, percent_rank, ratio, rolling, running, series, span, trailing, zscore  # noqa: F401
+from ..functions.windows import ewm, ffill, lag, ratio, rolling, running, span, trailing
 
 
 

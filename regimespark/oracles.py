@@ -9,10 +9,15 @@ from __future__ import annotations
 W = "PARTITION BY symbol ORDER BY ts"
 
 
+#: Added to the events' values, which are small, so that returns are of a market's size.
+LEVEL = 10_000.0
+
+
 def bars(width: str = "15 minutes", name: str = "b") -> list[str]:
+    v = f"(value + {LEVEL}::DOUBLE)"
     return [
-        f"{name}0 AS MATERIALIZED (SELECT event_type AS symbol, time_bucket(INTERVAL '{width}', ts) AS ts, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, "
-        f"arg_max(value, ts) AS close, count(*)::DOUBLE AS volume FROM events WHERE value IS NOT NULL GROUP BY 1, 2)",
+        f"{name}0 AS MATERIALIZED (SELECT event_type AS symbol, time_bucket(INTERVAL '{width}', ts) AS ts, arg_min({v}, ts) AS open, max({v}) AS high, min({v}) AS low, "
+        f"arg_max({v}, ts) AS close, count(*)::DOUBLE AS volume FROM events WHERE value IS NOT NULL GROUP BY 1, 2)",
         f"{name} AS MATERIALIZED (SELECT *, row_number() OVER ({W}) - 1 AS rn FROM {name}0 WHERE low > 0)",
     ]
 

@@ -54,10 +54,10 @@ def tick_bars(ticks: DataFrame, timeframe: str, symbol, price, order, volume=Non
     return valid(out.withColumnRenamed("bar", "ts").select(*COLUMNS))
 
 
-def from_events(spark: SparkSession, sf_dir: str, timeframe: str = "M15") -> DataFrame:
-    """One symbol for each event type."""
+def from_events(spark: SparkSession, sf_dir: str, timeframe: str = "M15", level: float = 0.0) -> DataFrame:
+    """One symbol for each event type; values are movements about `level`."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return tick_bars(events, timeframe, F.col("event_type"), F.col("value"), F.struct("ts", "event_id"))
+    return tick_bars(events, timeframe, F.col("event_type"), F.col("value") + level, F.struct("ts", "event_id"))
 
 
 def from_orders(spark: SparkSession, sf_dir: str, timeframe: str = "D1") -> DataFrame:
