@@ -1,0 +1,499 @@
+"""Corpus operators against brute force on small tables with every odd case."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from regimespark.llm import decontam, exact_dedup, langid, line_dedup, minmax, mixing, pfp_dedup, rolling, sharding, tokens, urlfilter
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, `row` string, n string, tk string, label string, copies string, found string, node string, bucket string"
+SYL = ["an", "re", "th", "ing", "ou", "st", "er", "ly", "ble", "won"]
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice(SYL) for _ in range(rng.randint(1, 4))) for _ in range(n))
+
+
+def odd_rows():
+    rng = random.Random(5)
+    base = prose(rng, 120)
+    words = base.split()
+    near = " ".join(words[:60] + ["changed"] + words[61:])
+    passage = prose(rng, 60)
+    texts = [
+        None, "", "", "a", "A", base, base, base.upper(), near, passage, "left " + passage + " right", prose(rng, 30) + "\n" + passage, "x" * 700, "é" * 300, prose(rng, 20000),
+        "one two three", "one  two\tthree", "\n\n", " . , !", "<|endoftext|> tail", "tab\tand  double", "naïve café, it's 3.5_x", "line one\nline two\nline one",
+    ]
+    rows = [(i, t, "en", f"src{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    rows += [rows[5], (None, base, "en", None, 0), (None, None, None, None, None), (10**12, "lonely text of five words", None, "src1", 5)]
+    return [(*r, *["clash"] * 9) for r in rows]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(odd_rows(), SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def utf8(t):
+    return (t or "").encode()
+
+
+# 1 --------------------------------------------------------------------------------------------
+
+
+def test_differencing_beats_greedy_spread():
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(1, 10_000, 2000)
+    shard = sharding.difference(sizes, 40)
+    sums = np.bincount(shard, weights=sizes, minlength=40)
+    assert sums.max() - sums.min() <= 40
+
+
+def test_differencing_gives_giants_a_shard_alone():
+    sizes = np.array([10_000, 5, 5, 5, 5, 5, 5])
+    shard = sharding.difference(sizes, 4)
+    assert (shard == shard[0]).sum() == 1
+    assert sorted(np.bincount(shard, weights=sizes, minlength=4))[:3] == [10, 10, 10]
+
+
+@pytest.mark.parametrize("n", [0, 1, 3])
+def test_differencing_of_few(n):
+    assert len(sharding.difference(np.ones(n, np.int64), 5)) == n
+
+
+def test_sharding(docs, none):
+    out = sharding.shard_documents(docs, 5).toPandas()
+    rows = odd_rows()
+    assert len(out) == len(rows)
+    by_id = {r[0]: r[1] for r in rows}
+    home = {}
+    for r in out.itertuples():
+        text = by_id[None if np.isnan(r.doc_id) else int(r.doc_id)] if not np.isnan(r.doc_id) else None
+        if text is not None:
+            assert r.size == len(utf8(text)) + 16 and r.text_crc32 == zlib.crc32(utf8(text))
+            assert home.setdefault(text, r.shard) == r.shard
+    for _, part in out.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
+    assert sharding.shard_documents(none, 5).count() == 0
+
+
+def test_sharding_balances(spark, data):
+    out = sharding.op1_kk_sharding(spark, data).toPandas()
+    sums = out.groupby("shard")["size"].sum()
+    groups = out.groupby("text_crc32")["size"].sum()
+    # the most even cut that indivisible groups allow
+    floor, left, k = 0, groups.sum(), 40
+    for g in sorted(groups, reverse=True):
+        if g * k < left:
+            break
+        floor, left, k = max(floor, g), left - g, k - 1
+    assert sums.max() <= max(floor, left / k * 1.02 + 1) and out["slot"].notna().all()
+
+
+# 2 --------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("n,span", [(0, 1 << 20), (1, 1 << 20), (1000, 1 << 24), (5000, 1 << 40), (300, 300)])
+def test_golomb_round_trip(n, span):
+    rng = np.random.default_rng(n)
+    values = np.sort(rng.choice(span, n, replace=False) if span < 1 << 25 else np.unique(rng.integers(0, span, n))) + 7 * span
+    assert (exact_dedup.golomb_decode(exact_dedup.golomb_encode(values, 7 * span, span), 7 * span) == values).all()
+
+
+def test_golomb_is_short():
+    values = np.unique(np.random.default_rng(0).integers(0, 1 << 32, 100_000))
+    assert len(exact_dedup.golomb_encode(values, 0, 1 << 32)) * 8 / len(values) < 18
+
+
+def test_exact_dedup(docs, none):
+    rows = odd_rows()
+    size = Counter(utf8(r[1]) for r in rows)
+    best = {}
+    for r in rows:
+        best[utf8(r[1])] = max(best.get(utf8(r[1]), -1), -1 if r[0] is None else r[0])
+    out = exact_dedup.dedupe(docs).collect()
+    sha = {hashlib.sha256(t).hexdigest(): t for t in size}
+    kept = Counter()
+    for r in out:
+        t = sha[r.text_sha256]
+        assert r.group_size == size[t] and r.keep_id == best[t]
+        kept[t] += r.kept
+    assert len(out) == len(rows) and all(kept[t] == 1 for t in size)
+    assert exact_dedup.dedupe(none).count() == 0
+
+
+# 3 --------------------------------------------------------------------------------------------
+
+
+def test_line_dedup(spark, none):
+    rows = [(i, f"own line {i}\nshared\nseldom {i % 4}", f"s{i % 12}") for i in range(48)] + [(99, None, "s1"), (100, "", "s2"), (101, "shared", None), (101, "shared", None)]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, source string, n_lines string, `row` string")
+    out = {(r.doc_id, r.source): r for r in line_dedup.remove_lines(df, min_sites=10).collect()}
+    assert out[(3, "s3")].text == "own line 3\nseldom 3" and out[(3, "s3")].n_removed == 1 and out[(3, "s3")].row == "y"
+    assert out[(99, "s1")].text is None and out[(100, "s2")].text == "" and out[(101, None)].text == ""
+    assert line_dedup.remove_lines(df, min_sites=14).where("n_removed > 0").count() == 0
+    assert line_dedup.remove_lines(none, min_sites=2).count() == 0
+
+
+def test_line_threshold_is_exact(spark):
+    rows = [(i, f"spread {k}", f"site{i}") for k in (39, 40, 41) for i in range(k)]
+    out = line_dedup.remove_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_sites=40)
+    assert out.where("n_removed > 0").count() == 81
+
+
+# 4 --------------------------------------------------------------------------------------------
+
+
+def brute_decontam(text, items, window=10):
+    ws = decontam.words(utf8(text))
+    hit, found = set(), set()
+    for item, t in items:
+        iw = decontam.words(utf8(t))
+        k = min(window, len(iw))
+        grams = {tuple(iw[i : i + k]) for i in range(len(iw) - k + 1)} if k else set()
+        for i in range(len(ws) - k + 1 if k else 0):
+            if tuple(ws[i : i + k]) in grams:
+                hit.update(range(i, i + k))
+                found.add(item)
+    return len(ws), len(hit), sorted(str(x) for x in found if x is not None)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_automaton_against_brute_force(seed):
+    rng = random.Random(seed)
+    word = lambda: rng.choice("abc")
+    items = [(str(i), " ".join(word() for _ in range(rng.choice([0, 1, 2, 3, 4, 6, 9])))) for i in range(rng.randint(0, 6))]
+    a = decontam.Automaton([(i, decontam.words(t.encode())) for i, t in items], 4)
+    for _ in range(20):
+        text = " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 30)))
+        ws = decontam.words(text.encode())
+        hits, found = a.scan(np.array([a.ids.get(w, -1) for w in ws], np.int64))
+        covered = {x for i, j in hits for x in range(i, j)}
+        assert (len(ws), len(covered), sorted(found)) == brute_decontam(text, items, 4)
+
+
+def test_decontamination(spark, docs, none, monkeypatch):
+    passage = odd_rows()[9][1]
+    items = [(1, passage), (2, passage[:200]), (2, "one two three"), (None, "lonely text"), (4, None), (5, "..."), (6, "café")]
+    bench = spark.createDataFrame([(*i, "z") for i in items], "item_id long, text string, found string")
+    want = Counter((*brute_decontam(r[1], items)[:2], ",".join(brute_decontam(r[1], items)[2])) for r in odd_rows())
+    for words in (decontam.BLOCK_WORDS, 40):  # one automaton, and several in turn
+        monkeypatch.setattr(decontam, "BLOCK_WORDS", words)
+        out = decontam.find_hits(docs.drop("found"), bench).select("found.n_words", decontam.n_hit().alias("h"), "found.items").collect()
+        assert Counter((r.n_words, r.h, ",".join(sorted(r["items"]))) for r in out) == want
+    clean = {r.doc_id: r for r in decontam.decontaminate(docs.where("doc_id IS NOT NULL"), bench, max_coverage=0.99).collect()}
+    assert 9 not in clean and clean[10].text == "left  right" and clean[10].n_chars == len(clean[10].text)
+    assert decontam.decontaminate(docs, bench).where("doc_id = 10").count() == 0
+    assert clean[4].text == "A" and clean[0].text is None
+    assert decontam.decontaminate(none, bench).count() == 0
+    assert decontam.find_hits(docs.drop("found"), bench.limit(0)).where(decontam.n_hit() > 0).count() == 0
+
+
+# 5 --------------------------------------------------------------------------------------------
+
+
+def brute_repeats(texts, length):
+    raw = [utf8(t) for t in texts]
+    seen = Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
+    out = []
+    for b in raw:
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                gone[i : i + length] = True
+        runs = int((np.diff(np.append(0, gone.astype(int))) == 1).sum())
+        out.append((len(b), int(gone.sum()), runs, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()))
+    return Counter(out)
+
+
+def test_repeated_spans(docs, none):
+    texts = [r[1] for r in odd_rows()]
+    out = pfp_dedup.repeated_spans(docs, 200).collect()
+    assert Counter((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == brute_repeats(texts, 200)
+    assert pfp_dedup.repeated_spans(none, 200).count() == 0
+
+
+def test_repeated_spans_partial_overlaps(spark):
+    rng = random.Random(9)
+    core = "".join(rng.choice("abcdefgh ") for _ in range(2000))
+    texts = []
+    for _ in range(60):
+        a = rng.randint(0, 1500)
+        texts.append("".join(rng.choice("xyz") for _ in range(rng.randint(0, 50))) + core[a : a + rng.randint(50, 500)] + "".join(rng.choice("uvw") for _ in range(rng.randint(0, 300))))
+    texts += ["ab" * 300, "ba" * 120, "a" * 199, "a" * 200, "a" * 201]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = pfp_dedup.repeated_spans(df, 100).collect()
+    assert Counter((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == brute_repeats(texts, 100)
+
+
+def test_phrases_do_not_depend_on_segments(monkeypatch):
+    data = np.frombuffer(prose(random.Random(3), 9000).encode(), np.uint8)
+    offsets = np.array([0, len(data)], np.int64)
+    whole = [x for part in pfp_dedup.phrases(data, offsets, 200) for x in zip(part[1], part[2], strict=True)]
+    monkeypatch.setattr(pfp_dedup, "_GROUP", 5000)
+    cut = [x for part in pfp_dedup.phrases(data, offsets, 200) for x in zip(part[1], part[2], strict=True)]
+    assert sum(n for _, n in whole) == sum(n for _, n in cut) == len(data) - 199
+    assert {lo for lo, _ in whole} <= {lo for lo, _ in cut}
+
+
+def test_span_hashes_depend_on_bytes_only():
+    data = np.frombuffer(b"hello world, hello world", np.uint8)
+    h = rolling.spans(data, np.array([0, 6, 13]), np.array([5, 11, 18]))
+    assert h[0] == h[2] != h[1]
+
+
+# 6 --------------------------------------------------------------------------------------------
+
+
+def test_language_identification(spark, docs, none):
+    rng = random.Random(2)
+    kinds = {"xx": ["aba", "bab", "abba"], "yy": ["kuk", "luk", "kul"]}
+    rows = [(i, " ".join(rng.choice(kinds[k]) for _ in range(25)), k, f"h{k}{i % 3}", 0) for i, k in enumerate(["xx", "yy"] * 60)]
+    rows += [(900, "", "xx", "hxx1", 0), (901, None, None, None, 0), (902, "1234 !!", "yy", "hyy0", 0), (903, "kuk aba", "yy", "hyy1", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    model = langid.fit(df.where("doc_id % 4 < 2"))
+    out = {r.doc_id: r for r in langid.identify_documents(df, model).collect()}
+    assert len(out) == len(rows) and all(out[i].language == r[2] for i, r in enumerate(rows[:120]))
+    assert out[902].language == "yy" and out[903].language == "yy"  # what the text leaves open, the rest tells
+    assert 0 < langid.identify_documents(docs).count() == docs.count()
+    assert langid.identify_documents(none).count() == 0
+    kept = langid.keep_identified(docs)
+    assert kept.columns == docs.columns and kept.where("doc_id = 5").count() == 2
+
+
+def test_language_accuracy_on_held_out_rows(spark, data):
+    df = spark.read.parquet(f"{data}/documents.parquet")
+    model = langid.fit(df.where("doc_id % 2 = 0"))
+    out = langid.identify_documents(df.where("doc_id % 2 = 1"), model).join(df.select("doc_id", "lang"), "doc_id")
+    assert out.where("text_language = lang").count() >= 0.95 * out.count()
+
+
+def test_page_fields(spark, none):
+    html = "<!DOCTYPE html><html class=a lang='DE-at'><script>x('<p>')</script><p>Eins &amp; zwei</p></html>"
+    rows = [(1, "https://u@Blog.Example.org:8080/de/x?y", html), (2, None, None), (3, "no url", "")]
+    out = {r.page_id: r for r in langid.page_rows(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert (out[1].host, out[1].parent, out[1].declared, out[1].suffix) == ("blog.example.org", "example.org", "de", "org/de") and out[1].text.split() == ["Eins", "zwei"]
+    assert out[2].host is None and out[3].declared is None
+
+
+# 7 --------------------------------------------------------------------------------------------
+
+
+def shingles(text, width):
+    ws = utf8(text).lower().split()
+    return {tuple(ws[i : i + width]) for i in range(max(1, len(ws) - width + 1))} if ws else set()
+
+
+def brute_components(rows, width=4):
+    sets = [shingles(t, width) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            c = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * c >= 80 * (len(sets[i]) + len(sets[j]) - c):
+                up[root(i)] = root(j)
+    groups = {}
+    for i, (d, _) in enumerate(rows):
+        groups.setdefault(root(i), []).append(d)
+    out = []
+    for i, (d, _) in enumerate(rows):
+        ids = [x for x in groups[root(i)] if x is not None]
+        out.append((d, len(sets[i]), (min(ids) if ids else None) if sets[i] else d))
+    return Counter(out)
+
+
+def test_near_duplicates(docs, none):
+    out = minmax.near_duplicates(docs, 4).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute_components([(r[0], r[1]) for r in odd_rows()])
+    assert all(r.kept == (r.doc_id == r.component_id) for r in out)
+    assert minmax.near_duplicates(none, 4).count() == 0
+    kept = minmax.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and kept.where("doc_id = 5").count() == 1 and kept.where("doc_id = 8").count() == 0
+
+
+def test_near_duplicates_of_a_blurred_group(spark):
+    """Copies of one text with a few edits each: pairs lie on both sides of the threshold, chains and stars mix."""
+    rng = random.Random(4)
+    base = prose(rng, 150).split()
+    rows = []
+    for i in range(90):
+        ws = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 5, 8])):
+            ws[rng.randrange(len(ws))] = f"edit{rng.randrange(10**6)}"
+        rows.append((i, " ".join(ws)))
+    rows += [(1000 + i, prose(rng, rng.randint(1, 12))) for i in range(60)]
+    out = minmax.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute_components(rows)
+
+
+def test_min_and_max_estimate_similarity():
+    rng = np.random.default_rng(0)
+    a = np.unique(rng.integers(0, 1 << 63, 1000).astype(np.uint64))
+    b = np.concatenate([a[:800], np.unique(rng.integers(0, 1 << 63, 200).astype(np.uint64))])
+    _, bits = minmax.band_keys([a, np.sort(b)], 30)
+    x = bits[0] ^ bits[1]
+    differ = sum(bin(int(d | d >> 1) & 0x5555555555555555).count("1") for d in x)
+    share = (120 - differ) / 120  # J = 2/3; two bits agree by chance in a quarter of the rest
+    assert abs((share - 0.25) / 0.75 - 2 / 3) < 0.15
+
+
+# 8 --------------------------------------------------------------------------------------------
+
+
+def test_token_files(spark, docs, none):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.default_vocabulary())
+    rows = sorted(((r[0], r[1]) for r in odd_rows()), key=lambda r: -1 if r[0] is None else r[0])
+    out = sorted(tokens.tokenise(docs).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in out] == [r[0] for r in rows]
+    start, want, got = 0, Counter(), Counter()
+    for r in out:
+        assert r.start == start
+        start += r.n_tokens
+        got[r.doc_id, r.n_tokens, r.ids_crc32] += 1
+    for d, text in rows:
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+        want[d, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+    assert got == want
+    assert tokens.tokenise(none).count() == 0
+
+
+def test_reader_takes_wanted_documents_only_and_checks(tmp_path):
+    path = tmp_path / "x.tok.zst"
+    ids = [np.arange(i, i + n, dtype="<u2") for i, n in enumerate([3, 70_000, 5, 40_000, 1])]
+    with open(path, "wb") as f:
+        w = tokens.Writer(f, np.dtype("<u2"))
+        for i, x in enumerate(ids):
+            w.add(None if i == 2 else i, x.tobytes())
+        w.close()
+    r = tokens.Reader(str(path))
+    opened = []
+    r.ids_of = lambda k, f=r.ids_of: opened.append(k) or f(k)
+    assert [(k, x.tolist()) for k, x in r.documents(np.array([4]))] == [(4, [4])] and len(opened) == 1 < len(r.frames)
+    assert all((x == ids[k]).all() for k, x in r.documents()) and r.is_null.tolist() == [0, 0, 1, 0, 0]
+    raw = bytearray(path.read_bytes())
+    raw[len(raw) // 8] ^= 255
+    path.write_bytes(raw)
+    with pytest.raises(Exception):  # noqa: B017
+        list(tokens.Reader(str(path)).documents())
+
+
+def test_frames_are_plain_zstandard(tmp_path):
+    import zstandard
+
+    path = tmp_path / "y.tok.zst"
+    with open(path, "wb") as f:
+        w = tokens.Writer(f, np.dtype("<u2"))
+        w.add(1, b"\1\0\2\0")
+        w.close()
+    with open(path, "rb") as f:  # skippable frames are passed over by any reader
+        assert zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True).read() == b"\1\0\2\0"
+
+
+@pytest.mark.parametrize("text", ["a b", "a,b. c", "don't", "x\ny", "naïve, ça", "3.5 k_1", "a  b", " a", "a ,b", "é—è", "a b"])
+def test_words_join_to_the_library_ids(text):
+    e = tokens.Encoder(tokens.default_vocabulary(), 0)
+    assert np.frombuffer(e.encode([text])[0], e.kind).tolist() == [*e.tokenizer.encode(text, add_special_tokens=False).ids, 0]
+
+
+# 9 --------------------------------------------------------------------------------------------
+
+
+def test_poisson_steps():
+    s = mixing.poisson_steps(1.5)
+    assert abs(s[0] - np.exp(-1.5)) < 1e-15 and s == sorted(s) and s[-1] > 1 - 1e-12
+    assert mixing.poisson_steps(0.0)[0] == 1.0
+    big = np.searchsorted(mixing.poisson_steps(2000.0), 0.5)
+    assert abs(big - 2000) < 3
+
+
+def test_mixing_meets_the_weights(spark, docs, none):
+    rows = [(i, "word " * (i % 7 + 1), "big" if i % 3 else "small") for i in range(6000)]
+    df = spark.createDataFrame([(*r, "c", 1.0) for r in rows], "doc_id long, text string, source string, copies string, rate double")
+    out = mixing.mix(df, {"big": 0.2, "small": 0.8}).toPandas()
+    mass = out["text"].str.len() + 16
+    share = mass[out["source"] == "small"].sum() / mass.sum()
+    total = sum(len(r[1]) + 16 for r in rows)
+    assert abs(share - 0.8) < 0.03 and abs(mass.sum() / total - 1) < 0.05
+    again = mixing.mix(df.repartition(7), {"big": 0.2, "small": 0.8}).toPandas()
+    assert sorted(out["mix_key"]) == sorted(again["mix_key"]) and (out.groupby("doc_id")["copy"].max() + 1 == out.groupby("doc_id")["copies"].first()).all()
+    assert mixing.mix(docs).where("source IS NULL").count() >= 0 and mixing.mix(none).count() == 0
+    assert mixing.mix(docs, {"src0": 1.0}).where("source <> 'src0' OR source IS NULL").count() == 0
+
+
+def test_mixing_by_the_shuffled_join(spark, docs, monkeypatch):
+    want = sorted(r.mix_key for r in mixing.mix(docs).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
+    assert sorted(r.mix_key for r in mixing.mix(docs).collect()) == want
+
+
+# 10 -------------------------------------------------------------------------------------------
+
+
+def brute_rule(url):
+    if url is None or "://" not in url:
+        return "", "", None, None
+    rest = url.split("://", 1)[1]
+    cut = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
+    host, tail = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:cut]), rest[cut:]
+    path = tail[: min([tail.find(c) for c in "?#" if c in tail] or [len(tail)])]
+    fits = [(h + p, v) for v, h, p in urlfilter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *max(fits, key=lambda f: len(f[0]))) if fits else (host, path, None, None)
+
+
+URLS = [None, "", "nothing", "http://", "http://A.Example.ORG/en/12?q#f", "https://example.org/es/x", "https://notexample.org/es/", "ftp://x.com/fr/", "http://x.com/de/1", "http://com/fr/", "http://x.org", "http://x.org?a/b", "http://ünïx.net/é", "http://a.net/p", "http://b.net/p", "http://c.net/", "http://b.net/p"]
+
+
+def test_url_rules(spark):
+    rows = [(i, u, None) for i, u in enumerate(URLS)]
+    out = {r.page_id: r for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, u in enumerate(URLS):
+        host, path, rule, verdict = brute_rule(u)
+        assert (out[i].host, out[i].path, out[i].rule) == (host, path, rule), u
+        assert out[i].verdict == (verdict or "allow")
+    assert urlfilter.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_link_trust_against_dense_matrices(spark):
+    rng = random.Random(8)
+    hosts = [f"h{i}.net" for i in range(12)] + ["good.org", "bad.com"]
+    links = [(rng.choice(hosts), rng.choice(hosts)) for _ in range(40)]
+    pages = [(i, f"http://{a}/{'de/' if a == 'bad.com' else ''}{i}", f'<a class=x href="//{b}/x">y</a><a href="/own">z</a>') for i, (a, b) in enumerate(links)]
+    pages += [(100, "http://good.org/", ""), (101, "http://bad.com/de/", None)]
+    out = {r.host: r.verdict for r in urlfilter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect() if r.rule is None}
+    n, at = len(hosts), {h: i for i, h in enumerate(hosts)}
+    w = np.zeros((n, n))
+    for a, b in links:
+        if a != b:
+            w[at[a], at[b]] += 1
+    seeds = {"allow": np.zeros(n), "block": np.zeros(n)}
+    for _, u, _ in pages:
+        host, _, _, v = brute_rule(u)
+        if v:
+            seeds[v][at[host]] += 1 / len(pages)
+    score = {}
+    for name, m in (("allow", w), ("block", w.T)):
+        p = m / np.where(m.sum(1, keepdims=True) == 0, 1, m.sum(1, keepdims=True))
+        s = seeds[name].copy()
+        for _ in range(urlfilter.ROUNDS):
+            s = urlfilter.DAMPING * (p.T @ s) + (1 - urlfilter.DAMPING) * seeds[name]
+        score[name] = s
+    for h, v in out.items():
+        assert v == ("block" if score["block"][at[h]] > score["allow"][at[h]] else "allow"), h
+    assert "block" in out.values()
