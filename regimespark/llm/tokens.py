@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import json
 import os
-import re
+import sys
+import types
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,17 @@ CACHE = 500_000
 SEEK_MAGIC, FOOTER_MAGIC, INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 # Fixed value: the split of byte-level BPE with its standard expression.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts with any of these are split by the expression itself; in all others a cut before each space, comma and full stop and around line ends falls between its matches.
-_ODD = re.compile(r"[^\S \n]|\s\s|^\s|\s$|[^\s\w]{2}|_| [,.]|\x00")
+#: Bytes by kind: letters and digits (and all beyond ASCII), space, line end, other white space and controls, signs.
+_KINDS = bytes(97 if b > 127 or chr(b).isalnum() else b if b in (10, 32) else 33 if 32 < b < 127 else 88 for b in range(256)).replace(b"X", b"\x00")
+
+
+def plainly_cut(text: str) -> bool:
+    """Whether a cut before each space, comma and full stop and around line ends falls between the pieces of SPLIT."""
+    data = text.encode()
+    kinds = data.translate(_KINDS)
+    if any(x in kinds for x in (b"  ", b" \n", b"\n ", b"\n\n", b"!!", b"\x00")) or b" ," in data or b" ." in data or kinds[:1] in b" \n" or kinds[-1:] in b" \n":
+        return False
+    return text.isascii() or all(c.isalpha() for c in set(text) if c > "\x7f")
 
 
 def default_vocabulary() -> str:
@@ -45,9 +56,24 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_letters() -> dict[int, int]:
+    """Byte-level BPE writes each byte as one printable letter: itself, or the next free one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library; words met before are looked up."""
 
+    @classmethod
+    def of_worker(cls, path: str, end: int) -> Encoder:
+        """The encoder that this worker process keeps from task to task, with the words it knows."""
+        kept = sys.modules.setdefault("_corpus_encoders", types.ModuleType("_corpus_encoders")).__dict__
+        if (path, end) not in kept:
+            kept[path, end] = cls(path, end)
+        return kept[path, end]
+
     def __init__(self, path: str, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
@@ -62,11 +88,12 @@ class Encoder:
         self.end = np.array([end], self.kind).tobytes()
         self.find = regex.compile(SPLIT).findall
         self.known: dict[str, bytes] = {}
+        self.letters, self.merge = _byte_letters(), self.tokenizer.model.tokenize
 
     def words(self, text: str) -> list[str] | None:
         if not self.by_word or any(t in text for t in self.special):
             return None
-        if _ODD.search(text):
+        if not plainly_cut(text):
             return self.find(text)
         return text.replace(" ", "\0 ").replace(",", "\0,").replace(".", "\0.").replace("\n", "\0\n\0").split("\0")
 
@@ -74,7 +101,14 @@ class Encoder:
         split = [self.words(t) if t else [] for t in texts]
         if len(self.known) > CACHE:
             self.known.clear()
-        new = sorted(set().union(*(w for w in split if w)).difference(self.known))
+        new = set().union(*(w for w in split if w)).difference(self.known)
+        # a space and letters are one piece for the model; all else is split by the tokenizer
+        plain = [w for w in new if w.removeprefix(" ").isalpha()]
+        space, code = chr(self.letters[32]), self.kind.char
+        for w in plain:
+            shown = w.replace(" ", space) if w.isascii() else w.encode().decode("latin-1").translate(self.letters)
+            self.known[w] = array(code, [t.id for t in self.merge(shown)]).tobytes()
+        new = sorted(new.difference(plain))
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
             got = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
@@ -200,7 +234,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
         encoder = writer = stream = None
         for batch in batches:
             if writer is None and len(batch):
-                encoder = Encoder(vocabulary, end)
+                encoder = Encoder.of_worker(vocabulary, end)
                 stream = fs.open_output_stream(f"{root}/{name}.tmp")
                 writer = Writer(stream, encoder.kind)
             for i in range(0, len(batch), 500):
