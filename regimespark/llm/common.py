@@ -41,6 +41,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def packed(df: DataFrame, *dropped: str):
+    """All columns of df but the dropped ones in one struct `row`, out of reach of other names."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in dropped)).alias("row")
+
+
 def hot_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, spread: list[str], how: str = "left") -> DataFrame:
     """Equi-join in which no task gets all rows of a hot key.
 

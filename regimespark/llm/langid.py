@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_column, doc_groups, hot_join, materialise
+from .common import BROADCAST_BYTES, byte_column, doc_groups, hot_join, materialise, packed
 
 BUCKET_BITS = 14
 FIT_ROWS = 50_000
@@ -181,11 +181,10 @@ def keep_identified(docs: DataFrame, languages: list[str] | None = None, least:
     wanted = F.col("language").isin(languages or model.languages) & (F.col("confidence") >= least)
     gone = identify_documents(docs, model).where(~wanted).select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk2")).distinct()
     gone = materialise(gone, "lang-gone")
-    if gone.count() * 24 <= 8 << 20:
+    if gone.count() * 24 <= BROADCAST_BYTES:
         gone = F.broadcast(gone)
-    keyed = docs.withColumn("_tk", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tk") == F.col("_tk2"))
-    return keyed.join(gone, same, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    same = F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("row.text") == F.col("_tk2"))
+    return docs.select(packed(docs)).join(gone, same, "left_anti").select("row.*")
 
 
 def page_rows(pages: DataFrame) -> DataFrame:

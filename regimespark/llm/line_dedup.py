@@ -8,8 +8,7 @@ removed everywhere.
 Defined results: lines end at \\n; lines shorter than `min_chars` characters are never
 removed; a null text has no lines and stays null; an empty text is one empty line; a null
 site counts as one site of its own; repeated rows are treated alike; an empty table gives
-no rows. Extra columns are kept, but for those named tk, tn, copies, _gone, n_lines or
-n_removed, which the operator uses itself and drops.
+no rows. Extra columns are kept, but for those named n_lines or n_removed, which are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, materialise
+from .common import hot_join, materialise, packed
 
 LG_CONFIG = 11
 #: Relative error of a sketch that is trusted without an exact count: over six times its standard error.
@@ -52,17 +51,15 @@ def remove_lines(docs: DataFrame, site: str = "source", min_sites: int = 10, min
     per_text = hits.groupBy("tk", "tn").agg(F.sort_array(F.collect_set("pos")).alias("_gone"), F.count("*").alias("rows"))
     per_text = per_text.withColumn("copies", (F.col("rows") / F.size("_gone")).cast("long")).drop("rows")
     per_text = materialise(per_text, "line-removals")
-    if taken := {"tk", "tn", "copies", "_gone", "n_lines", "n_removed"} & set(docs.columns):
-        docs = docs.drop(*taken)
-    rows = docs.withColumns({"tk": F.xxhash64("text"), "tn": F.octet_length("text")})
-    joined = hot_join(rows, per_text, ["tk", "tn"], "copies", docs.count(), ["doc_id"])
-    parts = F.split("text", "\n", -1)
+    own = ("n_lines", "n_removed")
+    rows = docs.select(packed(docs, *own), F.col("doc_id").alias("_d"), F.xxhash64("text").alias("tk"), F.octet_length("text").alias("tn"))
+    joined = hot_join(rows, per_text, ["tk", "tn"], "copies", docs.count(), ["_d"])
+    parts = F.split("row.text", "\n", -1)
     left = F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: ~F.array_contains("_gone", p["i"]))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda p: p["x"]), "\n"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long")
-    return joined.select(
-        *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], n_lines.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed")
-    )
+    text = F.when(F.col("_gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(left, lambda p: p["x"]), "\n"))
+    n_lines = F.when(F.col("row.text").isNull(), 0).otherwise(F.size(parts)).cast("long")
+    kept = [text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in own]
+    return joined.select(*kept, n_lines.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op3_line_spread(spark, sf_dir: str) -> DataFrame:

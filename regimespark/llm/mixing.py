@@ -9,8 +9,8 @@ order by a hash of id, copy number and seed.
 Defined results: a null source is a source of its own; null and empty texts have OVERHEAD
 bytes, as all texts have besides their own; a source without a weight in a given mapping gets
 none; without a mapping weights are the sizes to the power `temper`; repeated rows draw alike;
-an empty table gives no rows. Extra columns are kept, but for those named copy, copies or
-mix_key, which are replaced.
+an empty table gives no rows. Extra columns are kept, but for those named copies, copy, rate
+or mix_key, which are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, hot_join, materialise
+from .common import BROADCAST_BYTES, hot_join, materialise, packed
 
 OVERHEAD = 16
 
@@ -69,23 +69,21 @@ def uniform(seed: int, *columns):
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temper: float = 0.5, epochs: float = 1.0, seed: int = 17) -> DataFrame:
-    """The copies of the documents in global random order, with copies, copy (from 0), rate and mix_key."""
-    docs = docs.drop("copies", "copy", "mix_key", "rate", "steps", "src")
+    """The copies of the documents with copies, copy (from 0), rate and mix_key, by which to sort for the global random order."""
     rated = materialise(rates(docs, weights, temper, epochs), "mix-rates")
     n = rated.agg(F.sum("rows")).first()[0] or 0
-    keyed = docs.withColumn("src", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
     ident = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")).cast("binary"))]
-    drawn = uniform(seed, *ident)
+    src = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    keyed = docs.select(packed(docs, "copies", "copy", "rate", "mix_key"), src.alias("src"), F.col("doc_id").alias("_d"), uniform(seed, *ident).alias("_u"))
     table = rated.select("src", "rows", "rate", "steps")
     widest = rated.agg(F.max(F.size("steps"))).first()[0] or 0
     if rated.count() * (100 + 8 * widest) <= BROADCAST_BYTES:
-        joined = keyed.withColumn("_u", drawn).join(F.broadcast(table), "src")
+        joined = keyed.join(F.broadcast(table), "src")
     else:
-        joined = hot_join(keyed.withColumn("_u", drawn), table, ["src"], "rows", n, ["doc_id"], "inner")
+        joined = hot_join(keyed, table, ["src"], "rows", n, ["_d"], "inner")
     counted = joined.withColumn("copies", F.size(F.filter("steps", lambda s: s <= F.col("_u"))))
-    copies = counted.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    keyed = copies.withColumn("mix_key", F.xxhash64(F.lit(seed), "doc_id", "_u", "copy"))
-    return keyed.drop("src", "steps", "_u", "rows")
+    out = counted.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    return out.select("row.*", "copies", "copy", "rate", F.xxhash64(F.lit(seed), "_d", "_u", "copy").alias("mix_key"))
 
 
 def op9_poisson_mix(spark, sf_dir: str) -> DataFrame:
