@@ -29,7 +29,8 @@ def benchmark(spark, docs, sf_dir):
 
 def mixture(spark, docs, sf_dir):
     """Documents are replicated to the weights of their sources and shuffled (operator 9)."""
-    return mix(docs).orderBy("mix_key", "doc_id", "copy").select(*docs.columns)
+    mixed = mix(docs)
+    return mixed.orderBy("mix_key", "doc_id", "copy").select(*[f"`{c}`" for c in docs.columns])
 
 
 def token_files(spark, docs, sf_dir):
