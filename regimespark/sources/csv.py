@@ -9,19 +9,19 @@ from .bars import BARS_PER_YEAR, COLUMNS, between, valid
 
 # Header names (lower case) and the columns they stand for.
 ALIASES = {
-    "timestamp": "timestamp", "time": "timestamp", "date": "timestamp", "datetime": "timestamp", "date_time": "timestamp", "<date>": "timestamp",
-    "open": "open", "o": "open", "<open>": "open", "high": "high", "h": "high", "<high>": "high", "low": "low", "l": "low", "<low>": "low",
-    "close": "close", "c": "close", "<close>": "close", "volume": "volume", "vol": "volume", "v": "volume", "tick_volume": "volume", "tickvol": "volume", "<vol>": "volume", "<tickvol>": "volume",
+    "open": "open", "o": "open", "high": "high", "h": "high", "low": "low", "l": "low", "close": "close", "c": "close", "adj close": "close", "price": "close",
+    "volume": "volume", "tick_volume": "volume", "tickvolume": "volume", "vol": "volume", "time": "timestamp", "date": "timestamp", "datetime": "timestamp", "timestamp": "timestamp",
 }
 # Time formats that are tried in turn.
 FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy.MM.dd HH:mm:ss", "yyyy.MM.dd HH:mm", "yyyy/MM/dd HH:mm:ss", "dd/MM/yyyy HH:mm", "yyyy-MM-dd", "yyyy.MM.dd", "yyyyMMdd"]
-FILE_NAME = r"([A-Za-z0-9.]+)_([A-Za-z0-9]+)_(\d{8})_(\d{8})\.csv$"
+#: symbol_timeframe, perhaps with first and last day; a file, or a folder that Spark has written.
+FILE_NAME = r"(?i)(?:^|/)([A-Za-z0-9]+)_([A-Za-z0-9]+)(?:_(\d{8})_(\d{8}))?[^/]*\.csv(?:/part-[^/]*\.csv)?$"
 
 
 def normalised(df: DataFrame) -> DataFrame:
     """Known columns under their canonical names; of several for one, the first. Without a time column the first column is taken for it."""
     picked: dict[str, str] = {}
-    names = [c for c in df.columns if not c.startswith("_")]
+    names = [c for c in df.columns if c not in ("_file", "_row")]
     for c in names:
         name = ALIASES.get(c.strip().lower())
         if name and name not in picked and not c.strip().lower().startswith("unnamed"):
@@ -32,7 +32,7 @@ def normalised(df: DataFrame) -> DataFrame:
     if missing:
         raise ValueError(f"no column for {sorted(missing)} among {names}")
     cols = [F.col(f"`{c}`").alias(n) for n, c in picked.items()]
-    return df.select(*[f"`{c}`" for c in df.columns if c.startswith("_")], *cols, *([] if "volume" in picked else [F.lit("1.0").alias("volume")]))
+    return df.select(*[c for c in df.columns if c in ("_file", "_row")], *cols, *([] if "volume" in picked else [F.lit("1.0").alias("volume")]))
 
 
 def parsed_time(column: str, milliseconds):

@@ -245,6 +245,9 @@ def test_csv_cleaning_and_catalogue(spark, tmp_path):
         csv.load(spark, [str(folder)], "EURUSD", "H1", start="2030-01-01")
     written = csv.export(bars, str(tmp_path / "out"), "H1")
     assert written[0].endswith("EURUSD_H1_20240101_20240101.csv") and csv.read_ohlcv(spark, written[0], "EURUSD").count() == 3
+    assert csv.load(spark, [str(tmp_path / "out"), str(folder)], "EURUSD", "H1", last=2).count() == 2
+    (tmp_path / "plain_D1.csv").write_text(",open,high,low,price\n2024-01-01,1,2,1,2\n")
+    assert csv.read_ohlcv(spark, str(tmp_path / "plain_D1.csv")).first().symbol == "PLAIN"
 
 
 def test_store(spark, tmp_path):
