@@ -21,4 +21,5 @@ ORACLE_SQL = {
     "op4_automaton_decontam": decontam.OP4_SQL,
     "op7_minmax_near_dedup": minmax.OP7_SQL,
     "op9_poisson_mix": mixing.OP9_SQL,
+    "op10_link_trust": urlfilter.OP10_SQL,
 }

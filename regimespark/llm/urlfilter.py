@@ -86,7 +86,8 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFr
         seeds = hosts.where(F.col(name) > 0).select(F.col("host").alias("node"), (F.col(name) / F.lit(float(totals["pages"] or 1))).alias("s"))
         scores.append(propagate(graph, seeds).select(F.col("node").alias("host"), F.col("score").alias(f"{name}_score")))
     graded = hosts.select("host", "pages").join(scores[0], "host", "left").join(scores[1], "host", "left")
-    bad = F.coalesce("block_score", F.lit(0.0)) > F.coalesce("allow_score", F.lit(0.0)) * threshold
+    # equal flows may differ in their last bits
+    bad = F.round(F.coalesce("block_score", F.lit(0.0)), 12) > F.round(F.coalesce("allow_score", F.lit(0.0)) * threshold, 12)
     graded = materialise(graded.select("host", "pages", F.when(bad & (F.col("host") != ""), "block").otherwise("allow").alias("found")), "url-graded")
     out = hot_join(ruled, graded, ["host"], "pages", totals["pages"] or 0, ["page_id"])
     return out.select("page_id", "host", "path", "rule", F.coalesce("given", "found").alias("verdict"))
@@ -95,3 +96,34 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFr
 def op10_link_trust(spark, sf_dir: str) -> DataFrame:
     """Every page's rule and verdict."""
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def _sql() -> str:
+    """DuckDB SQL of op10, its rounds written out."""
+    pick = "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{v} {h}{p}'" for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))) + " END"
+    rounds = []
+    for name, a, b in (("allow", "src", "dst"), ("block", "dst", "src")):
+        rounds.append(f"{name}_g AS MATERIALIZED (SELECT {a} AS a, {b} AS z, w / sum(w) OVER (PARTITION BY {a}) AS p FROM e)")
+        rounds.append(f"{name}_s AS MATERIALIZED (SELECT host AS node, {name}_n / (SELECT count(*) FROM r)::DOUBLE AS s FROM h WHERE {name}_n > 0)")
+        rounds.append(f"{name}_0 AS MATERIALIZED (SELECT node, s AS score FROM {name}_s)")
+        for k in range(ROUNDS):
+            rounds.append(
+                f"{name}_{k + 1} AS MATERIALIZED (SELECT node, sum(x) AS score FROM (SELECT z AS node, p * score * {DAMPING}::DOUBLE AS x FROM {name}_g JOIN {name}_{k} ON a = node"
+                f" UNION ALL SELECT node, s * {1 - DAMPING!r}::DOUBLE FROM {name}_s) GROUP BY 1)"
+            )
+    return rf"""
+WITH u AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+r0 AS (SELECT page_id, html, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS MATERIALIZED (SELECT page_id, html, host, path, {pick} AS best FROM r0),
+h AS MATERIALIZED (SELECT host, count(*) FILTER (WHERE best LIKE 'allow %') AS allow_n, count(*) FILTER (WHERE best LIKE 'block %') AS block_n FROM r GROUP BY 1),
+l0 AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?is)<a[^>]*?href\s*=\s*["'']?\s*(?:https?:)?//[^"''>\s]+')) AS link FROM r),
+l AS (SELECT src, translate(regexp_extract(link, '(?is)href\s*=\s*["'']?\s*(?:https?:)?//([^/?#:"'']+)', 1), '{_UPPER}', '{_LOWER}') AS dst, 1 AS w FROM l0),
+up AS (SELECT c.host AS src, o.host AS dst FROM h c JOIN h o ON o.host = regexp_extract(c.host, '^[^.]+\.(.+\..+)$', 1) AND o.host <> ''),
+e AS MATERIALIZED (SELECT src, dst, sum(w)::DOUBLE AS w FROM (SELECT * FROM l UNION ALL SELECT src, dst, 1 FROM up UNION ALL SELECT dst, src, 1 FROM up) WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY 1, 2),
+{", ".join(rounds)}
+SELECT page_id, r.host, path, substr(best, 7) AS rule, coalesce(substr(best, 1, 5), CASE WHEN r.host <> '' AND round(coalesce(b.score, 0), 12) > round(coalesce(a.score, 0) * {THRESHOLD}, 12) THEN 'block' ELSE 'allow' END) AS verdict
+FROM r LEFT JOIN allow_{ROUNDS} a ON a.node = r.host LEFT JOIN block_{ROUNDS} b ON b.node = r.host
+"""
+
+
+OP10_SQL = _sql()
