@@ -199,3 +199,8 @@ def regime_performance(rows: DataFrame, bars_per_year: int = 6_240) -> DataFrame
     out = own.join(metrics.select("_k", "sharpe", "max_drawdown", "hit_rate"), "_k")
     share = F.col("n") / F.sum("n").over(Window.partitionBy("_k.symbol"))
     return out.select("_k.symbol", "_k.regime", F.col("n").alias("bars"), share.alias("share"), "sharpe", "return_bps", "max_drawdown", "hit_rate", "signal_rate", "directional_precision")
+
+
+def sampled(df: DataFrame, n: int = 6_000, seed: int = 7) -> DataFrame:
+    """At most n rows, by a hash: the same ones in every run."""
+    return df.orderBy(F.xxhash64(F.lit(seed), "symbol", "ts")).limit(n)

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.windows import numbered
+from ..functions.windows import lead, numbered, rolling
 from ..operators import backtest, classification, features, folds, labels, metrics, models, regimes, signals, significance
 from ..sources.bars import bars_per_year
 from .config import Config
@@ -31,9 +31,11 @@ def _stored(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
 
 
-def prepare(bars: DataFrame, config: Config) -> DataFrame:
-    """Features of one symbol with labels beside, numbered; the tail after the last label is cut."""
+def prepare(bars: DataFrame, config: Config, extra=None) -> DataFrame:
+    """Features of one symbol with labels beside, numbered; the tail after the last label is cut. `extra` may add columns to the features."""
     feats = features.build_features(bars, tuple(config.features.blocks), config.features.warmup_bars)
+    if extra is not None:
+        feats = extra(feats).dropna("any")
     marked = labels.build_labels(feats.select(*features.OHLCV), config.labeling.method, **config.labeling.params())
     extra = [c for c in (*labels.LABEL, "primary") if c in marked.columns]
     rows = feats.join(marked.select("symbol", "ts", *extra), ["symbol", "ts"], "left")
@@ -64,14 +66,14 @@ def score_fold(fitted: dict, test: DataFrame) -> DataFrame:
     return out
 
 
-def run(bars: DataFrame, config: Config | None = None, progress=None) -> Study:
-    """A study of one symbol's bars."""
+def run(bars: DataFrame, config: Config | None = None, progress=None, extra=None) -> Study:
+    """A study of one symbol's bars; `extra` may add columns to its features."""
     cfg, began = config or Config(), time.time()
     say = progress or (lambda share, text: None)
     year = bars_per_year(cfg.timeframe)
     cfg.backtest.bars_per_year = year
     say(0.05, "features and labels")
-    rows = _stored(prepare(bars, cfg))
+    rows = _stored(prepare(bars, cfg, extra))
     n = rows.count()
     v = cfg.validation
     plan = folds.walk_forward(n, v.scheme, v.n_folds, v.test_size, v.min_train_size, v.embargo_bars)
@@ -155,14 +157,14 @@ def compare(bars: DataFrame, base: Config, model_names: list[str], regime_names:
     return sweep(bars, base, [(f"{m}/{r}", [f"model.name={m}", f"regime.method={r}"]) for m in model_names for r in regime_names])
 
 
-def sweep(bars: DataFrame, base: Config, arms: list[tuple[str, list[str]]], stage: str = "search") -> list[dict]:
+def sweep(bars: DataFrame, base: Config, arms: list[tuple[str, list[str]]], stage: str = "search", extra=None) -> list[dict]:
     """Ledger rows of named sets of overrides, best Sharpe first."""
     rows = []
     for name, changes in arms:
         began = time.time()
         row = {"stage": stage, "arm": name, "changes": "; ".join(changes)}
         try:
-            s = run(bars, base.with_overrides(*changes)).summary
+            s = run(bars, base.with_overrides(*changes), extra=extra).summary
             row |= {"status": "ok", "sharpe": s["metrics"]["sharpe"], "total_return": s["metrics"]["total_return"], "max_drawdown": s["metrics"]["max_drawdown"], "trades": s["metrics"]["trades"], "lower": s["significance"].get("lower"), "upper": s["significance"].get("upper")}
         except Exception as error:  # one arm must not end the search
             row |= {"status": f"failed: {error}"[:200]}
@@ -176,3 +178,21 @@ def holdout(bars: DataFrame, config: Config) -> list[dict]:
     for r in bars.select("symbol").distinct().orderBy("symbol").collect():
         out += [row | {"symbol": r.symbol} for row in sweep(bars.where(F.col("symbol") == r.symbol), config, [(r.symbol, [])], "holdout")]
     return out
+
+
+def _swing_flags(df: DataFrame, k: int = 11) -> DataFrame:
+    """Extremes marked on their own bar, against the bars before: causal, whatever its name says."""
+    return df.withColumns({"swing_high_now": F.when(F.col("high") >= rolling(F.max, "high", k), 1.0).otherwise(0.0), "swing_low_now": F.when(F.col("low") <= rolling(F.min, "low", k), 1.0).otherwise(0.0)})
+
+
+def _future_return(df: DataFrame, bars: int = 5) -> DataFrame:
+    """The return of the coming bars as a feature: a leak on purpose."""
+    return df.withColumn("future_return", lead("close", bars) / F.col("close") - 1)
+
+
+LEAKS = {"honest": None, "swing": _swing_flags, "future": _future_return}
+
+
+def lookahead(bars: DataFrame, config: Config) -> list[dict]:
+    """The same study without and with features that look ahead, to show what a leak does to results."""
+    return [row for name, extra in LEAKS.items() for row in sweep(bars, config, [(name, [])], "lookahead", extra)]

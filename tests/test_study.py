@@ -27,3 +27,11 @@ def test_sweep_lists_failed_arms(spark):
     bars = src.from_events(spark, "/root/testdata/sf0.001", "H1", 10_000.0).where("symbol = 'click'")
     rows = study.sweep(bars, Config(), [("lstm", ["model.name=lstm"])])
     assert rows[0]["status"].startswith("failed") and rows[0]["seconds"] >= 0
+
+
+def test_a_leak_is_seen_in_the_features_only(spark):
+    bars = src.from_events(spark, "/root/testdata/sf0.01", "M15", 10_000.0).where("symbol = 'click'")
+    cfg = Config().with_overrides('features.blocks=["session"]', "labeling.horizon=8")
+    plain, leaky = study.prepare(bars, cfg), study.prepare(bars, cfg, study.LEAKS["future"])
+    assert set(leaky.columns) - set(plain.columns) == {"future_return"} and leaky.count() <= plain.count()
+    assert set(study.prepare(bars, cfg, study.LEAKS["swing"]).columns) - set(plain.columns) == {"swing_high_now", "swing_low_now"}
