@@ -5,11 +5,14 @@ and its greatest value enter the signature, so that BANDS bands of four values n
 permutations each. A band of four agrees for two sets of similarity s with a chance of about
 s**4; of 30 bands none agrees at s = 0.8 with a chance of 1e-7.
 
-Documents of equal shingle sets form one class, and only classes are compared. Within a
-bucket of a band, each class is compared with three pivots (smallest, largest, and smallest
-by hash); similarity is confirmed on the full sets. Classes that share a bucket but are not
-yet in one component are then all compared, so that no link between components is lost, while
-the pairs inside a component are never made.
+Documents of equal shingle sets form one class, and only classes are compared. In rounds, a
+class is compared with the most central members (by the sizes of the buckets they lie in) of
+other components in its buckets, PIVOTS of them at most; similarity is confirmed on the full
+sets, and components grow. Classes that then still share a bucket without being in one
+component are all compared, so that no link between components is lost, while the pairs inside
+a component are never made; left out are only classes too few of whose shingles occur outside
+their component for any link. Two bits of each signature value tell pairs of lower similarity
+apart beforehand: AGREE of 120 agree at 0.8 but for a chance of 1e-8.
 
 Defined results: a null text, or one without words, has no shingles and is linked with
 nothing; one of fewer words than a shingle is a single shingle; repeated rows are equal sets;
@@ -21,14 +24,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import components, hot_join, materialise, semi_join
+from .common import components, hot_join, materialise, packed, semi_join
 
 BANDS = 30
-_GROUP = 1 << 20
+PIVOTS, ROUNDS = 3, 2
+AGREE = 80
+_GROUP = 1 << 18
 _WORD_HOLE = np.uint8(32)
 
 
@@ -65,19 +70,21 @@ def _permutations(bands: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(20_240_607)).integers(1, 1 << 63, size=(2 * bands, 2), dtype=np.uint64) | np.uint64(1)
 
 
-def band_keys(sets: list[np.ndarray], bands: int) -> np.ndarray:
-    """Band hashes, one row for each set."""
+def band_keys(sets: list[np.ndarray], bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band hashes and the sketch of two bits a value (30 values a word), one row for each set."""
     sizes = np.array([len(s) for s in sets])
     values = np.concatenate(sets)
     at = np.append(0, np.cumsum(sizes)[:-1])
     out = np.zeros((len(sets), bands), np.uint64)
+    bits = np.zeros((len(sets), -(-4 * bands // 30)), np.uint64)
     for p, (a, b) in enumerate(_permutations(bands)):
         x = (values ^ b) * a
         x ^= x >> np.uint64(31)
         x *= a
-        for v in (np.minimum.reduceat(x, at), np.maximum.reduceat(x, at)):
+        for k, v in enumerate((np.minimum.reduceat(x, at), np.maximum.reduceat(x, at)), 2 * p):
             out[:, p // 2] = rolling.mix(out[:, p // 2] * np.uint64(31) + v)
-    return out + np.arange(bands, dtype=np.uint64)
+            bits[:, k // 30] |= (rolling.mix(v) >> np.uint64(62)) << np.uint64(2 * (k % 30))
+    return out + np.arange(bands, dtype=np.uint64), bits
 
 
 def _sign(batches, width, bands):
@@ -86,14 +93,14 @@ def _sign(batches, width, bands):
         n = np.zeros(len(texts), np.int64)
         node = np.zeros(len(texts), np.int64)
         keys: list = [None] * len(texts)
+        sketch: list = [None] * len(texts)
         held: list = []
 
-        def flush(held=held, keys=keys, n=n, node=node):
-            rows = band_keys([s for _, s in held], bands)
-            for (k, s), row in zip(held, rows, strict=True):
+        def flush(held=held, keys=keys, sketch=sketch, n=n, node=node):
+            for (k, s), row, bits in zip(held, *band_keys([s for _, s in held], bands), strict=True):
                 n[k] = len(s)
                 node[k] = (rolling.mix(np.bitwise_xor.reduce(s, keepdims=True) ^ np.uint64(len(s))) + np.add.reduce(rolling.mix(s), keepdims=True))[0].view(np.int64)
-                keys[k] = row.view(np.int64)
+                keys[k], sketch[k] = row.view(np.int64), bits.view(np.int64)
             held.clear()
 
         size = 0
@@ -105,8 +112,8 @@ def _sign(batches, width, bands):
                 size = 0
         if held:
             flush()
-        columns = [pa.array(n), pa.array(node, mask=n == 0), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tk"), *columns], ["doc_id", "tk", "n", "node", "keys"])
+        lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, sketch)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tk"), pa.array(n), pa.array(node, mask=n == 0), *lists], ["doc_id", "tk", "n", "node", "keys", "sketch"])
 
 
 def _full_sets(batches, width):
@@ -116,19 +123,86 @@ def _full_sets(batches, width):
             yield pa.RecordBatch.from_arrays([batch.column("node").slice(k, 1), pa.array([s.view(np.int64)], pa.list_(pa.int64()))], ["node", "shingles"])
 
 
-def _confirm(pairs: DataFrame, rows: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = materialise(classes.join(asked, "node", "left_semi").select("node", F.col("rep.tk").alias("tk"), F.col("rep.doc_id").alias("rid")), "near-asked")
-    found = semi_join(rows.withColumn("rid", F.col("doc_id")), texts.select("tk"), ["tk"], 16).join(texts.withColumnRenamed("rid", "r"), "tk").where(F.col("rid").eqNullSafe(F.col("r")))
+def _agreeing(x, y):
+    """Signature values that agree in two sketches."""
+    odd = 0x5555555555555555
+    differ = F.zip_with(x, y, lambda a, b: a.bitwiseXOR(b))
+    counts = F.transform(differ, lambda d: F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(odd))))
+    return F.size(x) * 30 - F.aggregate(counts, F.lit(0), lambda a, c: a + c)
+
+
+def _plausible(n, m, x, y, percent: int, bands: int):
+    """Sizes and sketches allow the similarity."""
+    least = AGREE * (bands / BANDS) * (percent / 80) + 30 * -(-4 * bands // 30) - 4 * bands
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (_agreeing(x, y) >= least)
+
+
+def _sets(nodes: DataFrame, rows: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(node, shingles): the full sets of the classes in nodes(node)."""
+    texts = materialise(classes.join(nodes, "node", "left_semi").select("node", F.col("rep.tk").alias("tk"), F.col("rep.doc_id").alias("r")), "near-asked")
+    found = semi_join(rows, texts.select("tk"), ["tk"], 16).join(texts.hint("shuffle_hash"), "tk").where(F.col("doc_id").eqNullSafe(F.col("r")))
     sets = found.select("node", "text").mapInArrow(lambda it: _full_sets(it, width), "node long, shingles array<long>")
-    sets = materialise(sets.groupBy("node").agg(F.min_by("shingles", "node").alias("shingles")), "near-sets")
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    return materialise(sets.groupBy("node").agg(F.min_by("shingles", "node").alias("shingles")), "near-sets")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity."""
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).hint("shuffle_hash"), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).hint("shuffle_hash"), "b")
     common = F.size(F.array_intersect("x", "y"))
     return materialise(both.where(common * 100 >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"), "near-links")
 
 
+def _linkable(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, own): nodes of placed(node, label) that members of other components may be linked with, and their shingles that occur there.
+
+    A link needs percent of a set's shingles in one other set, so at least as many must occur in some set of another component.
+    """
+    shingles = materialise(placed.join(sets, "node").select("node", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("h")), "near-shingles")
+    shared = shingles.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("h", "c")
+    met = hot_join(shingles, materialise(shared, "near-shared"), ["h"], "c", shingles.count(), ["node"], "inner")
+    own = met.groupBy("node", "n").agg(F.collect_list("h").alias("own"))
+    return materialise(own.where(F.size("own") * 100 >= F.col("n") * percent).select("node", "own"), "near-linkable")
+
+
+def _crossings(rest: DataFrame, sets: DataFrame, percent: int, bands: int) -> DataFrame:
+    """Pairs (a, b) of classes of different components that share a bucket and may be linked.
+
+    Two bounds, both exact, are put on what a pair has in common: it lies within the shingles that occur in other components; and
+    what of these lies in the bucket's most central class, and what does not, is at most the lesser of the two classes' counts.
+    """
+    own = _linkable(rest.select("node", "label").distinct(), sets, percent)
+    rest = rest.join(own.select("node", F.size("own").alias("c")), "node")
+    rest = materialise(rest.join(rest.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("p")).select("bucket", F.col("p.node").alias("p")), "bucket"), "near-rest")
+    met = rest.select("node", "p").distinct().join(own, "node").join(own.select(F.col("node").alias("p"), F.col("own").alias("pivot")), "p")
+    met = materialise(met.select("node", "p", F.size(F.array_intersect("own", "pivot")).alias("i")), "near-overlaps")
+    rest = rest.join(met, ["node", "p"]).drop("p", "weight")
+    one, two = (rest.select("bucket", *(F.col(x).alias(x + s) for x in ("node", "n", "sketch", "label", "c", "i"))) for s in "12")
+    bound = F.least("i1", "i2") + F.least(F.col("c1") - F.col("i1"), F.col("c2") - F.col("i2"))
+    enough = bound * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent
+    apart = (F.col("node1") < F.col("node2")) & (F.col("label1") != F.col("label2")) & enough
+    cross = one.join(two, "bucket").where(apart & _plausible(F.col("n1"), F.col("n2"), F.col("sketch1"), F.col("sketch2"), percent, bands))
+    return cross.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
+
+
+def _pair(x, y):
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+
+def _stars(placed: DataFrame, crowd: int, percent: int, bands: int) -> DataFrame:
+    """Pairs (a, b) of each class with central members of other components in its buckets, PIVOTS for each class."""
+    top = F.max(F.struct("weight", "node", "n", "sketch", "label")).alias("top")
+    tops = materialise(placed.groupBy("bucket", "label").agg(top, F.count("*").alias("c")).drop("label"), "near-tops")
+    first = tops.groupBy("bucket").agg(F.max("top").alias("first"), F.sum("c").alias("members"))
+    other = tops.join(first.select("bucket", F.col("first.label").alias("l")), "bucket").where(F.col("top.label") != F.col("l")).groupBy("bucket").agg(F.max("top").alias("second"))
+    pivots = materialise(first.join(other, "bucket"), "near-pivots")
+    met = hot_join(placed, pivots, ["bucket"], "members", crowd, ["node"], "inner")
+    met = met.withColumn("p", F.when(F.col("first.label") != F.col("label"), F.col("first")).otherwise(F.col("second")))
+    met = met.where(_plausible(F.col("n"), F.col("p.n"), F.col("sketch"), F.col("p.sketch"), percent, bands)).select("node", F.col("p.weight").alias("w"), F.col("p.node").alias("p")).distinct()
+    best = met.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("w"), "p"))).where(F.col("k") <= PIVOTS)
+    return best.select(*_pair(F.col("node"), F.col("p"))).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, tk): components of documents of similarity percent/100 or more.
 
@@ -136,40 +210,54 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     """
     key = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tk"))
-    signed = materialise(rows.mapInArrow(lambda it: _sign(it, width, bands), f"doc_id {key}, tk long, n long, node long, keys array<long>"), "near-signed")
-    classes = signed.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "tk")).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count("*").alias("copies"))
+    signed = materialise(rows.mapInArrow(lambda it: _sign(it, width, bands), f"doc_id {key}, tk long, n long, node long, keys array<long>, sketch array<long>"), "near-signed")
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "tk")).alias("rep")
+    classes = signed.where("n > 0").groupBy("node").agg(rep, F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
     classes = materialise(classes, "near-classes")
-    banded = classes.select("node", "n", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node", "n")
-    who = F.struct("node", "n")
-    buckets = banded.groupBy("bucket").agg(F.count("*").alias("members"), F.min(who).alias("p1"), F.max(who).alias("p2"), F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("p3")).where("members > 1")
-    buckets = materialise(buckets, "near-buckets")
+    banded = classes.select("node", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node")
+    buckets = materialise(banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "near-buckets")
     crowd = buckets.agg(F.sum("members")).first()[0] or 0
     member = materialise(hot_join(banded, buckets, ["bucket"], "members", crowd, ["node"], "inner"), "near-members")
-
-    def fits(n, m):
-        return F.least(n, m) * 100 >= F.greatest(n, m) * percent
-
-    pivots = F.array(*(F.struct(F.col(f"{p}.node").alias("node"), F.col(f"{p}.n").alias("n")) for p in ("p1", "p2", "p3")))
-    star = member.select("node", "n", F.explode(pivots).alias("p")).where((F.col("node") != F.col("p.node")) & fits(F.col("n"), F.col("p.n")))
-    star = materialise(star.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct(), "near-star")
-    links = _confirm(star, rows, classes, width, percent)
-    labels = components(links)
-    # what still lies in different components of one bucket is compared in full
-    placed = member.select("bucket", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    placed = materialise(placed, "near-placed")
-    split = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    rest = materialise(placed.join(split, "bucket", "left_semi"), "near-rest")
-    one, two = (rest.select("bucket", *(F.col(c).alias(c + s) for c in ("node", "n", "label"))) for s in "12")
-    cross = one.join(two, "bucket").where((F.col("node1") < F.col("node2")) & (F.col("label1") != F.col("label2")) & fits(F.col("n1"), F.col("n2")))
-    cross = cross.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    cross = materialise(cross, "near-cross")
-    more = _confirm(cross, rows, classes, width, percent)
-    if more.count():
-        labels = components(links.unionByName(more))
-    groups = classes.select("node", "copies", F.col("rep.doc_id").alias("first")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    weights = member.groupBy("node").agg(F.sum("members").alias("weight"))
+    member = member.drop("members").join(weights.join(classes.select("node", "n", "sketch"), "node"), "node")
+    member = materialise(member, "near-weighed")
+
+    def mixed(labels: DataFrame | None) -> DataFrame:
+        """Members of buckets that hold several components."""
+        if labels is None:
+            return member.withColumn("label", F.col("node"))
+        placed = member.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        split = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+        return materialise(placed.join(split.hint("shuffle_hash"), "bucket", "left_semi"), "near-mixed")
+
+    links = tested = labels = None
+    rest = mixed(None)
+    for _ in range(ROUNDS):
+        pairs = _stars(rest, crowd, percent, bands)
+        pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "near-star")
+        if not pairs.count():
+            break
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        found = _confirm(pairs, _sets(asked, rows, classes, width), percent)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        if not found.count():
+            break
+        labels = components(links)
+        rest = mixed(labels)
+    # what still lies in different components of one bucket is compared in full, but for classes too much of which is their component's own
+    sets = _sets(rest.select("node").distinct(), rows, classes, width)
+    cross = _crossings(rest, sets, percent, bands)
+    cross = materialise(cross if tested is None else cross.join(tested, ["a", "b"], "left_anti"), "near-cross")
+    if cross.count():
+        found = _confirm(cross, sets, percent)
+        links = found if links is None else links.unionByName(found)
+        labels = components(links)
+    groups = classes.select("node", "copies", F.col("rep.doc_id").alias("first"))
+    groups = groups.withColumn("label", F.col("node")) if labels is None else groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = groups.groupBy("label").agg(F.min("first").alias("component_id"))
     groups = materialise(groups.join(least, "label").select("node", "copies", "component_id"), "near-groups")
-    out = hot_join(signed.drop("keys").withColumn("node", F.coalesce("node", F.lit(0))), groups, ["node"], "copies", signed.count(), ["doc_id", "tk"])
+    out = hot_join(signed.drop("keys", "sketch").withColumn("node", F.coalesce("node", F.lit(0))), groups, ["node"], "copies", signed.count(), ["doc_id", "tk"])
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "tk")
 
@@ -178,11 +266,11 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
     """One document of each component: the one of smallest doc_id. Repeated rows of it are reduced to one; same columns."""
     kept = materialise(near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk2")), "near-kept")
     once = materialise(kept.distinct(), "near-once")
-    keyed = docs.withColumn("_tk", F.xxhash64("text"))
-    out = keyed.join(once, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tk") == F.col("_tk2")), "left_semi")
+    keyed = docs.select(packed(docs), F.col("doc_id").alias("_id0"), F.xxhash64("text").alias("_tk"))
+    out = keyed.join(once, F.col("_id0").eqNullSafe(F.col("_id")) & (F.col("_tk") == F.col("_tk2")), "left_semi")
     if kept.count() > once.count():
-        out = out.dropDuplicates(["doc_id", "_tk"])
-    return out.select(*[f"`{c}`" for c in docs.columns])
+        out = out.dropDuplicates(["_id0", "_tk"])
+    return out.select("row.*")
 
 
 def op7_minmax_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 18
 _cache: dict[str, np.ndarray] = {}
 
 
