@@ -165,8 +165,8 @@ def _linkable(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialise(own.where(F.size("own") * 100 >= F.col("n") * percent).select("node", "own"), "near-linkable")
 
 
-def _crossings(rest: DataFrame, sets: DataFrame, percent: int, bands: int) -> DataFrame:
-    """Pairs (a, b) of classes of different components that share a bucket and may be linked.
+def _crossings(rest: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, bands: int) -> DataFrame:
+    """Pairs (a, b) of classes of different components that share a bucket and may be linked, each from the first bucket it shares.
 
     Two bounds, both exact, are put on what a pair has in common: it lies within the shingles that occur in other components; and
     what of these lies in the bucket's most central class, and what does not, is at most the lesser of the two classes' counts.
@@ -176,12 +176,14 @@ def _crossings(rest: DataFrame, sets: DataFrame, percent: int, bands: int) -> Da
     rest = materialise(rest.join(rest.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("p")).select("bucket", F.col("p.node").alias("p")), "bucket"), "near-rest")
     met = rest.select("node", "p").distinct().join(own, "node").join(own.select(F.col("node").alias("p"), F.col("own").alias("pivot")), "p")
     met = materialise(met.select("node", "p", F.size(F.array_intersect("own", "pivot")).alias("i")), "near-overlaps")
-    rest = rest.join(met, ["node", "p"]).drop("p", "weight")
-    one, two = (rest.select("bucket", *(F.col(x).alias(x + s) for x in ("node", "n", "sketch", "label", "c", "i"))) for s in "12")
+    rest = rest.join(met, ["node", "p"]).drop("p", "weight").join(classes.select("node", "keys"), "node")
+    one, two = (rest.select("bucket", *(F.col(x).alias(x + s) for x in ("node", "n", "sketch", "label", "c", "i", "keys"))) for s in "12")
+    band = F.array_position(F.zip_with("keys1", "keys2", lambda a, b: a == b), True).cast("int")
+    first = F.xxhash64(band - 1, F.element_at("keys1", band)) == F.col("bucket")
     bound = F.least("i1", "i2") + F.least(F.col("c1") - F.col("i1"), F.col("c2") - F.col("i2"))
     enough = bound * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent
     apart = (F.col("node1") < F.col("node2")) & (F.col("label1") != F.col("label2")) & enough
-    cross = one.join(two, "bucket").where(apart & _plausible(F.col("n1"), F.col("n2"), F.col("sketch1"), F.col("sketch2"), percent, bands))
+    cross = one.join(two, "bucket").where(apart & _plausible(F.col("n1"), F.col("n2"), F.col("sketch1"), F.col("sketch2"), percent, bands) & first)
     return cross.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
 
 
@@ -247,7 +249,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         rest = mixed(labels)
     # what still lies in different components of one bucket is compared in full, but for classes too much of which is their component's own
     sets = _sets(rest.select("node").distinct(), rows, classes, width)
-    cross = _crossings(rest, sets, percent, bands)
+    cross = _crossings(rest, classes, sets, percent, bands)
     cross = materialise(cross if tested is None else cross.join(tested, ["a", "b"], "left_anti"), "near-cross")
     if cross.count():
         found = _confirm(cross, sets, percent)
