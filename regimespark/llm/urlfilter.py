@@ -1,7 +1,8 @@
 """URL filtering by rules and, where none fits, by trust and distrust over the link graph.
 
-Hosts are nodes. Edges are hyperlinks to other hosts and, both ways, the step from a host to
-the parent domain that the crawl holds too. Trust is personalised PageRank from the hosts with
+Hosts and their parent domains are nodes. Edges are hyperlinks to other hosts and, both ways,
+the steps from a host up to each ancestor with at least one dot, crawled or not, so that sibling
+hosts reach each other. Trust is personalised PageRank from the hosts with
 allowed pages along the links; distrust is the same from hosts with blocked pages against the
 links, as a page that links to bad pages is suspect. A host whose distrust exceeds THRESHOLD
 times its trust, both weighed by their seeds' pages, is blocked.
@@ -10,7 +11,8 @@ Only DataFrame functions are used. The graph is aggregated to host pairs before
 
 Defined results: a null url, or one without ://, has an empty host and path, no rule, and is
 allowed; equal edges add their weights; hosts that no seed reaches are allowed; repeated rows
-are judged alike; an empty table gives no rows; other columns are ignored.
+are judged alike; an empty table gives no rows; other columns are ignored; numeric addresses and
+names with empty labels have no parents.
 """
 
 from __future__ import annotations
@@ -46,12 +48,14 @@ def longest_rule(host, path, rules):
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, w): links between different hosts, and steps between a host and its crawled parent domain."""
+    """(src, dst, w): links between different hosts, and steps between hosts and all their parent domains, crawled or not."""
     target = F.regexp_replace(F.col("link"), r"(?is)^.*?href\s*=\s*[\"']?\s*", "")
     links = pages.select("host", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']?\s*(?:https?:)?//[^\"'>\s]+"), F.lit(0))).alias("link"))
     links = links.select(F.col("host").alias("src"), F.translate(F.regexp_extract(target, r"//([^/?#:\"']+)", 1), _UPPER, _LOWER).alias("dst"))
-    hosts = pages.select("host").distinct()
-    up = hosts.select(F.col("host").alias("src"), F.regexp_extract("host", r"^[^.]+\.(.+\..+)$", 1).alias("dst")).join(hosts.withColumnRenamed("host", "dst"), "dst", "left_semi").select("src", "dst")
+    named = F.col("host").rlike(r"^[^.]+(\.[^.]+){2,}$") & ~F.col("host").rlike(r"^[0-9.]+(:[0-9]*)?$")
+    labels = pages.select("host").distinct().where(named).select(F.split("host", r"\.").alias("q"))
+    steps = labels.select("q", F.explode(F.sequence(F.lit(1), F.size("q") - 2)).alias("i"))
+    up = steps.select(*(F.array_join(F.slice("q", F.col("i") + k, F.size("q")), ".").alias(c) for k, c in enumerate(("src", "dst")))).distinct()
     both = up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     links = links.groupBy("src", "dst").agg(F.count("*").alias("w")).unionByName(both.withColumn("w", F.lit(1).cast("long")))
     return links.where("src <> dst AND src <> '' AND dst <> ''").groupBy("src", "dst").agg(F.sum("w").cast("double").alias("w"))

@@ -497,3 +497,18 @@ def test_link_trust_against_dense_matrices(spark):
     for h, v in out.items():
         assert v == ("block" if score["block"][at[h]] > score["allow"][at[h]] else "allow"), h
     assert "block" in out.values()
+
+
+def test_link_trust_reaches_siblings_through_parents_that_are_not_crawled(spark, data):
+    pages = [(0, "http://x.a.bad.com/de/1", None), (1, "http://y.bad.com/", ""), (2, "http://y.good.org.net/", ""), (3, "http://1.2.3.4/", ""), (4, "http://9.2.3.4/", ""), (5, "http://z.com/", ""), (6, "http://w.bad.com/fr/", "")]
+    pages = spark.createDataFrame(pages, "page_id long, url string, html string")
+    hosts = pages.select(urlfilter.parts(pages["url"])[0].alias("host"), "html")
+    up = {(r.src, r.dst) for r in urlfilter.host_edges(hosts).collect()}
+    steps = {("x.a.bad.com", "a.bad.com"), ("a.bad.com", "bad.com"), ("y.bad.com", "bad.com"), ("w.bad.com", "bad.com"), ("y.good.org.net", "good.org.net"), ("good.org.net", "org.net")}
+    assert up == steps | {(b, a) for a, b in steps}
+    found = {r.page_id: r.verdict for r in urlfilter.judge(pages.where("page_id < 6")).collect()}
+    assert found == {0: "block", 1: "block", 2: "allow", 3: "allow", 4: "allow", 5: "allow"}
+    # an allowed sibling that is nearer outweighs the blocked one
+    assert {r.page_id: r.verdict for r in urlfilter.judge(pages).collect()}[1] == "allow"
+    given = spark.read.parquet(f"{data}/pages.parquet")
+    assert urlfilter.host_edges(given.select(urlfilter.parts(given["url"])[0].alias("host"), "html")).count() == 112
