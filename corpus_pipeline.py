@@ -8,7 +8,7 @@ from regimespark.llm.common import new_path
 from regimespark.llm.decontam import decontaminate
 from regimespark.llm.langid import keep_identified
 from regimespark.llm.minmax import drop_near_duplicates
-from regimespark.llm.mixing import mix
+from regimespark.llm.mixing import mix, with_mix_key
 from regimespark.llm.tokens import tokenise
 
 
@@ -34,8 +34,8 @@ def mixture(spark, docs, sf_dir):
 
 
 def token_files(spark, docs, sf_dir):
-    """Token files in the shared folder; their index is returned (operator 8)."""
-    return tokenise(docs)
+    """Token files in the shared folder, in the mixed order; their index is returned (operator 8)."""
+    return tokenise(with_mix_key(docs.select("doc_id", "text")), order="mix_key")
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("mixture", mixture), ("token_files", token_files)]

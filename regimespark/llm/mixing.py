@@ -18,12 +18,13 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, hot_join, materialise, packed
 
 OVERHEAD = 16
+SEED = 17
 
 
 def _mass():
@@ -68,13 +69,21 @@ def uniform(seed: int, *columns):
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, temper: float = 0.5, epochs: float = 1.0, seed: int = 17) -> DataFrame:
+def draw(seed: int):
+    """Each document's number, from its id, its text and the seed."""
+    return uniform(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+
+
+def _key(seed: int):
+    return F.xxhash64(F.lit(seed), "_d", "_u", "copy")
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, temper: float = 0.5, epochs: float = 1.0, seed: int = SEED) -> DataFrame:
     """The copies of the documents with copies, copy (from 0), rate and mix_key, by which to sort for the global random order."""
     rated = materialise(rates(docs, weights, temper, epochs), "mix-rates")
     n = rated.agg(F.sum("rows")).first()[0] or 0
-    ident = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")).cast("binary"))]
     src = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    keyed = docs.select(packed(docs, "copies", "copy", "rate", "mix_key"), src.alias("src"), F.col("doc_id").alias("_d"), uniform(seed, *ident).alias("_u"))
+    keyed = docs.select(packed(docs, "copies", "copy", "rate", "mix_key"), src.alias("src"), F.col("doc_id").alias("_d"), draw(seed).alias("_u"))
     table = rated.select("src", "rows", "rate", "steps")
     widest = rated.agg(F.max(F.size("steps"))).first()[0] or 0
     if rated.count() * (100 + 8 * widest) <= BROADCAST_BYTES:
@@ -83,7 +92,14 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temper: float
         joined = hot_join(keyed, table, ["src"], "rows", n, ["_d"], "inner")
     counted = joined.withColumn("copies", F.size(F.filter("steps", lambda s: s <= F.col("_u"))))
     out = counted.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    return out.select("row.*", "copies", "copy", "rate", F.xxhash64(F.lit(seed), "_d", "_u", "copy").alias("mix_key"))
+    return out.select("row.*", "copies", "copy", "rate", _key(seed).alias("mix_key"))
+
+
+def with_mix_key(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """docs, of which the copies are equal rows, with the mix_key that mix gave them; rows equal in id and text are numbered as its copies are."""
+    rows = docs.select(packed(docs, "mix_key"), F.col("doc_id").alias("_d"), draw(seed).alias("_u"))
+    numbered = rows.withColumn("copy", F.row_number().over(Window.partitionBy("_d", "_u").orderBy("_d")) - 1)
+    return numbered.select("row.*", _key(seed).alias("mix_key"))
 
 
 def op9_poisson_mix(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Token-ID files: independent zstandard frames with a trailing seek table.
 
-A file holds the ids of a range of documents in ascending doc_id order, little-endian, 16 bits
-wide where the vocabulary allows. Whole documents are gathered into frames of about FRAME
+A file holds the ids of a range of documents in ascending order of doc_id, or of another column
+that is asked for, such as the key of a mix; ids are little-endian, 16 bits wide where the
+vocabulary allows. Whole documents are gathered into frames of about FRAME
 bytes, each compressed on its own with zstandard's content checksum. After the frames come two
 skippable frames: the document index (doc_id, number of ids, frame, place in it) and the seek
 table of the public zstandard seekable format, with sizes and a checksum of each frame. A
@@ -217,12 +218,13 @@ class Reader:
 _MANIFEST = "part int, path string, docs long, tokens long"
 
 
-def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int = 0, files: int | None = None) -> DataFrame:
-    """Write the token files of docs(doc_id, text) into `folder`; the manifest: (part, path, docs, tokens)."""
+def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int = 0, files: int | None = None, order: str = "doc_id") -> DataFrame:
+    """Write the token files of docs(doc_id, text) into `folder` in the order of a column; the manifest: (part, path, docs, tokens)."""
     vocabulary = vocabulary or default_vocabulary()
     files = files or shuffle_partitions(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *([F.col(order).alias("_order")] if order != "doc_id" else []))
+    by = "doc_id" if order == "doc_id" else "_order"
+    rows = rows.repartitionByRange(files, by).sortWithinPartitions(*dict.fromkeys((by, "doc_id")), F.xxhash64("text")).select("doc_id", "text")
 
     def write(batches):
         from pyspark import TaskContext
@@ -269,9 +271,9 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     return files.select("path", "base").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def tokenise(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+def tokenise(docs: DataFrame, vocabulary: str | None = None, order: str = "doc_id") -> DataFrame:
     """Write token files to the shared folder and return their contents' index."""
-    return read_tokens(write_tokens(docs, new_path(docs.sparkSession, "tokens"), vocabulary))
+    return read_tokens(write_tokens(docs, new_path(docs.sparkSession, "tokens"), vocabulary, order=order))
 
 
 def op8_token_frames(spark, sf_dir: str) -> DataFrame:

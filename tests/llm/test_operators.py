@@ -512,3 +512,16 @@ def test_link_trust_reaches_siblings_through_parents_that_are_not_crawled(spark,
     assert {r.page_id: r.verdict for r in urlfilter.judge(pages).collect()}[1] == "allow"
     given = spark.read.parquet(f"{data}/pages.parquet")
     assert urlfilter.host_edges(given.select(urlfilter.parts(given["url"])[0].alias("host"), "html")).count() == 112
+
+
+def test_token_files_of_the_pipeline_are_in_the_mixed_order(spark):
+    import corpus_pipeline
+    from regimespark.llm.common import materialise
+
+    docs = [(i, f"text {i} " * (1 + i % 7), "en", "small" if i % 10 == 0 else "large", 1) for i in range(300)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = [r.doc_id for r in mixing.mix(docs).orderBy("mix_key", "doc_id", "copy").collect()]
+    stored = materialise(corpus_pipeline.mixture(spark, docs, "").repartition(5), "test-mixture")
+    out = sorted(corpus_pipeline.token_files(spark, stored, "").collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in out] == mixed
+    assert mixed != sorted(mixed) and max(map(mixed.count, mixed)) > 1
