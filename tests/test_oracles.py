@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from regimespark import queries
+from regimespark.operators import significance
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 # one of each kind; the driver compares all of them
@@ -54,3 +55,10 @@ def test_library_stands_without_the_corpus_operators():
     for path in root.rglob("*.py"):
         if "llm" not in path.parts:
             assert "llm" not in path.read_text(), path
+
+
+def test_sig_bootstrap_is_the_whole_operator(spark, data):
+    got = queries.QUERIES["sig_bootstrap"](spark, data).orderBy("symbol").collect()
+    returns = queries.crossover_result(spark, data).select("symbol", "ts", "strategy_return")
+    assert got == significance.bootstrap_interval(returns, bars_per_year=queries.M15_YEAR).orderBy("symbol").collect()
+    assert {r.samples for r in got if r.samples is not None} == {1000}
