@@ -28,6 +28,7 @@ class Spec:
     defaults: dict
     scaled: bool = False
     requires: str | None = None
+    built: bool = True
 
 
 # The learners and their default settings.
@@ -35,17 +36,17 @@ SPECS = {
     "logistic": Spec("Logistic regression", {"C": 0.1}, scaled=True),
     "random_forest": Spec("Random forest", {"numTrees": 400, "maxDepth": 8, "minInstancesPerNode": 50}),
     "hist_gradient_boosting": Spec("Histogram gradient boosting", {"maxIter": 400, "maxDepth": 6, "stepSize": 0.05}),
-    "xgboost": Spec("XGBoost", {"maxIter": 500, "maxDepth": 5, "stepSize": 0.03}, requires="xgboost"),
-    "lightgbm": Spec("LightGBM", {"maxIter": 500, "maxDepth": 5, "stepSize": 0.03}, requires="lightgbm"),
+    "xgboost": Spec("XGBoost", {"maxIter": 500, "maxDepth": 5, "stepSize": 0.03}, requires="xgboost", built=False),
+    "lightgbm": Spec("LightGBM", {"maxIter": 500, "maxDepth": 5, "stepSize": 0.03}, requires="lightgbm", built=False),
     "mlp": Spec("Multilayer perceptron", {"layers": [64, 32], "maxIter": 100}, scaled=True),
-    "lstm": Spec("LSTM", {"lookback": 24}, scaled=True, requires="tensorflow"),
-    "gru": Spec("GRU", {"lookback": 24}, scaled=True, requires="tensorflow"),
+    "lstm": Spec("LSTM", {"lookback": 24}, scaled=True, requires="tensorflow", built=False),
+    "gru": Spec("GRU", {"lookback": 24}, scaled=True, requires="tensorflow", built=False),
 }
 
 
 def is_available(name: str) -> bool:
     spec = SPECS[name]
-    return spec.requires is None or importlib.util.find_spec(spec.requires) is not None
+    return spec.built and (spec.requires is None or importlib.util.find_spec(spec.requires) is not None)
 
 
 def available() -> list[str]:
@@ -53,8 +54,8 @@ def available() -> list[str]:
 
 
 def catalogue(spark) -> DataFrame:
-    rows = [(k, s.label, s.requires or "", is_available(k)) for k, s in SPECS.items()]
-    return spark.createDataFrame(rows, "model string, label string, requires string, available boolean")
+    rows = [(k, s.label, s.requires or "", is_available(k), s.built) for k, s in SPECS.items()]
+    return spark.createDataFrame(rows, "model string, label string, requires string, available boolean, built boolean")
 
 
 def one_hot(df: DataFrame, k: int, column: str = "regime") -> DataFrame:
@@ -78,6 +79,8 @@ class Learner:
     def __init__(self, config: ModelConfig, seed: int = 7):
         if config.name not in SPECS:
             raise ValueError(f"unknown model {config.name!r}; there are {sorted(SPECS)}")
+        if not SPECS[config.name].built:
+            raise RuntimeError(f"{config.name} is not built here, whether or not {SPECS[config.name].requires} is installed")
         if not is_available(config.name):
             raise RuntimeError(f"{config.name} needs {SPECS[config.name].requires}, which is not installed")
         self.config, self.spec, self.seed = config, SPECS[config.name], seed

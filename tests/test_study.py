@@ -1,5 +1,8 @@
 """One small study end to end."""
 
+import pytest
+
+from regimespark.operators import models
 from regimespark.plans import study
 from regimespark.plans.config import Config
 from regimespark.sources import bars as src
@@ -35,3 +38,12 @@ def test_a_leak_is_seen_in_the_features_only(spark):
     plain, leaky = study.prepare(bars, cfg), study.prepare(bars, cfg, study.LEAKS["future"])
     assert set(leaky.columns) - set(plain.columns) == {"future_return"} and leaky.count() <= plain.count()
     assert set(study.prepare(bars, cfg, study.LEAKS["swing"]).columns) - set(plain.columns) == {"swing_high_now", "swing_low_now"}
+
+
+def test_learners_that_are_not_built_raise_with_their_package_there(spark, monkeypatch):
+    monkeypatch.setattr(models.importlib.util, "find_spec", lambda name: object())
+    missing = {"xgboost", "lightgbm", "lstm", "gru"}
+    for name in missing:
+        with pytest.raises(RuntimeError, match="not built"):
+            models.build(models.ModelConfig(name))
+    assert {r.model for r in models.catalogue(spark).where("NOT built AND NOT available").collect()} == missing
