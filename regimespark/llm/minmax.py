@@ -5,14 +5,18 @@ and its greatest value enter the signature, so that BANDS bands of four values n
 permutations each. A band of four agrees for two sets of similarity s with a chance of about
 s**4; of 30 bands none agrees at s = 0.8 with a chance of 1e-7.
 
-Documents of equal shingle sets form one class, and only classes are compared. In rounds, a
-class is compared with the most central members (by the sizes of the buckets they lie in) of
-other components in its buckets, PIVOTS of them at most; similarity is confirmed on the full
-sets, and components grow. Classes that then still share a bucket without being in one
-component are all compared, so that no link between components is lost, while the pairs inside
-a component are never made; left out are only classes too few of whose shingles occur outside
-their component for any link. Two bits of each signature value tell pairs of lower similarity
-apart beforehand: AGREE of 120 agree at 0.8 but for a chance of 1e-8.
+Documents of equal shingle sets form one class, and only classes are compared. A class is
+compared with the most central members (by the sizes of the buckets they lie in) of its
+buckets, PIVOTS of them at most; similarity is confirmed on the full sets, and components form.
+Classes that then still share a bucket without being in one component are compared in full, so
+that no link between components is lost, while the pairs inside a component are never made. Of
+these, two sets can only be linked when the rarest shingles of both (those that occur outside
+their component, as many as a link may miss) have one in common, so that pairs are made by these
+shingles and never by a whole bucket. Two bits of each signature value tell pairs of lower
+similarity apart beforehand, at a chance of about 1e-8 to lose one.
+
+Sets are of 64-bit shingle hashes: a false match of two of them moves an intersection by one,
+at a chance of 1e-12 in a million compared pairs of a thousand shingles.
 
 Defined results: a null text, or one without words, has no shingles and is linked with
 nothing; one of fewer words than a shingle is a single shingle; repeated rows are equal sets;
@@ -22,17 +26,19 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import components, hot_join, materialise, packed, semi_join
+from .common import anti_join, components, hot_join, materialise, measured, packed, semi_join
 
-BANDS = 30
-PIVOTS, ROUNDS = 3, 2
-AGREE = 80
+#: The chance that a pair at the threshold shares no band, and the standard deviations by which its sketches may fall short.
+MISS, SPREAD = 1.5e-7, 5.6
+PIVOTS = 3
 _GROUP = 1 << 18
 _WORD_HOLE = np.uint8(32)
 
@@ -123,6 +129,20 @@ def _full_sets(batches, width):
             yield pa.RecordBatch.from_arrays([batch.column("node").slice(k, 1), pa.array([s.view(np.int64)], pa.list_(pa.int64()))], ["node", "shingles"])
 
 
+def bands_for(percent: int) -> int:
+    """Bands of four values, of which none agrees at the threshold with a chance of MISS."""
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be over 0 and at most 100")
+    same = (percent / 100) ** 4
+    return 1 if same == 1 else math.ceil(math.log(MISS) / math.log1p(-same))
+
+
+def least_agreeing(percent: int, bands: int) -> int:
+    """Signature values of 4 * bands that agree in two bits at the threshold, but for SPREAD standard deviations."""
+    values, chance = 4 * bands, percent / 100 + (1 - percent / 100) / 4
+    return math.floor(values * chance - SPREAD * math.sqrt(values * chance * (1 - chance)))
+
+
 def _agreeing(x, y):
     """Signature values that agree in two sketches."""
     odd = 0x5555555555555555
@@ -133,145 +153,125 @@ def _agreeing(x, y):
 
 def _plausible(n, m, x, y, percent: int, bands: int):
     """Sizes and sketches allow the similarity."""
-    least = AGREE * (bands / BANDS) * (percent / 80) + 30 * -(-4 * bands // 30) - 4 * bands
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (_agreeing(x, y) >= least)
+    unused = 30 * -(-4 * bands // 30) - 4 * bands
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (_agreeing(x, y) >= least_agreeing(percent, bands) + unused)
 
 
-def _sets(nodes: DataFrame, rows: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """(node, shingles): the full sets of the classes in nodes(node)."""
-    texts = materialise(classes.join(nodes, "node", "left_semi").select("node", F.col("rep.tk").alias("tk"), F.col("rep.doc_id").alias("r")), "near-asked")
-    found = semi_join(rows, texts.select("tk"), ["tk"], 16).join(texts.hint("shuffle_hash"), "tk").where(F.col("doc_id").eqNullSafe(F.col("r")))
+def _sets(asked: DataFrame, n: int, docs: DataFrame, width: int) -> DataFrame:
+    """(node, shingles): the full sets of the n classes asked for by the document (tk, r) that stands for each."""
+    rows = semi_join(docs.select("doc_id", "text", F.xxhash64("text").alias("tk")), asked.select("tk"), ["tk"], n)
+    asked = asked.select("node", F.col("tk").alias("_t"), "r").hint("shuffle_hash")
+    found = rows.join(asked, (F.col("tk") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("r")))
     sets = found.select("node", "text").mapInArrow(lambda it: _full_sets(it, width), "node long, shingles array<long>")
-    return materialise(sets.groupBy("node").agg(F.min_by("shingles", "node").alias("shingles")), "near-sets")
+    return materialise(sets.dropDuplicates(["node"]), "near-sets")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).hint("shuffle_hash"), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).hint("shuffle_hash"), "b")
+def _confirm(pairs: DataFrame, n: int, sets: DataFrame, percent: int) -> tuple[DataFrame, int]:
+    """The pairs (node, p) whose full sets reach the similarity, as (a, b), and their number; a p of many pairs is cut into parts."""
+    asked, most = measured(pairs.groupBy("p").agg(F.count("*").alias("c")), "near-asked", c=F.max("c"))
+    pivots = materialise(asked.join(sets.select(F.col("node").alias("p"), F.col("shingles").alias("y")).hint("shuffle_hash"), "p"), "near-asked-sets")
+    left = pairs.join(sets.select("node", F.col("shingles").alias("x")).hint("shuffle_hash"), "node")
+    both = hot_join(left, pivots, ["p"], "c", n, ["node"], "inner", most["c"])
     common = F.size(F.array_intersect("x", "y"))
-    return materialise(both.where(common * 100 >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"), "near-links")
+    links = both.where(common * 100 >= percent * (F.size("x") + F.size("y") - common)).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
+    links, got = measured(links, "near-links", n=F.count(F.lit(1)))
+    return links, got["n"]
+
+
+def _stars(member: DataFrame, pivots: DataFrame, crowd: int, most: int, percent: int, bands: int) -> DataFrame:
+    """Pairs (node, p) of each class with the central members of its buckets, PIVOTS for each class."""
+    met = hot_join(member, pivots, ["bucket"], "members", crowd, ["node"], "inner", most).where(F.col("node") != F.col("top.node"))
+    met = met.where(_plausible(F.col("n"), F.col("top.n"), F.col("sketch"), F.col("top.sketch"), percent, bands)).select("node", F.col("top.weight").alias("w"), F.col("top.node").alias("p")).distinct()
+    best = met.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("w"), "p"))).where(F.col("k") <= PIVOTS)
+    # of a pair that was made both ways, one
+    return best.groupBy(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).agg(F.max(F.struct("w", "p")).alias("top")).select(F.when(F.col("top.p") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("node"), "top.p")
 
 
-def _linkable(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, own): nodes of placed(node, label) that members of other components may be linked with, and their shingles that occur there.
+def rarest_shared(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, label, n, sketch, h): for members of rest(node, label, n, sketch) that may be linked with another component, the rarest of their shingles that occur in others.
 
-    A link needs percent of a set's shingles in one other set, so at least as many must occur in some set of another component.
+    A link needs percent of the shingles of either set in the other, all of which occur in two components. Of m such shingles
+    and k needed, the rarest of those in common is among the first m - k + 1, for both sets alike.
     """
-    shingles = materialise(placed.join(sets, "node").select("node", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("h")), "near-shingles")
+    shingles, all_of = measured(rest.select("node", "label").join(sets.hint("shuffle_hash"), "node").select("node", "label", F.explode("shingles").alias("h")), "near-shingles", n=F.count(F.lit(1)))
     shared = shingles.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("h", "c")
-    met = hot_join(shingles, materialise(shared, "near-shared"), ["h"], "c", shingles.count(), ["node"], "inner")
-    own = met.groupBy("node", "n").agg(F.collect_list("h").alias("own"))
-    return materialise(own.where(F.size("own") * 100 >= F.col("n") * percent).select("node", "own"), "near-linkable")
-
+    shared, most = measured(shared, "near-shared", c=F.max("c"))
+    met = hot_join(shingles.select("node", "h"), shared, ["h"], "c", all_of["n"], ["node"], "inner", most["c"])
+    own = met.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("own")).join(rest, "node")
+    spare = F.size("own") - F.ceil(F.col("n") * F.lit(percent) / F.lit(100)).cast("int")
+    return own.where(spare >= 0).select("node", "label", "n", "sketch", F.explode(F.slice("own", F.lit(1), spare + 1)).alias("s")).select("node", "label", "n", "sketch", "s.h")
 
-def _crossings(rest: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, bands: int) -> DataFrame:
-    """Pairs (a, b) of classes of different components that share a bucket and may be linked, each from the first bucket it shares.
 
-    Two bounds, both exact, are put on what a pair has in common: it lies within the shingles that occur in other components; and
-    what of these lies in the bucket's most central class, and what does not, is at most the lesser of the two classes' counts.
-    """
-    own = _linkable(rest.select("node", "label").distinct(), sets, percent)
-    rest = rest.join(own.select("node", F.size("own").alias("c")), "node")
-    rest = materialise(rest.join(rest.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("p")).select("bucket", F.col("p.node").alias("p")), "bucket"), "near-rest")
-    met = rest.select("node", "p").distinct().join(own, "node").join(own.select(F.col("node").alias("p"), F.col("own").alias("pivot")), "p")
-    met = materialise(met.select("node", "p", F.size(F.array_intersect("own", "pivot")).alias("i")), "near-overlaps")
-    rest = rest.join(met, ["node", "p"]).drop("p", "weight").join(classes.select("node", "keys"), "node")
-    one, two = (rest.select("bucket", *(F.col(x).alias(x + s) for x in ("node", "n", "sketch", "label", "c", "i", "keys"))) for s in "12")
-    band = F.array_position(F.zip_with("keys1", "keys2", lambda a, b: a == b), True).cast("int")
-    first = F.xxhash64(band - 1, F.element_at("keys1", band)) == F.col("bucket")
-    bound = F.least("i1", "i2") + F.least(F.col("c1") - F.col("i1"), F.col("c2") - F.col("i2"))
-    enough = bound * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent
-    apart = (F.col("node1") < F.col("node2")) & (F.col("label1") != F.col("label2")) & enough
-    cross = one.join(two, "bucket").where(apart & _plausible(F.col("n1"), F.col("n2"), F.col("sketch1"), F.col("sketch2"), percent, bands) & first)
-    return cross.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
-
-
-def _pair(x, y):
-    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
-
-
-def _stars(placed: DataFrame, crowd: int, percent: int, bands: int) -> DataFrame:
-    """Pairs (a, b) of each class with central members of other components in its buckets, PIVOTS for each class."""
-    top = F.max(F.struct("weight", "node", "n", "sketch", "label")).alias("top")
-    tops = materialise(placed.groupBy("bucket", "label").agg(top, F.count("*").alias("c")).drop("label"), "near-tops")
-    first = tops.groupBy("bucket").agg(F.max("top").alias("first"), F.sum("c").alias("members"))
-    other = tops.join(first.select("bucket", F.col("first.label").alias("l")), "bucket").where(F.col("top.label") != F.col("l")).groupBy("bucket").agg(F.max("top").alias("second"))
-    pivots = materialise(first.join(other, "bucket"), "near-pivots")
-    met = hot_join(placed, pivots, ["bucket"], "members", crowd, ["node"], "inner")
-    met = met.withColumn("p", F.when(F.col("first.label") != F.col("label"), F.col("first")).otherwise(F.col("second")))
-    met = met.where(_plausible(F.col("n"), F.col("p.n"), F.col("sketch"), F.col("p.sketch"), percent, bands)).select("node", F.col("p.weight").alias("w"), F.col("p.node").alias("p")).distinct()
-    best = met.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("w"), "p"))).where(F.col("k") <= PIVOTS)
-    return best.select(*_pair(F.col("node"), F.col("p"))).distinct()
+def _crossings(rest: DataFrame, sets: DataFrame, percent: int, bands: int) -> tuple[DataFrame, int]:
+    """Pairs (node, p) of classes of different components that may be linked, and their number."""
+    rare = materialise(rarest_shared(rest, sets, percent), "near-rare")
+    one, two = (rare.select("h", *(F.col(x).alias(x + s) for x in ("node", "label", "n", "sketch"))) for s in "12")
+    apart = (F.col("node1") < F.col("node2")) & (F.col("label1") != F.col("label2"))
+    cross = one.join(two, "h").where(apart & _plausible(F.col("n1"), F.col("n2"), F.col("sketch1"), F.col("sketch2"), percent, bands))
+    cross, got = measured(cross.select(F.col("node1").alias("node"), F.col("node2").alias("p")).distinct(), "near-cross", n=F.count(F.lit(1)))
+    return cross, got["n"]
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, tk): components of documents of similarity percent/100 or more.
 
-    tk is the hash of the text; with doc_id it tells rows apart.
+    tk is the hash of the text; with doc_id it tells rows apart. The number of bands follows from percent.
     """
+    bands = bands or bands_for(percent)
     key = docs.schema["doc_id"].dataType.simpleString()
+    count = F.count(F.lit(1))
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tk"))
-    signed = materialise(rows.mapInArrow(lambda it: _sign(it, width, bands), f"doc_id {key}, tk long, n long, node long, keys array<long>, sketch array<long>"), "near-signed")
+    signed, seen = measured(rows.mapInArrow(lambda it: _sign(it, width, bands), f"doc_id {key}, tk long, n long, node long, keys array<long>, sketch array<long>"), "near-signed", n=count)
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "tk")).alias("rep")
     classes = signed.where("n > 0").groupBy("node").agg(rep, F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
-    classes = materialise(classes, "near-classes")
+    classes, held = measured(classes, "near-classes", copies=F.max("copies"))
     banded = classes.select("node", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node")
-    buckets = materialise(banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "near-buckets")
-    crowd = buckets.agg(F.sum("members")).first()[0] or 0
-    member = materialise(hot_join(banded, buckets, ["bucket"], "members", crowd, ["node"], "inner"), "near-members")
-    weights = member.groupBy("node").agg(F.sum("members").alias("weight"))
-    member = member.drop("members").join(weights.join(classes.select("node", "n", "sketch"), "node"), "node")
-    member = materialise(member, "near-weighed")
-
-    def mixed(labels: DataFrame | None) -> DataFrame:
-        """Members of buckets that hold several components."""
-        if labels is None:
-            return member.withColumn("label", F.col("node"))
-        placed = member.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        split = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-        return materialise(placed.join(split.hint("shuffle_hash"), "bucket", "left_semi"), "near-mixed")
-
-    links = tested = labels = None
-    rest = mixed(None)
-    for _ in range(ROUNDS):
-        pairs = _stars(rest, crowd, percent, bands)
-        pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "near-star")
-        if not pairs.count():
-            break
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        found = _confirm(pairs, _sets(asked, rows, classes, width), percent)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        if not found.count():
-            break
+    buckets, crowd = measured(banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "near-buckets", sum=F.sum("members"), top=F.max("members"))
+    groups = classes.select("node", "copies", F.col("rep.doc_id").alias("first"), F.col("node").alias("label"))
+    if crowd["sum"]:
+        member = materialise(hot_join(banded, buckets, ["bucket"], "members", crowd["sum"], ["node"], "inner", crowd["top"]), "near-members")
+        weights = member.groupBy("node").agg(F.sum("members").alias("weight"))
+        nodes, asked = measured(classes.join(weights.hint("shuffle_hash"), "node").select("node", "n", "sketch", "weight", F.col("rep.tk").alias("tk"), F.col("rep.doc_id").alias("r")), "near-nodes", n=count)
+        sets = _sets(nodes, asked["n"], docs, width)
+        member = materialise(member.drop("members").join(nodes.drop("tk", "r").hint("shuffle_hash"), "node"), "near-weighed")
+        pivots = materialise(member.groupBy("bucket").agg(F.max(F.struct("weight", "node", "n", "sketch")).alias("top"), F.count("*").alias("members")), "near-pivots")
+        pairs, made = measured(_stars(member, pivots, crowd["sum"], crowd["top"], percent, bands), "near-star", n=count)
+        links, linked = _confirm(pairs, made["n"], sets, percent)
         labels = components(links)
-        rest = mixed(labels)
-    # what still lies in different components of one bucket is compared in full, but for classes too much of which is their component's own
-    sets = _sets(rest.select("node").distinct(), rows, classes, width)
-    cross = _crossings(rest, classes, sets, percent, bands)
-    cross = materialise(cross if tested is None else cross.join(tested, ["a", "b"], "left_anti"), "near-cross")
-    if cross.count():
-        found = _confirm(cross, sets, percent)
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-    groups = classes.select("node", "copies", F.col("rep.doc_id").alias("first"))
-    groups = groups.withColumn("label", F.col("node")) if labels is None else groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = groups.groupBy("label").agg(F.min("first").alias("component_id"))
-    groups = materialise(groups.join(least, "label").select("node", "copies", "component_id"), "near-groups")
-    out = hot_join(signed.drop("keys", "sketch").withColumn("node", F.coalesce("node", F.lit(0))), groups, ["node"], "copies", signed.count(), ["doc_id", "tk"])
+        # what still lies in different components of one bucket is compared by its rarest shingles
+        placed = materialise(member.select("bucket", "node").join(labels.hint("shuffle_hash"), "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "near-placed")
+        split = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("bucket", "c")
+        split, left = measured(split, "near-split", sum=F.sum("c"), top=F.max("c"))
+        if left["sum"]:
+            rest = hot_join(placed, split, ["bucket"], "c", left["sum"], ["node"], "inner", left["top"]).select("node", "label").distinct()
+            rest = materialise(rest.join(nodes.select("node", "n", "sketch").hint("shuffle_hash"), "node"), "near-rest")
+            cross, made = _crossings(rest, sets, percent, bands)
+            if made:
+                found, more = _confirm(cross, made, sets, percent)
+                labels = components(links.unionByName(found)) if more else labels
+        groups = groups.drop("label").join(labels.hint("shuffle_hash"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least, most = measured(groups.groupBy("label").agg(F.min("first").alias("component_id"), F.count("*").alias("c")), "near-least", c=F.max("c"))
+    groups = materialise(hot_join(groups, least, ["label"], "c", seen["n"], ["node"], "inner", most["c"]).select("node", "copies", "component_id"), "near-groups")
+    plain = signed.drop("keys", "sketch").withColumn("node", F.coalesce("node", F.lit(0)))
+    out = hot_join(plain, groups, ["node"], "copies", seen["n"], ["doc_id", "tk"], "left", held["copies"])
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "tk")
 
 
+def row_key(tk):
+    """Two hashes that tell rows apart: of doc_id, null or not, and of the text."""
+    return F.xxhash64("doc_id", F.col("doc_id").isNull()).alias("_i"), (F.col(tk) if isinstance(tk, str) else tk).alias("_t")
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component: the one of smallest doc_id. Repeated rows of it are reduced to one; same columns."""
-    kept = materialise(near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk2")), "near-kept")
-    once = materialise(kept.distinct(), "near-once")
-    keyed = docs.select(packed(docs), F.col("doc_id").alias("_id0"), F.xxhash64("text").alias("_tk"))
-    out = keyed.join(once, F.col("_id0").eqNullSafe(F.col("_id")) & (F.col("_tk") == F.col("_tk2")), "left_semi")
-    if kept.count() > once.count():
-        out = out.dropDuplicates(["_id0", "_tk"])
+    count = F.count(F.lit(1))
+    found = materialise(near_duplicates(docs, width, percent).select(*row_key("tk"), "kept"), "near-kept")
+    gone, seen = measured(found.where("NOT kept").select("_i", "_t").distinct(), "near-gone", n=count)
+    again = found.where("kept").groupBy("_i", "_t").agg(count.alias("c")).where("c > 1")
+    out = anti_join(docs.select(packed(docs), *row_key(F.xxhash64("text"))), gone, ["_i", "_t"], seen["n"])
+    if not again.isEmpty():
+        out = out.dropDuplicates(["_i", "_t"])
     return out.select("row.*")
 
 
