@@ -110,6 +110,18 @@ def anti_join(left: DataFrame, keys: DataFrame, on: list[str], n: int) -> DataFr
     return marked.where("NOT _in").drop("_in").unionByName(marked.where("_in").drop("_in").join(keys, on, "left_anti"))
 
 
+def sieve_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, spread: list[str], top: int | None = None) -> DataFrame:
+    """hot_join from the left in which rows that the sieve clears of a partner stay where they are and only the others are shuffled."""
+    marked = sieved(left, right, keys)
+    met = hot_join(marked.where("_in").drop("_in"), right, keys, weight, total, spread, "left", top)
+    return met.unionByName(marked.where("NOT _in").drop("_in"), allowMissingColumns=True)
+
+
+def two_hashes(column):
+    """128 bits that stand for a value, as two columns' expressions."""
+    return F.xxhash64(column), F.xxhash64(F.lit(7), column)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of (a, b) long pairs: (node, label), the label being the smallest node reachable.
 

@@ -231,8 +231,32 @@ def test_repeated_spans_partial_overlaps(spark):
         texts.append("".join(rng.choice("xyz") for _ in range(rng.randint(0, 50))) + core[a : a + rng.randint(50, 500)] + "".join(rng.choice("uvw") for _ in range(rng.randint(0, 300))))
     texts += ["ab" * 300, "ba" * 120, "a" * 199, "a" * 200, "a" * 201]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    out = pfp_dedup.repeated_spans(df, 100).collect()
-    assert Counter((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == brute_repeats(texts, 100)
+    for group in (4096, 2):  # sorted by tasks, and counted by window
+        out = pfp_dedup.repeated_spans(df, 100, group).collect()
+        assert Counter((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == brute_repeats(texts, 100)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_corpus_order_is_the_order_of_suffixes(seed):
+    rng = random.Random(seed)
+    bodies, at = [], []
+    for _ in range(80):
+        left = bytes(rng.choice(b"ab\x00") for _ in range(rng.randint(0, 12)))
+        bodies.append(left + bytes(rng.choice(b"a\x00") for _ in range(rng.randint(1, 30))))
+        at.append(len(left))
+    bodies += bodies[:5]
+    at = np.array(at + at[:5])
+    triggers = np.array([rng.choice([-7, 3, 1 << 60]) for _ in bodies])
+    last = -1
+    for d, order, lcp in pfp_dedup.corpus_order(triggers, bodies, at, 200):
+        suffix = [(int(triggers[k]), bodies[k][at[k] - d :]) for k in order]
+        assert suffix == sorted((int(triggers[k]), bodies[k][at[k] - d :]) for k in range(len(bodies)) if at[k] >= d)
+        for i in range(1, len(order)):
+            (t, x), (u, y) = suffix[i - 1], suffix[i]
+            same = next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
+            assert lcp[i] == (same if t == u else 0)
+        last = d
+    assert last == at.max()
 
 
 def test_phrases_do_not_depend_on_segments(monkeypatch):
