@@ -7,7 +7,10 @@ the last `window` words are part of an item; an item of fewer words matches as a
 Runs of neighbouring words that no item has next to each other are skipped beforehand.
 
 The automaton is shipped to every executor, so it is bounded: items are dealt into blocks of
-at most BLOCK_WORDS words, and documents pass the blocks in turn.
+about BLOCK_WORDS words (a longer item is a block of its own), of which one is held at a time.
+Where there are several, each block reads the texts and writes only the ranges that it hits, by
+the 128-bit hash of the text; the documents themselves are read once more in the end and are not
+rewritten between.
 
 Defined results: a null or empty text has no words and no hits; an item without words never
 matches; an item with a null item_id still marks words but is not listed; repeated items
@@ -26,7 +29,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, measured, packed, sieve_join, two_hashes
 
 BLOCK_WORDS = 500_000
 _WORD = b"abcdefghijklmnopqrstuvwxyz0123456789" + bytes(range(128, 256))
@@ -152,55 +155,93 @@ def merged(hits) -> list[tuple[int, int]]:
     return [(i, j) for i, j in out]
 
 
-def automata(benchmark: DataFrame, window: int) -> list:
-    """Broadcast pickled automata, each over at most about BLOCK_WORDS words."""
-    spark = benchmark.sparkSession
+def item_blocks(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """(id, text, block) of the distinct items, and the number of blocks."""
     items = benchmark.select(F.col("item_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // (BLOCK_WORDS * 2)) or 1
-    out = []
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).collect()
-        automaton = Automaton([(r.id, words(r.text.encode())) for r in sorted(rows, key=lambda r: (r.id or "", r.text))], window)
-        out.append(spark.sparkContext.broadcast(cloudpickle.dumps(automaton)))
-    return out
+    return items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))), blocks
+
+
+def automaton(items: DataFrame, block: int, window: int):
+    """The broadcast pickled automaton of one block."""
+    rows = items.where(F.col("block") == block).collect()
+    built = Automaton([(r.id, words(r.text.encode())) for r in sorted(rows, key=lambda r: (r.id or "", r.text))], window)
+    return items.sparkSession.sparkContext.broadcast(cloudpickle.dumps(built))
+
+
+def _scan(a: Automaton, data: bytes):
+    ws = words(data)
+    get = a.ids.get
+    hits, got = a.scan(np.fromiter((get(w, -1) for w in ws), np.int64, len(ws)))
+    return len(ws), hits, got
+
+
+def _texts(column):
+    return [x.as_py() or b"" for x in column.cast(pa.large_binary())]
+
+
+def _block_hits(batches, shipped):
+    """(k1, k2, hits, items) of the texts that a block hits."""
+    a = pickle.loads(shipped.value)
+    for batch in batches:
+        rows = []
+        for k1, k2, data in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), _texts(batch.column("text")), strict=True):
+            _, hits, got = _scan(a, data)
+            if hits:
+                rows.append((k1, k2, [x for r in merged(hits) for x in r], sorted(x for x in got if x is not None)))
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, kinds, strict=True)], ["k1", "k2", "hits", "items"])
 
 
 _FIELDS = {"n_words": pa.int64(), "hits": pa.list_(pa.int64()), "items": pa.list_(pa.string()), "clean": pa.string()}
 _FOUND = "struct<n_words:bigint,hits:array<bigint>,items:array<string>,clean:string>"
 
 
+def _judged(batches, kept, shipped=None):
+    """(row, found): the hits of the only automaton, or those that came along as hits and items."""
+    a = pickle.loads(shipped.value) if shipped is not None else None
+    for batch in batches:
+        row = batch.column("row")
+        fields = {f.name: row.field(i) for i, f in enumerate(row.type)}
+        texts = _texts(fields["text"])
+        if a is not None:
+            found = [_scan(a, data) for data in texts]
+        else:
+            hits, items = batch.column("hits").to_pylist(), batch.column("items").to_pylist()
+            found = [(len(words(data)), list(zip(h[::2], h[1::2], strict=True)) if h else [], set(i or ())) for data, h, i in zip(texts, hits, items, strict=True)]
+        out = []
+        for data, (n, hits, got) in zip(texts, found, strict=True):
+            flat = [x for r in merged(hits) for x in r]
+            out.append((n, flat, sorted(x for x in got if x is not None), without_spans(data, flat) if flat else None))
+        columns = zip(*out, strict=True) if out else [()] * 4
+        struct = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, _FIELDS.values(), strict=True)], list(_FIELDS))
+        yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([fields[c] for c in kept], list(kept)), struct], ["row", "found"])
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: list[str] | None = None) -> DataFrame:
-    """The `keep` columns of docs and `found`: words, word ranges hit (flattened start, end pairs), items, and the text without the ranges where there are any."""
-    blocks = automata(benchmark, window)
-    out = docs
-    for k, automaton in enumerate(blocks):
-        if k:
-            out = materialise(out, "decontam-block")
-        kept = docs.columns if keep is None or k < len(blocks) - 1 else keep
-
-        def step(batches, automaton=automaton, later=k > 0, kept=tuple(kept)):
-            a = pickle.loads(automaton.value)
-            get = a.ids.get
-            for batch in batches:
-                rows = []
-                before = batch.column("found").to_pylist() if later else [None] * len(batch)
-                for text, old in zip(batch.column("text").cast(pa.large_binary()), before, strict=True):
-                    data = text.as_py() or b""
-                    ws = words(data)
-                    hits, got = a.scan(np.fromiter((get(w, -1) for w in ws), np.int64, len(ws)))
-                    if old:
-                        hits += list(zip(old["hits"][::2], old["hits"][1::2], strict=True))
-                        got |= set(old["items"])
-                    flat = [x for r in merged(hits) for x in r]
-                    rows.append((len(ws), flat, sorted(x for x in got if x is not None), without_spans(data, flat) if flat else None))
-                columns = zip(*rows, strict=True) if rows else [()] * 4
-                found = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, _FIELDS.values(), strict=True)], list(_FIELDS))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), found], [*kept, "found"])
-
-        fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in kept)
-        out = out.mapInArrow(step, f"{fields}found {_FOUND}")
-    return out
+    """(row, found): the `keep` columns of docs (all by default), and words, word ranges hit (flattened start, end pairs), items, and the text without the ranges where there are any."""
+    kept = tuple(c for c in docs.columns if keep is None or c in keep)
+    schema = f"row struct<{','.join(f'`{f.name}`:{f.dataType.simpleString()}' for f in docs.schema if f.name in kept)}>, found {_FOUND}"
+    items, blocks = item_blocks(benchmark)
+    rows = docs.select(packed(docs))
+    if blocks == 1:
+        shipped = automaton(items, 0, window)
+        return rows.mapInArrow(lambda it: _judged(it, kept, shipped), schema)
+    k1, k2 = two_hashes("text")
+    keyed = docs.select(k1.alias("k1"), k2.alias("k2"), "text")
+    marks = None
+    for block in range(blocks):
+        shipped = automaton(items, block, window)
+        some = keyed.mapInArrow(lambda it, shipped=shipped: _block_hits(it, shipped), "k1 long, k2 long, hits array<long>, items array<string>")
+        some = materialise(some, "decontam-block")
+        shipped.unpersist()
+        marks = some if marks is None else marks.unionByName(some)
+    marks = marks.groupBy("k1", "k2").agg(F.flatten(F.collect_set("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.count("*").alias("c"))
+    marks, seen = measured(marks, "decontam-hits", sum=F.sum("c"), top=F.max("c"))
+    k1, k2 = two_hashes("row.text")
+    joined = sieve_join(rows.withColumn("k1", k1).withColumn("k2", k2), marks, ["k1", "k2"], "c", seen["sum"], ["row"], seen["top"])
+    return joined.select("row", "hits", "items").mapInArrow(lambda it: _judged(it, kept), schema)
 
 
 def without_spans(data: bytes, hits: list[int]) -> str:
@@ -222,12 +263,13 @@ def n_hit():
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5) -> DataFrame:
     """The documents without the spans that match items, and without those of which more than `max_coverage` of the words match.
 
-    Same columns as `docs`; n_chars, if there, follows the text. A column named found is dropped.
+    Same columns as `docs`, whatever their names; n_chars, if there, follows the text.
     """
-    docs = docs.drop("found")
     found = find_hits(docs, benchmark, window).where(n_hit() <= F.col("found.n_words") * max_coverage)
-    changed = {"text": F.coalesce("found.clean", "text"), "n_chars": F.when(F.col("found.clean").isNull(), F.col("n_chars")).otherwise(F.length("found.clean")).cast("long") if "n_chars" in docs.columns else None}
-    return found.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+    changed = {"text": F.coalesce("found.clean", "row.text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("found.clean").isNull(), F.col("row.n_chars")).otherwise(F.length("found.clean")).cast(docs.schema["n_chars"].dataType)
+    return found.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op4_automaton_decontam(spark, sf_dir: str) -> DataFrame:
@@ -236,7 +278,7 @@ def op4_automaton_decontam(spark, sf_dir: str) -> DataFrame:
     rows = find_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id"])
     items = F.sha2(F.array_join(F.array_sort("found.items"), ",").cast("binary"), 256)
     return rows.select(
-        "doc_id", "found.n_words", n_hit().alias("n_hit"), F.size("found.items").cast("long").alias("n_items"), items.alias("items_sha256"), (n_hit() > 0).alias("contaminated")
+        "row.doc_id", "found.n_words", n_hit().alias("n_hit"), F.size("found.items").cast("long").alias("n_items"), items.alias("items_sha256"), (n_hit() > 0).alias("contaminated")
     )
 
 
