@@ -8,7 +8,8 @@ from regimespark.llm.common import new_path
 from regimespark.llm.decontam import decontaminate
 from regimespark.llm.langid import keep_identified
 from regimespark.llm.minmax import drop_near_duplicates
-from regimespark.llm.mixing import mix, with_mix_key
+from regimespark.llm.mixing import mixture as mixed
+from regimespark.llm.mixing import with_mix_key
 from regimespark.llm.tokens import tokenise
 
 
@@ -29,8 +30,7 @@ def benchmark(spark, docs, sf_dir):
 
 def mixture(spark, docs, sf_dir):
     """Documents are replicated to the weights of their sources and shuffled (operator 9)."""
-    mixed = mix(docs)
-    return mixed.orderBy("mix_key", "doc_id", "copy").select(*[f"`{c}`" for c in docs.columns])
+    return mixed(docs)
 
 
 def token_files(spark, docs, sf_dir):

@@ -9,19 +9,20 @@ order by a hash of id, copy number and seed.
 Defined results: a null source is a source of its own; null and empty texts have OVERHEAD
 bytes, as all texts have besides their own; a source without a weight in a given mapping gets
 none; without a mapping weights are the sizes to the power `temper`; repeated rows draw alike;
-an empty table gives no rows. Extra columns are kept, but for those named copies, copy, rate
-or mix_key, which are replaced.
+an empty table gives no rows. Extra columns are kept; only `mix` replaces those named copies,
+copy, rate or mix_key. Rows that tie in mix_key are ordered by doc_id and copy.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, hot_join, materialise, packed
+from .common import BROADCAST_BYTES, KEY_BYTES, hot_join, materialise, measured, packed
 
 OVERHEAD = 16
 SEED = 17
@@ -31,24 +32,34 @@ def _mass():
     return F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + OVERHEAD
 
 
-def poisson_steps(rate: float) -> list[float]:
-    """P(count <= k) for k = 0, 1, ... until it is 1 in double precision; rates over 500 by normal steps."""
-    if rate > 500:
-        from statistics import NormalDist
-
-        n = NormalDist(rate, math.sqrt(rate))
-        return [n.cdf(k + 0.5) for k in range(int(rate + 9 * math.sqrt(rate)))]
-    out, p, total, k = [], math.exp(-rate), 0.0, 0
-    while p > 1e-18 or k < rate:
-        total += p
-        out.append(min(total, 1.0))
-        k += 1
-        p *= rate / k
+def poisson_steps(rate: float) -> tuple[int, np.ndarray]:
+    """(k, P(count <= k), P(count <= k + 1), ...), over all counts that a double can tell from 0 and 1.
+
+    The steps are built by ratios from the mode outward and scaled to a sum of 1, so that they hold at any rate; they are about 24 square roots of it.
+    """
+    reach = 12 * math.sqrt(rate) + 40
+    low, high = max(0, int(rate - reach)), int(rate + reach)
+    counts = np.arange(low, high + 1, dtype=np.float64)
+    mode = int(rate) - low
+    up = np.cumprod(rate / counts[mode + 1 :]) if rate else np.zeros(len(counts) - mode - 1)
+    down = np.cumprod(counts[1 : mode + 1][::-1] / rate)[::-1] if mode else np.zeros(0)
+    mass = np.concatenate([down, [1.0], up])
+    return low, np.minimum(np.cumsum(mass / mass.sum()), 1.0)
+
+
+def poisson_counts(rates: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """The counts at which the distributions of the given rates reach the given numbers in [0, 1)."""
+    out = np.zeros(len(rates), np.int64)
+    distinct, back = np.unique(rates, return_inverse=True)
+    for k, rate in enumerate(distinct.tolist()):
+        low, steps = poisson_steps(rate)
+        mine = back == k
+        out[mine] = low + np.searchsorted(steps, numbers[mine], "right")
     return out
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, temper: float = 0.5, epochs: float = 1.0) -> DataFrame:
-    """(src, rows, bytes, rate, steps): repetition rate of each source and the steps of its distribution."""
+    """(src, rows, bytes, rate): repetition rate of each source."""
     sizes = docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.count("*").alias("rows"), F.sum(_mass()).alias("bytes"))
     sizes = materialise(sizes, "mix-sizes")
     if weights is None:
@@ -58,9 +69,8 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temper: floa
         weighed = sizes.join(given, sizes["source"].eqNullSafe(given["source"]), "left").select(sizes["*"], F.coalesce("w", F.lit(0.0)).alias("w"))
     total = weighed.agg(F.sum("bytes").alias("b"), F.sum("w").alias("w")).first()
     budget, mass = (total.b or 0) * epochs, total.w or 1.0
-    steps = F.pandas_udf(lambda r: pd.Series([poisson_steps(x) for x in r]), "array<double>")
     rated = weighed.withColumn("rate", F.col("w") / F.lit(mass) * F.lit(budget) / F.col("bytes"))
-    return rated.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("src"), "rows", "bytes", "rate", steps("rate").alias("steps"))
+    return rated.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("src"), "rows", "bytes", "rate")
 
 
 def uniform(seed: int, *columns):
@@ -78,27 +88,37 @@ def _key(seed: int):
     return F.xxhash64(F.lit(seed), "_d", "_u", "copy")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, temper: float = 0.5, epochs: float = 1.0, seed: int = SEED) -> DataFrame:
-    """The copies of the documents with copies, copy (from 0), rate and mix_key, by which to sort for the global random order."""
-    rated = materialise(rates(docs, weights, temper, epochs), "mix-rates")
-    n = rated.agg(F.sum("rows")).first()[0] or 0
+def copies(docs: DataFrame, weights: dict[str, float] | None = None, temper: float = 0.5, epochs: float = 1.0, seed: int = SEED) -> DataFrame:
+    """(row, copies, copy, rate, mix_key, _d): the copies of the documents, packed in row, numbered from 0."""
+    rated, seen = measured(rates(docs, weights, temper, epochs), "mix-rates", rows=F.sum("rows"), sources=F.count(F.lit(1)), top=F.max("rows"), width=F.max(F.length("src")))
     src = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    keyed = docs.select(packed(docs, "copies", "copy", "rate", "mix_key"), src.alias("src"), F.col("doc_id").alias("_d"), draw(seed).alias("_u"))
-    table = rated.select("src", "rows", "rate", "steps")
-    widest = rated.agg(F.max(F.size("steps"))).first()[0] or 0
-    if rated.count() * (100 + 8 * widest) <= BROADCAST_BYTES:
+    keyed = docs.select(packed(docs), src.alias("src"), F.col("doc_id").alias("_d"), draw(seed).alias("_u"))
+    table = rated.select("src", "rows", "rate")
+    if seen["sources"] * (KEY_BYTES + 4 * seen["width"]) <= BROADCAST_BYTES:
         joined = keyed.join(F.broadcast(table), "src")
     else:
-        joined = hot_join(keyed, table, ["src"], "rows", n, ["_d"], "inner")
-    counted = joined.withColumn("copies", F.size(F.filter("steps", lambda s: s <= F.col("_u"))))
-    out = counted.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    return out.select("row.*", "copies", "copy", "rate", _key(seed).alias("mix_key"))
+        joined = hot_join(keyed, table, ["src"], "rows", seen["rows"], ["_d"], "inner", seen["top"])
+    count = F.pandas_udf(lambda r, u: pd.Series(poisson_counts(r.to_numpy(), u.to_numpy())), "long")
+    counted = joined.withColumn("copies", count("rate", "_u"))
+    return counted.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).select("row", "copies", "copy", "rate", _key(seed).alias("mix_key"), "_d")
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, temper: float = 0.5, epochs: float = 1.0, seed: int = SEED) -> DataFrame:
+    """The copies of the documents with copies, copy (from 0), rate and mix_key, by which to sort for the global random order."""
+    own = ("copies", "copy", "rate", "mix_key")
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in own]
+    return copies(docs, weights, temper, epochs, seed).select(*kept, *own)
+
+
+def mixture(docs: DataFrame, weights: dict[str, float] | None = None, temper: float = 0.5, epochs: float = 1.0, seed: int = SEED) -> DataFrame:
+    """The copies in the global random order, with the columns of docs, whatever their names."""
+    return copies(docs, weights, temper, epochs, seed).orderBy("mix_key", "_d", "copy").select("row.*")
 
 
 def with_mix_key(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """docs, of which the copies are equal rows, with the mix_key that mix gave them; rows equal in id and text are numbered as its copies are."""
     rows = docs.select(packed(docs, "mix_key"), F.col("doc_id").alias("_d"), draw(seed).alias("_u"))
-    numbered = rows.withColumn("copy", F.row_number().over(Window.partitionBy("_d", "_u").orderBy("_d")) - 1)
+    numbered = rows.withColumn("copy", (F.row_number().over(Window.partitionBy("_d", "_u").orderBy("_d")) - 1).cast("long"))
     return numbered.select("row.*", _key(seed).alias("mix_key"))
 
 
@@ -114,7 +134,7 @@ WITH RECURSIVE s AS (SELECT coalesce('=' || source, '') AS src, sum(strlen(coale
 t AS (SELECT sum(b) AS b, sum(sqrt(b)) AS w FROM s),
 r AS (SELECT src, sqrt(s.b) / t.w * t.b / s.b AS rate FROM s, t),
 c(src, rate, k, p, f) AS (SELECT src, rate, 0, exp(-rate), exp(-rate) FROM r UNION ALL
-  SELECT src, rate, k + 1, p * rate / (k + 1), f + p * rate / (k + 1) FROM c WHERE k < 200),
+  SELECT src, rate, k + 1, p * rate / (k + 1), f + p * rate / (k + 1) FROM c WHERE k < rate + 12 * sqrt(rate) + 40),
 u AS (SELECT doc_id, source, coalesce('=' || source, '') AS src,
   ('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
 n AS (SELECT doc_id, source, (SELECT count(*) FROM c WHERE c.src = u.src AND c.f <= u.u) AS copies FROM u)

@@ -1,9 +1,12 @@
 """Corpus operators against brute force on small tables with every odd case."""
 
 import hashlib
+import itertools
 import random
 import zlib
 from collections import Counter
+from decimal import Context, Decimal
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -86,6 +89,37 @@ def test_sharding(docs, none):
     assert sharding.shard_documents(none, 5).count() == 0
 
 
+def best_spread(sizes, shards):
+    """Of all partitions, the least difference of the largest and smallest sums."""
+    best = None
+    for code in itertools.product(range(shards), repeat=len(sizes)):
+        sums = [0] * shards
+        for x, c in zip(sizes, code, strict=True):
+            sums[c] += x
+        best = max(sums) - min(sums) if best is None else min(best, max(sums) - min(sums))
+    return best
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_differencing_against_all_partitions(seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(1, 50, 8)
+    sums = np.bincount(sharding.difference(sizes, 3), weights=sizes, minlength=3)
+    assert best_spread(sizes.tolist(), 3) <= sums.max() - sums.min() <= max(best_spread(sizes.tolist(), 3), sizes.max() // 2)
+
+
+def test_sharding_by_levels(spark):
+    rng = random.Random(4)
+    sizes = [rng.randint(0, 3000) for _ in range(700)]
+    docs = spark.createDataFrame([(i, chr(97 + i % 26) * n) for i, n in enumerate(sizes)], "doc_id long, text string")
+    for part, fan in ((50_000, 4096), (40, 4096), (40, 3)):  # one task, two levels, four levels
+        out = sharding.shard_documents(docs, 7, part=part, fan=fan).toPandas()
+        sums = out.groupby("shard")["size"].sum()
+        assert len(out) == len(sizes) and len(sums) == 7 and sums.max() - sums.min() <= 100
+        for _, rows in out.groupby("shard"):
+            assert sorted(rows["slot"]) == list(range(len(rows)))
+
+
 def test_sharding_balances(spark, data):
     out = sharding.op1_kk_sharding(spark, data).toPandas()
     sums = out.groupby("shard")["size"].sum()
@@ -439,12 +473,26 @@ def test_words_join_to_the_library_ids(text):
 # 9 --------------------------------------------------------------------------------------------
 
 
-def test_poisson_steps():
-    s = mixing.poisson_steps(1.5)
-    assert abs(s[0] - np.exp(-1.5)) < 1e-15 and s == sorted(s) and s[-1] > 1 - 1e-12
-    assert mixing.poisson_steps(0.0)[0] == 1.0
-    big = np.searchsorted(mixing.poisson_steps(2000.0), 0.5)
-    assert abs(big - 2000) < 3
+@pytest.mark.parametrize("rate", [0.0, 0.3, 1.5, 40.0, 499.5, 500.5, 2000.0])
+def test_poisson_steps(rate):
+    low, steps = mixing.poisson_steps(rate)
+    exact, total = [], Fraction(0)
+    p = Fraction(1)
+    for k in range(low + len(steps)):
+        total += p
+        exact.append(total)
+        p = p * Fraction(rate) / (k + 1)
+    scale = Decimal(-rate).exp(Context(prec=60))
+    want = [float(scale * Decimal(x.numerator) / Decimal(x.denominator)) for x in exact[:: max(1, len(exact) // 50)]]
+    got = np.concatenate([np.zeros(low), steps])[:: max(1, len(exact) // 50)]
+    assert np.allclose(got, want, rtol=0, atol=1e-13) and steps[-1] > 1 - 1e-12
+
+
+def test_poisson_counts_meet_their_mean_at_any_rate():
+    u = (np.arange(20_000) + 0.5) / 20_000
+    for rate in (0.0, 0.7, 300.0, 3e6):
+        counts = mixing.poisson_counts(np.full(len(u), rate), u)
+        assert abs(counts.mean() - rate) <= 0.01 * max(1, np.sqrt(rate)) and abs(counts.var() - rate) <= 0.02 * max(1, rate)
 
 
 def test_mixing_meets_the_weights(spark, docs, none):
