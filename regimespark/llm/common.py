@@ -95,11 +95,15 @@ def sieved(left: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return asked.withColumn("_in", F.coalesce(hit, F.lit(False))).drop("_x", "_block", "_bits")
 
 
-def semi_join(left: DataFrame, keys: DataFrame, on: list[str], n: int | None = None) -> DataFrame:
-    """left_semi; keys (n of them) are broadcast when they fit BROADCAST_BYTES, and else shuffled, to where only what passes their sieve follows."""
-    if (keys.count() if n is None else n) * KEY_BYTES <= BROADCAST_BYTES:
+def semi_join(left: DataFrame, keys: DataFrame, on: list[str], n: int, once: bool = False) -> DataFrame:
+    """left_semi; keys (n of them) are broadcast when they fit BROADCAST_BYTES, and else shuffled, to where only what passes their sieve follows.
+
+    With `once`, equal rows of left may be reduced to one before they are shuffled.
+    """
+    if n * KEY_BYTES <= BROADCAST_BYTES:
         return left.join(F.broadcast(keys), on, "left_semi")
-    return sieved(left, keys, on).where("_in").drop("_in").join(keys, on, "left_semi")
+    passed = sieved(left, keys, on).where("_in").drop("_in")
+    return (passed.distinct() if once else passed).join(keys, on, "left_semi")
 
 
 def anti_join(left: DataFrame, keys: DataFrame, on: list[str], n: int) -> DataFrame:
@@ -122,6 +126,11 @@ def two_hashes(column):
     return F.xxhash64(column), F.xxhash64(F.lit(7), column)
 
 
+def row_key(tk):
+    """Two hashes that tell rows apart: of doc_id, null or not, and of the text."""
+    return F.xxhash64("doc_id", F.col("doc_id").isNull()).alias("_i"), (F.col(tk) if isinstance(tk, str) else tk).alias("_t")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of (a, b) long pairs: (node, label), the label being the smallest node reachable.
 

@@ -7,14 +7,15 @@ parent domain and that towards the corpus. The tables for the last three are cou
 the text alone says with certainty, by grouped aggregation over all rows; a row's own count is
 taken out of its host's. One more hypothesis, `und`, stands for text in no known language.
 
-The trigram model is fitted on at most `fit_rows` labelled rows, chosen by hash; everything
-else covers all rows.
+The trigram model is fitted on at most about `fit_rows` labelled rows, chosen by hash, for the
+LANGUAGES most frequent values of the label (ties by name; rows with rarer values are not fitted
+on, so that a dirty label column cannot grow the model); everything else covers all rows.
 
 Defined results: a null or empty text, or one without letters, has no text evidence and is
 judged by the rest, with `und` as likely as any language; null or unknown declarations,
 suffixes and hosts are values of their own; repeated rows are judged alike; an empty table
-gives no rows; without labelled rows everything is `und`. Other columns are ignored, and kept
-by keep_identified.
+gives no rows; without labelled rows everything is `und`. Of equally likely languages the first
+by name is taken. Other columns may have any names and are ignored, and kept by keep_identified.
 """
 
 from __future__ import annotations
@@ -26,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, byte_column, doc_groups, hot_join, materialise, packed
+from .common import anti_join, byte_column, doc_groups, hot_join, materialise, measured, packed, row_key
 
 BUCKET_BITS = 14
 FIT_ROWS = 50_000
+#: Languages of a model, each of which takes 64 KB, and a term of the expressions.
+LANGUAGES = 64
 #: Trigrams that a text counts for at most, and the log-probability of a trigram under `und`.
 EFFECTIVE, UNKNOWN = 100.0, -BUCKET_BITS * math.log(2)
 SMOOTH_HOST, SMOOTH_VALUE = 20.0, 20.0
@@ -61,8 +64,11 @@ class Model:
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Trigram model from (text, lang): counts over at most about fit_rows rows, smoothed."""
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("text", F.col("lang").cast("string").alias("lang"))
-    part = -(-rows.count() // fit_rows) or 1
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0)
+    common, seen = measured(rows.groupBy("lang").agg(F.count("*").alias("c")), "lang-labels", rows=F.sum("c"))
+    # LANGUAGES rows at most
+    chosen = sorted(r.lang for r in common.orderBy(F.desc("c"), "lang").limit(LANGUAGES).collect())
+    part = -(-seen["rows"] // fit_rows) or 1
+    sample = rows.where((F.pmod(F.xxhash64("text"), F.lit(part)) == 0) & F.col("lang").isin(chosen))
 
     def count(batches):
         totals: dict[str, np.ndarray] = {}
@@ -123,24 +129,24 @@ def _softmax(logs):
 def fuse(rows: DataFrame, model: Model) -> DataFrame:
     """rows(id..., text, host, parent, declared, suffix) → id..., text_language, language, confidence.
 
-    The columns host, parent, declared and suffix may be null.
+    The columns host, parent, declared and suffix may be null; the ids may have any names but the three of the result.
     """
     names = [*model.languages, "und"]
-    ids = [c for c in rows.columns if c not in ("text", "host", "parent", "declared", "suffix")]
-    flat = rows.select(*ids, "text", *(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(f"_{c}") for c in ("host", "parent", "declared", "suffix")))
+    evidence = ("host", "parent", "declared", "suffix")
+    ids = F.struct(*(F.col(f"`{c}`") for c in rows.columns if c not in ("text", *evidence))).alias("row")
+    flat = rows.select(ids, "text", *(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(f"_{c}") for c in evidence))
     scored = text_evidence(flat, model).withColumn("_alone", _softmax(F.col("ll")))
     best = F.array_max("_alone")
     scored = scored.withColumn("_pick", F.when(best >= CERTAIN, F.array_position("_alone", best).cast("int") - 1).otherwise(-1))
-    scored = materialise(scored.withColumn("_best", (F.array_position("_alone", best) - 1).cast("int")).drop("_alone"), "lang-text")
     counts = F.array(*(F.count(F.when(F.col("_pick") == i, 1)) for i in range(len(names))))
-    tables, total = {}, scored.count()
-    for c in ("_host", "_parent", "_declared", "_suffix"):
-        tables[c] = materialise(scored.groupBy(c).agg(F.count("*").alias("_n"), counts.alias(f"{c}_c")), f"lang{c}")
-    overall = scored.agg(counts.alias("c")).first().c
+    scored = scored.withColumn("_best", (F.array_position("_alone", best) - 1).cast("int")).drop("_alone")
+    scored, seen = measured(scored, "lang-text", n=F.count(F.lit(1)), c=counts)
+    total, overall = seen["n"], list(seen["c"] or [0] * len(names))
     world = [(x + 1) / (sum(overall) + len(names)) for x in overall]
     joined = scored
-    for c, table in tables.items():
-        joined = hot_join(joined, table, [c], "_n", total, ids[:1]).drop("_n")
+    for c in (f"_{e}" for e in evidence):
+        table, held = measured(scored.groupBy(c).agg(F.count("*").alias("_n"), counts.alias(f"{c}_c")), f"lang{c}", top=F.max("_n"))
+        joined = hot_join(joined, table, [c], "_n", total, ["row"], "left", held["top"]).drop("_n")
     base = F.array(*map(F.lit, world))
     own = F.transform(F.array(*map(F.lit, range(len(names)))), lambda i: (i == F.col("_pick")).cast("long"))
 
@@ -164,7 +170,7 @@ def fuse(rows: DataFrame, model: Model) -> DataFrame:
     out = joined.withColumn("_post", _softmax(logs)).withColumn("_top", F.array_max("_post"))
     named = F.array(*map(F.lit, names))
     return out.select(
-        *ids, F.element_at(named, F.col("_best") + 1).alias("text_language"), F.element_at(named, F.array_position("_post", F.col("_top")).cast("int")).alias("language"), F.col("_top").alias("confidence")
+        "row.*", F.element_at(named, F.col("_best") + 1).alias("text_language"), F.element_at(named, F.array_position("_post", F.col("_top")).cast("int")).alias("language"), F.col("_top").alias("confidence")
     )
 
 
@@ -179,12 +185,9 @@ def keep_identified(docs: DataFrame, languages: list[str] | None = None, least:
     """The documents identified with at least `least` confidence as one of `languages` (all that were fitted, by default)."""
     model = fit(docs)
     wanted = F.col("language").isin(languages or model.languages) & (F.col("confidence") >= least)
-    gone = identify_documents(docs, model).where(~wanted).select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk2")).distinct()
-    gone = materialise(gone, "lang-gone")
-    if gone.count() * 24 <= BROADCAST_BYTES:
-        gone = F.broadcast(gone)
-    same = F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("row.text") == F.col("_tk2"))
-    return docs.select(packed(docs)).join(gone, same, "left_anti").select("row.*")
+    gone = identify_documents(docs, model).where(~wanted).select(*row_key("tk")).distinct()
+    gone, seen = measured(gone, "lang-gone", n=F.count(F.lit(1)))
+    return anti_join(docs.select(packed(docs), *row_key(F.xxhash64("text"))), gone, ["_i", "_t"], seen["n"]).select("row.*")
 
 
 def page_rows(pages: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import anti_join, components, hot_join, materialise, measured, packed, semi_join
+from .common import anti_join, components, hot_join, materialise, measured, packed, row_key, semi_join
 
 #: The chance that a pair at the threshold shares no band, and the standard deviations by which its sketches may fall short.
 MISS, SPREAD = 1.5e-7, 5.6
@@ -258,11 +258,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "tk")
 
 
-def row_key(tk):
-    """Two hashes that tell rows apart: of doc_id, null or not, and of the text."""
-    return F.xxhash64("doc_id", F.col("doc_id").isNull()).alias("_i"), (F.col(tk) if isinstance(tk, str) else tk).alias("_t")
-
-
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component: the one of smallest doc_id. Repeated rows of it are reduced to one; same columns."""
     count = F.count(F.lit(1))
