@@ -11,8 +11,11 @@ reader takes the tail first and then decompresses only the frames of the documen
 Tasks write under a name of their own and rename when done; only files of the written manifest
 count, so a task that is run again leaves at most an unused file.
 
+The number of files follows from the bytes of the texts.
+
 Defined results: null counts as empty; an empty text is the end id alone; equal doc_ids are
-ordered by a hash of the text; null doc_ids come first; an empty table gives no rows.
+ordered by a hash of the text; null doc_ids come first; a doc_id must be a whole number, and one
+that does not read as such raises an error; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,9 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, new_path, shuffle_partitions
+from .common import materialise, new_path
 
 FRAME = 128 << 10
+#: Bytes of text that a file is meant to hold.
+FILE_BYTES = 64 << 20
 #: Words whose ids a worker remembers.
 CACHE = 500_000
 # Fixed values of the public seekable format: magic numbers of the seek table's frame and footer, and of our index frame.
@@ -128,10 +133,15 @@ class Encoder:
         return out
 
 
+# Schemes that Hadoop has its own names for, and those of the same stores in pyarrow.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
 def _filesystem(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
+    scheme, mark, rest = path.partition("://")
+    return fs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + mark + rest)
 
 
 class Writer:
@@ -144,13 +154,15 @@ class Writer:
         self.stream, self.kind, self.checksum = stream, kind, xxhash.xxh64_intdigest
         self.zstd = zstandard.ZstdCompressor(level=3, write_checksum=True, write_content_size=True)
         self.frames: list[tuple[int, int, int]] = []
-        self.index: list[tuple[int, int, int, int, int]] = []
+        # doc_id, whether it is null, number of ids, frame, place in the frame
+        self.index = [array("q") for _ in range(5)]
         self.parts: list[bytes] = []
         self.size = self.tokens = 0
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         n = len(ids) // self.kind.itemsize
-        self.index.append((0 if doc_id is None else doc_id, doc_id is None, n, len(self.frames), self.size // self.kind.itemsize))
+        for column, value in zip(self.index, (doc_id or 0, doc_id is None, n, len(self.frames), self.size // self.kind.itemsize), strict=True):
+            column.append(value)
         self.parts.append(ids)
         self.size += len(ids)
         self.tokens += n
@@ -167,7 +179,7 @@ class Writer:
     def close(self) -> None:
         if self.parts:
             self._flush()
-        index = self.zstd.compress(self.kind.str.encode().ljust(4) + np.array(self.index, np.int64).reshape(-1, 5).T.tobytes())
+        index = self.zstd.compress(self.kind.str.encode().ljust(4) + b"".join(column.tobytes() for column in self.index))
         self.stream.write(np.array([INDEX_MAGIC, len(index)], "<u4").tobytes() + index)
         table = np.array(self.frames, "<u4").reshape(-1, 3).tobytes()
         footer = np.array([len(self.frames)], "<u4").tobytes() + bytes([0x80]) + np.array([FOOTER_MAGIC], "<u4").tobytes()
@@ -221,10 +233,14 @@ _MANIFEST = "part int, path string, docs long, tokens long"
 def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int = 0, files: int | None = None, order: str = "doc_id") -> DataFrame:
     """Write the token files of docs(doc_id, text) into `folder` in the order of a column; the manifest: (part, path, docs, tokens)."""
     vocabulary = vocabulary or default_vocabulary()
-    files = files or shuffle_partitions(docs.sparkSession)
+    if files is None:
+        size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0] or 0
+        files = size // FILE_BYTES + 1
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *([F.col(order).alias("_order")] if order != "doc_id" else []))
     by = "doc_id" if order == "doc_id" else "_order"
-    rows = rows.repartitionByRange(files, by).sortWithinPartitions(*dict.fromkeys((by, "doc_id")), F.xxhash64("text")).select("doc_id", "text")
+    # the hash splits rows without or of equal ids
+    place = (*dict.fromkeys((by, "doc_id")), F.xxhash64("text"))
+    rows = rows.repartitionByRange(files, *place).sortWithinPartitions(*place).select("doc_id", "text")
 
     def write(batches):
         from pyspark import TaskContext
@@ -247,7 +263,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
             writer.close()
             stream.close()
             fs.move(f"{root}/{name}.tmp", f"{root}/{name}.tok.zst")
-            values = [[task.partitionId()], [f"{folder}/{name}.tok.zst"], [len(writer.index)], [writer.tokens]]
+            values = [[task.partitionId()], [f"{folder}/{name}.tok.zst"], [len(writer.index[0])], [writer.tokens]]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["part", "path", "docs", "tokens"])
 
     return materialise(rows.mapInArrow(write, _MANIFEST), "token-manifest")
