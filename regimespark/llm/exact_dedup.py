@@ -19,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, materialise, semi_join, shuffle_partitions
+from .common import hot_join, materialise, measured, semi_join, shuffle_partitions
 
 SPARE = 12
-#: Rows of a block, and the rows whose fingerprints one owner is meant to hold.
-BLOCK_BITS, OWNED = 16, 1_000_000
+#: Rows whose fingerprints one owner is meant to hold, fingerprints that a message should have, and the fewest and most rows of a block.
+OWNED, MESSAGE = 1_000_000, 16
+SMALL_BLOCK, LARGE_BLOCK = 1 << 16, 1 << 21
 
 
 def golomb_encode(values: np.ndarray, low: int, span: int) -> bytes:
@@ -48,13 +49,21 @@ def golomb_decode(payload: bytes, low: int) -> np.ndarray:
     return low + np.cumsum((quotients << k) + remainders)
 
 
-def suspects(digest: DataFrame, rows: int) -> DataFrame:
+def block_of(rid, rows: int, parts: int, owners: int):
+    """Block of a row id: blocks grow with the owners, so that messages do not get ever shorter, and take several partitions where these are small."""
+    size = min(LARGE_BLOCK, max(SMALL_BLOCK, MESSAGE * owners))
+    together = max(1, size * parts // max(1, rows))
+    part, place = F.shiftright(rid, 33), rid.bitwiseAND(F.lit((1 << 33) - 1))
+    return F.floor(part / F.lit(together)) * F.lit(1 << 20) + F.floor(place / F.lit(size))
+
+
+def suspects(digest: DataFrame, rows: int, parts: int) -> DataFrame:
     """Rows of the digest (rid, doc_id, sha, fp) whose fingerprint another row may share."""
     spark = digest.sparkSession
     bits = min(62, max(20, math.ceil(math.log2(rows + 2)) + SPARE))
     owners = max(shuffle_partitions(spark), math.ceil(rows / OWNED))
     span = -(-(1 << bits) // owners)
-    rows_of = digest.withColumn("fp", F.shiftrightunsigned("fp", 64 - bits)).withColumn("block", F.shiftright("rid", BLOCK_BITS))
+    rows_of = digest.withColumn("fp", F.shiftrightunsigned("fp", 64 - bits)).withColumn("block", block_of(F.col("rid"), rows, parts, owners))
 
     def send(key, table: pd.DataFrame) -> pd.DataFrame:
         fps = np.unique(table["fp"].to_numpy(np.int64))
@@ -88,17 +97,17 @@ def dedupe(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit("")).alias("text")
     sha = F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha")
     digest = docs.select("doc_id", text).select("doc_id", sha, F.xxhash64("text").alias("fp"), F.monotonically_increasing_id().alias("rid"))
-    digest = materialise(digest, "exact-digest")
-    rows = digest.count()
-    found = materialise(suspects(digest, rows), "exact-suspects")
+    digest, seen = measured(digest, "exact-digest", n=F.count(F.lit(1)), parts=F.max(F.shiftright("rid", 33)) + 1)
+    rows = seen["n"]
+    found = materialise(suspects(digest, rows, seen["parts"]), "exact-suspects")
     groups = found.groupBy("sha").agg(F.max(F.struct("doc_id", "rid")).alias("keep"), F.count("*").alias("n")).where("n > 1")
-    groups = materialise(groups, "exact-claims")
+    groups, held = measured(groups, "exact-claims", groups=F.count(F.lit(1)))
     # bytes of the suspects: equal texts combine before the shuffle, in whose tables keys compare byte by byte
-    texts = semi_join(docs.select(text).select("text", sha), groups.select("sha"), ["sha"], 48)
+    texts = semi_join(docs.select(text).select("text", sha), groups.select("sha"), ["sha"], held["groups"])
     seen = texts.groupBy("sha", "text").agg(F.count("*").alias("c")).groupBy("sha").agg(F.sum("c").alias("c"), F.count("*").alias("texts"))
     proven = groups.join(seen, "sha").where((F.col("texts") == 1) & (F.col("c") == F.col("n"))).select("sha", "keep", "n")
-    proven = materialise(proven, "exact-groups")
-    out = hot_join(digest.drop("fp"), proven, ["sha"], "n", rows, ["rid"])
+    proven, held = measured(proven, "exact-groups", top=F.max("n"))
+    out = hot_join(digest.drop("fp"), proven, ["sha"], "n", rows, ["rid"], "left", held["top"])
     alone = F.col("n").isNull()
     return out.select(
         "doc_id",
