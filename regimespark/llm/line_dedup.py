@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, materialise, packed
+from .common import hot_join, measured, packed, semi_join, sieve_join, two_hashes
 
 LG_CONFIG = 11
 #: Relative error of a sketch that is trusted without an exact count: over six times its standard error.
@@ -24,36 +24,39 @@ MARGIN = 0.15
 
 
 def line_keys(docs: DataFrame, site: str) -> DataFrame:
-    """One row for each line of each distinct (text, site): key of the text, position, hash, site."""
+    """One row for each line of each text that is not null: 128 bits each of text and line, position, site, characters."""
+    (tk, t2), (lh, l2) = two_hashes("text"), two_hashes("line")
     rows = docs.where("text IS NOT NULL").select(
-        F.xxhash64("text").alias("tk"), F.octet_length("text").alias("tn"), F.coalesce(F.concat(F.lit("="), F.col(site).cast("string")), F.lit("")).alias("site"),
-        F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"),
+        tk.alias("tk"), t2.alias("t2"), F.coalesce(F.concat(F.lit("="), F.col(site).cast("string")), F.lit("")).alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"),
     )
-    return rows.select("tk", "tn", "site", "pos", F.xxhash64("line").alias("lh"), F.length("line").alias("chars"))
+    return rows.select("tk", "t2", "site", "pos", lh.alias("lh"), l2.alias("l2"), F.length("line").alias("chars"))
 
 
 def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
-    """(lh, n): hashes of lines on at least `min_sites` sites, with their occurrences."""
-    sketched = lines.groupBy("lh").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_CONFIG))).alias("sites"), F.count("*").alias("n"))
-    sketched = materialise(sketched.where(F.col("sites") >= min_sites * (1 - MARGIN)), "line-sketches")
-    sure = sketched.where(F.col("sites") > min_sites * (1 + MARGIN))
-    near = sketched.where(F.col("sites") <= min_sites * (1 + MARGIN))
-    counted = lines.join(near.select("lh"), "lh", "left_semi").groupBy("lh").agg(F.count_distinct("site").alias("exact"))
-    exact = near.join(counted.where(F.col("exact") >= min_sites), "lh", "left_semi")
-    return sure.unionByName(exact).select("lh", "n")
+    """(lh, l2, n): hashes of lines on at least `min_sites` sites, with their occurrences."""
+    line = ["lh", "l2"]
+    sketched = lines.groupBy(*line).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_CONFIG))).alias("sites"), F.count("*").alias("n"))
+    unclear = F.col("sites") <= min_sites * (1 + MARGIN)
+    sketched, seen = measured(sketched.where(F.col("sites") >= min_sites * (1 - MARGIN)), "line-sketches", near=F.sum(unclear.cast("long")))
+    near = sketched.where(unclear)
+    # a line has one row for each of its sites left when it is counted
+    spread = semi_join(lines.select(*line, "site"), near.select(*line), line, seen["near"], once=True).groupBy(*line).agg(F.count_distinct("site").alias("exact"))
+    exact = near.join(spread.where(F.col("exact") >= min_sites), line, "left_semi")
+    return sketched.where(~unclear).unionByName(exact).select(*line, "n")
 
 
 def remove_lines(docs: DataFrame, site: str = "source", min_sites: int = 10, min_chars: int = 1) -> DataFrame:
     """The documents with boilerplate lines removed from text, and n_lines, n_removed beside."""
-    lines = materialise(line_keys(docs, site).where(F.col("chars") >= min_chars).drop("chars"), "lines")
-    found = materialise(boilerplate(lines, min_sites), "boilerplate")
-    hits = hot_join(lines.select("tk", "tn", "pos", "lh"), found, ["lh"], "n", lines.count(), ["tk", "pos"], "inner")
-    per_text = hits.groupBy("tk", "tn").agg(F.sort_array(F.collect_set("pos")).alias("_gone"), F.count("*").alias("rows"))
+    lines, seen = measured(line_keys(docs, site).where(F.col("chars") >= min_chars).drop("chars"), "lines", n=F.count(F.lit(1)))
+    found, held = measured(boilerplate(lines, min_sites), "boilerplate", top=F.max("n"))
+    hits = hot_join(lines.drop("site"), found, ["lh", "l2"], "n", seen["n"], ["tk", "pos"], "inner", held["top"])
+    per_text = hits.groupBy("tk", "t2").agg(F.sort_array(F.collect_set("pos")).alias("_gone"), F.count("*").alias("rows"))
     per_text = per_text.withColumn("copies", (F.col("rows") / F.size("_gone")).cast("long")).drop("rows")
-    per_text = materialise(per_text, "line-removals")
+    per_text, total = measured(per_text, "line-removals", copies=F.sum("copies"), top=F.max("copies"))
     own = ("n_lines", "n_removed")
-    rows = docs.select(packed(docs, *own), F.col("doc_id").alias("_d"), F.xxhash64("text").alias("tk"), F.octet_length("text").alias("tn"))
-    joined = hot_join(rows, per_text, ["tk", "tn"], "copies", docs.count(), ["_d"])
+    tk, t2 = two_hashes("text")
+    rows = docs.select(packed(docs, *own), F.col("doc_id").alias("_d"), tk.alias("tk"), t2.alias("t2"))
+    joined = sieve_join(rows, per_text, ["tk", "t2"], "copies", total["copies"], ["_d"], total["top"])
     parts = F.split("row.text", "\n", -1)
     left = F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: ~F.array_contains("_gone", p["i"]))
     text = F.when(F.col("_gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(left, lambda p: p["x"]), "\n"))
