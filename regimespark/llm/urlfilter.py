@@ -29,7 +29,7 @@ from .common import hot_join, materialise, measured
 
 # The rules of the contract, (verdict, host, path).
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-DAMPING, THRESHOLD, UNSETTLED, EVEN = 0.85, 1.0, 0.05, 1e-9
+DAMPING, THRESHOLD, UNSETTLED, EVEN = 0.85, 1.0, 0.01, 1e-9
 ROUNDS = math.ceil(math.log(UNSETTLED) / math.log(DAMPING))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

@@ -2,9 +2,11 @@
 
 import hashlib
 import itertools
+import math
 import random
+import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from decimal import Context, Decimal
 from fractions import Fraction
 
@@ -328,6 +330,79 @@ def test_language_identification(spark, docs, none):
     assert kept.columns == docs.columns and kept.where("doc_id = 5").count() == 2
 
 
+def brute_posteriors(rows, model):
+    """rows of (text, host, parent, declared, suffix) → (language by text alone, language, confidence), one value at a time."""
+    names = [*model.languages, "und"]
+
+    def softmax(x):
+        e = [math.exp(v - max(x)) for v in x]
+        return [v / sum(e) for v in e]
+
+    def text_logs(text):
+        folded = re.sub(b" +", b" ", bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in utf8(text)))
+        grams = [folded[i : i + 3] for i in range(len(folded) - 2)]
+        at = [(int.from_bytes(g, "big") * 2654435761 % 2**32) >> (32 - langid.BUCKET_BITS) for g in grams]
+        temper = langid.EFFECTIVE / (langid.EFFECTIVE + len(at))
+        return [sum(float(logs[a]) for a in at) * temper for logs in model.logs] + [len(at) * langid.UNKNOWN * temper]
+
+    ll = [text_logs(r[0]) for r in rows]
+    alone = [softmax(x) for x in ll]
+    pick = [a.index(max(a)) if max(a) >= langid.CERTAIN else None for a in alone]
+    world = Counter(p for p in pick if p is not None)
+    total = sum(world.values())
+    seen = [defaultdict(Counter) for _ in range(4)]
+    for r, p in zip(rows, pick, strict=True):
+        if p is not None:
+            for table, value in zip(seen, r[1:], strict=True):
+                table[value][p] += 1
+    out = []
+    for r, x, a, p in zip(rows, ll, alone, pick, strict=True):
+        host, parent, declared, suffix = (table[value] - Counter([p] if p is not None else []) for table, value in zip(seen, r[1:], strict=True))
+        post = []
+        for k in range(len(names)):
+            prior = (world[k] + 1) / (total + len(names))
+            prior = (parent[k] + langid.SMOOTH_HOST * prior) / (sum(parent.values()) + langid.SMOOTH_HOST)
+            prior = (host[k] + langid.SMOOTH_HOST * prior) / (sum(host.values()) + langid.SMOOTH_HOST)
+            score = math.log(prior) + x[k]
+            for table in (declared, suffix):
+                share = (sum(table.values()) + 1) / (total + 1)
+                score += math.log((table[k] + langid.SMOOTH_VALUE * share) / (world[k] + langid.SMOOTH_VALUE))
+            post.append(score)
+        post = softmax(post)
+        out.append((names[a.index(max(a))], names[post.index(max(post))], max(post)))
+    return out
+
+
+def test_fusion_against_brute_force(spark):
+    rng = random.Random(12)
+    kinds = {"xx": ["aba", "bab", "abba"], "yy": ["kuk", "luk", "kul"]}
+    said = lambda k, n: " ".join(rng.choice(kinds[k]) for _ in range(n))
+    model = langid.fit(spark.createDataFrame([(said(k, 30), k) for k in kinds for _ in range(20)], "text string, lang string"))
+    pages = []
+    for i in range(150):
+        k = rng.choice(["xx", "yy"])
+        text = rng.choice([said(k, 20), said("xx", 2) + " " + said("yy", 2), "12 34", "qzv wvq jjq zzx", "é" * 5])
+        url = rng.choice([f"https://{rng.choice('abc')}.{k}.example.{k}/{k}/{i}", f"http://host.{k}/", "no address", None])
+        pages.append((i, url, rng.choice([f'<html lang="{k}"><body>{text}</body></html>', f"<p>{text}</p>", text, None, ""]), "clash", "clash"))
+    pages = spark.createDataFrame(pages, "page_id long, url string, html string, ll string, _pick string")
+    rows = langid.page_rows(pages).collect()
+    want = {r.page_id: w for r, w in zip(rows, brute_posteriors([(r.text, r.host, r.parent, r.declared, r.suffix) for r in rows], model), strict=True)}
+    out = langid.fuse(langid.page_rows(pages).repartition(5), model).collect()
+    assert len(out) == len(want) and len({w[1] for w in want.values()}) == 3
+    for r in out:
+        a, b, c = want[r.page_id]
+        assert (r.text_language, r.language) == (a, b) and abs(r.confidence - c) < 1e-6
+    clash = langid.fuse(langid.page_rows(pages).withColumnRenamed("page_id", "ll"), model)
+    assert clash.columns[0] == "ll" and clash.count() == 150
+    assert langid.fuse(langid.page_rows(pages.limit(0)), model).count() == 0
+
+
+def test_languages_of_a_model_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    rows = [("aba bab", "xx")] * 5 + [("kuk luk", "yy")] * 4 + [(f"mess {i}", f"dirt{i}") for i in range(30)]
+    assert langid.fit(spark.createDataFrame(rows, "text string, lang string")).languages == ["xx", "yy"]
+
+
 def test_language_accuracy_on_held_out_rows(spark, data):
     df = spark.read.parquet(f"{data}/documents.parquet")
     model = langid.fit(df.where("doc_id % 2 = 0"))
@@ -610,3 +685,106 @@ def test_token_files_of_the_pipeline_are_in_the_mixed_order(spark):
     out = sorted(corpus_pipeline.token_files(spark, stored, "").collect(), key=lambda r: r.start)
     assert [r.doc_id for r in out] == mixed
     assert mixed != sorted(mixed) and max(map(mixed.count, mixed)) > 1
+
+
+# the pipeline --------------------------------------------------------------------------------
+
+
+def brute_least(rows, width=5, percent=80):
+    """Least doc_id of each document's component, documents being (doc_id, text)."""
+    sets = []
+    for _, t in rows:
+        ws = [w for w in re.split(b"[\x20\x09-\x0d]+", bytes(b + 32 if 65 <= b <= 90 else b for b in utf8(t))) if w]
+        sets.append({tuple(ws[i : i + width]) for i in range(max(1, len(ws) - width + 1))} if ws else set())
+    label = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+            a, b = label[i], label[j]
+            label = [a if x == b else x for x in label]
+    least = {x: min(rows[i][0] for i in range(len(rows)) if label[i] == x) for x in set(label)}
+    return [least[x] for x in label]
+
+
+def pipeline_rows():
+    rng = random.Random(21)
+    kinds = {"xx": [a + b for a in ("ba", "do", "mi") for b in ("ra", "lo", "nu", "ti")], "yy": [a + b for a in ("kek", "zug", "vix") for b in ("sh", "pf", "tz", "ck")]}
+    said = lambda k, n: " ".join(rng.choice(kinds[k]) for _ in range(n))
+    item = said("xx", 40)
+    rows = [(i, said(k, rng.randint(20, 60)), k, "large" if i % 5 else None) for i in range(120) for k in (("xx", "yy")[i % 2],)]
+    base = said("yy", 80)
+    rows += [(200, base, "yy", "s"), (201, base, "yy", "s"), (202, base + " end", "yy", "large"), (203, base.upper(), None, "s")]
+    rows += [(300, said("xx", 60) + " " + item + " " + said("xx", 60), "xx", "s"), (301, item, "xx", "s"), (302, "qqj wwq " * 30, None, "s")]
+    rows += [(400, None, "xx", "s"), (401, "", "yy", "s"), (402, None, None, None), (403, "x", "xx", "s")]
+    rows += [rows[3], rows[3]]
+    return rows, item
+
+
+def test_pipeline_against_brute_force(spark, tmp_path, none):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rows, item = pipeline_rows()
+    schema = "doc_id long, text string, lang string, source string, n_chars long, found string, copies string, `row` string, mix_key string, kept string, ll string"
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), *"abcdef") for r in rows], schema).repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("b1", item)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    held, out = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, held, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        held = spark.read.parquet(f"{tmp_path}/{k}")
+        out[name] = held.collect()
+        if k < 4:
+            assert held.columns == docs.columns and all(tuple(r)[5:] == tuple("abcdef") for r in out[name])
+
+    # language: what is likelier no fitted language than any goes
+    model = langid.fit(docs)
+    judged = brute_posteriors([(r[1], r[3], None, r[2], None) for r in rows], model)
+    want = Counter(r for r, (_, language, p) in zip(rows, judged, strict=True) if language != "und" and p >= 0.5)
+    assert Counter((r.doc_id, r.text, r.lang, r.source) for r in out["language"]) == want and 302 not in {r[0] for r in want}
+    # near-duplicates: the least id of each component stays, once
+    kept = sorted(want, key=str)
+    least = brute_least([(r[0], r[1]) for r in kept])
+    want = {r for r, c in zip(kept, least, strict=True) if r[0] == c}
+    assert Counter((r.doc_id, r.text, r.lang, r.source) for r in out["near_duplicates"]) == Counter(want)
+    assert not {201, 202, 203} & {r[0] for r in want} and 200 in {r[0] for r in want}
+    # benchmark: matching spans go, and documents that mostly consist of them
+    clean = {r.doc_id: r for r in out["benchmark"]}
+    for r in want:
+        n, hit, _ = brute_decontam(r[1], [("b1", item)])
+        assert (r[0] in clean) == (hit <= n / 2)
+        if r[0] in clean:
+            left = decontam.words(utf8(clean[r[0]].text))
+            assert len(left) == n - hit and clean[r[0]].n_chars == len(clean[r[0]].text or "") and (hit or clean[r[0]].text == r[1])
+    assert 301 not in clean and item not in clean[300].text and len(clean) == len(out["benchmark"])
+    # mixture: each source's rate, the inverse distribution at a hash
+    size = Counter()
+    for r in clean.values():
+        size[r.source] += len(utf8(r.text)) + 16
+    whole, roots = sum(size.values()), sum(math.sqrt(x) for x in size.values())
+    counts = Counter()
+    for r in clean.values():
+        rate = math.sqrt(size[r.source]) / roots * whole / size[r.source]
+        u = int(hashlib.md5(f"17|{r.doc_id}|{hashlib.md5(utf8(r.text)).hexdigest()}".encode()).hexdigest()[:13], 16) / 2**52
+        p = total = math.exp(-rate)
+        while total <= u:
+            counts[r.doc_id] += 1
+            p *= rate / counts[r.doc_id]
+            total += p
+    assert Counter(r.doc_id for r in out["mixture"]) == counts and len(set(counts.values())) > 1
+    # token files: the library's ids of every copy, in an order that is not the ids'
+    import public_tokenizers
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    last, start = sorted(out["token_files"], key=lambda r: r.start), 0
+    assert Counter(r.doc_id for r in last) == counts and [r.doc_id for r in last] != sorted(r.doc_id for r in last)
+    for r in last:
+        ids = np.array([*tokenizer.encode(clean[r.doc_id].text or "", add_special_tokens=False).ids, 0], "<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(tuple, last))
+
+    # an empty table passes all stages
+    held = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        held = stage(spark, held, str(tmp_path))
+        assert held.count() == 0
