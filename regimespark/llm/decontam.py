@@ -178,7 +178,7 @@ def _scan(a: Automaton, data: bytes):
 
 
 def _texts(column):
-    return [x.as_py() or b"" for x in column.cast(pa.large_binary())]
+    return (x.as_py() or b"" for x in column.cast(pa.large_binary()))
 
 
 def _block_hits(batches, shipped):
@@ -204,14 +204,10 @@ def _judged(batches, kept, shipped=None):
     for batch in batches:
         row = batch.column("row")
         fields = {f.name: row.field(i) for i, f in enumerate(row.type)}
-        texts = _texts(fields["text"])
-        if a is not None:
-            found = [_scan(a, data) for data in texts]
-        else:
-            hits, items = batch.column("hits").to_pylist(), batch.column("items").to_pylist()
-            found = [(len(words(data)), list(zip(h[::2], h[1::2], strict=True)) if h else [], set(i or ())) for data, h, i in zip(texts, hits, items, strict=True)]
+        along = zip(batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True) if a is None else [(None, None)] * len(batch)
         out = []
-        for data, (n, hits, got) in zip(texts, found, strict=True):
+        for data, (h, some) in zip(_texts(fields["text"]), along, strict=True):
+            n, hits, got = _scan(a, data) if a is not None else (len(words(data)), list(zip(h[::2], h[1::2], strict=True)) if h else [], set(some or ()))
             flat = [x for r in merged(hits) for x in r]
             out.append((n, flat, sorted(x for x in got if x is not None), without_spans(data, flat) if flat else None))
         columns = zip(*out, strict=True) if out else [()] * 4

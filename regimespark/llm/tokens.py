@@ -20,7 +20,6 @@ that does not read as such raises an error; an empty table gives no rows; other
 
 from __future__ import annotations
 
-import json
 import os
 import sys
 import types
@@ -35,10 +34,10 @@ from pyspark.sql import functions as F
 from .common import materialise, new_path
 
 FRAME = 128 << 10
-#: Bytes of text that a file is meant to hold.
-FILE_BYTES = 64 << 20
+#: Bytes of text that a file is meant to hold; a task sorts and writes one file.
+FILE_BYTES = 16 << 20
 #: Words whose ids a worker remembers.
-CACHE = 500_000
+CACHE = 200_000
 # Fixed values of the public seekable format: magic numbers of the seek table's frame and footer, and of our index frame.
 SEEK_MAGIC, FOOTER_MAGIC, INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 # Fixed value: the split of byte-level BPE with its standard expression.
@@ -84,12 +83,12 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        spec = json.loads(self.tokenizer.to_str())
-        pre = spec.get("pre_tokenizer") or {}
-        self.by_word = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-        self.special = [t["content"] for t in spec.get("added_tokens") or ()]
+        pre = self.tokenizer.pre_tokenizer
+        self.by_word = self.tokenizer.normalizer is None and isinstance(pre, ByteLevel) and not pre.add_prefix_space and pre.use_regex
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([end], self.kind).tobytes()
         self.find = regex.compile(SPLIT).findall
