@@ -47,19 +47,19 @@ def poisson_steps(rate: float) -> tuple[int, np.ndarray]:
     return low, np.minimum(np.cumsum(mass / mass.sum()), 1.0)
 
 
-def poisson_counts(rates: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    """The counts at which the distributions of the given rates reach the given numbers in [0, 1)."""
-    out = np.zeros(len(rates), np.int64)
-    distinct, back = np.unique(rates, return_inverse=True)
-    for k, rate in enumerate(distinct.tolist()):
-        low, steps = poisson_steps(rate)
-        mine = back == k
-        out[mine] = low + np.searchsorted(steps, numbers[mine], "right")
-    return out
+def poisson_count(rate, low, first, number):
+    """The count at which the distribution reaches a number in [0, 1), from P(count = low) = first upward, as poisson_steps has them."""
+    start = F.struct(F.lit(0.0).alias("below"), first.alias("p"), low.alias("n"))
+
+    def step(a, k):
+        total = a["below"] + a["p"]
+        return F.struct(total.alias("below"), (a["p"] * rate / (k + 1)).alias("p"), (a["n"] + F.when(total <= number, 1).otherwise(0)).alias("n"))
+
+    return F.aggregate(F.sequence(low, (rate + F.sqrt(rate) * 12 + 40).cast("long")), start, step, lambda a: a["n"])
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, temper: float = 0.5, epochs: float = 1.0) -> DataFrame:
-    """(src, rows, bytes, rate): repetition rate of each source."""
+    """(src, rows, bytes, rate, low, first): repetition rate of each source, and where its distribution starts."""
     sizes = docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.count("*").alias("rows"), F.sum(_mass()).alias("bytes"))
     sizes = materialise(sizes, "mix-sizes")
     if weights is None:
@@ -69,8 +69,9 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temper: floa
         weighed = sizes.join(given, sizes["source"].eqNullSafe(given["source"]), "left").select(sizes["*"], F.coalesce("w", F.lit(0.0)).alias("w"))
     total = weighed.agg(F.sum("bytes").alias("b"), F.sum("w").alias("w")).first()
     budget, mass = (total.b or 0) * epochs, total.w or 1.0
+    start = F.pandas_udf(lambda r: pd.DataFrame([(low, steps[0]) for low, steps in map(poisson_steps, r)], columns=["low", "first"]), "low long, first double")
     rated = weighed.withColumn("rate", F.col("w") / F.lit(mass) * F.lit(budget) / F.col("bytes"))
-    return rated.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("src"), "rows", "bytes", "rate")
+    return rated.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("src"), "rows", "bytes", "rate", start("rate").alias("start")).select("src", "rows", "bytes", "rate", "start.*")
 
 
 def uniform(seed: int, *columns):
@@ -93,13 +94,12 @@ def copies(docs: DataFrame, weights: dict[str, float] | None = None, temper: flo
     rated, seen = measured(rates(docs, weights, temper, epochs), "mix-rates", rows=F.sum("rows"), sources=F.count(F.lit(1)), top=F.max("rows"), width=F.max(F.length("src")))
     src = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
     keyed = docs.select(packed(docs), src.alias("src"), F.col("doc_id").alias("_d"), draw(seed).alias("_u"))
-    table = rated.select("src", "rows", "rate")
+    table = rated.select("src", "rows", "rate", "low", "first")
     if seen["sources"] * (KEY_BYTES + 4 * seen["width"]) <= BROADCAST_BYTES:
         joined = keyed.join(F.broadcast(table), "src")
     else:
         joined = hot_join(keyed, table, ["src"], "rows", seen["rows"], ["_d"], "inner", seen["top"])
-    count = F.pandas_udf(lambda r, u: pd.Series(poisson_counts(r.to_numpy(), u.to_numpy())), "long")
-    counted = joined.withColumn("copies", count("rate", "_u"))
+    counted = joined.withColumn("copies", poisson_count(F.col("rate"), F.col("low"), F.col("first"), F.col("_u")))
     return counted.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).select("row", "copies", "copy", "rate", _key(seed).alias("mix_key"), "_d")
 
 
