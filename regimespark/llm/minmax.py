@@ -188,10 +188,11 @@ def _stars(member: DataFrame, pivots: DataFrame, crowd: int, most: int, percent:
 
 
 def rarest_shared(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, label, n, sketch, h): for members of rest(node, label, n, sketch) that may be linked with another component, the rarest of their shingles that occur in others.
+    """(node, label, n, sketch, h, more): for members of rest(node, label, n, sketch) that may be linked with another component, the rarest of their shingles that occur in others.
 
     A link needs percent of the shingles of either set in the other, all of which occur in two components. Of m such shingles
-    and k needed, the rarest of those in common is among the first m - k + 1, for both sets alike.
+    and k needed, the rarest of those in common is among the first m - k + 1, for both sets alike. From there on, two sets can
+    have no more in common than `more`, the shingles that are left in either.
     """
     shingles, all_of = measured(rest.select("node", "label").join(sets.hint("shuffle_hash"), "node").select("node", "label", F.explode("shingles").alias("h")), "near-shingles", n=F.count(F.lit(1)))
     shared = shingles.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("h", "c")
@@ -199,14 +200,15 @@ def rarest_shared(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     met = hot_join(shingles.select("node", "h"), shared, ["h"], "c", all_of["n"], ["node"], "inner", most["c"])
     own = met.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("own")).join(rest, "node")
     spare = F.size("own") - F.ceil(F.col("n") * F.lit(percent) / F.lit(100)).cast("int")
-    return own.where(spare >= 0).select("node", "label", "n", "sketch", F.explode(F.slice("own", F.lit(1), spare + 1)).alias("s")).select("node", "label", "n", "sketch", "s.h")
+    return own.where(spare >= 0).select("node", "label", "n", "sketch", F.size("own").alias("m"), F.posexplode(F.slice("own", F.lit(1), spare + 1)).alias("at", "s")).select("node", "label", "n", "sketch", "s.h", (F.col("m") - F.col("at")).alias("more"))
 
 
 def _crossings(rest: DataFrame, sets: DataFrame, percent: int, bands: int) -> tuple[DataFrame, int]:
     """Pairs (node, p) of classes of different components that may be linked, and their number."""
     rare = materialise(rarest_shared(rest, sets, percent), "near-rare")
-    one, two = (rare.select("h", *(F.col(x).alias(x + s) for x in ("node", "label", "n", "sketch"))) for s in "12")
-    apart = (F.col("node1") < F.col("node2")) & (F.col("label1") != F.col("label2"))
+    one, two = (rare.select("h", *(F.col(x).alias(x + s) for x in ("node", "label", "n", "sketch", "more"))) for s in "12")
+    enough = F.least("more1", "more2") * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent
+    apart = (F.col("node1") < F.col("node2")) & (F.col("label1") != F.col("label2")) & enough
     cross = one.join(two, "h").where(apart & _plausible(F.col("n1"), F.col("n2"), F.col("sketch1"), F.col("sketch2"), percent, bands))
     cross, got = measured(cross.select(F.col("node1").alias("node"), F.col("node2").alias("p")).distinct(), "near-cross", n=F.count(F.lit(1)))
     return cross, got["n"]
