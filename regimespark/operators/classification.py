@@ -57,12 +57,13 @@ def per_class(df: DataFrame) -> DataFrame:
 
 def threshold_sweep(df: DataFrame, first: float = 0.34, step: float = 0.02, count: int = 24) -> DataFrame:
     """Coverage and precision at each of a fixed list of thresholds, from p_long, p_short and label."""
-    table = df.sparkSession.createDataFrame([(first + i * step,) for i in range(count)], "threshold double")
-    p, q, t = F.col("p_long"), F.col("p_short"), F.col("threshold")
-    rows = df.select("p_long", "p_short", "label").crossJoin(F.broadcast(table))
-    rows = rows.withColumn("s", F.when((q >= t) & (q > p), -1).when((p >= t) & (p >= q), 1).otherwise(0))
-    taken = F.col("s") != 0
-    return rows.groupBy(F.round("threshold", 3).alias("threshold")).agg(
-        F.avg(taken.cast("double")).alias("signal_rate"), F.count(F.when(taken, 1)).alias("signals"), F.avg(F.when(taken, F.coalesce((F.col("label") == F.col("s")).cast("double"), F.lit(0.0)))).alias("directional_precision"),
-        F.avg(F.when(taken, F.coalesce(((F.col("label") != 0) & (F.col("label") == -F.col("s"))).cast("double"), F.lit(0.0)))).alias("sign_error_rate"),
-    )
+    p, q, label = (F.coalesce(F.col(c), F.lit(d)) for c, d in (("p_long", -1.0), ("p_short", -1.0), ("label", 9)))
+    side = F.when(q > p, -1).otherwise(1)
+    rows = df.select(F.greatest(p, q).alias("top"), (label == side).alias("hit"), ((label != 0) & (label == -side)).alias("miss"))
+    levels = [first + i * step for i in range(count)]
+    taken = [F.col("top") >= t for t in levels]
+    # one scan: three counts for each threshold
+    counts = rows.agg(F.count("*").alias("n"), F.array(*(F.struct(F.lit(round(t, 3)).alias("threshold"), F.count_if(x).alias("taken"), F.count_if(x & F.col("hit")).alias("hits"), F.count_if(x & F.col("miss")).alias("misses")) for t, x in zip(levels, taken, strict=True))).alias("at"))
+    found = counts.where("n > 0").select("n", F.inline("at"))
+    share = lambda c: F.col(c) / F.nullif(F.col("taken"), F.lit(0))
+    return found.select("threshold", (F.col("taken") / F.col("n")).alias("signal_rate"), F.col("taken").alias("signals"), share("hits").alias("directional_precision"), share("misses").alias("sign_error_rate"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# The names of the metrics.
 TRADE_METRICS = ["trades", "trade_win_rate", "avg_win", "avg_loss", "avg_trade_bars", "payoff_ratio"]
 METRICS = [
     "total_return", "cagr", "annualised_volatility", "sharpe", "sortino", "calmar", "max_drawdown", "longest_drawdown_bars", "profit_factor", "hit_rate", "skew", "kurtosis",
@@ -72,8 +73,17 @@ def stacked(named: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.withColumn("name", F.lit(n)) for n, df in named.items()])
 
 
+#: How metrics are shown: shares in percent with two decimals, counts without, ratios with three.
+PERCENT = {"total_return", "cagr", "annualised_volatility", "max_drawdown", "hit_rate", "var_95", "cvar_95", "exposure", "trade_win_rate", "avg_win", "avg_loss"}
+COUNTS = {"bars", "trades", "longest_drawdown_bars"}
+
+
 def formatted(metrics: DataFrame) -> DataFrame:
-    """Metrics as display strings: shares in percent, others with two decimals."""
-    percent = {"total_return", "cagr", "annualised_volatility", "max_drawdown", "hit_rate", "var_95", "cvar_95", "exposure", "trade_win_rate", "avg_win", "avg_loss"}
-    shown = [F.when(F.col(m).isNull(), "n/a").otherwise(F.concat(F.format_number(F.col(m) * 100, 2), F.lit("%")) if m in percent else F.format_number(m, 2)).alias(m) for m in METRICS]
-    return metrics.select("symbol", *shown)
+    """Metrics as display strings; what is missing or not finite is n/a."""
+
+    def shown(m: str):
+        value = F.col(m).cast("double")
+        text = F.format_string("%.2f%%", value * 100) if m in PERCENT else F.format_string("%,.0f" if m in COUNTS else "%.3f", value)
+        return F.when(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), "n/a").otherwise(text).alias(m)
+
+    return metrics.select("symbol", *map(shown, METRICS))

@@ -38,7 +38,7 @@ SPECS = {
     "hist_gradient_boosting": Spec("Histogram gradient boosting", {"maxIter": 400, "maxDepth": 6, "stepSize": 0.05}),
     "xgboost": Spec("XGBoost", {"maxIter": 500, "maxDepth": 5, "stepSize": 0.03}, requires="xgboost", built=False),
     "lightgbm": Spec("LightGBM", {"maxIter": 500, "maxDepth": 5, "stepSize": 0.03}, requires="lightgbm", built=False),
-    "mlp": Spec("Multilayer perceptron", {"layers": [64, 32], "maxIter": 100}, scaled=True),
+    "mlp": Spec("Multilayer perceptron", {"layers": [64, 32], "maxIter": 400}, scaled=True),
     "lstm": Spec("LSTM", {"lookback": 24}, scaled=True, requires="tensorflow", built=False),
     "gru": Spec("GRU", {"lookback": 24}, scaled=True, requires="tensorflow", built=False),
 }
@@ -90,7 +90,7 @@ class Learner:
         p, common = dict(self.params), {"featuresCol": "_v", "labelCol": "_y"}
         name = self.config.name
         if name == "logistic":
-            return LogisticRegression(family="multinomial", regParam=1 / (p["C"] * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=p.get("maxIter", 100), weightCol="weight", **common)
+            return LogisticRegression(family="multinomial", regParam=1 / (p["C"] * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=p.get("maxIter", 2000), weightCol="weight", **common)
         if name == "random_forest":
             return RandomForestClassifier(seed=self.seed, weightCol="weight", **p, **common)
         if name == "mlp":

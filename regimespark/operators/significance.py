@@ -68,22 +68,33 @@ def deflated_sharpe(returns: DataFrame, trials: int, trial_std: float | None = N
 def bootstrap_sharpes(returns: DataFrame, samples: int = 1000, bars_per_year: int = 6_240, mean_block: float | None = None, seed: int = 7) -> DataFrame:
     """(symbol, rep, sharpe) of stationary bootstrap replicates: blocks of geometric length, wrapping round.
 
-    The draws are hashes of (seed, symbol, rep, i), so a run is repeatable however it is split.
-    Each replicate has the length of its series, which the replicates share by a join.
+    Each block is one row, whose start and length are hashes of (seed, symbol, rep, k), so a run is repeatable however it is
+    split. Its sums are differences of running sums, so that no replicate is written out bar by bar. The last block that is
+    drawn fills what is left of the series; that there would be more has a chance below 1e-20.
     """
     p = 1 / (mean_block or max(5.0, bars_per_year / 260 * 20))
+    fade = math.log1p(-p) if p < 1 else -math.inf
     rows = numbered(returns.where("strategy_return IS NOT NULL")).select("symbol", "rn", F.col("strategy_return").alias("r"))
-    sizes = rows.groupBy("symbol").agg(F.count("*").alias("n")).where("n >= 50")
-    reps = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    grid = reps.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    h = F.xxhash64(F.lit(seed), "symbol", "rep", "i")
-    draw = F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))
-    fresh = F.when((F.col("i") == 0) | (draw < p), F.struct(F.pmod(F.xxhash64(h), F.col("n")).alias("at"), F.col("i").alias("since")))
-    w = Window.partitionBy("symbol", "rep").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    grid = grid.withColumn("s", F.last(fresh, ignorenulls=True).over(w))
-    picked = grid.select("symbol", "rep", F.pmod(F.col("s.at") + F.col("i") - F.col("s.since"), F.col("n")).alias("rn")).join(rows, ["symbol", "rn"])
-    root = float(bars_per_year) ** 0.5
-    return picked.groupBy("symbol", "rep").agg((F.avg("r") / F.nullif(F.stddev_pop("r"), F.lit(0.0)) * root).alias("sharpe"))
+    sizes = rows.groupBy("symbol").agg(F.count("*").alias("n"), F.sum("r").alias("t1"), F.sum(F.col("r") * F.col("r")).alias("t2")).where("n >= 50")
+    before = Window.partitionBy("symbol").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.select("symbol", "rn", *(F.coalesce(F.sum(x).over(before), F.lit(0.0)).alias(c) for x, c in ((F.col("r"), "s1"), (F.col("r") * F.col("r"), "s2"))))
+    most = F.ceil(F.col("n") * p + F.sqrt(F.col("n") * p) * 12 + 40).cast("long")
+    blocks = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("most", most).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), "most")))
+    h = F.xxhash64(F.lit(seed), "symbol", "rep", "k")
+    length = F.least(F.col("n"), 1 + F.floor(F.log(1 - F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))) / F.lit(fade)))
+    blocks = blocks.withColumn("at", F.pmod(F.xxhash64(h), F.col("n"))).withColumn("len", F.when(F.col("k") == F.col("most"), F.col("n")).otherwise(length))
+    order = Window.partitionBy("symbol", "rep").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("done", F.coalesce(F.sum("len").over(order), F.lit(0))).where("done < n")
+    blocks = blocks.withColumn("end", F.col("at") + F.least("len", F.col("n") - F.col("done")))
+    first = sums.select("symbol", F.col("rn").alias("at"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
+    last = sums.select("symbol", F.col("rn").alias("to"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
+    summed = blocks.withColumn("to", F.pmod("end", "n")).join(first, ["symbol", "at"]).join(last, ["symbol", "to"])
+    total = [F.sum(F.floor(F.col("end") / F.col("n")) * F.col(f"t{x}") + F.col(f"b{x}") - F.col(f"a{x}")) for x in (1, 2)]
+    found = summed.groupBy("symbol", "rep").agg((total[0] / F.first("n")).alias("mean"), (total[1] / F.first("n")).alias("square"))
+    spread = F.col("square") - F.col("mean") * F.col("mean")
+    # a spread of 0 but for the last bits has no ratio
+    sharpe = F.when(spread > F.col("square") * 1e-13, F.col("mean") / F.sqrt(spread) * float(bars_per_year) ** 0.5)
+    return found.select("symbol", "rep", sharpe.alias("sharpe"))
 
 
 def bootstrap_interval(returns: DataFrame, samples: int = 1000, level: float = 0.95, bars_per_year: int = 6_240, mean_block: float | None = None, seed: int = 7) -> DataFrame:

@@ -566,15 +566,20 @@ def _(spark, d):
 
 @register("regime_kmeans")
 def _(spark, d):
-    df = described(spark, d).persist()  # a fit reads it once for each restart
-    model = regimes.KMeansRegimes().fit(df)
+    df = described(spark, d)
+    held = df.persist()  # a fit reads it once for each restart
+    model = regimes.KMeansRegimes().fit(held)
+    held.unpersist()
     return regimes.named(model.predict(df), model.names).select("symbol", "ts", "regime", "regime_name")
 
 
 @register("regime_gmm")
 def _(spark, d):
-    df = described(spark, d).persist()
-    return regimes.MixtureRegimes().fit(df).posterior(df).select("symbol", "ts", "posterior")
+    df = described(spark, d)
+    held = df.persist()
+    model = regimes.MixtureRegimes().fit(held)
+    held.unpersist()
+    return model.posterior(df).select("symbol", "ts", "posterior")
 
 
 # ---------------------------------------------------------------- classification

@@ -14,7 +14,7 @@ ALIASES = {
 }
 # Time formats that are tried in turn.
 FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy.MM.dd HH:mm:ss", "yyyy.MM.dd HH:mm", "yyyy/MM/dd HH:mm:ss", "dd/MM/yyyy HH:mm", "yyyy-MM-dd", "yyyy.MM.dd", "yyyyMMdd"]
-#: symbol_timeframe, perhaps with first and last day; a file, or a folder that Spark has written.
+# Fixed value: the form of file names; symbol_timeframe, perhaps with first and last day; a file, or a folder that Spark has written.
 FILE_NAME = r"(?i)(?:^|/)([A-Za-z0-9]+)_([A-Za-z0-9]+)(?:_(\d{8})_(\d{8}))?[^/]*\.csv(?:/part-[^/]*\.csv)?$"
 
 

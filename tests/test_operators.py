@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -300,3 +301,24 @@ def test_streams_equal_batches(spark, tmp_path, series):
 
 def test_numbered(series):
     assert numbered(series).groupBy("symbol").agg(F.max("rn")).where("symbol = 'B'").first()[1] == 299
+
+
+def test_metrics_are_shown_by_kind(spark):
+    row = dict.fromkeys(metrics.METRICS, 0.12345) | {"bars": 12345.0, "trades": 7.0, "sortino": float("inf"), "calmar": None, "skew": float("nan"), "sharpe": 1234.5678}
+    row = {k: None if v is None else float(v) for k, v in row.items()}
+    schema = "symbol string, " + ", ".join(f"{m} double" for m in metrics.METRICS)
+    out = metrics.formatted(spark.createDataFrame([("A", *(row[m] for m in metrics.METRICS))], schema)).first()
+    assert (out.total_return, out.bars, out.trades, out.sharpe, out.payoff_ratio) == ("12.35%", "12,345", "7", "1234.568", "0.123")
+    assert (out.sortino, out.calmar, out.skew) == ("n/a", "n/a", "n/a")
+
+
+def test_bootstrap_blocks_against_drawn_series(spark):
+    rng = np.random.default_rng(3)
+    r = rng.normal(0.001, 0.01, 400)
+    rows = spark.createDataFrame([("A", i, float(x)) for i, x in enumerate(r)], "symbol string, t long, strategy_return double").selectExpr("symbol", "cast(timestamp_seconds(t) as timestamp_ntz) AS ts", "strategy_return")
+    out = significance.bootstrap_sharpes(rows, 400, 10_000, mean_block=10).toPandas()["sharpe"]
+    mean, spread = r.mean() / r.std() * 100, math.sqrt(10_000 / 400)
+    assert len(out) == 400 and abs(out.mean() - mean) < 3 * spread / math.sqrt(100) and 0.6 * spread < out.std() < 1.6 * spread
+    whole = significance.bootstrap_sharpes(rows, 5, 10_000, mean_block=1e9).toPandas()["sharpe"]
+    assert np.allclose(whole, mean)  # one block that wraps round is the series itself
+    assert len(significance.bootstrap_sharpes(rows, 50, 10_000, mean_block=1).toPandas()) == 50
