@@ -93,8 +93,8 @@ def zscore(x: Column | str, k: int) -> Column:
 def percent_rank(x: Column | str, k: int) -> Column:
     """Average-tie rank of the last value among the last k, divided by k. `x` must be a column of the frame."""
     seen = F.collect_list(c(x)).over(trailing(k))
-    below, same = F.size(F.filter(seen, lambda v: v < c(x))), F.size(F.filter(seen, lambda v: v == c(x)))
-    return full((below + (same + 1) / 2.0) / k, x, k)
+    twice = F.aggregate(seen, F.lit(1), lambda n, v: n + F.when(v < c(x), 2).when(v == c(x), 1).otherwise(0))
+    return full(twice / 2.0 / k, x, k)
 
 
 #: Rows of an exponential block; smoothing above FAST uses shorter ones, lest powers overflow.

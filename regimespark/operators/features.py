@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.windows import ffill, lag, numbered, percent_rank, ratio, rolling, rolling_corr, rolling_kurt, rolling_skew, trailing, zscore
+from ..functions.windows import ewm, ffill, lag, numbered, percent_rank, ratio, rolling, rolling_corr, rolling_kurt, rolling_skew, span, trailing, zscore
 from . import indicators as ind
 
 OHLCV = ["symbol", "ts", "open", "high", "low", "close", "volume"]
@@ -37,7 +37,12 @@ def returns_block(df: DataFrame, horizons=HORIZONS) -> DataFrame:
 
 
 def trend_block(df: DataFrame, windows=TREND_WINDOWS) -> DataFrame:
-    out = ind.hurst(ind.macd(ind.directional_index(ind.ema(ind.atr(df), *windows))))
+    # two levels of means, each by one sort: of the bars, then of what follows from these
+    out, means = ind.movements(df)
+    out = ewm(out, [*means, *((f"ema_{w}", "close", span(w), 0) for w in windows), ("_fast", "close", span(12), 0), ("_slow", "close", span(26), 0)])
+    out = ind.direction(out).withColumn("macd_line", F.col("_fast") - F.col("_slow"))
+    out = ewm(out, [("adx_14", "_dx", 1 / 14, 14), ("macd_signal", "macd_line", span(9), 0)])
+    out = ind.hurst(out.withColumn("macd_hist", F.col("macd_line") - F.col("macd_signal")))
     cols = {}
     for w in windows:
         cols[f"ema_{w}_dist_atr"] = (F.col("close") - F.col(f"ema_{w}")) / _atr14()
@@ -59,8 +64,7 @@ def momentum_block(df: DataFrame) -> DataFrame:
 
 def volatility_block(df: DataFrame, windows=VOL_WINDOWS) -> DataFrame:
     out = ind.bollinger(ind.parkinson_volatility(ind.realised_volatility(df, *windows), *windows))
-    for w in dict.fromkeys([14, *windows]):
-        out = ind.atr(out, w)
+    out = ind.atr(out, *dict.fromkeys([14, *windows]))
     # windows of the same closes in another order have the same width
     out = out.withColumn("_width", F.round("bb_width", 10))
     short, long = min(windows), max(windows)

@@ -16,11 +16,12 @@ def true_range(df: DataFrame) -> DataFrame:
     return df.withColumn("true_range", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
 
 
-def atr(df: DataFrame, window: int = 14) -> DataFrame:
-    name = f"atr_{window}"
-    if name in df.columns:
+def atr(df: DataFrame, *windows: int) -> DataFrame:
+    """atr_w for each window (14 if none is given), all by one sort."""
+    missing = [w for w in windows or (14,) if f"atr_{w}" not in df.columns]
+    if not missing:
         return df
-    out = ewm(df if "true_range" in df.columns else true_range(df), [(name, "true_range", 1 / window, window)])
+    out = ewm(df if "true_range" in df.columns else true_range(df), [(f"atr_{w}", "true_range", 1 / w, w) for w in missing])
     return out if "true_range" in df.columns else out.drop("true_range")
 
 
@@ -66,13 +67,21 @@ def directional_index(df: DataFrame, window: int = 14) -> DataFrame:
     """plus_di, minus_di and adx; movements of the first bar count as 0."""
     if "adx_14" in df.columns and window == 14:
         return df
+    df = direction(ewm(*movements(df, window)), window)
+    return ewm(df, [(f"adx_{window}", "_dx", 1 / window, window)]).drop("_dx")
+
+
+def movements(df: DataFrame, window: int = 14):
+    """df with the movements that directions rest on, and the means that they need."""
     up, down = F.col("high") - lag("high"), lag("low") - F.col("low")
-    df = df.withColumns({"_up": F.when((up > down) & (up > 0), up).otherwise(0.0), "_down": F.when((down > up) & (down > 0), down).otherwise(0.0)})
-    df = ewm(df, [("_pu", "_up", 1 / window, window), ("_pd", "_down", 1 / window, window)])
-    df = atr(df, window)
+    out = (df if "true_range" in df.columns else true_range(df)).withColumns({"_up": F.when((up > down) & (up > 0), up).otherwise(0.0), "_down": F.when((down > up) & (down > 0), down).otherwise(0.0)})
+    return out, [("_pu", "_up", 1 / window, window), ("_pd", "_down", 1 / window, window), (f"atr_{window}", "true_range", 1 / window, window)]
+
+
+def direction(df: DataFrame, window: int = 14) -> DataFrame:
+    """plus_di, minus_di and _dx, of which adx is the mean, from the means of movements."""
     df = df.withColumns({"plus_di": 100 * ratio("_pu", f"atr_{window}"), "minus_di": 100 * ratio("_pd", f"atr_{window}")})
-    df = df.withColumn("_dx", 100 * ratio(F.abs(F.col("plus_di") - F.col("minus_di")), F.col("plus_di") + F.col("minus_di")))
-    return ewm(df, [(f"adx_{window}", "_dx", 1 / window, window)]).drop("_up", "_down", "_pu", "_pd", "_dx")
+    return df.withColumn("_dx", 100 * ratio(F.abs(F.col("plus_di") - F.col("minus_di")), F.col("plus_di") + F.col("minus_di"))).drop("_up", "_down", "_pu", "_pd")
 
 
 def bollinger(df: DataFrame, window: int = 20, n_std: float = 2.0) -> DataFrame:

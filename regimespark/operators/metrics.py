@@ -21,7 +21,9 @@ def performance(result: DataFrame, bars_per_year: int = 6_240, trades: DataFrame
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     rows = result.where(F.col(returns).isNotNull()).withColumn("_r", F.col(returns))
     rows = rows.withColumn("_e", F.col(equity) if equity in result.columns else F.product(1 + F.col("_r")).over(upto))
-    rows = rows.withColumn("_dd", F.col("_e") / F.max("_e").over(upto) - 1).withColumn("_g", F.sum(F.when(F.col("_dd") < 0, 0).otherwise(1)).over(upto))
+    rows = rows.withColumn("_dd", F.col("_e") / F.max("_e").over(upto) - 1).withColumn("_n", F.row_number().over(w))
+    # rows since the last peak; the tail's limit beside each row, so that one scan is enough
+    rows = rows.withColumns({"_u": F.col("_n") - F.last(F.when(F.col("_dd") < 0, None).otherwise(F.col("_n")), ignorenulls=True).over(upto), "_v": F.percentile("_r", F.lit(0.05)).over(Window.partitionBy(key))})
     if position:
         rows = rows.withColumn("_p", F.coalesce(position, F.lit(0.0))).withColumn("_turn", F.abs(F.col("_p") - F.lag("_p").over(w)))
     r, n = F.col("_r"), F.count("_r")
@@ -37,12 +39,9 @@ def performance(result: DataFrame, bars_per_year: int = 6_240, trades: DataFrame
         F.min("_dd").alias("max_drawdown"), (F.sum(F.when(r > 0, r).otherwise(0.0)) / F.nullif(-F.sum(F.when(r < 0, r).otherwise(0.0)), F.lit(0.0))).alias("profit_factor"),
         F.avg(F.when(r > 0, 1.0).otherwise(0.0)).alias("hit_rate"), F.when(n > 2, F.when(flat, 0.0).otherwise(F.skewness("_r") * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0)))).alias("skew"),
         F.when(n > 3, F.when(flat, 0.0).otherwise(((n + 1) * F.kurtosis("_r") + 6) * (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0)))).alias("kurtosis"),
-        F.percentile("_r", F.lit(0.05)).alias("var_95"), n.cast("double").alias("bars"), exposure.alias("exposure"), turnover.alias("annual_turnover"),
+        F.first("_v").alias("var_95"), F.avg(F.when(r <= F.col("_v"), r)).alias("cvar_95"), F.max("_u").cast("double").alias("longest_drawdown_bars"), n.cast("double").alias("bars"), exposure.alias("exposure"), turnover.alias("annual_turnover"),
     )
     out = out.withColumn("calmar", F.when(F.col("max_drawdown") < 0, F.col("cagr") / F.abs("max_drawdown")))
-    under = rows.groupBy(key, "_g").agg(F.count(F.when(F.col("_dd") < 0, 1)).alias("u")).groupBy(key).agg(F.max("u").cast("double").alias("longest_drawdown_bars"))
-    tail = rows.join(F.broadcast(out.select(key, "var_95")), key).where("_r <= var_95").groupBy(key).agg(F.avg("_r").alias("cvar_95"))
-    out = out.join(under, key).join(tail, key, "left")
     if trades is not None:
         out = out.join(trade_metrics(trades, key), key, "left")
     else:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +54,23 @@ def rule(name: str, df: DataFrame) -> DataFrame:
     return RULES[name](df)
 
 
+def stacked(df: DataFrame, names) -> DataFrame:
+    """The signals of several rules under each other, all from one pass over the bars; symbols become rule|symbol."""
+    out = df
+    for n in names:
+        out = rule(n, out).withColumnRenamed("signal", f"_{n}")
+    made = F.array(*(F.struct(F.lit(n).alias("rule"), F.col(f"_{n}").cast("double").alias("signal")) for n in names))
+    return out.select(*df.columns, F.explode(made).alias("_s")).select(F.concat("_s.rule", F.lit("|"), "symbol").alias("symbol"), *[c for c in df.columns if c != "symbol"], "_s.signal")
+
+
+def stacked_rule(symbol: str):
+    return F.substring_index(symbol, "|", 1)
+
+
+def stacked_symbol(symbol: str):
+    return F.regexp_replace(symbol, r"^[^|]*\|", "")
+
+
 def from_probabilities(df: DataFrame, threshold: float = 0.55) -> DataFrame:
     """Long or short where the probability reaches the threshold; a tie goes long."""
     p, q = F.col("p_long"), F.col("p_short")
@@ -65,24 +85,34 @@ def session_filter(df: DataFrame, hours) -> DataFrame:
 def min_holding(df: DataFrame, bars: int) -> DataFrame:
     """A position stays for at least `bars` bars, then takes the signal of the day.
 
-    Sequential by nature: folded over each symbol's signals, whose changes alone are state.
+    Sequential by nature: sorted bars stream through in Arrow batches, the position and the bar from
+    which it may change are carried from batch to batch, and only runs of equal signals are looped over.
     """
     if bars <= 1:
         return df
-
-    def hold(table):
-        """One symbol's bars."""
-        table = table.sort_values("ts", kind="stable")
-        out, now, held = [], 0.0, 0
-        for x in table["signal"]:
-            held += 1
-            if (now == 0 or held > bars) and x != now:
-                now, held = x, 1
-            out.append(now)
-        return table.assign(signal=out)
-
-    slim = df.select("symbol", "ts", "signal").groupBy("symbol").applyInPandas(hold, "symbol string, ts timestamp_ntz, signal double")
-    return df.drop("signal").join(slim, ["symbol", "ts"]).select(*df.columns)
+    df = df.withColumn("signal", F.col("signal").cast("double"))
+    at = df.columns.index("signal")
+
+    def hold(batches):
+        symbol, now, free, done = None, 0.0, 0, 0
+        for batch in batches:
+            x = batch.column(at).to_numpy(zero_copy_only=False)
+            keys = pc.dictionary_encode(batch.column("symbol"), null_encoding="encode")
+            codes = keys.indices.to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (codes[1:] != codes[:-1])][: len(x)])
+            held = np.empty(len(x))
+            for a, b in zip(starts, np.r_[starts[1:], len(x)]):
+                own = (keys.dictionary[codes[a]].as_py(),)
+                if own != symbol:
+                    symbol, now, free, done = own, 0.0, 0, -a
+                turn = b if x[a] == now else a if now == 0 else min(max(a, free - done), b)
+                held[a:turn], held[turn:b] = now, x[a]
+                if turn < b:
+                    now, free = x[a], turn + done + bars
+            done += len(x)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(held), *batch.columns[at + 1 :]], schema=batch.schema)
+
+    return df.repartition("symbol").sortWithinPartitions("symbol", "ts").mapInArrow(hold, df.schema)
 
 
 def volatility_scalar(df: DataFrame, target: float, window: int = 100, bars_per_year: float = 6240, cap: float = 3.0) -> DataFrame:

@@ -14,6 +14,8 @@ from .sources import bars as src
 
 QUERIES = {}
 ORACLE_SQL = {}
+#: The SQL of each feature block, unrounded, and its columns.
+FEATURE_SQL = {}
 
 
 def register(name: str, oracle: str | None = None):
@@ -125,6 +127,8 @@ def _(spark, d):
 def indicator(name: str, f, cols: list[str], *ctes, digits: int = 6):
     """Register f(bars) showing cols against the CTEs, of which the last has the same columns; columns in price units are shown with 4 digits."""
     last = [x for p in ctes for x in ([p] if isinstance(p, str) else p)][-1].split(" AS")[0].split("(")[0]
+    if name.startswith("feat_"):
+        FEATURE_SQL[name] = cols, o.sql(o.bars(), *ctes, f"SELECT symbol, ts, {', '.join(cols)} FROM {last}")
     register(name, o.sql(o.bars(), *ctes, o.show(last, cols, digits)))(lambda spark, d: show(f(m15(spark, d)), cols, digits))
 
 
@@ -234,18 +238,31 @@ _DESC = [*o.atr(), *o.rsi(14, "r", "a"), *o.hurst("hu", "r"), *o.emas("e", "hu",
 indicator("feat_descriptors", features.descriptor_block, features.DESCRIPTORS, _DESC)
 
 
-@register("feat_matrix")
+_FEATURES = [c for cols, _ in FEATURE_SQL.values() for c in cols]
+_MATRIX = [
+    *o.bars(), *(f"{name} AS MATERIALIZED ({text})" for name, (_, text) in FEATURE_SQL.items()),
+    f"fm0 AS MATERIALIZED (SELECT b.*, {', '.join(_FEATURES)} FROM b {' '.join(f'JOIN {name} USING (symbol, ts)' for name in FEATURE_SQL)})",
+    f"fm1 AS MATERIALIZED (SELECT symbol, ts, open, high, low, close, volume, {', '.join(o.ffill(f'CASE WHEN isfinite({c}) THEN {c} END') + f' AS {c}' for c in _FEATURES)} FROM fm0 WHERE rn >= 300)",
+    f"fm AS MATERIALIZED (SELECT * FROM fm1 WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _FEATURES)})",
+]
+
+
+@register("feat_matrix", o.sql(_MATRIX, o.show("fm", ["open", "high", "low", "close", "volume", *_FEATURES])))
 def _(spark, d):
-    return features.build_features(m15(spark, d))
+    """All blocks side by side, without the warm-up and without gaps."""
+    return show(features.build_features(m15(spark, d)), ["open", "high", "low", "close", "volume", *_FEATURES])
 
 
-@register("feat_summary")
+@register("feat_summary", o.sql(
+    _MATRIX, f"fl AS (UNPIVOT (SELECT {', '.join(_FEATURES)} FROM fm) ON {', '.join(_FEATURES)} INTO NAME feature VALUE value)",
+    "SELECT feature, round(avg(value), 5) AS mean, round(stddev_samp(value), 5) AS std, round(min(value), 5) AS min, round(quantile_cont(value, 0.5), 5) AS median, round(max(value), 5) AS max FROM fl GROUP BY 1"))
 def _(spark, d):
     """Mean, spread, least, median and greatest of every feature."""
     df = features.build_features(m15(spark, d))
     names = features.feature_columns(df)
     long = df.unpivot(["symbol"], names, "feature", "value").groupBy("feature")
-    return long.agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.percentile("value", F.lit(0.5)).alias("median"), F.max("value").alias("max"))
+    stats = {"mean": F.avg("value"), "std": F.stddev_samp("value"), "min": F.min("value"), "median": F.percentile("value", F.lit(0.5)), "max": F.max("value")}
+    return long.agg(*(F.round(x, 5).alias(n) for n, x in stats.items()))
 
 
 # ---------------------------------------------------------------- labels
@@ -693,12 +710,9 @@ def _rule_sharpes(names) -> list[str]:
 
 
 def rule_sharpes(spark, d, names) -> DataFrame:
-    b = m15(spark, d)
-    out = None
-    for n in names:
-        one = significance.sharpe(backtest.run(signals.rule(n, b), BacktestConfig(bars_per_year=M15_YEAR)), M15_YEAR).withColumn("rule", F.lit(n))
-        out = one if out is None else out.unionByName(one)
-    return out
+    priced_rules = backtest.run(signals.stacked(m15(spark, d), names), BacktestConfig(bars_per_year=M15_YEAR))
+    found = significance.sharpe(priced_rules, M15_YEAR)
+    return found.select(signals.stacked_rule("symbol").alias("rule"), signals.stacked_symbol("symbol").alias("symbol"), "sharpe")
 
 
 _TREATED = ["ma_crossover", "rsi_mean_reversion", "donchian_breakout"]
