@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CLASSES = {-1: "short", 0: "flat", 1: "long"}
@@ -67,3 +67,10 @@ def threshold_sweep(df: DataFrame, first: float = 0.34, step: float = 0.02, coun
     found = counts.where("n > 0").select("n", F.inline("at"))
     share = lambda c: F.col(c) / F.nullif(F.col("taken"), F.lit(0))
     return found.select("threshold", (F.col("taken") / F.col("n")).alias("signal_rate"), F.col("taken").alias("signals"), share("hits").alias("directional_precision"), share("misses").alias("sign_error_rate"))
+
+
+def position_mix(rows: DataFrame, position: str = "signal") -> DataFrame:
+    """Bars and share of long, short and flat for each symbol."""
+    side = F.when(F.col(position) > 0, "long").when(F.col(position) < 0, "short").otherwise("flat")
+    counted = rows.groupBy("symbol", side.alias("side")).agg(F.count("*").alias("bars"))
+    return counted.withColumn("share", F.col("bars") / F.sum("bars").over(Window.partitionBy("symbol")))

@@ -84,6 +84,21 @@ def _(spark, d):
     return src.from_lineitem(spark, d)
 
 
+@register(
+    "bars_clean_dedupe",
+    """SELECT symbol, ts, round(b.open, 6) AS open, round(b.high, 6) AS high, round(b.low, 6) AS low, round(b.close, 6) AS close, b.volume AS volume FROM (
+    SELECT l_returnflag AS symbol, l_shipdate::TIMESTAMP AS ts, arg_max(struct_pack(open := l_extendedprice::DOUBLE, high := l_extendedprice::DOUBLE * (1 + l_tax::DOUBLE), low := l_extendedprice::DOUBLE * (1 - l_discount::DOUBLE),
+    close := l_extendedprice::DOUBLE, volume := l_quantity::DOUBLE), struct_pack(a := l_orderkey, b := l_linenumber)) AS b FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 1, 2) WHERE b.low > 0 AND b.high >= b.low""",
+)
+def _(spark, d):
+    """Every line of an order as a bar of its return flag and time: of equal times the last line stays, and invalid bars go."""
+    price = F.col("l_extendedprice").cast("double")
+    high, low = price * (1 + F.col("l_tax").cast("double")), price * (1 - F.col("l_discount").cast("double"))
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(
+        F.col("l_returnflag").alias("symbol"), F.col("l_shipdate").cast("timestamp_ntz").alias("ts"), price.alias("open"), high.alias("high"), low.alias("low"), price.alias("close"), F.col("l_quantity").cast("double").alias("volume"), "l_orderkey", "l_linenumber")
+    return src.cleaned(rows, "l_orderkey", "l_linenumber").withColumns({c: F.round(c, 6) for c in ("open", "high", "low", "close")})
+
+
 @register("bars_window", o.sql(o.bars(), "n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM b WHERE ts >= '2024-01-05' AND ts <= '2024-01-20')", H1_SQL + "n WHERE k <= 200"))
 def _(spark, d):
     return src.between(m15(spark, d), "2024-01-05", "2024-01-20", 200)
@@ -354,6 +369,12 @@ def _(spark, d):
     return signals.from_probabilities(probabilities(spark, d)).select("symbol", "ts", "signal")
 
 
+@register("sig_position_mix", o.sql(o.bars(), _PROB, "m AS (SELECT symbol, CASE WHEN p_long >= 0.55 AND p_long >= p_short THEN 'long' WHEN p_short >= 0.55 AND p_short > p_long THEN 'short' ELSE 'flat' END AS side FROM p)",
+    "SELECT symbol, side, count(*) AS bars, round(count(*) / sum(count(*)) OVER (PARTITION BY symbol), 9) AS share FROM m GROUP BY 1, 2"))
+def _(spark, d):
+    return classification.position_mix(signals.from_probabilities(probabilities(spark, d))).withColumn("share", F.round("share", 9))
+
+
 @register("sig_changes", o.sql(o.bars(), crossover(), cte("c", f"{o.lag('signal')} AS before", "s"), "SELECT symbol, ts, signal FROM c WHERE signal <> 0 AND (before IS NULL OR before <> signal)"))
 def _(spark, d):
     return backtest.signal_changes(signals.ma_crossover(m15(spark, d))).select("symbol", "ts", "signal")

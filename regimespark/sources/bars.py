@@ -39,6 +39,12 @@ def valid(df: DataFrame) -> DataFrame:
     return df.where(finite & prices & (F.col("high") >= F.col("low")))
 
 
+def cleaned(rows: DataFrame, *order: str) -> DataFrame:
+    """Valid bars; of those with equal symbol and time the last by the given columns stays, found by an aggregation that is combined before the shuffle."""
+    last = rows.where("ts IS NOT NULL").groupBy("symbol", "ts").agg(F.max_by(F.struct(*COLUMNS[2:]), F.struct(*order)).alias("_b"))
+    return valid(last.select("symbol", "ts", "_b.*"))
+
+
 def resample(bars: DataFrame, timeframe: str) -> DataFrame:
     """Coarser bars: first open, highest high, lowest low, last close, volume summed."""
     grouped = bars.groupBy("symbol", bucket(timeframe).alias("bar"))

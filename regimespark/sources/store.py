@@ -41,6 +41,19 @@ def comparison(spark: SparkSession, root: str) -> DataFrame:
     return df.select("run_id", *(pick("settings", c) for c in ("symbol", "timeframe", "model", "regime")), *(pick("metrics", c) for c in ("sharpe", "total_return", "max_drawdown", "trades", "profit_factor")), *(pick("classification", c) for c in ("accuracy", "directional_precision", "signal_rate", "matthews_corrcoef")))
 
 
+def filtered(table: DataFrame, symbol: str | None = None, model: str | None = None, regime: str | None = None) -> DataFrame:
+    """The rows of a comparison with the given symbol, model and regime; what is not given is not asked for."""
+    for name, value in (("symbol", symbol), ("model", model), ("regime", regime)):
+        if value is not None:
+            table = table.where(F.col(name) == value)
+    return table
+
+
+def export_csv(table: DataFrame, path: str) -> None:
+    """A comparison, which has one row for each run, as one CSV file with a header in the folder `path`."""
+    table.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
 def load(spark: SparkSession, root: str, run_id: str) -> tuple[dict, dict[str, DataFrame]]:
     """(summary, tables) of a run."""
     fs, folder = hadoop(spark, f"{root}/{run_id}")

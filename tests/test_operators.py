@@ -257,6 +257,10 @@ def test_store(spark, tmp_path):
     store.save(spark, root, "r2", {"symbol": "B", "model": "m"}, {"created_at": "2025", "metrics": {"sharpe": None}}, {})
     assert [r.run_id for r in store.runs(spark, root).collect()] == ["r2", "r1"]
     assert store.comparison(spark, root).where("symbol = 'A'").first().sharpe == 1.0
+    table = store.comparison(spark, root)
+    assert store.filtered(table, symbol="A").count() == table.where("symbol = 'A'").count() and store.filtered(table, symbol="none").count() == 0
+    store.export_csv(table, str(tmp_path / "table"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "table")).count() == table.count()
     summary, tables = store.load(spark, root, "r1")
     assert summary["metrics"]["sharpe"] == 1.0 and tables["trades"].count() == 3 and list(tables) == ["trades"]
     assert store.delete(spark, root, "r1") and store.runs(spark, root).count() == 1
@@ -322,3 +326,36 @@ def test_bootstrap_blocks_against_drawn_series(spark):
     whole = significance.bootstrap_sharpes(rows, 5, 10_000, mean_block=1e9).toPandas()["sharpe"]
     assert np.allclose(whole, mean)  # one block that wraps round is the series itself
     assert len(significance.bootstrap_sharpes(rows, 50, 10_000, mean_block=1).toPandas()) == 50
+
+
+def test_cleaned_bars_keep_the_last_of_equal_times(spark):
+    from regimespark.sources.bars import cleaned
+
+    day = START
+    rows = [("A", day, 1.0, 2.0, 1.0, 2.0, 5.0, 1), ("A", day, 1.0, 3.0, 1.0, 3.0, 5.0, 2), ("A", day + dt.timedelta(1), 1.0, 0.5, 1.0, 2.0, 5.0, 3), ("A", None, 1.0, 2.0, 1.0, 2.0, 5.0, 4)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double, k int")
+    assert [tuple(r) for r in cleaned(df, "k").collect()] == [("A", day, 1.0, 3.0, 1.0, 3.0, 5.0)]
+    assert cleaned(df.limit(0), "k").count() == 0
+
+
+def test_held_positions_across_batches(spark):
+    """Small Arrow batches and several symbols give what one walk over each symbol's signals gives."""
+    rng = np.random.default_rng(5)
+    start = START
+    rows = [(s, start + dt.timedelta(minutes=i), float(x)) for s in "ABC" for i, x in enumerate(rng.integers(-1, 2, 200).repeat(rng.integers(1, 6, 200))[:300])]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, signal double")
+    want, state = [], {}
+    for s, t, x in rows:
+        now, held = state.get(s, (0.0, 0))
+        held += 1
+        if (now == 0 or held > 7) and x != now:
+            now, held = x, 1
+        state[s] = now, held
+        want.append((s, t, now))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
+    try:
+        got = sorted(tuple(r) for r in signals.min_holding(df, 7).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == sorted(want)

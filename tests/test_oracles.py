@@ -11,7 +11,7 @@ from regimespark.operators import significance
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 # one of each kind; the driver compares all of them
-NAMES = ["bars_resample_h1", "bars_resample_w1", "dataset_describe", "ind_rsi", "ind_adx", "ind_macd", "ind_swings", "feat_session", "label_triple_barrier", "sig_donchian_breakout", "bt_min_hold", "bt_trades", "bt_metrics", "cls_summary", "folds_expanding", "sig_psr"]
+NAMES = ["bars_resample_h1", "bars_resample_w1", "dataset_describe", "ind_rsi", "ind_adx", "ind_macd", "ind_swings", "feat_session", "label_triple_barrier", "sig_donchian_breakout", "bars_clean_dedupe", "sig_position_mix", "bt_min_hold", "study_baselines", "bt_trades", "bt_metrics", "cls_summary", "folds_expanding", "sig_psr"]
 
 
 @pytest.fixture(scope="module")
