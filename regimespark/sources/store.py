@@ -36,7 +36,7 @@ def comparison(spark: SparkSession, root: str) -> DataFrame:
 
     def pick(outer: str, inner: str):
         have = outer in fields and hasattr(fields[outer], "names") and inner in fields[outer].names
-        return (F.col(f"{outer}.{inner}") if have else F.lit(None)).alias(inner)
+        return (F.col(f"{outer}.{inner}") if have else F.lit(None).cast("string" if outer == "settings" else "double")).alias(inner)
 
     return df.select("run_id", *(pick("settings", c) for c in ("symbol", "timeframe", "model", "regime")), *(pick("metrics", c) for c in ("sharpe", "total_return", "max_drawdown", "trades", "profit_factor")), *(pick("classification", c) for c in ("accuracy", "directional_precision", "signal_rate", "matthews_corrcoef")))
 
