@@ -1,6 +1,6 @@
 """Queries of the corpus operators and their DuckDB SQL."""
 
-from . import decontam, exact_dedup, langid, line_dedup, minmax, mixing, pfp_dedup, sharding, tokens, urlfilter
+from . import decontam, exact_dedup, langid, line_dedup, merkle, minmax, mixing, pfp_dedup, sharding, tokens, urlfilter
 
 QUERIES = {
     "op1_kk_sharding": sharding.op1_kk_sharding,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_token_frames": tokens.op8_token_frames,
     "op9_poisson_mix": mixing.op9_poisson_mix,
     "op10_link_trust": urlfilter.op10_link_trust,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op7_minmax_near_dedup": minmax.OP7_SQL,
     "op9_poisson_mix": mixing.OP9_SQL,
     "op10_link_trust": urlfilter.OP10_SQL,
+    "op12_merkle_manifest": merkle.OP12_SQL,
 }
