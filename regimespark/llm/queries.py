@@ -1,6 +1,6 @@
 """Queries of the corpus operators and their DuckDB SQL."""
 
-from . import decontam, exact_dedup, langid, line_dedup, merkle, minmax, mixing, pfp_dedup, sharding, tokens, urlfilter
+from . import decontam, exact_dedup, langid, line_dedup, merkle, minmax, mixing, pfp_dedup, sharding, tokens, urlfilter, warc
 
 QUERIES = {
     "op1_kk_sharding": sharding.op1_kk_sharding,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_poisson_mix": mixing.op9_poisson_mix,
     "op10_link_trust": urlfilter.op10_link_trust,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_warc_source": warc.op13_warc_source,
 }
 
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op9_poisson_mix": mixing.OP9_SQL,
     "op10_link_trust": urlfilter.OP10_SQL,
     "op12_merkle_manifest": merkle.OP12_SQL,
+    "op13_warc_source": warc.OP13_SQL,
 }
