@@ -5,12 +5,14 @@ from __future__ import annotations
 import importlib.util
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import boosting
+
 
 @dataclass
 class ModelConfig:
@@ -35,13 +37,17 @@ class Spec:
 SPECS = {
     "logistic": Spec("Logistic regression", {"C": 0.1}, scaled=True),
     "random_forest": Spec("Random forest", {"numTrees": 400, "maxDepth": 8, "minInstancesPerNode": 50}),
-    "hist_gradient_boosting": Spec("Histogram gradient boosting", {"maxIter": 400, "maxDepth": 6, "stepSize": 0.05}),
-    "xgboost": Spec("XGBoost", {"maxIter": 500, "maxDepth": 5, "stepSize": 0.03}, requires="xgboost", built=False),
-    "lightgbm": Spec("LightGBM", {"maxIter": 500, "maxDepth": 5, "stepSize": 0.03}, requires="lightgbm", built=False),
+    "hist_gradient_boosting": Spec("Histogram gradient boosting", {"rounds": 400, "rate": 0.05, "depth": 6}),
+    "xgboost": Spec("Boosted trees by depth, regularised", {"rounds": 500, "rate": 0.03, "depth": 5, "leaves": 32, "row_share": 0.8, "column_share": 0.8, "hessian": 20, "least": 1, "l2": 2.0}),
+    "lightgbm": Spec("Boosted trees by leaf", {"rounds": 500, "rate": 0.03, "depth": 99, "leaves": 31, "least": 50, "column_share": 0.8}),
     "mlp": Spec("Multilayer perceptron", {"layers": [64, 32], "maxIter": 400}, scaled=True),
     "lstm": Spec("LSTM", {"lookback": 24}, scaled=True, requires="tensorflow", built=False),
     "gru": Spec("GRU", {"lookback": 24}, scaled=True, requires="tensorflow", built=False),
 }
+BOOSTED = ("hist_gradient_boosting", "xgboost", "lightgbm")
+# Other names of the settings in configurations.
+_TREES = {"max_iter": "rounds", "n_estimators": "rounds", "learning_rate": "rate", "max_depth": "depth", "num_leaves": "leaves", "max_leaf_nodes": "leaves", "min_samples_leaf": "least", "min_child_samples": "least", "min_child_weight": "hessian", "reg_lambda": "l2", "l2_regularization": "l2", "subsample": "row_share", "colsample_bytree": "column_share", "max_bins": "bins"}
+NAMES = {"random_forest": {"n_estimators": "numTrees", "max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode"}, "mlp": {"hidden_layer_sizes": "layers", "max_iter": "maxIter"}, "logistic": {"max_iter": "maxIter"}} | dict.fromkeys(BOOSTED, _TREES)
 
 
 def is_available(name: str) -> bool:
@@ -84,7 +90,8 @@ class Learner:
         if not is_available(config.name):
             raise RuntimeError(f"{config.name} needs {SPECS[config.name].requires}, which is not installed")
         self.config, self.spec, self.seed = config, SPECS[config.name], seed
-        self.params = self.spec.defaults | config.params
+        names = NAMES.get(config.name, {})
+        self.params = self.spec.defaults | {names.get(k, k): v for k, v in config.params.items()}
 
     def _estimator(self, n: int, width: int):
         p, common = dict(self.params), {"featuresCol": "_v", "labelCol": "_y"}
@@ -93,9 +100,7 @@ class Learner:
             return LogisticRegression(family="multinomial", regParam=1 / (p["C"] * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=p.get("maxIter", 2000), weightCol="weight", **common)
         if name == "random_forest":
             return RandomForestClassifier(seed=self.seed, weightCol="weight", **p, **common)
-        if name == "mlp":
-            return MultilayerPerceptronClassifier(layers=[width, *p["layers"], 3], maxIter=p["maxIter"], seed=self.seed, **common)
-        return OneVsRest(classifier=GBTClassifier(seed=self.seed, weightCol="weight", **p, **common), weightCol="weight", **common)
+        return MultilayerPerceptronClassifier(layers=[width, *p["layers"], 3], maxIter=p["maxIter"], seed=self.seed, **common)
 
     def _vectors(self, df: DataFrame) -> DataFrame:
         df = self.imputer.transform(df)
@@ -117,6 +122,10 @@ class Learner:
             filled = self.imputer.transform(df)
             row = filled.agg(*(g(f"_i_{f}") for f in self.features for g in (F.avg, F.stddev_pop))).first()
             self.scale = {f: (row[2 * i], row[2 * i + 1]) for i, f in enumerate(self.features)}
+        if self.config.name in BOOSTED:
+            rows = self.imputer.transform(df).withColumn("_y", F.col("label") + 1)
+            self.model = boosting.fit(rows, [f"_i_{f}" for f in self.features], boosting.Boosting(seed=self.seed, **self.params), "_y", "weight")
+            return self
         data = self._vectors(df).select("_v", (F.col("label") + 1).cast("double").alias("_y"), "weight")
         if self.config.name == "mlp" and self.config.class_balance:
             data = data.withColumn("_c", F.explode(F.sequence(F.lit(1), F.greatest(F.round("weight").cast("int"), F.lit(1))))).drop("_c")
@@ -133,18 +142,19 @@ class Learner:
 
     def predict_proba(self, df: DataFrame) -> DataFrame:
         """p_short, p_flat, p_long; a class that was not trained has 0."""
-        out = self.model.transform(self._vectors(df))
-        if "OneVsRest" in type(self.model).__name__:
-            raw = F.transform(vector_to_array("rawPrediction"), lambda x: 1 / (1 + F.exp(-2 * x)))
-            total = F.aggregate(raw, F.lit(0.0), lambda a, x: a + x)
-            probs = F.transform(raw, lambda x: x / total)
+        if self.config.name in BOOSTED:
+            out = self.imputer.transform(df)
+            out = out.withColumn("_p", self.model.probability(out))
         else:
-            probs = vector_to_array("probability")
-        out = out.withColumn("_p", probs)
+            out = self.model.transform(self._vectors(df)).withColumn("_p", vector_to_array("probability"))
         return out.select(*df.columns, *(F.coalesce(F.get("_p", F.lit(i)), F.lit(0.0)).alias(n) for i, n in enumerate(("p_short", "p_flat", "p_long"))))
 
     def importance(self) -> dict[str, float] | None:
         """Shares of the features, where the learner tells them."""
+        if self.config.name in BOOSTED:
+            used = self.model.gains()
+            total = sum(used.values()) or 1
+            return {f: used[f"_i_{f}"] / total for f in self.features}
         if hasattr(self.model, "featureImportances"):
             values = self.model.featureImportances.toArray()
         elif hasattr(self.model, "coefficientMatrix"):
