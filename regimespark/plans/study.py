@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import stored
 from ..functions.windows import lead, numbered, rolling
 from ..operators import backtest, classification, features, folds, labels, metrics, models, regimes, signals, significance
 from ..sources.bars import bars_per_year
@@ -26,11 +27,6 @@ class Study:
     summary: dict = field(default_factory=dict)
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage where a checkpoint folder is set, and cache otherwise."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-
-
 def prepare(bars: DataFrame, config: Config, extra=None) -> DataFrame:
     """Features of one symbol with labels beside, numbered; the tail after the last label is cut. `extra` may add columns to the features."""
     feats = features.build_features(bars, tuple(config.features.blocks), config.features.warmup_bars)
@@ -40,7 +36,7 @@ def prepare(bars: DataFrame, config: Config, extra=None) -> DataFrame:
     extra = [c for c in (*labels.LABEL, "primary") if c in marked.columns]
     rows = feats.join(marked.select("symbol", "ts", *extra), ["symbol", "ts"], "left")
     last = marked.groupBy("symbol").agg(F.max("ts").alias("_last"))
-    return numbered(rows.join(F.broadcast(last), "symbol").where(F.col("ts") <= F.col("_last")).drop("_last"))
+    return numbered(rows.join(last, "symbol").where(F.col("ts") <= F.col("_last")).drop("_last"))
 
 
 def fit_fold(train: DataFrame, inputs: list[str], config: Config, seed: int) -> dict:
@@ -73,7 +69,7 @@ def run(bars: DataFrame, config: Config | None = None, progress=None, extra=None
     year = bars_per_year(cfg.timeframe)
     cfg.backtest.bars_per_year = year
     say(0.05, "features and labels")
-    rows = _stored(prepare(bars, cfg, extra))
+    rows = stored(prepare(bars, cfg, extra))
     n = rows.count()
     v = cfg.validation
     plan = folds.walk_forward(n, v.scheme, v.n_folds, v.test_size, v.min_train_size, v.embargo_bars)
@@ -95,7 +91,7 @@ def run(bars: DataFrame, config: Config | None = None, progress=None, extra=None
             # the learner only filters the rule's trades
             out = out.withColumn("signal", F.when(F.coalesce("primary", F.lit(0.0)) == F.col("signal"), F.col("signal")).otherwise(0.0))
         keep = out.select("symbol", "ts", F.lit(fold.index).alias("fold"), F.coalesce("label", F.lit(0)).alias("label"), F.col("signal").cast("int").alias("prediction"), "regime", "open", "close", "p_short", "p_flat", "p_long")
-        scored.append(_stored(keep))
+        scored.append(stored(keep))
         if found := fitted[None].importance():
             importances += [(fold.index, f, x) for f, x in found.items()]
     say(0.75, "backtest")
@@ -104,14 +100,15 @@ def run(bars: DataFrame, config: Config | None = None, progress=None, extra=None
         every = every.unionByName(more)
     # where test windows overlap, the earlier fold holds
     predictions = every.groupBy("symbol", "ts").agg(F.min_by(F.struct(*[c for c in every.columns if c not in ("symbol", "ts")]), "fold").alias("x")).select("symbol", "ts", "x.*")
-    predictions = _stored(predictions)
-    result = _stored(backtest.run(predictions.withColumn("signal", F.col("prediction").cast("double")), cfg.backtest))
+    predictions = stored(predictions)
+    result = stored(backtest.run(predictions.withColumn("signal", F.col("prediction").cast("double")), cfg.backtest))
     trades = backtest.trades(result)
     head = metrics.performance(result, year, trades).first().asDict()
-    cls = (classification.summary(predictions).first() or {}) and classification.summary(predictions).first().asDict()
+    cls = classification.summary(predictions).first()
+    cls = cls.asDict() if cls else {}
     spark = bars.sparkSession
     by_fold = metrics.performance(result.join(predictions.select("symbol", "ts", "fold"), ["symbol", "ts"]), year, key="fold")
-    by_fold = _stored(by_fold)
+    by_fold = stored(by_fold)
     sharpes = [r.sharpe for r in by_fold.select("sharpe").collect() if r.sharpe is not None]
     spread = statistics.stdev(sharpes) if len(sharpes) > 1 else None
     say(0.85, "significance")
@@ -125,11 +122,9 @@ def run(bars: DataFrame, config: Config | None = None, progress=None, extra=None
     say(0.95, "baselines")
     history = numbered(bars)
     where = predictions.select("symbol", "ts")
-    base = None
-    for name in signals.RULES:
-        ruled = signals.rule(name, history).join(where, ["symbol", "ts"], "left_semi")
-        one = metrics.performance(backtest.run(ruled, cfg.backtest), year).withColumn("rule", F.lit(name))
-        base = one if base is None else base.unionByName(one)
+    ruled = signals.stacked(history, signals.RULES).withColumn("_s", signals.stacked_symbol("symbol"))
+    ruled = ruled.join(where.withColumnRenamed("symbol", "_s"), ["_s", "ts"], "left_semi").drop("_s")
+    base = metrics.performance(backtest.run(ruled, cfg.backtest), year).withColumns({"rule": signals.stacked_rule("symbol"), "symbol": signals.stacked_symbol("symbol")})
     market = predictions.select("symbol", "ts", "close", "regime")
     tables = {
         "fold_layout": folds.describe_folds(rows, plan), "fold_metrics": by_fold, "trades": trades, "confusion": classification.confusion(predictions), "per_class": classification.per_class(predictions),
@@ -173,10 +168,19 @@ def sweep(bars: DataFrame, base: Config, arms: list[tuple[str, list[str]]], stag
 
 
 def holdout(bars: DataFrame, config: Config) -> list[dict]:
-    """The chosen configuration on every symbol of the bars."""
+    """The chosen configuration on every symbol of the bars: in one plan where its learner fits all symbols at once, and else one study after another."""
+    from . import panel
+
+    if not panel.fits(config):
+        names = [r.symbol for r in bars.select("symbol").distinct().orderBy("symbol").collect()]
+        return [row | {"symbol": s} for s in names for row in sweep(bars.where(F.col("symbol") == s), config, [(s, [])], "holdout")]
+    began = time.time()
+    # a row for each symbol, as in the ledger that they go to
+    found = {r.symbol: r for r in panel.run(bars, config).metrics.select("symbol", "sharpe", "total_return", "max_drawdown", "trades").collect()}
     out = []
     for r in bars.select("symbol").distinct().orderBy("symbol").collect():
-        out += [row | {"symbol": r.symbol} for row in sweep(bars.where(F.col("symbol") == r.symbol), config, [(r.symbol, [])], "holdout")]
+        row = {"stage": "holdout", "arm": r.symbol, "changes": "", "symbol": r.symbol, "seconds": (time.time() - began) / max(1, len(found))}
+        out.append(row | ({"status": "ok"} | found[r.symbol].asDict() if r.symbol in found else {"status": "failed: no usable folds"}))
     return out
 
 

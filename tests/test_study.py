@@ -3,7 +3,7 @@
 import pytest
 
 from regimespark.operators import models
-from regimespark.plans import study
+from regimespark.plans import panel, study
 from regimespark.plans.config import Config
 from regimespark.sources import bars as src
 from regimespark.sources import store
@@ -47,3 +47,30 @@ def test_learners_that_are_not_built_raise_with_their_package_there(spark, monke
         with pytest.raises(RuntimeError, match="not built"):
             models.build(models.ModelConfig(name))
     assert {r.model for r in models.catalogue(spark).where("NOT built AND NOT available").collect()} == missing
+
+
+PANEL = ['features.blocks=["returns","session"]', "regime.method=none", "validation.n_folds=2", "validation.test_size=0.2", "validation.embargo_bars=10", "labeling.horizon=8", "backtest.min_holding_bars=4", "evaluation.bootstrap_samples=20", "model.decision_threshold=0.4"]
+
+
+def test_panel_equals_the_studies_of_its_symbols(spark):
+    bars = src.from_events(spark, "/root/testdata/sf0.01", "M15", 10_000.0).where("symbol IN ('click', 'view')")
+    cfg = Config().with_overrides(*PANEL, "model.name=logistic", 'model.params={"maxIter":5000,"tol":1e-13}')
+    out = panel.run(bars, cfg)
+    seen = {r.symbol: r for r in out.metrics.collect()}
+    assert set(seen) == {"click", "view"} and out.fold_metrics.count() == 4
+    one = study.run(bars.where("symbol = 'click'"), cfg)
+    joined = one.predictions.alias("a").join(out.predictions.alias("b"), ["symbol", "ts"])
+    assert joined.count() == one.predictions.count() and joined.where("abs(a.p_long - b.p_long) > 1e-5 OR a.label <> b.label OR a.fold <> b.fold").count() == 0
+    assert abs(seen["click"].sharpe - one.summary["metrics"]["sharpe"]) < 1e-6
+    held = study.holdout(bars, cfg)
+    assert [r["symbol"] for r in held] == ["click", "view"] and held[0]["sharpe"] == seen["click"].sharpe
+
+
+def test_panel_of_boosted_trees(spark):
+    bars = src.from_events(spark, "/root/testdata/sf0.001", "M15", 10_000.0)
+    cfg = Config().with_overrides(*PANEL, "model.name=lightgbm", 'model.params={"n_estimators":2,"min_child_samples":10}', "features.warmup_bars=20", "validation.min_train_size=0.4")
+    out = panel.run(bars, cfg)
+    assert out.predictions.where("abs(p_short + p_flat + p_long - 1) > 1e-9").count() == 0
+    assert out.predictions.select("symbol").distinct().count() == out.bounds.select("symbol").distinct().count()
+    with pytest.raises(ValueError, match="one plan"):
+        panel.run(bars, cfg.with_overrides("model.name=random_forest"))
