@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,39 +9,27 @@ from ..functions.windows import lag, lead, numbered, running
 from .signals import min_holding, session_filter, sized_at_entry, volatility_scalar
 
 
-@dataclass
-class BacktestConfig:
-    initial_capital: float = 10_000.0
-    cost_bps: float = 2.0
-    slippage_bps: float = 0.5
-    position_size: float = 1.0
-    execution_lag: int = 1
-    min_holding_bars: int = 24
-    bars_per_year: int = 6_240
-    volatility_target: float | None = None
-    volatility_window: int = 100
-    max_leverage: float = 3.0
-    session_hours: list[int] = field(default_factory=list)
-
+def run(df: DataFrame, *, capital: float = 10_000.0, friction_bps: float = 2.5, size: float = 1.0, delay: int = 1, hold: int = 24, bars_per_year: int = 6_240, target: float | None = None, target_window: int = 100, leverage: float = 3.0, hours=()) -> DataFrame:
+    """Bars with a signal → side, position, strategy_return, equity, drawdown and the benchmark's, for each bar.
 
-def run(df: DataFrame, config: BacktestConfig | None = None) -> DataFrame:
-    """Bars with a signal → side, position, strategy_return, equity, drawdown and the benchmark's, for each bar."""
-    cfg = config or BacktestConfig()
+    friction_bps is paid on what is traded; positions change `delay` bars after the signal and stay for `hold` bars at
+    least; with a yearly volatility `target` they are sized at entry, up to `leverage`; signals change within `hours` only.
+    """
     out = df.select("symbol", "ts", "open", "close", F.least(F.greatest(F.coalesce("signal", F.lit(0.0)), F.lit(-1.0)), F.lit(1.0)).alias("signal"))
-    out = min_holding(session_filter(out, cfg.session_hours), cfg.min_holding_bars)
-    out = out.withColumn("side", F.coalesce(lag("signal", cfg.execution_lag), F.lit(0.0)) if cfg.execution_lag else F.col("signal"))
-    if cfg.volatility_target:
-        out = sized_at_entry(volatility_scalar(out, cfg.volatility_target, cfg.volatility_window, cfg.bars_per_year, cfg.max_leverage))
-        out = out.withColumn("position", F.col("side") * F.col("size") * cfg.position_size)
+    out = min_holding(session_filter(out, hours), hold)
+    out = out.withColumn("side", F.coalesce(lag("signal", delay), F.lit(0.0)) if delay else F.col("signal"))
+    if target:
+        out = sized_at_entry(volatility_scalar(out, target, target_window, bars_per_year, leverage))
+        out = out.withColumn("position", F.col("side") * F.col("size") * size)
     else:
-        out = out.withColumn("position", F.col("side") * cfg.position_size)
-    rate = (cfg.cost_bps + cfg.slippage_bps) / 1e4
+        out = out.withColumn("position", F.col("side") * size)
+    rate = friction_bps / 1e4
     out = out.withColumns({"bar_return": F.coalesce(lead("open") / F.col("open") - 1, F.lit(0.0)), "cost": F.abs(F.col("position") - F.coalesce(lag("position"), F.lit(0.0))) * rate})
     out = out.withColumns({
         "strategy_return": F.col("position") * F.col("bar_return") - F.col("cost"),
         "benchmark_return": F.col("bar_return") - F.when(lag("ts").isNull(), rate).otherwise(0.0),
     })
-    out = out.withColumns({n: cfg.initial_capital * F.product(1 + F.col(r)).over(running()) for n, r in (("equity", "strategy_return"), ("benchmark_equity", "benchmark_return"))})
+    out = out.withColumns({n: capital * F.product(1 + F.col(r)).over(running()) for n, r in (("equity", "strategy_return"), ("benchmark_equity", "benchmark_return"))})
     out = out.withColumns({"drawdown": F.col("equity") / F.max("equity").over(running()) - 1, "benchmark_drawdown": F.col("benchmark_equity") / F.max("benchmark_equity").over(running()) - 1})
     return out.select("symbol", "ts", "open", "side", "position", "cost", "strategy_return", "equity", "drawdown", "benchmark_return", "benchmark_equity", "benchmark_drawdown")
 

@@ -122,14 +122,14 @@ def feature_columns(df: DataFrame) -> list[str]:
     return [x for x in df.columns if x not in {*OHLCV, "rn"}]
 
 
-def build_features(bars: DataFrame, blocks=tuple(BLOCKS), warmup: int = 300) -> DataFrame:
-    """Bars with all features: the warm-up is cut, gaps after it are filled forward, and rows that still lack one are dropped."""
+def build_features(bars: DataFrame, blocks=tuple(BLOCKS), warmup: int = 300, windows: dict | None = None) -> DataFrame:
+    """Bars with all features, blocks with the windows given by their names: the warm-up is cut, gaps after it are filled forward, and rows that still lack one are dropped."""
     unknown = set(blocks) - set(BLOCKS)
     if unknown:
         raise ValueError(f"unknown feature blocks: {sorted(unknown)}")
     df = numbered(bars.select(*OHLCV))
     for name in blocks:
-        df = BLOCKS[name](df)
+        df = BLOCKS[name](df, windows[name]) if windows and name in windows else BLOCKS[name](df)
     df = descriptor_block(df)
     names = feature_columns(df)
     df = df.where(F.col("rn") >= warmup)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import importlib.util
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
@@ -14,16 +14,6 @@ from pyspark.sql import functions as F
 from . import boosting
 
 
-@dataclass
-class ModelConfig:
-    name: str = "random_forest"
-    params: dict = field(default_factory=dict)
-    decision_threshold: float = 0.5
-    class_balance: bool = True
-    top_k_features: int | None = None
-    n_seeds: int = 1
-
-
 @dataclass(frozen=True)
 class Spec:
     label: str
@@ -50,6 +40,11 @@ _TREES = {"max_iter": "rounds", "n_estimators": "rounds", "learning_rate": "rate
 NAMES = {"random_forest": {"n_estimators": "numTrees", "max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode"}, "mlp": {"hidden_layer_sizes": "layers", "max_iter": "maxIter"}, "logistic": {"max_iter": "maxIter"}} | dict.fromkeys(BOOSTED, _TREES)
 
 
+def settings_of(name: str, params: dict | None = None) -> dict:
+    """A learner's defaults with the given settings, under either name."""
+    return SPECS[name].defaults | {NAMES[name].get(k, k): v for k, v in (params or {}).items()}
+
+
 def is_available(name: str) -> bool:
     spec = SPECS[name]
     return spec.built and (spec.requires is None or importlib.util.find_spec(spec.requires) is not None)
@@ -82,20 +77,18 @@ def balanced(df: DataFrame) -> DataFrame:
 class Learner:
     """Median imputation, scaling where the learner needs it, and an MLlib estimator; probabilities of all three classes."""
 
-    def __init__(self, config: ModelConfig, seed: int = 7):
-        if config.name not in SPECS:
-            raise ValueError(f"unknown model {config.name!r}; there are {sorted(SPECS)}")
-        if not SPECS[config.name].built:
-            raise RuntimeError(f"{config.name} is not built here, whether or not {SPECS[config.name].requires} is installed")
-        if not is_available(config.name):
-            raise RuntimeError(f"{config.name} needs {SPECS[config.name].requires}, which is not installed")
-        self.config, self.spec, self.seed = config, SPECS[config.name], seed
-        names = NAMES.get(config.name, {})
-        self.params = self.spec.defaults | {names.get(k, k): v for k, v in config.params.items()}
+    def __init__(self, name: str, params: dict | None = None, *, balance: bool = True, top: int | None = None, seed: int = 7):
+        if name not in SPECS:
+            raise ValueError(f"unknown model {name!r}; there are {sorted(SPECS)}")
+        if not SPECS[name].built:
+            raise RuntimeError(f"{name} is not built here, whether or not {SPECS[name].requires} is installed")
+        if not is_available(name):
+            raise RuntimeError(f"{name} needs {SPECS[name].requires}, which is not installed")
+        self.name, self.spec, self.params, self.balance, self.top, self.seed = name, SPECS[name], settings_of(name, params), balance, top, seed
 
     def _estimator(self, n: int, width: int):
         p, common = dict(self.params), {"featuresCol": "_v", "labelCol": "_y"}
-        name = self.config.name
+        name = self.name
         if name == "logistic":
             return LogisticRegression(family="multinomial", regParam=1 / (p["C"] * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=p.get("maxIter", 2000), weightCol="weight", **common)
         if name == "random_forest":
@@ -113,21 +106,21 @@ class Learner:
         bad = df.where(~F.col("label").isin(-1, 0, 1)).limit(1).count()
         if bad:
             raise ValueError("labels must be -1, 0 or 1")
-        df = balanced(df) if self.config.class_balance else df.withColumn("weight", F.lit(1.0))
+        df = balanced(df) if self.balance else df.withColumn("weight", F.lit(1.0))
         self.features = features
-        if self.config.top_k_features and self.config.top_k_features < len(features):
+        if self.top and self.top < len(features):
             self.features = self._select(df, features)
         self.imputer = Imputer(strategy="median", inputCols=self.features, outputCols=[f"_i_{f}" for f in self.features]).fit(df)
         if self.spec.scaled:
             filled = self.imputer.transform(df)
             row = filled.agg(*(g(f"_i_{f}") for f in self.features for g in (F.avg, F.stddev_pop))).first()
             self.scale = {f: (row[2 * i], row[2 * i + 1]) for i, f in enumerate(self.features)}
-        if self.config.name in BOOSTED:
+        if self.name in BOOSTED:
             rows = self.imputer.transform(df).withColumn("_y", F.col("label") + 1)
             self.model = boosting.fit(rows, [f"_i_{f}" for f in self.features], boosting.Boosting(seed=self.seed, **self.params), "_y", "weight")
             return self
         data = self._vectors(df).select("_v", (F.col("label") + 1).cast("double").alias("_y"), "weight")
-        if self.config.name == "mlp" and self.config.class_balance:
+        if self.name == "mlp" and self.balance:
             data = data.withColumn("_c", F.explode(F.sequence(F.lit(1), F.greatest(F.round("weight").cast("int"), F.lit(1))))).drop("_c")
         data = data.persist()
         self.model = self._estimator(data.count(), len(self.features)).fit(data)
@@ -136,13 +129,13 @@ class Learner:
 
     def _select(self, df: DataFrame, features: list[str]) -> list[str]:
         """The features a small forest finds most important."""
-        forest = Learner(ModelConfig("random_forest", {"numTrees": 120}, class_balance=False), self.seed).fit(df.drop("weight"), features)
+        forest = Learner("random_forest", {"numTrees": 120}, balance=False, seed=self.seed).fit(df.drop("weight"), features)
         ranked = sorted(forest.importance().items(), key=lambda x: (-x[1], x[0]))
-        return [f for f, _ in ranked[: self.config.top_k_features]]
+        return [f for f, _ in ranked[: self.top]]
 
     def predict_proba(self, df: DataFrame) -> DataFrame:
         """p_short, p_flat, p_long; a class that was not trained has 0."""
-        if self.config.name in BOOSTED:
+        if self.name in BOOSTED:
             out = self.imputer.transform(df)
             out = out.withColumn("_p", self.model.probability(out))
         else:
@@ -151,7 +144,7 @@ class Learner:
 
     def importance(self) -> dict[str, float] | None:
         """Shares of the features, where the learner tells them."""
-        if self.config.name in BOOSTED:
+        if self.name in BOOSTED:
             used = self.model.gains()
             total = sum(used.values()) or 1
             return {f: used[f"_i_{f}"] / total for f in self.features}
@@ -168,8 +161,8 @@ class Learner:
 class Ensemble:
     """The mean probabilities of a learner under several seeds."""
 
-    def __init__(self, config: ModelConfig, seed: int = 7):
-        self.members = [Learner(config, seed + i) for i in range(config.n_seeds)]
+    def __init__(self, name: str, params: dict | None = None, *, seeds: int, seed: int = 7, **options):
+        self.members = [Learner(name, params, seed=seed + i, **options) for i in range(seeds)]
 
     def fit(self, df: DataFrame, features: list[str]) -> Ensemble:
         for m in self.members:
@@ -190,8 +183,9 @@ class Ensemble:
         return {f: sum(x.get(f, 0.0) for x in found) / len(found) for f in found[0]}
 
 
-def build(config: ModelConfig, seed: int = 7):
-    return Learner(config, seed) if config.n_seeds <= 1 else Ensemble(config, seed)
+def build(name: str, params: dict | None = None, *, seeds: int = 1, **options):
+    """A learner, or the mean of several seeds; options: balance, top (features to keep), seed."""
+    return Learner(name, params, **options) if seeds <= 1 else Ensemble(name, params, seeds=seeds, **options)
 
 
 def predict(df: DataFrame) -> DataFrame:

@@ -101,10 +101,10 @@ class MixtureRegimes(_Clusters):
 DETECTORS = {"none": NoRegimes, "rule": RuleRegimes, "kmeans": KMeansRegimes, "gmm": MixtureRegimes}
 
 
-def detector(method: str, k: int = 4, seed: int = 7):
+def detector(method: str, k: int = 4, seed: int = 7, features: list[str] | None = None):
     if method not in DETECTORS:
         raise ValueError(f"unknown regime method {method!r}; there are {sorted(DETECTORS)}")
-    return DETECTORS[method](k, seed=seed) if issubclass(DETECTORS[method], _Clusters) else DETECTORS[method]()
+    return DETECTORS[method](k, features, seed) if issubclass(DETECTORS[method], _Clusters) else DETECTORS[method]()
 
 
 def _median(xs):

@@ -13,41 +13,67 @@ from pyspark.sql import functions as F
 from ..functions.storage import stored
 from ..functions.windows import lead, numbered, rolling
 from ..operators import backtest, classification, features, folds, labels, metrics, models, regimes, signals, significance
-from ..sources.bars import bars_per_year
-from .config import Config
+from ..sources.bars import bars_per_year, between
+from .settings import Settings
 
 
 @dataclass
 class Study:
     run_id: str
-    config: Config
+    config: Settings
     predictions: DataFrame
     equity: DataFrame
     tables: dict[str, DataFrame]
     summary: dict = field(default_factory=dict)
 
 
-def prepare(bars: DataFrame, config: Config, extra=None) -> DataFrame:
-    """Features of one symbol with labels beside, numbered; the tail after the last label is cut. `extra` may add columns to the features."""
-    feats = features.build_features(bars, tuple(config.features.blocks), config.features.warmup_bars)
+def label_arguments(config: Settings) -> dict:
+    s = config.section("labeling")
+    common = {"horizon": s["horizon"], "atr_window": s["atr_window"]}
+    if s["method"] == "directional":
+        return common | {"deadband": s["deadband_atr"]}
+    return common | {"take_profit": s["take_profit_atr"], "stop_loss": s["stop_loss_atr"]} | ({"primary": s["primary"]} if s["method"] == "meta" else {})
+
+
+def pricing(config: Settings, bars_per_year: int) -> dict:
+    """The arguments of backtest.run."""
+    s = config.section("backtest")
+    return {
+        "capital": s["initial_capital"], "friction_bps": s["cost_bps"] + s["slippage_bps"], "size": s["position_size"], "delay": s["execution_lag"], "hold": s["min_holding_bars"], "bars_per_year": bars_per_year,
+        "target": s["volatility_target"], "target_window": s["volatility_window"], "leverage": s["max_leverage"], "hours": s["session_hours"],
+    }
+
+
+def learner(config: Settings):
+    s = config.section("model")
+    return models.build(s["name"], s["params"], balance=s["class_balance"], top=s["top_k_features"], seeds=s["n_seeds"], seed=config["experiment.seed"])
+
+
+def prepare(bars: DataFrame, config: Settings, extra=None) -> DataFrame:
+    """Features of the symbols with labels beside, numbered, within the study's dates; the tail after the last label is cut. `extra` may add columns to the features."""
+    s = config.section("features")
+    windows = {"returns": s["return_horizons"], "volatility": s["volatility_windows"], "trend": s["trend_windows"]}
+    if config["data.start"] is not None or config["data.end"] is not None:
+        bars = between(bars, config["data.start"], config["data.end"])
+    feats = features.build_features(bars, tuple(s["blocks"]), config["data.warmup_bars"], windows)
     if extra is not None:
         feats = extra(feats).dropna("any")
-    marked = labels.build_labels(feats.select(*features.OHLCV), config.labeling.method, **config.labeling.params())
+    marked = labels.build_labels(feats.select(*features.OHLCV), config["labeling.method"], **label_arguments(config))
     extra = [c for c in (*labels.LABEL, "primary") if c in marked.columns]
     rows = feats.join(marked.select("symbol", "ts", *extra), ["symbol", "ts"], "left")
     last = marked.groupBy("symbol").agg(F.max("ts").alias("_last"))
     return numbered(rows.join(last, "symbol").where(F.col("ts") <= F.col("_last")).drop("_last"))
 
 
-def fit_fold(train: DataFrame, inputs: list[str], config: Config, seed: int) -> dict:
+def fit_fold(train: DataFrame, inputs: list[str], config: Settings) -> dict:
     """The pooled model, and one for each regime with enough rows if they are asked for."""
-    fitted = {None: models.build(config.model, seed).fit(train, inputs)}
-    if config.regime.specialised_models:
+    fitted = {None: learner(config).fit(train, inputs)}
+    if config["regime.specialised_models"]:
         n = train.count()
-        least = max(500, n // (4 * config.regime.n_regimes))
+        least = max(500, n // (4 * config["regime.n_regimes"]))
         for r in train.groupBy("regime").agg(F.count("*").alias("n"), F.count_distinct("label").alias("k")).collect():
             if r.n >= least and r.k > 1:
-                fitted[r.regime] = models.build(config.model, seed).fit(train.where(F.col("regime") == r.regime), inputs)
+                fitted[r.regime] = learner(config).fit(train.where(F.col("regime") == r.regime), inputs)
     return fitted
 
 
@@ -62,31 +88,30 @@ def score_fold(fitted: dict, test: DataFrame) -> DataFrame:
     return out
 
 
-def run(bars: DataFrame, config: Config | None = None, progress=None, extra=None) -> Study:
+def run(bars: DataFrame, config: Settings | None = None, progress=None, extra=None) -> Study:
     """A study of one symbol's bars; `extra` may add columns to its features."""
-    cfg, began = config or Config(), time.time()
+    cfg, began = config or Settings(), time.time()
     say = progress or (lambda share, text: None)
-    year = bars_per_year(cfg.timeframe)
-    cfg.backtest.bars_per_year = year
+    year = bars_per_year(cfg["data.timeframe"])
     say(0.05, "features and labels")
     rows = stored(prepare(bars, cfg, extra))
     n = rows.count()
-    v = cfg.validation
-    plan = folds.walk_forward(n, v.scheme, v.n_folds, v.test_size, v.min_train_size, v.embargo_bars)
+    v = cfg.section("validation")
+    plan = folds.walk_forward(n, v["scheme"], v["n_folds"], v["test_size"], v["min_train_size"], v["embargo_bars"])
     inputs = [c for c in features.feature_columns(rows) if c not in {*labels.LABEL, "primary"}]
     scored, importances, detector = [], [], None
     for fold in plan:
         say(0.1 + 0.6 * fold.index / len(plan), f"fold {fold.index + 1} of {len(plan)}")
         train, test = folds.split(rows, fold)
         train = train.where("label IS NOT NULL")
-        detector = regimes.detector(cfg.regime.method, cfg.regime.n_regimes, cfg.seed).fit(train)
+        detector = regimes.detector(cfg["regime.method"], cfg["regime.n_regimes"], cfg["experiment.seed"], cfg["regime.features"]).fit(train)
         train, test = detector.predict(train), detector.predict(test)
         columns = list(inputs)
-        if cfg.regime.as_model_feature and cfg.regime.method != "none":
-            train, test = (models.one_hot(x, cfg.regime.n_regimes) for x in (train, test))
-            columns += [f"regime_{i}" for i in range(cfg.regime.n_regimes)]
-        fitted = fit_fold(train, columns, cfg, cfg.seed)
-        out = signals.from_probabilities(score_fold(fitted, test), cfg.model.decision_threshold)
+        if cfg["regime.as_model_feature"] and cfg["regime.method"] != "none":
+            train, test = (models.one_hot(x, cfg["regime.n_regimes"]) for x in (train, test))
+            columns += [f"regime_{i}" for i in range(cfg["regime.n_regimes"])]
+        fitted = fit_fold(train, columns, cfg)
+        out = signals.from_probabilities(score_fold(fitted, test), cfg["model.decision_threshold"])
         if "primary" in rows.columns:
             # the learner only filters the rule's trades
             out = out.withColumn("signal", F.when(F.coalesce("primary", F.lit(0.0)) == F.col("signal"), F.col("signal")).otherwise(0.0))
@@ -101,7 +126,7 @@ def run(bars: DataFrame, config: Config | None = None, progress=None, extra=None
     # where test windows overlap, the earlier fold holds
     predictions = every.groupBy("symbol", "ts").agg(F.min_by(F.struct(*[c for c in every.columns if c not in ("symbol", "ts")]), "fold").alias("x")).select("symbol", "ts", "x.*")
     predictions = stored(predictions)
-    result = stored(backtest.run(predictions.withColumn("signal", F.col("prediction").cast("double")), cfg.backtest))
+    result = stored(backtest.run(predictions.withColumn("signal", F.col("prediction").cast("double")), **pricing(cfg, year)))
     trades = backtest.trades(result)
     head = metrics.performance(result, year, trades).first().asDict()
     cls = classification.summary(predictions).first()
@@ -113,7 +138,7 @@ def run(bars: DataFrame, config: Config | None = None, progress=None, extra=None
     spread = statistics.stdev(sharpes) if len(sharpes) > 1 else None
     say(0.85, "significance")
     returns = result.select("symbol", "ts", "strategy_return")
-    interval = significance.bootstrap_interval(returns, cfg.evaluation.bootstrap_samples, cfg.evaluation.confidence_level, year, seed=cfg.seed).first()
+    interval = significance.bootstrap_interval(returns, cfg["evaluation.bootstrap_samples"], cfg["evaluation.confidence_level"], year, seed=cfg["experiment.seed"]).first()
     symbol = head["symbol"]
     tested = (interval.asDict() if interval else {}) | {
         "probabilistic_sharpe": significance.probabilistic_sharpe(returns, 0.0, year).get(symbol), "deflated_sharpe": significance.deflated_sharpe(returns, len(plan), spread, year).get(symbol),
@@ -124,7 +149,7 @@ def run(bars: DataFrame, config: Config | None = None, progress=None, extra=None
     where = predictions.select("symbol", "ts")
     ruled = signals.stacked(history, signals.RULES).withColumn("_s", signals.stacked_symbol("symbol"))
     ruled = ruled.join(where.withColumnRenamed("symbol", "_s"), ["_s", "ts"], "left_semi").drop("_s")
-    base = metrics.performance(backtest.run(ruled, cfg.backtest), year).withColumns({"rule": signals.stacked_rule("symbol"), "symbol": signals.stacked_symbol("symbol")})
+    base = metrics.performance(backtest.run(ruled, **pricing(cfg, year)), year).withColumns({"rule": signals.stacked_rule("symbol"), "symbol": signals.stacked_symbol("symbol")})
     market = predictions.select("symbol", "ts", "close", "regime")
     tables = {
         "fold_layout": folds.describe_folds(rows, plan), "fold_metrics": by_fold, "trades": trades, "confusion": classification.confusion(predictions), "per_class": classification.per_class(predictions),
@@ -147,19 +172,19 @@ def verdict(summary: dict) -> str:
     return "negative beyond chance" if s["upper"] < 0 else "not told from chance"
 
 
-def compare(bars: DataFrame, base: Config, model_names: list[str], regime_names: list[str]) -> list[dict]:
+def compare(bars: DataFrame, base: Settings, model_names: list[str], regime_names: list[str]) -> list[dict]:
     """Every learner with every regime method; an arm that fails is listed with its error."""
     return sweep(bars, base, [(f"{m}/{r}", [f"model.name={m}", f"regime.method={r}"]) for m in model_names for r in regime_names])
 
 
-def sweep(bars: DataFrame, base: Config, arms: list[tuple[str, list[str]]], stage: str = "search", extra=None) -> list[dict]:
+def sweep(bars: DataFrame, base: Settings, arms: list[tuple[str, list[str]]], stage: str = "search", extra=None) -> list[dict]:
     """Ledger rows of named sets of overrides, best Sharpe first."""
     rows = []
     for name, changes in arms:
         began = time.time()
         row = {"stage": stage, "arm": name, "changes": "; ".join(changes)}
         try:
-            s = run(bars, base.with_overrides(*changes), extra=extra).summary
+            s = run(bars, base.but(*changes), extra=extra).summary
             row |= {"status": "ok", "sharpe": s["metrics"]["sharpe"], "total_return": s["metrics"]["total_return"], "max_drawdown": s["metrics"]["max_drawdown"], "trades": s["metrics"]["trades"], "lower": s["significance"].get("lower"), "upper": s["significance"].get("upper")}
         except Exception as error:  # one arm must not end the search
             row |= {"status": f"failed: {error}"[:200]}
@@ -167,7 +192,7 @@ def sweep(bars: DataFrame, base: Config, arms: list[tuple[str, list[str]]], stag
     return sorted(rows, key=lambda r: -(r.get("sharpe") if r.get("sharpe") is not None else float("-inf")))
 
 
-def holdout(bars: DataFrame, config: Config) -> list[dict]:
+def holdout(bars: DataFrame, config: Settings) -> list[dict]:
     """The chosen configuration on every symbol of the bars: in one plan where its learner fits all symbols at once, and else one study after another."""
     from . import panel
 
@@ -197,6 +222,6 @@ def _future_return(df: DataFrame, bars: int = 5) -> DataFrame:
 LEAKS = {"honest": None, "swing": _swing_flags, "future": _future_return}
 
 
-def lookahead(bars: DataFrame, config: Config) -> list[dict]:
+def lookahead(bars: DataFrame, config: Settings) -> list[dict]:
     """The same study without and with features that look ahead, to show what a leak does to results."""
     return [row for name, extra in LEAKS.items() for row in sweep(bars, config, [(name, [])], "lookahead", extra)]

@@ -9,7 +9,6 @@ from . import oracles as o
 from .functions.windows import numbered, percent_rank, zscore
 from .operators import backtest, classification, features, folds, labels, metrics, regimes, signals, significance
 from .operators import indicators as ind
-from .operators.backtest import BacktestConfig
 from .sources import bars as src
 
 QUERIES = {}
@@ -424,7 +423,7 @@ _PRICED = priced(crossover())
 
 
 def crossover_result(spark, d):
-    return backtest.run(signals.ma_crossover(m15(spark, d)), BacktestConfig(bars_per_year=M15_YEAR))
+    return backtest.run(signals.ma_crossover(m15(spark, d)), bars_per_year=M15_YEAR)
 
 
 _EQ = ["position", "cost", "strategy_return", "equity", "drawdown"]
@@ -445,8 +444,7 @@ def _(spark, d):
     cte("p2", f"5.0 / nullif(({o.roll('stddev_pop', 'r', 100)}) * sqrt({M15_YEAR}), 0) AS sc0, {o.lag('side')} AS before", "p1"), cte("p3", f"coalesce(least({o.lag('sc0')}, 3.0), 0) AS sc", "p2"),
     f"SELECT symbol, ts, round(side * CASE WHEN side = 0 THEN 0 ELSE coalesce({o.ffill('CASE WHEN side <> 0 AND (before IS NULL OR before <> side) THEN sc END')}, 0) END, 6)::DOUBLE AS position FROM p3"))
 def _(spark, d):
-    cfg = BacktestConfig(bars_per_year=M15_YEAR, volatility_target=5.0)
-    return show(backtest.run(signals.ma_crossover(m15(spark, d)), cfg), ["position"])
+    return show(backtest.run(signals.ma_crossover(m15(spark, d)), bars_per_year=M15_YEAR, target=5.0), ["position"])
 
 
 _TRADES = [
@@ -731,7 +729,7 @@ def _rule_sharpes(names) -> list[str]:
 
 
 def rule_sharpes(spark, d, names) -> DataFrame:
-    priced_rules = backtest.run(signals.stacked(m15(spark, d), names), BacktestConfig(bars_per_year=M15_YEAR))
+    priced_rules = backtest.run(signals.stacked(m15(spark, d), names), bars_per_year=M15_YEAR)
     found = significance.sharpe(priced_rules, M15_YEAR)
     return found.select(signals.stacked_rule("symbol").alias("rule"), signals.stacked_symbol("symbol").alias("symbol"), "sharpe")
 
@@ -775,5 +773,5 @@ def _log_factorial(n):
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: hourly bars of each event type, a moving-average crossover, its metrics."""
-    result = backtest.run(signals.ma_crossover(src.from_events(spark, sf_dir, "H1", o.LEVEL), 10, 30), BacktestConfig(min_holding_bars=6))
+    result = backtest.run(signals.ma_crossover(src.from_events(spark, sf_dir, "H1", o.LEVEL), 10, 30), hold=6)
     return metrics.performance(result, src.bars_per_year("H1"), backtest.trades(result))

@@ -46,7 +46,7 @@ def test_equals_single_fits(spark, rows, monkeypatch):
     for b in bounds.where("symbol = 'A' OR fold = 1").collect():
         own = rows.where(F.col("symbol") == b.symbol)
         train = own.where((F.col("rn") >= b.train_start) & (F.col("rn") < b.train_stop) & F.col("label").isNotNull())
-        learner = models.Learner(models.ModelConfig("logistic", {"C": 0.5, "maxIter": 5000, "tol": 1e-13})).fit(train, INPUTS)
+        learner = models.Learner("logistic", {"C": 0.5, "maxIter": 5000}).fit(train, INPUTS)
         test = own.where((F.col("rn") >= b.test_start) & (F.col("rn") < b.test_end))
         want |= {(b.symbol, b.fold, r.rn): (r.p_short, r.p_flat, r.p_long) for r in learner.predict_proba(test).collect()}
     assert len(want) > 500 and all(np.allclose(got[k], v, atol=1e-6) for k, v in want.items())

@@ -13,8 +13,8 @@ from regimespark.functions import stats
 from regimespark.functions.windows import ewm, numbered, percent_rank, rolling_kurt, rolling_skew
 from regimespark.operators import backtest, classification, features, folds, labels, metrics, models, regimes, signals, significance
 from regimespark.operators import indicators as ind
-from regimespark.operators.backtest import BacktestConfig
-from regimespark.plans.config import Config
+from regimespark.plans import settings, study
+from regimespark.plans.settings import Settings
 from regimespark.sources import bars as src
 from regimespark.sources import csv, store
 
@@ -134,14 +134,14 @@ def test_session_filter_freezes_the_signal(spark):
 def test_backtest_costs_and_trades(spark):
     rows = [("A", START + dt.timedelta(hours=i), p, p, p, p, 1.0) for i, p in enumerate([100.0, 110.0, 121.0, 121.0, 100.0])]
     df = frame(spark, rows).withColumn("signal", F.when(F.hour("ts") < 2, 1.0).otherwise(0.0))
-    out = backtest.run(df, BacktestConfig(cost_bps=10, slippage_bps=0, min_holding_bars=1))
+    out = backtest.run(df, friction_bps=10, hold=1)
     assert [round(x, 6) for x in column(out, "strategy_return")] == [0.0, 0.099, 0.0, -0.001, 0.0]
     t = backtest.trades(out).collect()
     assert len(t) == 1 and (t[0].entry_price, t[0].exit_price, t[0].bars, t[0].side) == (110.0, 121.0, 2, "long") and abs(t[0]["return"] - 0.099) < 1e-9
 
 
 def test_trades_partition_the_invested_bars(series):
-    out = backtest.run(signals.rsi_mean_reversion(series), BacktestConfig(min_holding_bars=5)).cache()
+    out = backtest.run(signals.rsi_mean_reversion(series), hold=5).cache()
     trades = backtest.trades(out)
     assert trades.agg(F.sum("bars")).first()[0] == out.where("side <> 0").count()
     m = metrics.performance(out, 24_960, trades).where("symbol = 'A'").first()
@@ -184,7 +184,7 @@ def test_fold_stability(spark):
 
 
 def test_bootstrap_is_repeatable_and_centred(series):
-    out = backtest.run(signals.buy_and_hold(series.where("symbol = 'A'")), BacktestConfig(min_holding_bars=1)).select("symbol", "ts", "strategy_return").cache()
+    out = backtest.run(signals.buy_and_hold(series.where("symbol = 'A'")), hold=1).select("symbol", "ts", "strategy_return").cache()
     a, b = (significance.bootstrap_interval(x, 100, mean_block=20).first() for x in (out, out.repartition(3)))
     assert all(abs(a[k] - b[k]) < 1e-9 for k in ("sharpe", "lower", "upper", "bootstrap_mean")) and a.lower < a.bootstrap_mean < a.upper and a.samples == 100
 
@@ -208,22 +208,48 @@ def test_learners(spark):
     rng = random.Random(1)
     rows = [(x, y, 1 if x > 0.3 else -1 if x < -0.3 else 0) for x, y in ((rng.uniform(-1, 1), rng.gauss(0, 1)) for _ in range(600))]
     df = spark.createDataFrame([(*r[:2], r[2]) for r in rows] + [(None, 0.0, 0)], "x double, y double, label int").cache()
-    for cfg in (models.ModelConfig("logistic", {"C": 100.0}), models.ModelConfig("random_forest", {"numTrees": 10, "minInstancesPerNode": 2}, top_k_features=1), models.ModelConfig("random_forest", {"numTrees": 5}, n_seeds=2)):
-        m = models.build(cfg).fit(df, ["x", "y"])
+    for m in (models.build("logistic", {"C": 100.0}), models.build("random_forest", {"n_estimators": 10, "minInstancesPerNode": 2}, top=1), models.build("random_forest", {"numTrees": 5}, seeds=2), models.build("lightgbm", {"n_estimators": 3, "min_child_samples": 2})):
+        m.fit(df, ["x", "y"])
         out = models.predict(m.predict_proba(df))
         assert out.where("prediction = label").count() > 400 and abs(out.agg(F.max(F.expr("abs(p_short + p_flat + p_long - 1)"))).first()[0]) < 1e-9
         assert max(m.importance(), key=m.importance().get) == "x"
     with pytest.raises(RuntimeError):
-        models.build(models.ModelConfig("lstm"))
+        models.build("lstm")
     with pytest.raises(ValueError):
-        models.build(models.ModelConfig("oracle"))
-
-
-def test_config_overrides():
-    c = Config().with_overrides("model.name=logistic", "validation.n_folds=3", "backtest.session_hours=[8,9]")
-    assert (c.model.name, c.validation.n_folds, c.backtest.session_hours) == ("logistic", 3, [8, 9]) and Config.from_dict(c.to_dict()) == c
-    with pytest.raises(KeyError):
-        Config().with_overrides("model.colour=red")
+        models.build("oracle")
+
+
+def test_settings_overrides():
+    c = Settings().but("model.name=logistic", "validation.n_folds=3", "backtest.session_hours=[8,9]", 'model.params={"C": 2}')
+    assert (c["model.name"], c["validation.n_folds"], c["backtest.session_hours"], c["model.params"]) == ("logistic", 3, [8, 9], {"C": 2})
+    assert Settings(c.to_dict()).to_dict() == c.to_dict() and Settings()["model.name"] == "xgboost"
+    for wrong in ("model.colour=red", "colour=red", "model=red", "model.name.x=1"):
+        with pytest.raises((KeyError, ValueError)):
+            Settings().but(wrong)
+    for wrong in ("model.name=oracle", "validation.n_folds=0", "validation.test_size=1.5", "model.class_balance=1", "backtest.session_hours=[24]", "regime.method=7"):
+        with pytest.raises(ValueError, match="no value"):
+            Settings().but(wrong)
+
+
+def test_settings_files(tmp_path):
+    for section, values in Settings().to_dict().items():
+        assert all(settings.TABLE[f"{section}.{k}"][1](v) for k, v in values.items())
+    text = "experiment: {name: trial, seed: 3}\ndata:\n  start: 2024-01-05\n  end: null\n  timeframe: M15\nfeatures:\n  trend_windows: [10, 30]\nmodel: {name: lightgbm, params: {n_estimators: 5}}\n"
+    (tmp_path / "study.yaml").write_text(text)
+    s = settings.read(str(tmp_path / "study.yaml"))
+    assert (s["experiment.seed"], str(s["data.start"]), s["features.trend_windows"], s["model.params"]["n_estimators"], s["regime.method"]) == (3, "2024-01-05", [10, 30], 5, "kmeans")
+    (tmp_path / "study.json").write_text(s.to_json())
+    assert settings.read(str(tmp_path / "study.json")).to_json() == s.to_json()
+    (tmp_path / "bad.yaml").write_text("model: {colour: red}\n")
+    with pytest.raises(KeyError, match="model.colour"):
+        settings.read(str(tmp_path / "bad.yaml"))
+
+
+def test_settings_reach_the_features(series):
+    cfg = Settings().but('features.blocks=["returns","trend","volatility"]', "features.return_horizons=[1,7]", "features.trend_windows=[9,33]", "features.volatility_windows=[11,40]", "data.start=2024-01-02", "data.warmup_bars=250", "labeling.horizon=8")
+    names = set(study.prepare(series, cfg).columns)
+    assert {"ret_7", "ret_7_norm", "ema_9_33_spread_atr", "realised_vol_11", "atr_40_rel"} <= names and not {"ret_5", "ema_20_dist_atr", "atr_50_rel"} & names
+    assert study.prepare(series, cfg).agg(F.min("ts")).first()[0] >= dt.datetime(2024, 1, 2) + dt.timedelta(minutes=15 * 250)
 
 
 def test_csv_cleaning_and_catalogue(spark, tmp_path):

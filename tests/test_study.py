@@ -4,14 +4,14 @@ import pytest
 
 from regimespark.operators import models
 from regimespark.plans import panel, study
-from regimespark.plans.config import Config
+from regimespark.plans.settings import Settings
 from regimespark.sources import bars as src
 from regimespark.sources import store
 
 
 def test_study(spark, tmp_path):
     bars = src.from_events(spark, "/root/testdata/sf0.01", "M15", 10_000.0).where("symbol = 'click'")
-    cfg = Config().with_overrides(
+    cfg = Settings().but(
         'features.blocks=["returns","session"]', "model.name=logistic", 'model.params={"maxIter":5}', "regime.method=rule", "validation.n_folds=2", "validation.test_size=0.2", "validation.embargo_bars=10",
         "labeling.horizon=8", "backtest.min_holding_bars=4", "evaluation.bootstrap_samples=20", "model.decision_threshold=0.4",
     )
@@ -28,13 +28,13 @@ def test_study(spark, tmp_path):
 
 def test_sweep_lists_failed_arms(spark):
     bars = src.from_events(spark, "/root/testdata/sf0.001", "H1", 10_000.0).where("symbol = 'click'")
-    rows = study.sweep(bars, Config(), [("lstm", ["model.name=lstm"])])
+    rows = study.sweep(bars, Settings(), [("lstm", ["model.name=lstm"])])
     assert rows[0]["status"].startswith("failed") and rows[0]["seconds"] >= 0
 
 
 def test_a_leak_is_seen_in_the_features_only(spark):
     bars = src.from_events(spark, "/root/testdata/sf0.01", "M15", 10_000.0).where("symbol = 'click'")
-    cfg = Config().with_overrides('features.blocks=["session"]', "labeling.horizon=8")
+    cfg = Settings().but('features.blocks=["session"]', "labeling.horizon=8")
     plain, leaky = study.prepare(bars, cfg), study.prepare(bars, cfg, study.LEAKS["future"])
     assert set(leaky.columns) - set(plain.columns) == {"future_return"} and leaky.count() <= plain.count()
     assert set(study.prepare(bars, cfg, study.LEAKS["swing"]).columns) - set(plain.columns) == {"swing_high_now", "swing_low_now"}
@@ -45,7 +45,7 @@ def test_learners_that_are_not_built_raise_with_their_package_there(spark, monke
     missing = {"lstm", "gru"}
     for name in missing:
         with pytest.raises(RuntimeError, match="not built"):
-            models.build(models.ModelConfig(name))
+            models.build(name)
     assert {r.model for r in models.catalogue(spark).where("NOT built AND NOT available").collect()} == missing
 
 
@@ -54,7 +54,7 @@ PANEL = ['features.blocks=["returns","session"]', "regime.method=none", "validat
 
 def test_panel_equals_the_studies_of_its_symbols(spark):
     bars = src.from_events(spark, "/root/testdata/sf0.01", "M15", 10_000.0).where("symbol IN ('click', 'view')")
-    cfg = Config().with_overrides(*PANEL, "model.name=logistic", 'model.params={"maxIter":5000,"tol":1e-13}')
+    cfg = Settings().but(*PANEL, "model.name=logistic", 'model.params={"maxIter":5000}')
     out = panel.run(bars, cfg)
     seen = {r.symbol: r for r in out.metrics.collect()}
     assert set(seen) == {"click", "view"} and out.fold_metrics.count() == 4
@@ -68,9 +68,9 @@ def test_panel_equals_the_studies_of_its_symbols(spark):
 
 def test_panel_of_boosted_trees(spark):
     bars = src.from_events(spark, "/root/testdata/sf0.001", "M15", 10_000.0)
-    cfg = Config().with_overrides(*PANEL, "model.name=lightgbm", 'model.params={"n_estimators":2,"min_child_samples":10}', "features.warmup_bars=20", "validation.min_train_size=0.4")
+    cfg = Settings().but(*PANEL, "model.name=lightgbm", 'model.params={"n_estimators":2,"min_child_samples":10}', "data.warmup_bars=20", "validation.min_train_size=0.4")
     out = panel.run(bars, cfg)
     assert out.predictions.where("abs(p_short + p_flat + p_long - 1) > 1e-9").count() == 0
     assert out.predictions.select("symbol").distinct().count() == out.bounds.select("symbol").distinct().count()
     with pytest.raises(ValueError, match="one plan"):
-        panel.run(bars, cfg.with_overrides("model.name=random_forest"))
+        panel.run(bars, cfg.but("model.name=random_forest"))
