@@ -37,7 +37,7 @@ FRAME = 128 << 10
 #: Bytes of text that a file is meant to hold; a task sorts and writes one file.
 FILE_BYTES = 16 << 20
 #: Words whose ids a worker remembers.
-CACHE = 200_000
+CACHE = 600_000
 # Fixed values of the public seekable format: magic numbers of the seek table's frame and footer, and of our index frame.
 SEEK_MAGIC, FOOTER_MAGIC, INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 # Fixed value: the split of byte-level BPE with its standard expression.
