@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranges import HALO, in_ranges
 from ..functions.windows import ewm, ffill, lag, numbered, percent_rank, ratio, rolling, rolling_corr, rolling_kurt, rolling_skew, span, trailing, zscore
 from . import indicators as ind
 
@@ -137,6 +138,14 @@ def build_features(bars: DataFrame, blocks=tuple(BLOCKS), warmup: int = 300, win
     return df.dropna("any", subset=names).drop("rn")
 
 
+def build_features_in_ranges(bars: DataFrame, range_rows: int, halo: int = HALO, **options) -> DataFrame:
+    """build_features with every symbol cut into ranges that are worked on side by side, each with `halo` bars before it.
+
+    A swing level that is older than `halo` bars is not seen.
+    """
+    return in_ranges(bars.select(*OHLCV), lambda b: build_features(b, **options), range_rows, halo)
+
+
 def feature_catalogue(spark, blocks=tuple(BLOCKS)) -> DataFrame:
     """Blocks and the columns each adds."""
     empty = spark.createDataFrame([], "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double")

@@ -115,6 +115,93 @@ def min_holding(df: DataFrame, bars: int) -> DataFrame:
     return df.repartition("symbol").sortWithinPartitions("symbol", "ts").mapInArrow(hold, df.schema)
 
 
+def _turns(x: np.ndarray, bars: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row, the first later row with another signal, and the row on which a position taken there is next given up (both may lie past the end)."""
+    n = len(x)
+    change = np.flatnonzero(x[1:] != x[:-1]) + 1
+    other = np.append(change, n)[np.searchsorted(change, np.arange(n), "right")]
+    # taken at i, it may change from i + bars on, a flat one at once; there, or where the signal first differs
+    free = np.where(x == 0, np.arange(n) + 1, np.arange(n) + bars)
+    at = np.minimum(free, n - 1) if n else free
+    nxt = np.where(free >= n, free, np.where(x[at] != x, free, other[at]))
+    return other, nxt
+
+
+_HELD = "symbol string, range long, n long, value array<double>, other array<long>, out array<double>, till array<long>, out2 array<double>, till2 array<long>"
+_ENTRY = "symbol string, range long, now double, free long"
+
+
+def _range_map(x: np.ndarray, bars: int):
+    """How a range answers whatever position enters it: for the first `bars` rows and one, their signals, the first later row
+    with another signal, and of both the position that leaves the range if one is taken there, and the rows for which it is still held."""
+    n = len(x)
+    other, nxt = _turns(x, bars)
+    last = np.arange(n)
+    for i in range(n - 1, -1, -1):
+        if nxt[i] < n:
+            last[i] = last[nxt[i]]
+    some = np.arange(min(bars + 1, n))
+    leave = lambda i: (x[last[i]], np.maximum(0, np.where(x[last[i]] == 0, last[i] + 1, last[i] + bars) - n))
+    second = np.minimum(other[some], n - 1)
+    return (x[some], other[some], *leave(some), *leave(second))
+
+
+def _through(now: float, free: int, n: int, value, other, out, till, out2, till2) -> tuple[float, int]:
+    """The position and its rows still held after a range, from those before it."""
+    free = 0 if now == 0 else free
+    if free >= n:
+        return now, free - n
+    if value[free] != now:
+        return out[free], till[free]
+    return (now, 0) if other[free] >= n else (out2[free], till2[free])
+
+
+def min_holding_in_ranges(rows: DataFrame, bars: int) -> DataFrame:
+    """min_holding of rows (symbol, range, rn, signal, ...) cut into ranges that run side by side.
+
+    Each range says what leaves it for whatever enters it (a table of bars + 1 rows); these maps
+    are followed from range to range, a row each, and ranges are then worked through from the
+    position that really enters them.
+    """
+    if bars <= 1:
+        return rows
+    rows = rows.withColumn("signal", F.coalesce(F.col("signal").cast("double"), F.lit(0.0)))
+    arrow = pa.schema([("symbol", pa.string()), ("range", pa.int64()), ("n", pa.int64()), *((c, pa.list_(pa.float64() if c in ("value", "out", "out2") else pa.int64())) for c in ("value", "other", "out", "till", "out2", "till2"))])
+
+    def summary(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rn")
+        x = table.column("signal").to_numpy()
+        head = [table.column("symbol")[0].as_py(), table.column("range")[0].as_py(), len(x)]
+        return pa.table([pa.array([v if i < 3 else v.tolist()], f.type) for i, (v, f) in enumerate(zip([*head, *_range_map(x, bars)], arrow, strict=True))], schema=arrow)
+
+    def follow(table: pa.Table) -> pa.Table:
+        now, free, out = 0.0, 0, []
+        for r in table.sort_by("range").to_pylist():
+            out.append((r["symbol"], r["range"], now, free))
+            now, free = _through(now, free, r["n"], *(r[c] for c in arrow.names[3:]))
+        kinds = (pa.string(), pa.int64(), pa.float64(), pa.int64())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["symbol", "range", "now", "free"])
+
+    def hold(table: pa.Table, entry: pa.Table) -> pa.Table:
+        table = table.sort_by("rn")
+        x, held = table.column("signal").to_numpy(), np.empty(len(table))
+        other, nxt = _turns(x, bars)
+        now, free = (entry.column(c)[0].as_py() for c in ("now", "free"))
+        at = min(0 if now == 0 else free, len(x))
+        if at < len(x) and x[at] == now:
+            at = other[at]
+        held[:at] = now
+        while at < len(x):
+            held[at : nxt[at]] = x[at]
+            at = nxt[at]
+        i = table.column_names.index("signal")
+        return table.set_column(i, "signal", pa.array(held))
+
+    maps = rows.select("symbol", "range", "rn", "signal").groupBy("symbol", "range").applyInArrow(summary, _HELD)
+    entries = maps.groupBy("symbol").applyInArrow(follow, _ENTRY)
+    return rows.groupBy("symbol", "range").cogroup(entries.groupBy("symbol", "range")).applyInArrow(hold, rows.schema)
+
+
 def volatility_scalar(df: DataFrame, target: float, window: int = 100, bars_per_year: float = 6240, cap: float = 3.0) -> DataFrame:
     """`scalar`: target volatility over that of the bars before, at most `cap`, 0 while unknown."""
     from ..functions.windows import ratio
