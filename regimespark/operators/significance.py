@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import EULER, normal_cdf, normal_ppf, student_cdf
+from ..functions.stats import EULER, normal_ppf, normal_probability, student_probability
 from ..functions.windows import numbered
 
 
@@ -20,15 +20,6 @@ def moments(returns: DataFrame) -> DataFrame:
     return returns.groupBy("symbol").agg(F.count(r).alias("n"), F.avg(r).alias("mean"), F.stddev_samp(r).alias("sd"), F.skewness(r).alias("g1"), F.kurtosis(r).alias("g2"))
 
 
-def psr_of(n: int, mean: float, sd: float, g1: float, g2: float, benchmark: float = 0.0, bars_per_year: int = 6_240) -> float | None:
-    """Probability that the true Sharpe ratio exceeds an annualised benchmark."""
-    if n < 30 or not sd or sd <= 0:
-        return None
-    s = mean / sd
-    square = 1 - g1 * s + g2 / 4 * s * s
-    return normal_cdf((s - benchmark / math.sqrt(bars_per_year)) * math.sqrt(n - 1) / math.sqrt(square)) if square > 0 else None
-
-
 def psr_z(returns: DataFrame, benchmark: float = 0.0, bars_per_year: int = 6_240) -> DataFrame:
     """(symbol, n, z): the score whose normal probability is the probabilistic Sharpe ratio."""
     s = F.col("mean") / F.nullif(F.col("sd"), F.lit(0.0))
@@ -37,9 +28,9 @@ def psr_z(returns: DataFrame, benchmark: float = 0.0, bars_per_year: int = 6_240
     return moments(returns).select("symbol", "n", F.when(F.col("n") >= 30, z).alias("z"))
 
 
-def probabilistic_sharpe(returns: DataFrame, benchmark: float = 0.0, bars_per_year: int = 6_240) -> dict[str, float | None]:
-    """By symbol; one row of moments each comes to the driver."""
-    return {m.symbol: psr_of(m.n, m.mean, m.sd, m.g1, m.g2, benchmark, bars_per_year) for m in moments(returns).collect()}
+def probabilistic_sharpe(returns: DataFrame, benchmark: float = 0.0, bars_per_year: int = 6_240) -> DataFrame:
+    """(symbol, n, psr): the probability that the true Sharpe ratio exceeds an annualised benchmark; null under 30 bars or without spread."""
+    return psr_z(returns, benchmark, bars_per_year).select("symbol", "n", normal_probability(F.col("z")).alias("psr"))
 
 
 def expected_maximum(trials: int) -> float:
@@ -47,22 +38,25 @@ def expected_maximum(trials: int) -> float:
     return 0.0 if trials <= 1 else (1 - EULER) * normal_ppf(1 - 1 / trials) + EULER * normal_ppf(1 - 1 / (trials * math.e))
 
 
-def deflated_sharpe(returns: DataFrame, trials: int, trial_std: float | None = None, bars_per_year: int = 6_240, annualised: bool = False) -> dict[str, float | None]:
-    """PSR against the best of `trials` chance results.
+def deflated_sharpe(returns: DataFrame, trials: int, spread: DataFrame | None = None, bars_per_year: int = 6_240) -> DataFrame:
+    """(symbol, n, deflated, deflated_corrected): PSR against the best of `trials` chance results.
 
-    trial_std is taken as a per-bar figure, as results are compared with; annualised=True says
-    that it is annual, and converts it first.
+    spread(symbol, spread) is how far the trials' results lie apart; it is taken as a per-bar figure, as results are compared
+    with, and, corrected, as an annual one. Without it, or where it is not positive, it is that of chance, 1 / sqrt(n).
     """
-    out = {}
-    for m in moments(returns).collect():
-        if m.n < 30 or trials < 1:
-            out[m.symbol] = None
-            continue
-        scale = trial_std if trial_std and trial_std > 0 and math.isfinite(trial_std) else 1 / math.sqrt(m.n)
-        if annualised and scale is trial_std:
-            scale /= math.sqrt(bars_per_year)
-        out[m.symbol] = psr_of(m.n, m.mean, m.sd, m.g1, m.g2, scale * expected_maximum(trials) * math.sqrt(bars_per_year), bars_per_year)
-    return out
+    m = moments(returns)
+    m = m.withColumn("spread", F.lit(None).cast("double")) if spread is None else m.join(spread.select("symbol", F.col("spread").cast("double")), "symbol", "left")
+    known = (F.col("spread") > 0) & (F.col("spread") < float("inf"))
+    s = F.col("mean") / F.nullif(F.col("sd"), F.lit(0.0))
+    square = 1 - F.col("g1") * s + F.col("g2") / 4 * s * s
+
+    def against(scale):
+        z = (s - scale * expected_maximum(trials)) * F.sqrt(F.col("n") - 1) / F.sqrt(F.when(square > 0, square))
+        return normal_probability(F.when((F.col("n") >= 30) & F.lit(trials >= 1), z))
+
+    chance = 1 / F.sqrt("n")
+    plain, annual = (F.when(known, F.col("spread") / by).otherwise(chance) for by in (1.0, math.sqrt(bars_per_year)))
+    return m.select("symbol", "n", against(plain).alias("deflated"), against(annual).alias("deflated_corrected"))
 
 
 def bootstrap_sharpes(returns: DataFrame, samples: int = 1000, bars_per_year: int = 6_240, mean_block: float | None = None, seed: int = 7) -> DataFrame:
@@ -107,14 +101,13 @@ def bootstrap_interval(returns: DataFrame, samples: int = 1000, level: float = 0
     return sharpe(returns, bars_per_year).join(found, "symbol", "left")
 
 
-def fold_stability(folds: DataFrame, metric: str = "sharpe") -> dict:
-    """Mean, spread, range, share of positive folds, t and one-sided p of a metric over folds."""
+def fold_stability(folds: DataFrame, metric: str = "sharpe", key: str | None = None) -> DataFrame:
+    """Mean, spread, range, share of positive folds, t and one-sided p of a metric over folds, of each key; what is not finite does not count."""
     x = F.col(metric)
-    m = folds.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).agg(F.count(x).alias("n"), F.avg(x).alias("m"), F.stddev_samp(x).alias("s"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.avg((x > 0).cast("double")).alias("pos")).first()
-    if not m.n:
-        return {}
-    out = {"mean": m.m, "std": m.s or 0.0, "min": m.lo, "max": m.hi, "positive_fold_share": m.pos, "folds": m.n}
-    if m.n > 1 and m.s:
-        t = m.m / (m.s / math.sqrt(m.n))
-        out |= {"t_statistic": t, "p_value": 1 - student_cdf(t, m.n - 1)}
-    return out
+    rows = folds.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    out = rows.groupBy(*([key] if key else [])).agg(
+        F.avg(x).alias("mean"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg((x > 0).cast("double")).alias("positive_fold_share"), F.count(x).alias("folds")
+    )
+    t = F.when((F.col("folds") > 1) & (F.col("std") > 0), F.col("mean") / (F.col("std") / F.sqrt("folds")))
+    out = out.withColumn("t_statistic", t)
+    return out.withColumn("p_value", 1 - student_probability(F.col("t_statistic"), F.col("folds") - 1))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import statistics
 import time
 import uuid
 from dataclasses import dataclass, field
@@ -134,16 +133,14 @@ def run(bars: DataFrame, config: Settings | None = None, progress=None, extra=No
     spark = bars.sparkSession
     by_fold = metrics.performance(result.join(predictions.select("symbol", "ts", "fold"), ["symbol", "ts"]), year, key="fold")
     by_fold = stored(by_fold)
-    sharpes = [r.sharpe for r in by_fold.select("sharpe").collect() if r.sharpe is not None]
-    spread = statistics.stdev(sharpes) if len(sharpes) > 1 else None
+    spread = by_fold.agg(F.stddev_samp("sharpe").alias("spread")).withColumn("symbol", F.lit(head["symbol"]))
     say(0.85, "significance")
     returns = result.select("symbol", "ts", "strategy_return")
     interval = significance.bootstrap_interval(returns, cfg["evaluation.bootstrap_samples"], cfg["evaluation.confidence_level"], year, seed=cfg["experiment.seed"]).first()
-    symbol = head["symbol"]
-    tested = (interval.asDict() if interval else {}) | {
-        "probabilistic_sharpe": significance.probabilistic_sharpe(returns, 0.0, year).get(symbol), "deflated_sharpe": significance.deflated_sharpe(returns, len(plan), spread, year).get(symbol),
-        "deflated_sharpe_corrected": significance.deflated_sharpe(returns, len(plan), spread, year, annualised=True).get(symbol), "fold_stability": significance.fold_stability(by_fold),
-    }
+    tests = significance.probabilistic_sharpe(returns, 0.0, year).join(significance.deflated_sharpe(returns, len(plan), spread, year).drop("n"), "symbol")
+    tests = tests.select(F.col("psr").alias("probabilistic_sharpe"), F.col("deflated").alias("deflated_sharpe"), F.col("deflated_corrected").alias("deflated_sharpe_corrected")).first()
+    stable = significance.fold_stability(by_fold).first().asDict()
+    tested = (interval.asDict() if interval else {}) | tests.asDict() | {"fold_stability": stable if stable["folds"] else {}}
     say(0.95, "baselines")
     history = numbered(bars)
     where = predictions.select("symbol", "ts")

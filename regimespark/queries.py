@@ -775,3 +775,6 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: hourly bars of each event type, a moving-average crossover, its metrics."""
     result = backtest.run(signals.ma_crossover(src.from_events(spark, sf_dir, "H1", o.LEVEL), 10, 30), hold=6)
     return metrics.performance(result, src.bars_per_year("H1"), backtest.trades(result))
+
+
+from . import study_queries  # noqa: E402, F401  registers its queries here

@@ -174,13 +174,27 @@ def test_classification_of_a_known_matrix(spark):
 def test_distributions():
     assert abs(stats.student_cdf(-1.886, 2) - 0.1) < 1e-3 and abs(stats.student_cdf(0.0, 5) - 0.5) < 1e-12 and abs(stats.student_cdf(2.228, 10) - 0.975) < 1e-4
     assert abs(stats.normal_cdf(1.96) - 0.975) < 1e-4 and abs(stats.binomial_tail(5, 10) - 0.623046875) < 1e-12
-    psr = significance.psr_of(5208, -1.17978 / math.sqrt(6240), 1.0, 22.06, 1257.5)
-    assert abs(psr - 0.181) < 2e-3
+    x = -1.17978 / math.sqrt(6240)
+    assert abs(stats.normal_cdf(x * math.sqrt(5207) / math.sqrt(1 - 22.06 * x + 1257.5 / 4 * x * x)) - 0.181) < 2e-3
+
+
+def test_distributions_as_columns(spark):
+    xs = [-40.0, -8.5, -3.1, -1.0, -1e-9, 0.0, 0.3, 1.96, 5.0, 9.0, 30.0, None, float("nan")]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(stats.normal_probability(F.col("x"))).collect()]
+    assert got[-2:] == [None, None] and all(abs(g - stats.normal_cdf(x)) < 1e-14 for g, x in zip(got, xs[:-2], strict=False))
+    pairs = [(t, n) for t in (-3.0, -0.2, 0.0, 0.7, 2.5, 20.0) for n in (1, 2, 3, 4, 7, 10, 61)]
+    got = [r[0] for r in spark.createDataFrame(pairs, "t double, n int").select(stats.student_probability(F.col("t"), F.col("n"))).collect()]
+    assert all(abs(g - stats.student_cdf(t, n)) < 1e-9 for g, (t, n) in zip(got, pairs, strict=True))
 
 
 def test_fold_stability(spark):
-    s = significance.fold_stability(spark.createDataFrame([(-3.2163,), (-3.7887,), (0.1162,), (float("nan"),)], "sharpe double"))
+    rows = [("a", -3.2163), ("a", -3.7887), ("a", 0.1162), ("a", float("nan")), ("a", None), ("one", 2.0), ("none", float("inf"))]
+    df = spark.createDataFrame(rows, "symbol string, sharpe double")
+    s = significance.fold_stability(df.where("symbol = 'a'")).first()
     assert abs(s["mean"] + 2.2963) < 1e-4 and abs(s["t_statistic"] + 1.886) < 1e-3 and abs(s["p_value"] - 0.9) < 1e-3 and s["folds"] == 3
+    by = {r.symbol: r for r in significance.fold_stability(df, key="symbol").collect()}
+    assert by["a"].p_value == s.p_value and by["one"].t_statistic is None and by["one"]["std"] == 0 and "none" not in by
+    assert significance.fold_stability(df.limit(0)).first().folds == 0
 
 
 def test_bootstrap_is_repeatable_and_centred(series):
