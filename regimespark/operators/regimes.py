@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.ml.clustering import GaussianMixture, KMeans
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import stored
 from ..functions.windows import lag, lead, running
 from .features import DESCRIPTORS
 from .metrics import performance
@@ -73,14 +76,83 @@ class _Clusters:
         return describe_regimes(self.predict(df), self.features).orderBy("regime").collect()
 
 
+def hashed(*parts):
+    """Hex digest of a row's symbol and time after some numbers: an order by chance that any engine repeats."""
+    return F.md5(F.concat_ws("|", *(F.lit(p) if not isinstance(p, Column) else p.cast("string") for p in parts), "symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).cast("binary"))
+
+
 class KMeansRegimes(_Clusters):
-    restarts = 10
+    """Lloyd's rounds as grouped sums, for all restarts in one job a round; a restart begins at the k rows of least hash.
+
+    A centre without rows goes. Of the restarts the one of least cost stays, of equals the first.
+    """
+
+    restarts, rounds, still = 10, 50, 1e-9
+
+    def _scaled(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("_z", F.array(*((F.col(x) - m) / (s or 1.0) for x, (m, s) in self.scale.items())))
+
+    @staticmethod
+    def _nearest(centres: dict[int, list[float]]):
+        """struct(d, c) of the nearest centre, of equals the first."""
+        z = F.col("_z")
+        return F.array_min(F.array(*(F.struct(sum(((z[i] - v) * (z[i] - v) for i, v in enumerate(own)), F.lit(0.0)).alias("d"), F.lit(c).alias("c")) for c, own in sorted(centres.items()))))
+
+    @staticmethod
+    def _sums(data: DataFrame, centres: dict) -> DataFrame:
+        """(r, c, n, d, s): rows, squared distances and sums of each restart's clusters, a row for each task."""
+        tables = {r: (np.array(sorted(own)), np.array([own[c] for c in sorted(own)])) for r, own in centres.items()}
+
+        def add(batches):
+            held: dict = {}
+            for batch in batches:
+                z = batch.column("_z").flatten().to_numpy().reshape(len(batch), -1)
+                for r, (names, own) in tables.items():
+                    d = ((z[:, None, :] - own[None]) ** 2).sum(axis=2)
+                    near = d.argmin(axis=1)
+                    for k, c in enumerate(names.tolist()):
+                        mine = near == k
+                        if mine.any():
+                            n, e, s = held.get((r, c), (0, 0.0, 0.0))
+                            held[r, c] = n + int(mine.sum()), e + float(d[mine, k].sum()), s + z[mine].sum(axis=0)
+            if held:
+                columns = [[r for r, _ in held], [c for _, c in held], *([v[i] for v in held.values()] for i in (0, 1)), [v[2].tolist() for v in held.values()]]
+                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["r", "c", "n", "d", "s"])
+
+        return data.select("_z").mapInArrow(add, "r int, c int, n long, d double, s array<double>")
 
-    def _model(self, data, seed):
-        return KMeans(k=self.k, seed=seed, featuresCol="_v", maxIter=50).fit(data)
+    def fit(self, df: DataFrame):
+        row = df.agg(*chain.from_iterable((F.avg(x), F.stddev_pop(x)) for x in self.features)).first()
+        self.scale = {x: (row[2 * i] or 0.0, row[2 * i + 1]) for i, x in enumerate(self.features)}
+        data = stored(self._scaled(df.dropna("any", subset=self.features)).select("symbol", "ts", "_z"))
+        drawn = data.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(self.restarts - 1))))
+        drawn = drawn.withColumn("_h", hashed(self.seed, F.col("_r"))).withColumn("_c", F.row_number().over(Window.partitionBy("_r").orderBy("_h")) - 1).where(F.col("_c") < self.k)
+        found: dict = {r: {} for r in range(self.restarts)}
+        for r in drawn.select("_r", "_c", "_z").collect():
+            found[r._r][r._c] = list(r._z)
+        cost: dict = {}
+        for _ in range(self.rounds):
+            there = {r: c for r, c in found.items() if c}
+            if not there:
+                break
+            sums = self._sums(data, there).groupBy("r", "c").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), *(F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(len(self.features)))).collect()
+            moved, cost = {r: {} for r in found}, {}
+            for s in sums:
+                moved[s.r][s.c], cost[s.r] = [s[f"s{i}"] / s.n for i in range(len(self.features))], cost.get(s.r, 0.0) + s.d
+            far = max((abs(a - b) for r, centres in moved.items() for c, m in centres.items() for a, b in zip(m, found[r][c], strict=True)), default=0.0)
+            gone = any(len(moved[r]) < len(c) for r, c in found.items())
+            if far <= self.still and not gone:
+                break
+            found = moved
+        best = min(cost, key=lambda r: (round(cost[r], 6), r)) if cost else None
+        self.found = found[best] if cost else {0: [0.0] * len(self.features)}
+        self.names = regime_names(self.centres(df))
+        return self
 
-    def _quality(self, model):
-        return -model.summary.trainingCost
+    def predict(self, df: DataFrame) -> DataFrame:
+        ok = df.dropna("any", subset=self.features)
+        return self._scaled(ok).withColumn("regime", self._nearest(self.found)["c"].cast("int")).select(*df.columns, "regime")
 
 
 class MixtureRegimes(_Clusters):
@@ -181,6 +253,18 @@ def profile(df: DataFrame, descriptors=tuple(DESCRIPTORS), bars_per_year: int =
     return out.join(runs, ["symbol", "regime"])
 
 
+#: Columns of the display table: what they show, by how much it is multiplied, and to how many digits it is rounded.
+SHOWN = {
+    "Share": ("share", 100, 1), "Avg run (bars)": ("mean_run_bars", 1, 1), "Return/bar (bps)": ("mean_return_bps", 1, 2), "Vol/bar (bps)": ("volatility_bps", 1, 2), "Ann. return": ("annualised_return", 100, 1), "Ann. volatility": ("annualised_volatility", 100, 1),
+    "Return/risk": ("return_per_unit_risk", 1, 2),
+}
+
+
+def display(profiled: DataFrame, names: dict[int, str]) -> DataFrame:
+    """A profile with the regimes' names and figures rounded for reading."""
+    return named(profiled, names).select("symbol", F.col("regime").alias("id"), F.col("regime_name").alias("Regime"), F.col("bars").alias("Bars"), *(F.round(F.col(c) * by, digits).alias(n) for n, (c, by, digits) in SHOWN.items()))
+
+
 def stability(train: DataFrame, test: DataFrame) -> DataFrame:
     """Share of each regime in two windows, and the difference."""
     def shares(df, name):
@@ -203,4 +287,4 @@ def regime_performance(rows: DataFrame, bars_per_year: int = 6_240) -> DataFrame
 
 def sampled(df: DataFrame, n: int = 6_000, seed: int = 7) -> DataFrame:
     """At most n rows, by a hash: the same ones in every run."""
-    return df.orderBy(F.xxhash64(F.lit(seed), "symbol", "ts")).limit(n)
+    return df.orderBy(hashed(seed)).limit(n)

@@ -600,15 +600,6 @@ def _(spark, d):
     return out.withColumns({"share": F.round("share", 9), "sharpe": F.round("sharpe", 6), "return_bps": F.round("return_bps", 6), "max_drawdown": F.round("max_drawdown", 8), "hit_rate": F.round("hit_rate", 9), "signal_rate": F.round("signal_rate", 9)})
 
 
-@register("regime_kmeans")
-def _(spark, d):
-    df = described(spark, d)
-    held = df.persist()  # a fit reads it once for each restart
-    model = regimes.KMeansRegimes().fit(held)
-    held.unpersist()
-    return regimes.named(model.predict(df), model.names).select("symbol", "ts", "regime", "regime_name")
-
-
 @register("regime_gmm")
 def _(spark, d):
     df = described(spark, d)

@@ -11,9 +11,10 @@ from .functions.windows import lag, numbered
 from .operators import backtest, boosting, keyed, labels, metrics, regimes, signals, significance
 from .operators import indicators as ind
 from .operators.boosting import Boosting
+from .operators.features import DESCRIPTORS
 from .plans import panel
 from .plans.settings import Settings
-from .queries import _PRICED, _RSI_SIG, _TB, M15_YEAR, ORACLE_SQL, crossover_result, cte, held, m15, register, rule_sharpes, ruled, show
+from .queries import _DESC_ROWS, _PRICED, _REG, _RSI_SIG, _TB, _TRADES, M15_YEAR, ORACLE_SQL, crossover_result, cte, described, held, m15, metric_ctes, priced, register, ruled
 
 # ---------------------------------------------------------------- series in ranges
 
@@ -197,3 +198,64 @@ def _(spark, d):
     spells = crossover_result(spark, d).groupBy("symbol", part.alias("part")).agg((F.avg("strategy_return") / F.nullif(F.stddev_pop("strategy_return"), F.lit(0.0)) * F.sqrt(F.lit(24960.0))).alias("sharpe"))
     out = significance.fold_stability(spells, key="symbol")
     return out.select("symbol", "folds", *(F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max", "positive_fold_share", "t_statistic")), F.round("p_value", 7).alias("p_value"))
+
+
+# ---------------------------------------------------------------- regimes
+
+_K, _RESTARTS, _ROUNDS = 4, regimes.KMeansRegimes.restarts, regimes.KMeansRegimes.rounds
+_Z = range(len(DESCRIPTORS))
+
+
+def _hash(prefix: str) -> str:
+    return f"md5({prefix} || '|' || symbol || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S'))"
+
+
+_DIST = " + ".join(f"power(zr.z{i} - km.z{i}, 2)" for i in _Z)
+_KMEANS = [
+    *_DESC_ROWS, "sc AS (SELECT " + ", ".join(f"avg({x}) AS m{i}, stddev_pop({x}) AS s{i}" for i, x in enumerate(DESCRIPTORS)) + " FROM dn)",
+    "zr AS MATERIALIZED (SELECT row_number() OVER () AS id, symbol, ts, " + ", ".join(DESCRIPTORS) + ", " + ", ".join(f"({x} - m{i}) / s{i} AS z{i}" for i, x in enumerate(DESCRIPTORS)) + " FROM dn, sc)",
+    f"se AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY h) - 1 AS c, {', '.join(f'z{i}' for i in _Z)} FROM (SELECT *, {_hash(chr(39) + '7|' + chr(39) + ' || r')} AS h FROM zr, range({_RESTARTS}) x(r)))",
+    f"km(it, r, c, {', '.join(f'z{i}' for i in _Z)}) AS (SELECT 0, r, c, {', '.join(f'z{i}' for i in _Z)} FROM se WHERE c < {_K} UNION ALL SELECT it + 1, r, c, {', '.join(f'avg(z{i})' for i in _Z)} FROM"
+    f" (SELECT km.it, km.r, arg_min(km.c, struct_pack(d := {_DIST}, c := km.c)) AS c, {', '.join(f'any_value(zr.z{i}) AS z{i}' for i in _Z)} FROM zr, km WHERE km.it < {_ROUNDS} GROUP BY zr.id, km.it, km.r) GROUP BY it, r, c)",
+    f"ke AS (SELECT zr.id, km.r, min({_DIST}) AS d, arg_min(km.c, struct_pack(d := {_DIST}, c := km.c))::INT AS regime FROM zr, km WHERE km.it = {_ROUNDS} GROUP BY 1, 2)",
+    "kb AS (SELECT arg_min(r, struct_pack(d := round(d, 6), r := r)) AS r FROM (SELECT r, sum(d) AS d FROM ke GROUP BY 1))", "kr AS MATERIALIZED (SELECT zr.*, ke.regime FROM zr JOIN ke ON zr.id = ke.id JOIN kb ON ke.r = kb.r)",
+    f"kc AS (SELECT regime, {', '.join(f'avg({x}) AS {x}' for x in DESCRIPTORS)} FROM kr GROUP BY 1)", "kd AS (SELECT median(abs(trend_strength)) AS t, median(vol_percentile) AS v FROM kc)",
+    "kn AS (SELECT regime, CASE WHEN trend_strength > t THEN 'Uptrend' WHEN trend_strength < -t THEN 'Downtrend' ELSE 'Range' END || ', ' || CASE WHEN vol_percentile > v THEN 'high-volatility' ELSE 'quiet' END AS name FROM kc, kd)",
+    "kl AS (SELECT regime, name || CASE WHEN row_number() OVER w > 1 THEN ' (' || row_number() OVER w || ')' ELSE '' END AS regime_name FROM kn WINDOW w AS (PARTITION BY name ORDER BY regime))",
+]
+
+
+@register("regime_kmeans", o.sql(o.bars(), _KMEANS, "SELECT symbol, ts, kr.regime, regime_name FROM kr JOIN kl ON kr.regime = kl.regime"))
+def _(spark, d):
+    df = described(spark, d)
+    model = regimes.KMeansRegimes().fit(df)
+    return regimes.named(model.predict(df), model.names).select("symbol", "ts", "regime", "regime_name")
+
+
+@register("regime_display", "SELECT symbol, regime AS id, ['Range, quiet', 'Range, high-volatility', 'Trend, quiet', 'Trend, high-volatility'][regime + 1] AS \"Regime\", bars AS \"Bars\", "
+    + ", ".join(f'round({c} * {by}, {digits})::DOUBLE AS "{n}"' for n, (c, by, digits) in regimes.SHOWN.items()) + " FROM (" + ORACLE_SQL["regime_profile"] + ")")
+def _(spark, d):
+    """The regimes' profiles as a table for reading, from figures of six digits."""
+    out = regimes.profile(ruled(spark, d), bars_per_year=M15_YEAR)
+    out = out.withColumns({c: F.round(c, 6) for c, _, _ in regimes.SHOWN.values()})
+    return regimes.display(out, regimes.RULE_NAMES)
+
+
+@register("regime_sample", o.sql(o.bars(), _REG, f"SELECT symbol, ts, round(trend_strength, 6) AS trend_strength, round(vol_percentile, 6) AS vol_percentile, regime FROM rg ORDER BY {_hash(chr(39) + '7' + chr(39))} LIMIT 2000"))
+def _(spark, d):
+    """A repeatable sample of the regime plane."""
+    return regimes.sampled(ruled(spark, d), 2000).select("symbol", "ts", F.round("trend_strength", 6).alias("trend_strength"), F.round("vol_percentile", 6).alias("vol_percentile"), "regime")
+
+
+def _stacked_sql() -> str:
+    names = {"crossover": _PRICED, "hold": priced([cte("s", "1.0::DOUBLE AS signal")])}
+    parts = [f"SELECT '{n}' AS name, * FROM ({o.sql(o.bars(), ctes, _TRADES, metric_ctes(), 'SELECT symbol, ' + ', '.join(f'round({m}, 6) AS {m}' for m in metrics.METRICS) + ' FROM k')})" for n, ctes in names.items()]
+    return " UNION ALL ".join(parts)
+
+
+@register("bt_metrics_stacked", _stacked_sql())
+def _(spark, d):
+    """The metrics of several strategies under each other."""
+    results = {"crossover": crossover_result(spark, d), "hold": backtest.run(signals.buy_and_hold(m15(spark, d)), bars_per_year=M15_YEAR)}
+    out = metrics.stacked({n: metrics.performance(r, M15_YEAR, backtest.trades(r)) for n, r in results.items()})
+    return out.select("name", "symbol", *(F.round(m, 6).alias(m) for m in metrics.METRICS))
