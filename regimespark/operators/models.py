@@ -5,13 +5,13 @@ from __future__ import annotations
 import importlib.util
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import boosting
+from . import boosting, perceptron
 
 
 @dataclass(frozen=True)
@@ -30,14 +30,14 @@ SPECS = {
     "hist_gradient_boosting": Spec("Histogram gradient boosting", {"rounds": 400, "rate": 0.05, "depth": 6}),
     "xgboost": Spec("Boosted trees by depth, regularised", {"rounds": 500, "rate": 0.03, "depth": 5, "leaves": 32, "row_share": 0.8, "column_share": 0.8, "hessian": 20, "least": 1, "l2": 2.0}),
     "lightgbm": Spec("Boosted trees by leaf", {"rounds": 500, "rate": 0.03, "depth": 99, "leaves": 31, "least": 50, "column_share": 0.8}),
-    "mlp": Spec("Multilayer perceptron", {"layers": [64, 32], "maxIter": 400}, scaled=True),
+    "mlp": Spec("Multilayer perceptron", {"hidden": [64, 32], "alpha": 1e-3, "steps": 400}, scaled=True),
     "lstm": Spec("LSTM", {"lookback": 24}, scaled=True, requires="tensorflow", built=False),
     "gru": Spec("GRU", {"lookback": 24}, scaled=True, requires="tensorflow", built=False),
 }
 BOOSTED = ("hist_gradient_boosting", "xgboost", "lightgbm")
 # Other names of the settings in configurations.
 _TREES = {"max_iter": "rounds", "n_estimators": "rounds", "learning_rate": "rate", "max_depth": "depth", "num_leaves": "leaves", "max_leaf_nodes": "leaves", "min_samples_leaf": "least", "min_child_samples": "least", "min_child_weight": "hessian", "reg_lambda": "l2", "l2_regularization": "l2", "subsample": "row_share", "colsample_bytree": "column_share", "max_bins": "bins"}
-NAMES = {"random_forest": {"n_estimators": "numTrees", "max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode"}, "mlp": {"hidden_layer_sizes": "layers", "max_iter": "maxIter"}, "logistic": {"max_iter": "maxIter"}} | dict.fromkeys(BOOSTED, _TREES)
+NAMES = {"random_forest": {"n_estimators": "numTrees", "max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode"}, "mlp": {"hidden_layer_sizes": "hidden", "layers": "hidden", "max_iter": "steps", "maxIter": "steps"}, "logistic": {"max_iter": "maxIter"}} | dict.fromkeys(BOOSTED, _TREES)
 
 
 def settings_of(name: str, params: dict | None = None) -> dict:
@@ -86,21 +86,21 @@ class Learner:
             raise RuntimeError(f"{name} needs {SPECS[name].requires}, which is not installed")
         self.name, self.spec, self.params, self.balance, self.top, self.seed = name, SPECS[name], settings_of(name, params), balance, top, seed
 
-    def _estimator(self, n: int, width: int):
+    def _estimator(self, n: int):
         p, common = dict(self.params), {"featuresCol": "_v", "labelCol": "_y"}
         name = self.name
         if name == "logistic":
             return LogisticRegression(family="multinomial", regParam=1 / (p["C"] * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=p.get("maxIter", 2000), weightCol="weight", **common)
-        if name == "random_forest":
-            return RandomForestClassifier(seed=self.seed, weightCol="weight", **p, **common)
-        return MultilayerPerceptronClassifier(layers=[width, *p["layers"], 3], maxIter=p["maxIter"], seed=self.seed, **common)
+        return RandomForestClassifier(seed=self.seed, weightCol="weight", **p, **common)
 
-    def _vectors(self, df: DataFrame) -> DataFrame:
+    def _filled(self, df: DataFrame) -> DataFrame:
         df = self.imputer.transform(df)
-        cols = [f"_i_{f}" for f in self.features]
         if self.spec.scaled:
             df = df.withColumns({f"_i_{f}": (F.col(f"_i_{f}") - m) / (s or 1.0) for f, (m, s) in self.scale.items()})
-        return VectorAssembler(inputCols=cols, outputCol="_v").transform(df)
+        return df
+
+    def _vectors(self, df: DataFrame) -> DataFrame:
+        return VectorAssembler(inputCols=[f"_i_{f}" for f in self.features], outputCol="_v").transform(self._filled(df))
 
     def fit(self, df: DataFrame, features: list[str]) -> Learner:
         bad = df.where(~F.col("label").isin(-1, 0, 1)).limit(1).count()
@@ -119,11 +119,13 @@ class Learner:
             rows = self.imputer.transform(df).withColumn("_y", F.col("label") + 1)
             self.model = boosting.fit(rows, [f"_i_{f}" for f in self.features], boosting.Boosting(seed=self.seed, **self.params), "_y", "weight")
             return self
+        if self.name == "mlp":
+            rows = self._filled(df).withColumn("_y", F.col("label") + 1)
+            self.model = perceptron.fit(rows, [f"_i_{f}" for f in self.features], "_y", "weight", list(self.params["hidden"]), self.params["alpha"], self.params["steps"], self.seed)
+            return self
         data = self._vectors(df).select("_v", (F.col("label") + 1).cast("double").alias("_y"), "weight")
-        if self.name == "mlp" and self.balance:
-            data = data.withColumn("_c", F.explode(F.sequence(F.lit(1), F.greatest(F.round("weight").cast("int"), F.lit(1))))).drop("_c")
         data = data.persist()
-        self.model = self._estimator(data.count(), len(self.features)).fit(data)
+        self.model = self._estimator(data.count()).fit(data)
         data.unpersist()
         return self
 
@@ -138,6 +140,9 @@ class Learner:
         if self.name in BOOSTED:
             out = self.imputer.transform(df)
             out = out.withColumn("_p", self.model.probability(out))
+        elif self.name == "mlp":
+            out = self._filled(df)
+            out = out.withColumn("_p", self.model.probability(out))
         else:
             out = self.model.transform(self._vectors(df)).withColumn("_p", vector_to_array("probability"))
         return out.select(*df.columns, *(F.coalesce(F.get("_p", F.lit(i)), F.lit(0.0)).alias(n) for i, n in enumerate(("p_short", "p_flat", "p_long"))))
