@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import json
+import threading
 import time
+import traceback
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import nullcontext
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import stored
 from ..functions.windows import lead, numbered, rolling
 from ..operators import backtest, classification, features, folds, labels, metrics, models, regimes, signals, significance
-from ..sources.bars import bars_per_year, between
+from ..sources.bars import bars_per_year, between, resample
 from .settings import Settings
 
 
@@ -87,13 +93,13 @@ def score_fold(fitted: dict, test: DataFrame) -> DataFrame:
     return out
 
 
-def run(bars: DataFrame, config: Settings | None = None, progress=None, extra=None) -> Study:
-    """A study of one symbol's bars; `extra` may add columns to its features."""
+def run(bars: DataFrame, config: Settings | None = None, progress=None, extra=None, rows: DataFrame | None = None) -> Study:
+    """A study of one symbol's bars; `extra` may add columns to its features, `rows` are prepared already."""
     cfg, began = config or Settings(), time.time()
     say = progress or (lambda share, text: None)
     year = bars_per_year(cfg["data.timeframe"])
     say(0.05, "features and labels")
-    rows = stored(prepare(bars, cfg, extra))
+    rows = stored(prepare(bars, cfg, extra)) if rows is None else rows
     n = rows.count()
     v = cfg.section("validation")
     plan = folds.walk_forward(n, v["scheme"], v["n_folds"], v["test_size"], v["min_train_size"], v["embargo_bars"])
@@ -174,19 +180,59 @@ def compare(bars: DataFrame, base: Settings, model_names: list[str], regime_name
     return sweep(bars, base, [(f"{m}/{r}", [f"model.name={m}", f"regime.method={r}"]) for m in model_names for r in regime_names])
 
 
-def sweep(bars: DataFrame, base: Settings, arms: list[tuple[str, list[str]]], stage: str = "search", extra=None) -> list[dict]:
-    """Ledger rows of named sets of overrides, best Sharpe first."""
-    rows = []
-    for name, changes in arms:
-        began = time.time()
+def by_sharpe(row: dict) -> float:
+    return -row["sharpe"] if row.get("sharpe") is not None else float("inf")
+
+
+class _Prepared:
+    """Prepared rows of the settings that they depend on, made once however many arms ask at a time."""
+
+    SECTIONS = ("data", "features", "labeling")
+
+    def __init__(self, bars: DataFrame, extra):
+        self.bars, self.extra, self.lock, self.made = bars, extra, threading.Lock(), {}
+
+    def of(self, config: Settings) -> DataFrame:
+        key = json.dumps([config.section(s) for s in self.SECTIONS], default=str)
+        with self.lock:
+            one = self.made.setdefault(key, threading.Lock())
+        with one if not isinstance(one, DataFrame) else nullcontext():
+            if not isinstance(self.made[key], DataFrame):
+                self.made[key] = stored(prepare(self.bars, config, self.extra))
+            return self.made[key]
+
+
+def sweep(bars: DataFrame, base: Settings, arms: list[tuple[str, list[str]]], stage: str = "search", extra=None, workers: int = 4) -> list[dict]:
+    """Ledger rows of named sets of overrides, best Sharpe first.
+
+    `workers` arms run at a time, each with a job group and a scheduler pool of its own, so that they share the cluster
+    fairly where spark.scheduler.mode is FAIR. Arms of one setting of data, features and labels share their rows; bars are
+    resampled for arms of a slower timeframe. An arm that fails is listed with its traceback.
+    """
+    sc, frames, lock = bars.sparkSession.sparkContext, {}, threading.Lock()
+
+    def rows_of(config: Settings) -> DataFrame:
+        frame = config["data.timeframe"]
+        with lock:
+            if frame not in frames:
+                frames[frame] = _Prepared(bars if frame == base["data.timeframe"] else resample(bars, frame), extra)
+        return frames[frame].of(config)
+
+    def work(arm: tuple[str, list[str]]) -> dict:
+        (name, changes), began = arm, time.time()
         row = {"stage": stage, "arm": name, "changes": "; ".join(changes)}
+        sc.setJobGroup(f"{stage}/{name}", f"{stage}: {name}")
+        sc.setLocalProperty("spark.scheduler.pool", f"{stage}/{name}")
         try:
-            s = run(bars, base.but(*changes), extra=extra).summary
+            config = base.but(*changes)
+            s = run(bars, config, rows=rows_of(config)).summary
             row |= {"status": "ok", "sharpe": s["metrics"]["sharpe"], "total_return": s["metrics"]["total_return"], "max_drawdown": s["metrics"]["max_drawdown"], "trades": s["metrics"]["trades"], "lower": s["significance"].get("lower"), "upper": s["significance"].get("upper")}
         except Exception as error:  # one arm must not end the search
-            row |= {"status": f"failed: {error}"[:200]}
-        rows.append(row | {"seconds": time.time() - began})
-    return sorted(rows, key=lambda r: -(r.get("sharpe") if r.get("sharpe") is not None else float("-inf")))
+            row |= {"status": f"failed: {error}"[:200], "error": traceback.format_exc()}
+        return row | {"seconds": time.time() - began}
+
+    with ThreadPoolExecutor(max(1, workers)) as pool:
+        return sorted(pool.map(inheritable_thread_target(bars.sparkSession)(work), arms), key=by_sharpe)
 
 
 def holdout(bars: DataFrame, config: Settings) -> list[dict]:

@@ -3,7 +3,7 @@
 import pytest
 
 from regimespark.operators import models
-from regimespark.plans import panel, study
+from regimespark.plans import panel, search, study
 from regimespark.plans.settings import Settings
 from regimespark.sources import bars as src
 from regimespark.sources import store
@@ -74,3 +74,25 @@ def test_panel_of_boosted_trees(spark):
     assert out.predictions.select("symbol").distinct().count() == out.bounds.select("symbol").distinct().count()
     with pytest.raises(ValueError, match="one plan"):
         panel.run(bars, cfg.but("model.name=random_forest"))
+
+
+def test_arms_run_at_a_time_and_share_their_rows(spark, monkeypatch):
+    bars = src.from_events(spark, "/root/testdata/sf0.01", "M15", 10_000.0).where("symbol = 'click'")
+    base = Settings().but(*PANEL, "model.name=logistic", 'model.params={"maxIter":5}', "data.timeframe=M15")
+    made, real = [], study.prepare
+    monkeypatch.setattr(study, "prepare", lambda *a: made.append(1) or real(*a))
+    arms = [("a", []), ("b", ["model.decision_threshold=0.45"]), ("c", ["model.name=lstm"]), ("d", ["labeling.horizon=6"])]
+    rows = study.sweep(bars, base, arms, workers=3)
+    assert len(made) == 2 and {r["arm"] for r in rows} == {"a", "b", "c", "d"} and rows[-1]["arm"] == "c"
+    assert rows[-1]["status"].startswith("failed") and "Traceback" in rows[-1]["error"]
+    alone = study.sweep(bars, base, arms[:2], workers=1)
+    assert {r["arm"]: r["sharpe"] for r in alone} == {r["arm"]: r["sharpe"] for r in rows if r["arm"] in "ab"}
+
+
+def test_the_arms_are_listed_and_their_changes_are_settings():
+    listed = search.arms()
+    assert len(listed) == 28 and len({(s, a) for s, a, _ in listed}) == 28
+    for _, _, changes in listed:
+        Settings().but(*search.COMMON, *changes)
+    with pytest.raises(KeyError):
+        search.arms("nonsense")
