@@ -3,6 +3,7 @@ and Arrow string columns seen as one byte buffer."""
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -152,6 +153,14 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def relieved(batches):
+    """The same batches; at the end of the task, memory that is free goes back to the system, as Python workers live on and would keep it from the next stage."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def byte_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column as (all bytes, offsets); null counts as empty."""
     column = column.cast(pa.large_binary())

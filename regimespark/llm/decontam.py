@@ -29,7 +29,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, measured, packed, sieve_join, two_hashes
+from .common import materialise, measured, packed, relieved, sieve_join, two_hashes
 
 BLOCK_WORDS = 500_000
 _WORD = b"abcdefghijklmnopqrstuvwxyz0123456789" + bytes(range(128, 256))
@@ -223,7 +223,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: lis
     rows = docs.select(packed(docs))
     if blocks == 1:
         shipped = automaton(items, 0, window)
-        return rows.mapInArrow(lambda it: _judged(it, kept, shipped), schema)
+        return rows.mapInArrow(lambda it: relieved(_judged(it, kept, shipped)), schema)
     k1, k2 = two_hashes("text")
     keyed = docs.select(k1.alias("k1"), k2.alias("k2"), "text")
     marks = None
@@ -237,7 +237,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: lis
     marks, seen = measured(marks, "decontam-hits", sum=F.sum("c"), top=F.max("c"))
     k1, k2 = two_hashes("row.text")
     joined = sieve_join(rows.withColumn("k1", k1).withColumn("k2", k2), marks, ["k1", "k2"], "c", seen["sum"], ["row"], seen["top"])
-    return joined.select("row", "hits", "items").mapInArrow(lambda it: _judged(it, kept), schema)
+    return joined.select("row", "hits", "items").mapInArrow(lambda it: relieved(_judged(it, kept)), schema)
 
 
 def without_spans(data: bytes, hits: list[int]) -> str:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import anti_join, byte_column, doc_groups, hot_join, materialise, measured, packed, row_key
+from .common import anti_join, byte_column, doc_groups, hot_join, materialise, measured, packed, relieved, row_key
 
 BUCKET_BITS = 14
 FIT_ROWS = 50_000
@@ -116,7 +116,7 @@ def text_evidence(rows: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(list(out), pa.list_(pa.float64()))], [*kept, "ll"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(score, f"{fields}, ll array<double>")
+    return rows.mapInArrow(lambda it: relieved(score(it)), f"{fields}, ll array<double>")
 
 
 def _softmax(logs):

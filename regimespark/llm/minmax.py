@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import anti_join, components, hot_join, materialise, measured, packed, row_key, semi_join
+from .common import anti_join, components, hot_join, materialise, measured, packed, relieved, row_key, semi_join
 
 #: The chance that a pair at the threshold shares no band, and the standard deviations by which its sketches may fall short.
 MISS, SPREAD = 1.5e-7, 5.6
@@ -162,7 +162,7 @@ def _sets(asked: DataFrame, n: int, docs: DataFrame, width: int) -> DataFrame:
     rows = semi_join(docs.select("doc_id", "text", F.xxhash64("text").alias("tk")), asked.select("tk"), ["tk"], n)
     asked = asked.select("node", F.col("tk").alias("_t"), "r").hint("shuffle_hash")
     found = rows.join(asked, (F.col("tk") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("r")))
-    sets = found.select("node", "text").mapInArrow(lambda it: _full_sets(it, width), "node long, shingles array<long>")
+    sets = found.select("node", "text").mapInArrow(lambda it: relieved(_full_sets(it, width)), "node long, shingles array<long>")
     return materialise(sets.dropDuplicates(["node"]), "near-sets")
 
 
@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     key = docs.schema["doc_id"].dataType.simpleString()
     count = F.count(F.lit(1))
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tk"))
-    signed, seen = measured(rows.mapInArrow(lambda it: _sign(it, width, bands), f"doc_id {key}, tk long, n long, node long, keys array<long>, sketch array<long>"), "near-signed", n=count)
+    signed, seen = measured(rows.mapInArrow(lambda it: relieved(_sign(it, width, bands)), f"doc_id {key}, tk long, n long, node long, keys array<long>, sketch array<long>"), "near-signed", n=count)
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "tk")).alias("rep")
     classes = signed.where("n > 0").groupBy("node").agg(rep, F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
     classes, held = measured(classes, "near-classes", copies=F.max("copies"))
