@@ -14,7 +14,7 @@ def stored(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not path:
-            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            if not re.match(r"local(\[.*\])?$", sc.master):
                 raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(path)
