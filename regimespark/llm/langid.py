@@ -8,8 +8,9 @@ the text alone says with certainty, by grouped aggregation over all rows; a row'
 taken out of its host's. One more hypothesis, `und`, stands for text in no known language.
 
 The trigram model is fitted on at most about `fit_rows` labelled rows, chosen by hash, for the
-LANGUAGES most frequent values of the label (ties by name; rows with rarer values are not fitted
-on, so that a dirty label column cannot grow the model); everything else covers all rows.
+`languages` most frequent values of the label (ties by name), both of them parameters of fit(); there
+are fewer written languages than the default allows, times their scripts, so it only keeps a label column
+that is none from growing the model. Everything else covers all rows.
 
 Defined results: a null or empty text, or one without letters, has no text evidence and is
 judged by the rest, with `und` as likely as any language; null or unknown declarations,
@@ -31,8 +32,8 @@ from .common import anti_join, byte_column, doc_groups, hot_join, materialise, m
 
 BUCKET_BITS = 14
 FIT_ROWS = 50_000
-#: Languages of a model, each of which takes 64 KB, and a term of the expressions.
-LANGUAGES = 64
+#: Languages of a model at most, each of which takes 64 KB, and a term of the expressions.
+LANGUAGES = 512
 #: Trigrams that a text counts for at most, and the log-probability of a trigram under `und`.
 EFFECTIVE, UNKNOWN = 100.0, -BUCKET_BITS * math.log(2)
 SMOOTH_HOST, SMOOTH_VALUE = 20.0, 20.0
@@ -61,38 +62,29 @@ class Model:
         self.languages, self.logs = languages, logs
 
 
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Trigram model from (text, lang): counts over at most about fit_rows rows, smoothed."""
+def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, languages: int = LANGUAGES) -> Model:
+    """Trigram model from (text, lang): counts over at most about fit_rows rows of the `languages` most frequent labels, smoothed."""
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("text", F.col("lang").cast("string").alias("lang"))
     common, seen = measured(rows.groupBy("lang").agg(F.count("*").alias("c")), "lang-labels", rows=F.sum("c"))
-    # LANGUAGES rows at most
-    chosen = sorted(r.lang for r in common.orderBy(F.desc("c"), "lang").limit(LANGUAGES).collect())
+    # so many rows at most
+    chosen = sorted(r.lang for r in common.orderBy(F.desc("c"), "lang").limit(languages).collect())
     part = -(-seen["rows"] // fit_rows) or 1
     sample = rows.where((F.pmod(F.xxhash64("text"), F.lit(part)) == 0) & F.col("lang").isin(chosen))
 
     def count(batches):
-        totals: dict[str, np.ndarray] = {}
         for batch in batches:
             data, offsets = byte_column(batch.column("text"))
-            langs = batch.column("lang").to_pylist()
-            names = sorted(set(langs))
-            code = np.array([names.index(x) for x in langs])
+            names, code = np.unique(np.array(batch.column("lang").to_pylist(), object), return_inverse=True)
             for i, j in doc_groups(offsets, _GROUP):
                 row, bucket = trigrams(data, offsets[i : j + 1])
-                got = np.bincount(code[i:j][row] * (1 << BUCKET_BITS) + bucket, minlength=len(names) << BUCKET_BITS).reshape(len(names), -1)
-                for name, counts in zip(names, got, strict=True):
-                    totals[name] = totals.get(name, 0) + counts
-        for name, counts in totals.items():
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], ["lang", "bucket", "c"])
+                key, c = np.unique(code[i:j][row] << BUCKET_BITS | bucket, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(names[key >> BUCKET_BITS], pa.string()), pa.array((key & ((1 << BUCKET_BITS) - 1)).astype(np.int32)), pa.array(c.astype(np.int64))], ["lang", "bucket", "c"])
 
     counts = sample.mapInArrow(count, "lang string, bucket int, c long").groupBy("lang", "bucket").agg(F.sum("c").alias("c")).toPandas()
-    languages = sorted(counts["lang"].unique())
-    table = np.full((len(languages), 1 << BUCKET_BITS), 0.05)
-    for k, name in enumerate(languages):
-        mine = counts[counts["lang"] == name]
-        table[k, mine["bucket"].to_numpy()] += mine["c"].to_numpy()
-    return Model(languages, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32))
+    names = sorted(counts["lang"].unique())
+    table = np.full((len(names), 1 << BUCKET_BITS), 0.05)
+    table[np.searchsorted(np.array(names, object), counts["lang"].to_numpy(object)), counts["bucket"].to_numpy()] += counts["c"].to_numpy()
+    return Model(names, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32))
 
 
 def text_evidence(rows: DataFrame, model: Model) -> DataFrame:
