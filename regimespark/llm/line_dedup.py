@@ -7,8 +7,8 @@ removed everywhere.
 
 Defined results: lines end at \\n; lines shorter than `min_chars` characters are never
 removed; a null text has no lines and stays null; an empty text is one empty line; a null
-site counts as one site of its own; repeated rows are treated alike; an empty table gives
-no rows. Extra columns are kept, but for those named n_lines or n_removed, which are replaced.
+site counts as one site of its own; repeated rows are treated alike; work grows with a text's lines,
+however many there are; an empty table gives no rows. Extra columns are kept, but for those named n_lines or n_removed, which are replaced.
 """
 
 from __future__ import annotations
@@ -45,24 +45,30 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
     return sketched.where(~unclear).unionByName(exact).select(*line, "n")
 
 
+def removal_mask(column: str):
+    """A byte for each line up to the last of the sorted positions, 1 at these, so that a text's lines are looked up in the time that reading them takes."""
+    before = lambda k: F.coalesce(F.get(F.col(column), k - 1), F.lit(-1))
+    return F.array_join(F.transform(column, lambda p, k: F.concat(F.repeat(F.lit("0"), p - before(k) - 1), F.lit("1"))), "").cast("binary")
+
+
 def remove_lines(docs: DataFrame, site: str = "source", min_sites: int = 10, min_chars: int = 1) -> DataFrame:
     """The documents with boilerplate lines removed from text, and n_lines, n_removed beside."""
     lines, seen = measured(line_keys(docs, site).where(F.col("chars") >= min_chars).drop("chars"), "lines", n=F.count(F.lit(1)))
     found, held = measured(boilerplate(lines, min_sites), "boilerplate", top=F.max("n"))
     hits = hot_join(lines.drop("site"), found, ["lh", "l2"], "n", seen["n"], ["tk", "pos"], "inner", held["top"])
     per_text = hits.groupBy("tk", "t2").agg(F.sort_array(F.collect_set("pos")).alias("_gone"), F.count("*").alias("rows"))
-    per_text = per_text.withColumn("copies", (F.col("rows") / F.size("_gone")).cast("long")).drop("rows")
+    per_text = per_text.select("tk", "t2", F.size("_gone").cast("long").alias("_n"), removal_mask("_gone").alias("_mask"), (F.col("rows") / F.size("_gone")).cast("long").alias("copies"))
     per_text, total = measured(per_text, "line-removals", copies=F.sum("copies"), top=F.max("copies"))
     own = ("n_lines", "n_removed")
     tk, t2 = two_hashes("text")
     rows = docs.select(packed(docs, *own), F.col("doc_id").alias("_d"), tk.alias("tk"), t2.alias("t2"))
     joined = sieve_join(rows, per_text, ["tk", "t2"], "copies", total["copies"], ["_d"], total["top"])
     parts = F.split("row.text", "\n", -1)
-    left = F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: ~F.array_contains("_gone", p["i"]))
-    text = F.when(F.col("_gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(left, lambda p: p["x"]), "\n"))
+    left = F.filter(parts, lambda _, i: F.substr(F.col("_mask"), i + 1, F.lit(1)) != F.lit(b"1"))
+    text = F.when(F.col("_mask").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n"))
     n_lines = F.when(F.col("row.text").isNull(), 0).otherwise(F.size(parts)).cast("long")
     kept = [text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in own]
-    return joined.select(*kept, n_lines.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return joined.select(*kept, n_lines.alias("n_lines"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op3_line_spread(spark, sf_dir: str) -> DataFrame:

@@ -186,6 +186,21 @@ def test_line_threshold_is_exact(spark):
     assert out.where("n_removed > 0").count() == 81
 
 
+def test_texts_of_many_lines(spark):
+    """Half of 40,000 lines go; work grows with the lines."""
+    import time
+
+    common = "\n".join(f"menu {i}" for i in range(20_000))
+    own = [f"own {i}" for i in range(20_000)]
+    long = "\n".join(x for pair in zip(own, common.split("\n"), strict=True) for x in pair)
+    rows = [(i, common, f"s{i}") for i in range(10)] + [(99, long, "s99")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    began = time.time()
+    got = {r.doc_id: r for r in line_dedup.remove_lines(docs).collect()}
+    assert got[99].text == "\n".join(own) and (got[99].n_lines, got[99].n_removed) == (40_000, 20_000)
+    assert all(got[i].text == "" and got[i].n_removed == 20_000 for i in range(10)) and time.time() - began < 120
+
+
 # 4 --------------------------------------------------------------------------------------------
 
 
@@ -397,10 +412,21 @@ def test_fusion_against_brute_force(spark):
     assert langid.fuse(langid.page_rows(pages.limit(0)), model).count() == 0
 
 
-def test_languages_of_a_model_are_bounded(spark, monkeypatch):
-    monkeypatch.setattr(langid, "LANGUAGES", 2)
+def test_languages_of_a_model_are_bounded(spark):
     rows = [("aba bab", "xx")] * 5 + [("kuk luk", "yy")] * 4 + [(f"mess {i}", f"dirt{i}") for i in range(30)]
-    assert langid.fit(spark.createDataFrame(rows, "text string, lang string")).languages == ["xx", "yy"]
+    assert langid.fit(spark.createDataFrame(rows, "text string, lang string"), languages=2).languages == ["xx", "yy"]
+
+
+def test_two_hundred_languages(spark):
+    rng = random.Random(9)
+    words = {f"l{k:03d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for k in range(200)}
+    said = lambda k: " ".join(rng.choice(words[k]) for _ in range(40))
+    rows = [(i, said(k), k, "s", 1) for i, k in enumerate([k for k in words for _ in range(4)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    model = langid.fit(docs.where("doc_id % 4 < 3"))
+    assert model.languages == sorted(words)
+    found = langid.identify_documents(docs.where("doc_id % 4 = 3"), model).join(docs.select("doc_id", "lang"), "doc_id")
+    assert found.where("text_language = lang").count() >= 198
 
 
 def test_language_accuracy_on_held_out_rows(spark, data):
