@@ -5,7 +5,9 @@ from __future__ import annotations
 
 import ctypes
 import re
+import sys
 import tempfile
+import types
 import uuid
 
 import numpy as np
@@ -153,8 +155,17 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def relieved(batches):
-    """The same batches; at the end of the task, memory that is free goes back to the system, as Python workers live on and would keep it from the next stage."""
+def kept(owner: str) -> dict:
+    """What this Python worker keeps from task to task for an operator; what it has kept for others goes."""
+    held = sys.modules.setdefault("_corpus_kept", types.ModuleType("_corpus_kept")).__dict__.setdefault("by_owner", {})
+    for other in [o for o in held if o != owner]:
+        del held[other]
+    return held.setdefault(owner, {})
+
+
+def relieved(batches, owner: str = ""):
+    """The same batches. Python workers live on from stage to stage: what they keep for other operators goes first, and at the end of the task memory that is free goes back to the system."""
+    kept(owner)
     yield from batches
     pa.default_memory_pool().release_unused()
     if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):

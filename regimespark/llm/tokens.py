@@ -21,8 +21,6 @@ that does not read as such raises an error; an empty table gives no rows; other
 from __future__ import annotations
 
 import os
-import sys
-import types
 import zlib
 from array import array
 
@@ -31,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, new_path
+from .common import kept, materialise, new_path, relieved
 
 FRAME = 128 << 10
 #: Bytes of text that a file is meant to hold; a task sorts and writes one file.
 FILE_BYTES = 16 << 20
-#: Words whose ids a worker remembers.
-CACHE = 600_000
+#: Words whose ids a worker remembers, at least, and twice as many at most.
+CACHE = 300_000
 # Fixed values of the public seekable format: magic numbers of the seek table's frame and footer, and of our index frame.
 SEEK_MAGIC, FOOTER_MAGIC, INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 # Fixed value: the split of byte-level BPE with its standard expression.
@@ -74,10 +72,10 @@ class Encoder:
     @classmethod
     def of_worker(cls, path: str, end: int) -> Encoder:
         """The encoder that this worker process keeps from task to task, with the words it knows."""
-        kept = sys.modules.setdefault("_corpus_encoders", types.ModuleType("_corpus_encoders")).__dict__
-        if (path, end) not in kept:
-            kept[path, end] = cls(path, end)
-        return kept[path, end]
+        mine = kept("tokens")
+        if (path, end) not in mine:
+            mine[path, end] = cls(path, end)
+        return mine[path, end]
 
     def __init__(self, path: str, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -93,6 +91,7 @@ class Encoder:
         self.end = np.array([end], self.kind).tobytes()
         self.find = regex.compile(SPLIT).findall
         self.known: dict[str, bytes] = {}
+        self.former: dict[str, bytes] = {}
         self.letters, self.merge = _byte_letters(), self.tokenizer.model.tokenize
 
     def words(self, text: str) -> list[str] | None:
@@ -105,8 +104,12 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.words(t) if t else [] for t in texts]
         if len(self.known) > CACHE:
-            self.known.clear()
+            # words that come again move on to the new generation, the others are forgotten with the next
+            self.former, self.known = self.known, {}
         new = set().union(*(w for w in split if w)).difference(self.known)
+        again = new.intersection(self.former)
+        self.known.update((w, self.former[w]) for w in again)
+        new -= again
         # a space and letters are one piece for the model; all else is split by the tokenizer
         plain = [w for w in new if w.removeprefix(" ").isalpha()]
         space, code = chr(self.letters[32]), self.kind.char
@@ -265,7 +268,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
             values = [[task.partitionId()], [f"{folder}/{name}.tok.zst"], [len(writer.index[0])], [writer.tokens]]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["part", "path", "docs", "tokens"])
 
-    return materialise(rows.mapInArrow(write, _MANIFEST), "token-manifest")
+    return materialise(rows.mapInArrow(lambda it: relieved(write(it), "tokens"), _MANIFEST), "token-manifest")
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
