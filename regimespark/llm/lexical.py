@@ -7,9 +7,7 @@ between two far documents, and keep each node's centroid, radius and terms. No d
 scores more than the centroid's product plus the radius times the norm of the item's weights for
 terms that the node has; bounds are rounded up beyond their floating-point error. Items visit
 nodes best first, score leaves in whole numbers, and stop where the bound is below their k-th best score
-so far, which a task carries from tree to tree. Distances are taken with axes scaled by the
-square root of the weights, and products likewise, as bounds are tightest where both sides share
-the scale.
+so far, which a task carries from tree to tree.
 
 Items go through in blocks of BLOCK_TERMS terms, whatever their number, so what is sent to tasks
 is bounded; the distinct terms of one item have to fit in memory. Tasks give their k best of each
@@ -64,29 +62,29 @@ def saturated(tf: np.ndarray, n: np.ndarray, docs: int, words: int) -> np.ndarra
 class BallTree:
     """Vectors in leaf order, and the nodes' centroids by term."""
 
-    def __init__(self, ids, nulls, start, term, x, scale, leaf: int = LEAF):
-        """x: whole numbers at (row, term); start: offsets of rows; scale: of each term's axis."""
+    def __init__(self, ids, nulls, start, term, x, size: int, leaf: int = LEAF):
+        """x: whole numbers at (row, term); start: offsets of rows; size: of the vocabulary."""
         n = len(start) - 1
-        y = x * scale[term]
+        y = x.astype(float)
         lengths = np.diff(start)
         norms = np.bincount(np.repeat(np.arange(n), lengths), y * y, n)
         order = np.arange(n)
-        dense = np.zeros(len(scale))
+        dense = np.zeros(size)
         self.nodes, nodes_terms, nodes_means = [], [], []  # (first row, end, left child or -1, right child)
         self.radius = []
         todo = [(0, n, -1)]
 
         def places(rows):
             """Postings of rows, and where each row's begin."""
-            size = lengths[rows]
-            cut = np.cumsum(size) - size
-            return np.arange(int(size.sum())) + np.repeat(start[rows] - cut, size), cut, size
+            many = lengths[rows]
+            cut = np.cumsum(many) - many
+            return np.arange(int(many.sum())) + np.repeat(start[rows] - cut, many), cut, many
 
-        def products(at, cut, size, vector):
+        def products(at, cut, many, vector):
             if not len(at):
-                return np.zeros(len(size))
+                return np.zeros(len(many))
             sums = np.cumsum(np.append(0.0, y[at] * vector[term[at]]))
-            return sums[cut + size] - sums[cut]
+            return sums[cut + many] - sums[cut]
 
         while todo:
             i, j, parent = todo.pop()
@@ -95,11 +93,11 @@ class BallTree:
             if parent >= 0:
                 self.nodes[parent][2 if self.nodes[parent][2] < 0 else 3] = me
             rows = order[i:j]
-            at, cut, size = places(rows)
-            mean = np.bincount(term[at], y[at], len(scale)) if len(at) else np.zeros(len(scale))
+            at, cut, many = places(rows)
+            mean = np.bincount(term[at], y[at], size) if len(at) else np.zeros(size)
             seen = np.unique(term[at])
             mean /= j - i
-            far = np.maximum(norms[rows] - 2 * products(at, cut, size, mean) + mean @ mean, 0)
+            far = np.maximum(norms[rows] - 2 * products(at, cut, many, mean) + mean @ mean, 0)
             nodes_terms.append(seen)
             nodes_means.append(mean[seen])
             # cancellation may cost as much as the rounding of the largest norm
@@ -110,26 +108,26 @@ class BallTree:
                     row = rows[int(np.argmax(far))]
                     own = slice(start[row], start[row + 1])
                     dense[term[own]] = y[own]
-                    product = products(at, cut, size, dense)
+                    product = products(at, cut, many, dense)
                     dense[term[own]] = 0
                     ends.append(product)
                     far = norms[rows] - 2 * product + norms[row]
                 order[i:j] = rows[np.argsort(ends[0] - ends[1], kind="stable")]
                 half = (i + j) // 2
                 todo += [(half, j, me), (i, half, me)]
-        at, _, size = places(order)
+        at, _, many = places(order)
         self.ids, self.nulls, self.term, self.x = ids[order], nulls[order], term[at], x[at]
-        self.start = np.append(0, np.cumsum(size))
+        self.start = np.append(0, np.cumsum(many))
         # centroids by term: nodes that have it, and their means
         owner = np.repeat(np.arange(len(self.nodes)), [len(t) for t in nodes_terms])
         flat, means = np.concatenate(nodes_terms), np.concatenate(nodes_means)
         by = np.argsort(flat, kind="stable")
         self.node, self.mean = owner[by], means[by]
-        self.first = np.searchsorted(flat[by], np.arange(len(scale) + 1))
+        self.first = np.searchsorted(flat[by], np.arange(size + 1))
         self.radius = np.array(self.radius)
 
     def bounds(self, q: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Of each node, what no document in it exceeds, for scaled weights at terms q."""
+        """Of each node, what no document in it exceeds, for weights at terms q."""
         size = self.first[q + 1] - self.first[q]
         at = np.arange(int(size.sum())) + np.repeat(self.first[q] - (np.cumsum(size) - size), size)
         w, n = np.repeat(weight, size), len(self.radius)
@@ -221,17 +219,16 @@ def item_blocks(items: DataFrame, limit: int):
 def _found(batches, shipped, k: int, tree: int, leaf: int):
     """(item_id, doc_id, score) of a task's k best documents of each item."""
     items, weights, docs, words, kind = pickle.loads(shipped.value)
-    scale = np.sqrt(weights.astype(float))
     best = [Best(k) for _ in items]
     asked = np.zeros(len(weights), np.int64)
     held, rows, postings = [], 0, 0
 
     def search():
         ids, nulls, start, term, x = (np.concatenate(c) for c in zip(*held, strict=True))
-        grown = BallTree(ids, nulls, np.append(0, np.cumsum(start)), term, x, scale, leaf)
+        grown = BallTree(ids, nulls, np.append(0, np.cumsum(start)), term, x, len(weights), leaf)
         for (_, q), b in zip(items, best, strict=True):
             asked[q] = weights[q]
-            grown.search(grown.bounds(q, scale[q]), asked, b)
+            grown.search(grown.bounds(q, weights[q].astype(float)), asked, b)
             asked[q] = 0
 
     for batch in batches:

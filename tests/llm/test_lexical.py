@@ -88,14 +88,13 @@ def test_bounds_hold_and_prune(seed):
     term = [np.flatnonzero(r) for r in rows]
     start = np.append(0, np.cumsum([len(t) for t in term]))
     weights = rng.integers(0, 7000, size)
-    scale = np.sqrt(weights.astype(float))
     ids = rng.permutation(600).astype(np.int64)
-    tree = lexical.BallTree(ids, np.zeros(600, bool), start, np.concatenate(term), np.concatenate([r[t] for r, t in zip(rows, term, strict=True)]), scale, leaf=8)
+    tree = lexical.BallTree(ids, np.zeros(600, bool), start, np.concatenate(term), np.concatenate([r[t] for r, t in zip(rows, term, strict=True)]), size, leaf=8)
     by_id = dict(zip(ids.tolist(), rows, strict=True))
     leaves = 0
     for _ in range(20):
         q = np.sort(rng.choice(size, 6, replace=False))
-        bounds = tree.bounds(q, scale[q])
+        bounds = tree.bounds(q, weights[q].astype(float))
         exact = np.array([(weights[q] * by_id[i][q]).sum() for i in tree.ids.tolist()])
         for (i, j, _, _), bound in zip(tree.nodes, bounds, strict=True):
             assert exact[i:j].max() <= bound
