@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,10 @@ from ..functions.windows import lag, lead, running
 from .features import DESCRIPTORS
 from .metrics import performance
 
+#: Rows of a mixture that are worth a task of their own while there are cores, the most of one task, and those of a block.
+TASK_ROWS, MOST_ROWS, CHUNK = 1 << 16, 1 << 20, 1 << 12
+#: Added to each density, as MLlib does.
+EPSILON = float(np.finfo(float).eps)
 # Names of the states of the rule.
 RULE_NAMES = {0: "Range, quiet", 1: "Range, high-volatility", 2: "Trend, quiet", 3: "Trend, high-volatility"}
 
@@ -59,18 +66,6 @@ class _Clusters:
         scaled = df.withColumns({f"_s_{x}": (F.col(x) - m) / (s or 1.0) for x, (m, s) in self.scale.items()})
         return VectorAssembler(inputCols=[f"_s_{x}" for x in self.features], outputCol="_v", handleInvalid="skip").transform(scaled)
 
-    def fit(self, df: DataFrame):
-        row = df.agg(*chain.from_iterable((F.avg(x), F.stddev_pop(x)) for x in self.features)).first()
-        self.scale = {x: (row[2 * i] or 0.0, row[2 * i + 1]) for i, x in enumerate(self.features)}
-        data = self._vectors(df).select("_v").persist()
-        self.model = max((self._model(data, self.seed + i) for i in range(self.restarts)), key=self._quality)
-        data.unpersist()
-        self.names = regime_names(self.centres(df))
-        return self
-
-    def predict(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(self._vectors(df)).withColumn("regime", F.col("prediction").cast("int")).select(*df.columns, "regime")
-
     def centres(self, df: DataFrame) -> list:
         """Mean descriptors of each regime, k rows."""
         return describe_regimes(self.predict(df), self.features).orderBy("regime").collect()
@@ -155,19 +150,116 @@ class KMeansRegimes(_Clusters):
         return self._scaled(ok).withColumn("regime", self._nearest(self.found)["c"].cast("int")).select(*df.columns, "regime")
 
 
+@dataclass
+class Mixture:
+    """Weights, means and covariances of k normal distributions."""
+
+    weights: np.ndarray
+    means: np.ndarray
+    covariances: np.ndarray
+    likelihood: float = -np.finfo(float).max
+    before: float = 0.0
+    rounds: int = 0
+
+    def whitened(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(roots, centres, heights): the squares of x @ roots[c] - centres[c] add up to the distance from c, heights are the densities' logarithms at 0; directions without spread do not count."""
+        values, turns = np.linalg.eigh(self.covariances)
+        there = values > EPSILON * values.max(axis=1, keepdims=True) * values.shape[1]
+        if not there.any(axis=1).all():
+            raise ValueError("a covariance matrix has no spread in any direction")
+        roots = turns * np.where(there, 1 / np.sqrt(np.where(there, values, 1.0)), 0.0)[:, None, :]
+        return roots, np.einsum("ci,cij->cj", self.means, roots), -0.5 * (values.shape[1] * np.log(2 * np.pi) + np.log(np.where(there, values, 1.0)).sum(axis=1))
+
+
 class MixtureRegimes(_Clusters):
-    restarts = 5
+    """EM rounds as grouped sums, for all restarts in one job a round; a restart begins at MLlib's draws and ends as MLlib's fit does.
+
+    Rows are packed into blocks and dealt out evenly first, as those of a symbol come from one task.
+    Of the restarts the likeliest stays, of equals the first.
+    """
 
-    def _model(self, data, seed):
-        return GaussianMixture(k=self.k, seed=seed, featuresCol="_v").fit(data)
+    restarts, rounds, still = 5, 100, 0.01
 
-    def _quality(self, model):
-        return model.summary.logLikelihood
+    def _drawn(self, data: DataFrame, seed: int) -> Mixture:
+        model = GaussianMixture(k=self.k, seed=seed, featuresCol="_v", maxIter=0).fit(data)
+        found = model.gaussiansDF.collect()
+        return Mixture(np.array(model.weights), np.array([g["mean"].toArray() for g in found]), np.array([g["cov"].toArray() for g in found]))
 
-    def posterior(self, df: DataFrame) -> DataFrame:
-        from pyspark.ml.functions import vector_to_array
+    @staticmethod
+    def _packed(data: DataFrame, n: int) -> DataFrame:
+        """Rows of `_v` as bytes, CHUNK rows at most to a block, in tasks of about equal size."""
+        parts = max(min(math.ceil(n / TASK_ROWS), data.sparkSession.sparkContext.defaultParallelism), math.ceil(n / MOST_ROWS), 1)
+
+        def pack(batches):
+            for batch in batches:
+                for part in (batch.slice(i, CHUNK) for i in range(0, len(batch), CHUNK)):
+                    yield pa.RecordBatch.from_arrays([pa.array([part.column("z").flatten().to_numpy().tobytes()], pa.binary())], ["z"])
 
-        return self.model.transform(self._vectors(df)).select(*df.columns, vector_to_array("probability").alias("posterior"))
+        return data.select(vector_to_array("_v").alias("z")).repartition(parts).mapInArrow(pack, "z binary")
+
+    @staticmethod
+    def _sums(blocks: DataFrame, found: dict[int, Mixture]) -> dict[int, np.ndarray]:
+        """Of each restart, a row for each distribution: log-likelihood (the first's only), rows, sums and sums of products."""
+        k, width = next(iter(found.values())).means.shape
+        roots, centres, heights = (np.concatenate(x) for x in zip(*(m.whitened() for m in found.values()), strict=True))
+        weights, shape = np.concatenate([m.weights for m in found.values()]), (len(found), k, 2 + width + width * width)
+
+        def add(batches):
+            out = np.zeros((len(weights), shape[2]))
+            for batch in batches:
+                for block in batch.column("z").to_pylist():
+                    z = np.frombuffer(block).reshape(-1, width)
+                    far = np.zeros((len(z), len(weights)))
+                    for j in range(width):
+                        far += (z @ roots[:, :, j].T - centres[:, j]) ** 2
+                    p = EPSILON + weights * np.exp(heights - far / 2)
+                    whole = p.reshape(len(z), -1, k).sum(axis=2)
+                    p /= np.repeat(whole, k, axis=1)
+                    out[::k, 0] += np.log(whole).sum(axis=0)
+                    out[:, 1] += p.sum(axis=0)
+                    out[:, 2 : 2 + width] += p.T @ z
+                    out[:, 2 + width :] += p.T @ (z[:, :, None] * z[:, None, :]).reshape(len(z), -1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size, dtype=np.int32)), pa.array(out.ravel())], ["i", "v"])
+
+        total = np.zeros(np.prod(shape))
+        for r in blocks.mapInArrow(add, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+            total[r.i] = r.v
+        return dict(zip(found, total.reshape(shape), strict=True))
+
+    def fit(self, df: DataFrame):
+        row = df.agg(*chain.from_iterable((F.avg(x), F.stddev_pop(x)) for x in self.features), F.count("*")).first()
+        self.scale = {x: (row[2 * i] or 0.0, row[2 * i + 1]) for i, x in enumerate(self.features)}
+        data = self._vectors(df).select("_v").persist()
+        found = {r: self._drawn(data, self.seed + r) for r in range(self.restarts)}
+        blocks, width = stored(self._packed(data, row[-1])), len(self.features)
+        data.unpersist()
+        for _ in range(self.rounds):
+            moving = {r: m for r, m in found.items() if abs(m.likelihood - m.before) > self.still}
+            if not moving:
+                break
+            for r, s in self._sums(blocks, moving).items():
+                n, means = s[:, 1], s[:, 2 : 2 + width] / s[:, 1:2]
+                spread = s[:, 2 + width :].reshape(-1, width, width) / n[:, None, None] - means[:, :, None] * means[:, None, :]
+                found[r] = Mixture(n / n.sum(), means, spread, float(s[0, 0]), found[r].likelihood, found[r].rounds + 1)
+        self.model = max(found.values(), key=lambda m: m.likelihood)
+        self.names = regime_names(self.centres(df))
+        return self
+
+    def _probable(self, df: DataFrame) -> DataFrame:
+        """Complete rows with `_p`, the distributions' densities times their weights."""
+        scaled = df.dropna("any", subset=self.features).withColumn("_z", F.array(*((F.col(x) - m) / (s or 1.0) for x, (m, s) in self.scale.items())))
+        z, dense = F.col("_z"), []
+        for w, root, centre, height in zip(self.model.weights, *self.model.whitened(), strict=True):
+            steps = [sum((z[i] * float(v) for i, v in enumerate(way)), F.lit(-float(c))) for way, c in zip(root.T, centre, strict=True)]
+            dense.append(F.lit(EPSILON) + F.lit(float(w)) * F.exp(F.lit(float(height)) - sum((x * x for x in steps), F.lit(0.0)) / 2))
+        return scaled.withColumn("_p", F.array(*dense))
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        return self._probable(df).withColumn("regime", (F.array_position("_p", F.array_max("_p")) - 1).cast("int")).select(*df.columns, "regime")
+
+    def posterior(self, df: DataFrame) -> DataFrame:
+        whole = sum((F.col("_p")[i] for i in range(self.k)), F.lit(0.0))
+        return self._probable(df).withColumn("_n", whole).select(*df.columns, F.transform("_p", lambda p: p / F.col("_n")).alias("posterior"))
 
 
 DETECTORS = {"none": NoRegimes, "rule": RuleRegimes, "kmeans": KMeansRegimes, "gmm": MixtureRegimes}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles as o
+from .functions.storage import stored
 from .functions.windows import numbered, percent_rank, zscore
 from .operators import backtest, classification, features, folds, labels, metrics, regimes, signals, significance
 from .operators import indicators as ind
@@ -602,11 +603,10 @@ def _(spark, d):
 
 @register("regime_gmm")
 def _(spark, d):
-    df = described(spark, d)
-    held = df.persist()
-    model = regimes.MixtureRegimes().fit(held)
+    held = described(spark, d).persist()
+    out = stored(regimes.MixtureRegimes().fit(held).posterior(held).select("symbol", "ts", "posterior"))
     held.unpersist()
-    return model.posterior(df).select("symbol", "ts", "posterior")
+    return out
 
 
 # ---------------------------------------------------------------- classification
