@@ -9,6 +9,9 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,26 +66,68 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(series()) - 1)
 
 
-def rolling_skew(x: Column | str, k: int) -> Column:
-    """Bias-corrected skewness (G1); 0 on a constant window."""
-    w, x = trailing(k), c(x)
-    g = F.coalesce(F.skewness(x).over(w), F.lit(0.0)) * math.sqrt(k * (k - 1)) / (k - 2)
-    return full(F.when(F.max(x).over(w) == F.min(x).over(w), 0.0).otherwise(g), x, k)
+def framed(f, k: int):
+    """A column function of collect_list over trailing(k): f takes full frames as rows of a matrix, one call a batch; NULL where the frame is not full or f gives NaN.
 
+    A sliding Spark aggregate is updated k times a row in the JVM, which for higher moments takes far longer than collecting the frame.
+    """
+
+    @F.arrow_udf("double")
+    def kernel(seen: pa.Array) -> pa.Array:
+        there = pc.equal(pc.list_value_length(seen), k).fill_null(False)
+        frames = seen.filter(there).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+        out = np.full(len(seen), np.nan)
+        if len(frames):
+            out[there.to_numpy(zero_copy_only=False)] = f(frames)
+        return pa.array(out, pa.float64(), from_pandas=True)
+
+    return kernel
+
+
+def frame(x: Column | str, k: int) -> Column:
+    return F.collect_list(c(x)).over(trailing(k))
+
+
+def _moments(v: np.ndarray, power: int) -> tuple[np.ndarray, np.ndarray]:
+    """The standardised moment of each row, and which rows are constant."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        d = v - v.mean(axis=1, keepdims=True)
+        square = d * d
+        m2 = square.mean(axis=1)
+        return (square * d if power == 3 else square * square).mean(axis=1) / m2 ** (power / 2), v.max(axis=1) == v.min(axis=1)
+
+
+def rolling_skew(x: Column | str, k: int, seen: Column | str | None = None) -> Column:
+    """Bias-corrected skewness (G1); 0 on a constant window. `seen` is frame(x, k), where it is a column already."""
+
+    def skew(v):
+        g, flat = _moments(v, 3)
+        return np.where(flat, 0.0, np.nan_to_num(g, nan=0.0) * (math.sqrt(k * (k - 1)) / (k - 2)))
 
-def rolling_kurt(x: Column | str, k: int) -> Column:
+    return framed(skew, k)(frame(x, k) if seen is None else c(seen))
+
+
+def rolling_kurt(x: Column | str, k: int, seen: Column | str | None = None) -> Column:
     """Bias-corrected excess kurtosis (G2); -3 on a constant window."""
-    w, x = trailing(k), c(x)
-    g = ((k + 1) * F.kurtosis(x).over(w) + 6) * (k - 1) / ((k - 2) * (k - 3))
-    return full(F.when(F.max(x).over(w) == F.min(x).over(w), -3.0).otherwise(g), x, k)
 
+    def kurt(v):
+        g, flat = _moments(v, 4)
+        return np.where(flat, -3.0, ((k + 1) * (g - 3) + 6) * (k - 1) / ((k - 2) * (k - 3)))
 
-def rolling_corr(x: Column, y: Column, k: int) -> Column:
-    """Pearson correlation over the last k rows in which both exist; NULL on constant windows."""
-    w = trailing(k)
-    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-    mx, my, mxy = F.avg(x).over(w), F.avg(y).over(w), F.avg(x * y).over(w)
-    return (mxy - mx * my) / F.nullif(F.stddev_pop(x).over(w) * F.stddev_pop(y).over(w), F.lit(0.0))
+    return framed(kurt, k)(frame(x, k) if seen is None else c(seen))
+
+
+def rolling_autocorr(x: Column | str, k: int, seen: Column | str | None = None) -> Column:
+    """Pearson correlation of the k - 1 pairs of neighbours in the last k rows; NULL on constant windows."""
+
+    def corr(v):
+        x, y = v[:, 1:], v[:, :-1]
+        dx, dy = (u - u.mean(axis=1, keepdims=True) for u in (x, y))
+        flat = (x.max(axis=1) == x.min(axis=1)) | (y.max(axis=1) == y.min(axis=1))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return np.where(flat, np.nan, (dx * dy).mean(axis=1) / np.sqrt((dx * dx).mean(axis=1) * (dy * dy).mean(axis=1)))
+
+    return framed(corr, k)(frame(x, k) if seen is None else c(seen))
 
 
 def zscore(x: Column | str, k: int) -> Column:
@@ -92,9 +137,12 @@ def zscore(x: Column | str, k: int) -> Column:
 
 def percent_rank(x: Column | str, k: int) -> Column:
     """Average-tie rank of the last value among the last k, divided by k. `x` must be a column of the frame."""
-    seen = F.collect_list(c(x)).over(trailing(k))
-    twice = F.aggregate(seen, F.lit(1), lambda n, v: n + F.when(v < c(x), 2).when(v == c(x), 1).otherwise(0))
-    return full(twice / 2.0 / k, x, k)
+
+    def rank(v):
+        last = v[:, -1:]
+        return ((v < last).sum(axis=1) * 2 + (v == last).sum(axis=1) + 1) / 2.0 / k
+
+    return framed(rank, k)(frame(x, k))
 
 
 #: Rows of an exponential block; smoothing above FAST uses shorter ones, lest powers overflow.

@@ -2,14 +2,15 @@
 
 Features are cut at quantiles into bins of a byte each. In each round one tree for each class is
 grown on gradients and hessians of the loss, for all keys (symbols, folds) at once: tasks sum
-them by (key, tree, node, feature, bin), Spark adds the sums up, and windows over the bins find
+them over (key, tree, node) into arrays by feature and bin, and groups of these add the arrays up and find
 each node's best split. Trees grow by leaf, the best split first. To need few passes, a pass sums
 for the children of every leaf that could still be split; which of them stay is settled when all
 gains that the order depends on are known, so the trees are those of one split after another.
 
-Rows never leave their tasks: what is shuffled are sums, whose number follows from nodes,
-features and bins; what comes to the driver is one row for each node, and the trees. Scores are stored
-every STORE rounds, and the rounds since are added on the fly. A null or NaN feature counts as the
+Rows are packed once into blocks of one key and stay in their tasks: what is shuffled are sums, and as the rows of a
+key lie in neighbouring tasks, there are as many as nodes, and few more. What comes to the driver is one row for each
+node, and the trees. A round's scores are kept beside the blocks while the next trees grow, so a round costs the same however
+many went before; they are stored every STORE rounds. A null or NaN feature counts as the
 least value. Row and column sampling go by hashes and repeat exactly.
 """
 
@@ -21,9 +22,10 @@ import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import stored
@@ -31,8 +33,6 @@ from ..functions.storage import stored
 STORE = 25
 #: Rows that are worth a task of their own while there are cores, and the most of one task.
 TASK_ROWS, MOST_ROWS = 1 << 16, 1 << 20
-#: Rows whose cells are summed at once.
-CHUNK = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -74,10 +74,11 @@ class Tree:
 def places(tree: Tree, bins: np.ndarray) -> np.ndarray:
     """The node that each row ends in."""
     feature, cut, left, right = (np.array(x) for x in (tree.feature, tree.cut, tree.left, tree.right))
-    at, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
-    for _ in range(max(tree.depth)):
-        down = np.where(bins[rows, feature[at]] <= cut[at], left[at], right[at])
-        at = np.where(left[at] < 0, at, down)
+    at, rows = np.zeros(len(bins), np.int64), np.arange(len(bins) if left[0] >= 0 else 0)
+    while len(rows):
+        here = at[rows]
+        at[rows] = down = np.where(bins[rows, feature[here]] <= cut[here], left[here], right[here])
+        rows = rows[left[down] >= 0]
     return at
 
 
@@ -114,100 +115,134 @@ def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def quantile_edges(df: DataFrame, features: list[str], bins: int, key: str | None = None) -> dict:
-    """Of each key, the edges of each feature: distinct quantiles, by sketches of bounded size."""
-    shares = [i / bins for i in range(1, bins)]
-    value = lambda f: F.when(~F.isnan(F.col(f)), F.col(f))
-    found = df.groupBy(F.lit("") if key is None else F.col(key).cast("string")).agg(*(F.percentile_approx(value(f).cast("double"), shares, 10_000) for f in features))
-    return {r[0]: [np.unique(np.array(x or [], float)) for x in r[1:]] for r in found.collect()}
+def _named(key: str | None):
+    return F.lit("") if key is None else F.col(key).cast("string")
 
 
-def _matrix(column: pa.Array, width: int, kind) -> np.ndarray:
-    if pa.types.is_binary(column.type):
-        return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), width)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), width)
+def measured(df: DataFrame, features: list[str], spec: Boosting, label: str, weight: str | None, key: str | None, edges: list | None) -> tuple[int, dict, dict]:
+    """The number of rows and, of each key, the logarithms of the classes' weights' shares and the edges of each feature: distinct quantiles, by sketches of bounded size. One pass."""
+    w, shares = F.lit(1.0) if weight is None else F.col(weight), [i / spec.bins for i in range(1, spec.bins)]
+    value = lambda f: F.when(~F.isnan(F.col(f)), F.col(f)).cast("double")
+    sums = [F.coalesce(F.sum(F.when(F.col(label) == k, w)), F.lit(0.0)) for k in range(spec.classes)]
+    sketches = [] if edges is not None else [F.percentile_approx(value(f), shares, 10_000) for f in features]
+    rows = [(r[0], r[1], np.array(r[2 : 2 + spec.classes], float), r[2 + spec.classes :]) for r in df.groupBy(_named(key)).agg(F.count("*"), *sums, *sketches).collect()]
+    start = {k: np.log(np.maximum(v / max(v.sum(), 1e-300), 1e-9)) for k, _, v, _ in rows}
+    found = {k: [np.array(e, float) for e in edges] if edges is not None else [np.unique(np.array(x or [], float)) for x in q] for k, _, _, q in rows}
+    return sum(n for _, n, _, _ in rows), start, found
 
 
-_BASE = "key string, rid long, y int, w double, bins binary, scores array<double>"
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), width)
 
 
-def prepared(df: DataFrame, features: list[str], edges: dict, start: dict, label: str, weight: str | None, key: str | None) -> DataFrame:
-    """Rows as the passes read them."""
+#: A block: rows of one key, their numbers as bytes; bins and scores by feature and by class.
+_BASE = pa.schema([("key", pa.string()), *((c, pa.binary()) for c in ("rid", "y", "w", "bins", "scores"))])
+_BASE_SQL = "key string, rid binary, y binary, w binary, bins binary, scores binary"
+#: Sums of a node's rows in a task: gradients, hessians and rows, by feature and bin.
+_SUMS = pa.schema([("key", pa.string()), ("tree", pa.int32()), ("node", pa.int32()), ("part", pa.int32()), ("sums", pa.binary())])
+_SPLITS = pa.schema([("key", pa.string()), ("tree", pa.int32()), ("node", pa.int32()), ("g", pa.float64()), ("h", pa.float64()), ("n", pa.int64()), ("feature", pa.int32()), ("bin", pa.int32()), ("gain", pa.float64())])
+
+
+def _row(schema: pa.Schema, *values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
+
+
+def _blocks(batches, width: int, classes: int):
+    """(key, rid, y, w, bins, scores) of each block; bins are rows by features, scores rows by classes."""
+    for batch in batches:
+        for key, rid, y, w, bins, scores in zip(*(batch.column(c) for c in _BASE.names), strict=True):
+            read = lambda v, kind: np.frombuffer(v.as_buffer(), kind)
+            yield key.as_py(), read(rid, np.int64), read(y, np.int32), read(w, float), read(bins, np.uint8).reshape(width, -1).T, read(scores, float).reshape(classes, -1).T
+
+
+def prepared(df: DataFrame, features: list[str], edges: dict, start: dict, label: str, weight: str | None, key: str | None, parts: int) -> DataFrame:
+    """Rows in blocks, as the passes read them: sorted by key, in tasks of equal size."""
     width, shipped = len(features), df.sparkSession.sparkContext.broadcast(pickle.dumps((edges, start)))
 
-    def cut(batches):
+    def pack(batches):
         edges, start = pickle.loads(shipped.value)
         for batch in batches:
-            x, keys = _matrix(batch.column("x"), width, float), np.array(batch.column("key").to_pylist(), object)
-            bins, scores = np.empty(x.shape, np.uint8), np.empty((len(x), len(next(iter(start.values())))))
-            for k in set(keys):
-                own = keys == k
-                bins[own], scores[own] = binned(x[own], edges[k]), start[k]
-            flat = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * scores.shape[1], pa.array(scores.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("key", "rid", "y", "w")] + [pa.array([r.tobytes() for r in bins], pa.binary()), flat], ["key", "rid", "y", "w", "bins", "scores"])
+            runs, at = pc.run_end_encode(batch.column("key")), 0
+            for k, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+                own, at = batch.slice(at, end - at), end
+                bins = binned(_matrix(own.column("x"), width), edges[k])
+                scores = np.repeat(np.asarray(start[k], float)[:, None], len(bins), axis=1)
+                column = lambda c, kind: own.column(c).to_numpy(zero_copy_only=False).astype(kind).tobytes()  # noqa: B023, E731
+                yield _row(_BASE, k, column("rid", np.int64), column("y", np.int32), column("w", float), bins.T.tobytes(), scores.tobytes())
 
     x = F.array(*(F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in features)).alias("x")
-    named = F.lit("") if key is None else F.col(key).cast("string")
-    rows = df.select(named.alias("key"), F.monotonically_increasing_id().alias("rid"), F.col(label).cast("int").alias("y"), (F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("w"), x)
-    return rows.mapInArrow(cut, _BASE)
+    rows = df.select(_named(key).alias("key"), F.monotonically_increasing_id().alias("rid"), F.col(label).cast("int").alias("y"), (F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("w"), x)
+    return rows.repartitionByRange(parts, "key", "rid").sortWithinPartitions("key", "rid").mapInArrow(pack, _BASE_SQL)
 
 
-def cells(base: DataFrame, done: dict, growing: dict, wanted: dict, width: int, number: int, spec: Boosting) -> DataFrame:
-    """(key, tree, node, feature, bin, g, h, n): sums of gradients, hessians and rows over the rows of wanted nodes."""
-    shipped = base.sparkSession.sparkContext.broadcast(pickle.dumps((done, growing, wanted)))
-    names, kinds = ["key", "tree", "node", "feature", "bin", "g", "h", "n"], (pa.string(), *[pa.int32()] * 4, pa.float64(), pa.float64(), pa.int64())
+def cells(base: DataFrame, growing: dict, wanted: dict, width: int, number: int, spec: Boosting) -> DataFrame:
+    """(key, tree, node, part, sums): sums of gradients, hessians and rows of wanted nodes, of each task."""
+    shipped = base.sparkSession.sparkContext.broadcast(pickle.dumps((growing, wanted)))
 
     def add(batches):
-        done, growing, wanted = pickle.loads(shipped.value)
-        sums: dict = {}
-        size = width * spec.bins
-        for batch in batches:
-            for part in (batch.slice(i, CHUNK) for i in range(0, len(batch), CHUNK)):
-                keys, bins, scores = np.array(part.column("key").to_pylist(), object), _matrix(part.column("bins"), width, np.uint8), _matrix(part.column("scores"), spec.classes, float)
-                rid, y, w = (part.column(c).to_numpy() for c in ("rid", "y", "w"))
-                seen = _shares(rid, spec.row_share, spec.seed, number)
-                for key in set(keys) & set(wanted):
-                    own = np.flatnonzero((keys == key) & seen)
-                    x = bins[own]
-                    p = softmax(added(scores[own], x, done.get(key, [])))
-                    for k, nodes in enumerate(wanted[key]):
-                        if not nodes:
-                            continue
-                        slot = np.full(len(growing[key][k].left), -1)
-                        slot[nodes] = np.arange(len(nodes))
-                        at = slot[places(growing[key][k], x)]
-                        rows = np.flatnonzero(at >= 0)
-                        cell = (at[rows, None] * size + np.arange(width) * spec.bins + x[rows]).ravel()
-                        share, weight = p[rows, k], w[own][rows]
-                        into = sums.setdefault((key, k), np.zeros((3, len(nodes) * size)))
-                        for i, v in enumerate((weight * (share - (y[own][rows] == k)), weight * share * (1 - share), None)):
-                            into[i] += np.bincount(cell, None if v is None else np.repeat(v, width), len(nodes) * size)
-        for (key, k), (g, h, n) in sums.items():
-            use = np.flatnonzero(n)
-            node, rest = np.divmod(use, size)
-            feature, bin_ = np.divmod(rest, spec.bins)
-            keep = _shares(np.arange(width), spec.column_share, spec.seed, number, k)[feature]
-            use = use[keep]
-            columns = [[key] * len(use), np.full(len(use), k, np.int32), np.array(wanted[key][k], np.int32)[node[keep]], feature[keep].astype(np.int32), bin_[keep].astype(np.int32), g[use], h[use], n[use].astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
-
-    found = base.mapInArrow(add, "key string, tree int, node int, feature int, bin int, g double, h double, n long")
-    return found.groupBy(*names[:5]).agg(*(F.sum(c).alias(c) for c in names[5:]))
-
-
-def best_splits(found: DataFrame, spec: Boosting) -> DataFrame:
+        growing, wanted = pickle.loads(shipped.value)
+        part, before, sums = TaskContext.get().partitionId(), None, {}
+
+        def done():
+            for k, into in sums.items():
+                for i, node in enumerate(wanted[before][k]):
+                    if into[2, :, i].any():
+                        yield _row(_SUMS, before, k, node, part, into[:, :, i].tobytes())
+
+        for key, rid, y, w, bins, scores in _blocks(batches, width, spec.classes):
+            if key != before:
+                yield from done()
+                before, sums = key, {}
+            if key not in wanted:
+                continue
+            if spec.row_share < 1:
+                seen = np.flatnonzero(_shares(rid, spec.row_share, spec.seed, number))
+                y, w, bins, scores = y[seen], w[seen], np.asfortranarray(bins[seen]), scores[seen]
+            p = softmax(scores)
+            for k, nodes in enumerate(wanted[key]):
+                features = _kept(width, number, k, spec)
+                if not nodes or not len(features):
+                    continue
+                slot = np.full(len(growing[key][k].left), -1)
+                slot[nodes] = np.arange(len(nodes))
+                at = slot[places(growing[key][k], bins)]
+                rows = np.flatnonzero(at >= 0)
+                first, share, weight, size = at[rows] * spec.bins, p[rows, k], w[rows], len(nodes) * spec.bins
+                g, h = weight * (share - (y[rows] == k)), weight * share * (1 - share)
+                if k not in sums:
+                    sums[k] = np.zeros((3, len(features), len(nodes), spec.bins))
+                for j, f in enumerate(features):
+                    cell = first + bins[rows, f]
+                    for i, v in enumerate((g, h, None)):
+                        sums[k][i, j] += np.bincount(cell, v, size).reshape(len(nodes), spec.bins)
+        yield from done()
+
+    return base.mapInArrow(add, "key string, tree int, node int, part int, sums binary")
+
+
+def _kept(width: int, number: int, k: int, spec: Boosting) -> np.ndarray:
+    """The features that a round's tree may use."""
+    return np.flatnonzero(_shares(np.arange(width), spec.column_share, spec.seed, number, k))
+
+
+def best_splits(found: DataFrame, width: int, number: int, spec: Boosting) -> DataFrame:
     """(key, tree, node, g, h, n, feature, bin, gain): of each node, its sums and the split at `bin` (values up to it go left) with the greatest gain; equal gains by feature and bin."""
-    by = Window.partitionBy("key", "tree", "node", "feature")
-    upto = by.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    rows = found.withColumns({f"{c}l": F.sum(c).over(upto) for c in "ghn"} | {f"{c}t": F.sum(c).over(by) for c in "ghn"})
-    gl, hl, nl, gt, ht, nt = (F.col(c) for c in ("gl", "hl", "nl", "gt", "ht", "nt"))
-    fits = (nl >= spec.least) & (nt - nl >= spec.least) & (hl >= spec.hessian) & (ht - hl >= spec.hessian)
-    gain = F.when(fits, gl * gl / (hl + spec.l2) + (gt - gl) * (gt - gl) / (ht - hl + spec.l2) - gt * gt / (ht + spec.l2))
-    rows = rows.withColumn("gain", F.round(gain, 6))
-    best = F.max(F.when(F.col("gain") > 0, F.struct("gain", (-F.col("feature")).alias("f"), (-F.col("bin")).alias("b"))))
-    sums = F.min(F.struct("feature", "bin", "gt", "ht", "nt"))
-    out = rows.groupBy("key", "tree", "node").agg(best.alias("m"), sums.alias("s"))
-    return out.select("key", "tree", "node", F.col("s.gt").alias("g"), F.col("s.ht").alias("h"), F.col("s.nt").alias("n"), (-F.col("m.f")).alias("feature"), (-F.col("m.b")).alias("bin"), F.col("m.gain").alias("gain"))
+
+    def best(table: pa.Table) -> pa.Table:
+        key, tree, node = (table.column(c)[0].as_py() for c in ("key", "tree", "node"))
+        features = _kept(width, number, tree, spec)
+        # added up in the order of the tasks, whichever ends first
+        total = sum(np.frombuffer(v, float) for v in table.sort_by("part").column("sums").to_pylist()).reshape(3, len(features), spec.bins)
+        (gl, hl, nl), (gt, ht, nt) = (left := np.cumsum(total, axis=2)), left[:, :, -1:]
+        fits = (total[2] > 0) & (nl >= spec.least) & (nt - nl >= spec.least) & (hl >= spec.hessian) & (ht - hl >= spec.hessian)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = np.round(gl * gl / (hl + spec.l2) + (gt - gl) ** 2 / (ht - hl + spec.l2) - gt * gt / (ht + spec.l2), 6)
+        gain = np.where(fits & (gain > 0), gain, 0.0)
+        feature, at = divmod(int(gain.argmax()), spec.bins)
+        split = (int(features[feature]), at, float(gain[feature, at])) if gain[feature, at] > 0 else (None, None, None)
+        return pa.Table.from_batches([_row(_SPLITS, key, tree, node, float(gt[0, 0]), float(ht[0, 0]), int(nt[0, 0]), *split)])
+
+    return found.groupBy("key", "tree", "node").applyInArrow(best, "key string, tree int, node int, g double, h double, n long, feature int, bin int, gain double")
 
 
 def chosen(tree: Tree, spec: Boosting) -> tuple[set[int], list[int]]:
@@ -244,12 +279,12 @@ def pruned(tree: Tree, split: set[int]) -> Tree:
     return out
 
 
-def grown(base: DataFrame, keys: list[str], done: dict, width: int, number: int, spec: Boosting) -> dict:
+def grown(base: DataFrame, keys: list[str], width: int, number: int, spec: Boosting) -> dict:
     """One round: a tree for each key and class."""
     growing = {key: [Tree() for _ in range(spec.classes)] for key in keys}
     wanted = {key: [[0] for _ in range(spec.classes)] for key in keys}
     while wanted:
-        for r in best_splits(cells(base, done, growing, wanted, width, number, spec), spec).collect():
+        for r in best_splits(cells(base, growing, wanted, width, number, spec), width, number, spec).collect():
             tree = growing[r.key][r.tree]
             tree.value[r.node] = -spec.rate * r.g / (r.h + spec.l2) if r.h + spec.l2 > 0 else 0.0
             tree.gain[r.node] = r.gain
@@ -276,20 +311,21 @@ class Boosted:
         shipped = df.sparkSession.sparkContext.broadcast(pickle.dumps((self.edges, self.start, {k: r[:rounds] for k, r in self.rounds.items()})))
         classes, width = self.spec.classes, len(self.features)
 
-        @F.pandas_udf("array<double>")
-        def score(x: pd.Series, keys: pd.Series) -> pd.Series:
+        @F.arrow_udf("array<double>")
+        def score(x: pa.Array, keys: pa.Array) -> pa.Array:
             edges, start, trees = pickle.loads(shipped.value)
-            out = pd.Series([None] * len(x), dtype=object)
-            for k in set(keys) & set(edges):
-                own = np.flatnonzero((keys == k).to_numpy())
-                rows = np.array([np.asarray(v, float) for v in x.iloc[own]]).reshape(len(own), width)
-                p = softmax(added(np.tile(start[k], (len(own), 1)).reshape(-1, classes), binned(rows, edges[k]), trees[k]))
-                for i, v in zip(own, p, strict=True):
-                    out.iat[i] = v
-            return out
+            rows, named = _matrix(x, width), keys.dictionary_encode()
+            of, out, there = named.indices.fill_null(-1).to_numpy(zero_copy_only=False), np.zeros((len(rows), classes)), np.zeros(len(rows), bool)
+            for i, k in enumerate(named.dictionary.to_pylist()):
+                if k in edges:
+                    own = np.flatnonzero(of == i)
+                    out[own] = softmax(added(np.tile(start[k], (len(own), 1)).reshape(-1, classes), binned(rows[own], edges[k]), trees[k]))
+                    there[own] = True
+            ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * classes, mask=np.append(~there, False))
+            return pa.ListArray.from_arrays(ends, pa.array(out.ravel()))
 
         x = F.array(*(F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in self.features))
-        return score(x, F.lit("") if key is None else F.col(key).cast("string"))
+        return score(x, _named(key))
 
     def table(self, spark) -> DataFrame:
         """(key, round, class, node, feature, cut, gain, value): the trees, a node named by its way from the root."""
@@ -315,47 +351,36 @@ class Boosted:
         return dict(zip(self.features, count.tolist(), strict=True))
 
 
-def starts(df: DataFrame, label: str, weight: str | None, key: str | None, classes: int) -> dict:
-    """Of each key, the logarithms of the classes' weights' shares."""
-    w = F.lit(1.0) if weight is None else F.col(weight)
-    named = F.lit("") if key is None else F.col(key).cast("string")
-    rows = df.groupBy(named).agg(*(F.coalesce(F.sum(F.when(F.col(label) == k, w)), F.lit(0.0)) for k in range(classes))).collect()
-    return {r[0]: np.log(np.maximum(np.array(r[1:], float) / max(sum(r[1:]), 1e-300), 1e-9)) for r in rows}
-
-
 def fit(df: DataFrame, features: list[str], spec: Boosting | None = None, label: str = "y", weight: str | None = None, key: str | None = None, edges: list | None = None) -> Boosted:
     """A model for each key (one without a key) of df's rows; `label` holds classes 0, 1, ...; `edges` of the features' bins replace quantiles."""
     spec = spec or Boosting()
     if not 2 <= spec.bins <= 256:
         raise ValueError("bins must lie between 2 and 256")
-    start = starts(df, label, weight, key, spec.classes)
-    edges = quantile_edges(df, features, spec.bins, key) if edges is None else {k: [np.array(e, float) for e in edges] for k in start}
-    n = df.count()
+    n, start, edges = measured(df, features, spec, label, weight, key, edges)
     parts = max(min(math.ceil(n / TASK_ROWS), df.sparkSession.sparkContext.defaultParallelism), math.ceil(n / MOST_ROWS), 1)
-    base = stored(prepared(df.repartition(parts), features, edges, start, label, weight, key))
-    model = Boosted(features, edges, start, {k: [] for k in edges}, spec)
-    since: dict = {k: [] for k in edges}
-    for number in range(spec.rounds):
-        for key_, trees in grown(base, list(edges), since, len(features), number, spec).items():
-            model.rounds[key_].append(trees)
-            since[key_].append(trees)
-        if (number + 1) % STORE == 0 and number + 1 < spec.rounds:
-            base, since = stored(_scored(base, since, len(features), spec.classes)), {k: [] for k in edges}
+    model, width = Boosted(features, edges, start, {k: [] for k in edges}, spec), len(features)
+    base, before = stored(prepared(df, features, edges, start, label, weight, key, parts)), None
+    for number in range(spec.rounds if edges else 0):
+        trees = grown(base, list(edges), width, number, spec)
+        if before is not None:
+            before.unpersist()
+        for key_, of in trees.items():
+            model.rounds[key_].append(of)
+        if number + 1 < spec.rounds:
+            after = _scored(base, trees, width, spec.classes)
+            base, before = stored(after) if (number + 1) % STORE == 0 else after.persist(), base
+    base.unpersist()
     return model
 
 
-def _scored(base: DataFrame, rounds: dict, width: int, classes: int) -> DataFrame:
-    """The base with the values of further rounds in its scores."""
-    shipped = base.sparkSession.sparkContext.broadcast(pickle.dumps(rounds))
+def _scored(base: DataFrame, trees: dict, width: int, classes: int) -> DataFrame:
+    """The base with the values of a further round in its scores."""
+    shipped = base.sparkSession.sparkContext.broadcast(pickle.dumps(trees))
 
     def add(batches):
-        rounds = pickle.loads(shipped.value)
+        trees = pickle.loads(shipped.value)
         for batch in batches:
-            keys, bins, scores = np.array(batch.column("key").to_pylist(), object), _matrix(batch.column("bins"), width, np.uint8), _matrix(batch.column("scores"), classes, float).copy()
-            for key in set(keys):
-                own = keys == key
-                scores[own] = added(scores[own], bins[own], rounds[key])
-            flat = pa.ListArray.from_arrays(np.arange(len(scores) + 1, dtype=np.int32) * classes, pa.array(scores.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], flat], ["key", "rid", "y", "w", "bins", "scores"])
-
-    return base.mapInArrow(add, _BASE)
+            for i, (key, _, _, _, bins, scores) in enumerate(_blocks([batch], width, classes)):
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns[:5], pa.array([added(scores, bins, [trees[key]]).T.tobytes()], pa.binary())], schema=_BASE)
+
+    return base.mapInArrow(add, _BASE_SQL)

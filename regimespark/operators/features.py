@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranges import HALO, in_ranges
-from ..functions.windows import ewm, ffill, lag, numbered, percent_rank, ratio, rolling, rolling_corr, rolling_kurt, rolling_skew, span, trailing, zscore
+from ..functions.storage import stored
+from ..functions.windows import ewm, ffill, frame, lag, numbered, percent_rank, ratio, rolling, rolling_autocorr, rolling_kurt, rolling_skew, span, zscore
 from . import indicators as ind
 
 OHLCV = ["symbol", "ts", "open", "high", "low", "close", "volume"]
@@ -27,12 +28,11 @@ def _atr14():
 def returns_block(df: DataFrame, horizons=HORIZONS) -> DataFrame:
     out = df.withColumn("_lc", F.log("close")).withColumn("ret_1", F.log("close") - F.log(lag("close")))
     steps = [h for h in horizons if h != 1]
-    out = out.withColumns({f"ret_{h}": F.col("_lc") - lag("_lc", h) for h in steps} | {"_before": lag("ret_1")})
+    out = out.withColumns({f"ret_{h}": F.col("_lc") - lag("_lc", h) for h in steps} | {"_seen": frame("ret_1", 50)})
     out = out.withColumns({f"ret_{h}_norm": ratio(f"ret_{h}", rolling(F.stddev_pop, "ret_1", 3 * h) * math.sqrt(h)) for h in steps})
-    # the pairs of a window of 50 returns are the 49 inside it
-    corr = F.when(F.count("ret_1").over(trailing(50)) == 50, rolling_corr(F.col("ret_1"), F.col("_before"), 49))
     up = F.when(F.col("ret_1") > 0, 1.0).otherwise(0.0)
-    out = out.withColumns({"ret_skew_50": rolling_skew("ret_1", 50), "ret_kurt_50": rolling_kurt("ret_1", 50), "ret_autocorr_50": corr, "up_bar_ratio_20": rolling(F.avg, up, 20)})
+    # the pairs of a window of 50 returns are the 49 inside it
+    out = out.withColumns({"ret_skew_50": rolling_skew("ret_1", 50, "_seen"), "ret_kurt_50": rolling_kurt("ret_1", 50, "_seen"), "ret_autocorr_50": rolling_autocorr("ret_1", 50, "_seen"), "up_bar_ratio_20": rolling(F.avg, up, 20)})
     names = ["ret_1", *(n for h in steps for n in (f"ret_{h}", f"ret_{h}_norm")), "ret_skew_50", "ret_kurt_50", "ret_autocorr_50", "up_bar_ratio_20"]
     return _kept(out, df, names)
 
@@ -123,15 +123,24 @@ def feature_columns(df: DataFrame) -> list[str]:
     return [x for x in df.columns if x not in {*OHLCV, "rn"}]
 
 
-def build_features(bars: DataFrame, blocks=tuple(BLOCKS), warmup: int = 300, windows: dict | None = None) -> DataFrame:
-    """Bars with all features, blocks with the windows given by their names: the warm-up is cut, gaps after it are filled forward, and rows that still lack one are dropped."""
+def build_features(bars: DataFrame, blocks=tuple(BLOCKS), warmup: int = 300, windows: dict | None = None, range_rows: int | None = None) -> DataFrame:
+    """Bars with all features, blocks with the windows given by their names: the warm-up is cut, gaps after it are filled forward, and rows that still lack one are dropped.
+
+    With `range_rows`, the blocks work on ranges of so many bars side by side, each with HALO bars before it; warm-up and gaps
+    remain those of whole symbols. Multiples of the blocks of exponential means keep these where they are.
+    """
     unknown = set(blocks) - set(BLOCKS)
     if unknown:
         raise ValueError(f"unknown feature blocks: {sorted(unknown)}")
-    df = numbered(bars.select(*OHLCV))
-    for name in blocks:
-        df = BLOCKS[name](df, windows[name]) if windows and name in windows else BLOCKS[name](df)
-    df = descriptor_block(df)
+
+    def work(df: DataFrame) -> DataFrame:
+        df = numbered(df)
+        for name in blocks:
+            df = BLOCKS[name](df, windows[name]) if windows and name in windows else BLOCKS[name](df)
+        return descriptor_block(df)
+
+    df = bars.select(*OHLCV)
+    df = work(df) if range_rows is None else numbered(stored(in_ranges(df, lambda b: work(b).drop("rn"), range_rows, HALO)))
     names = feature_columns(df)
     df = df.where(F.col("rn") >= warmup)
     df = df.withColumns({n: ffill(F.when(F.abs(n) < float("inf"), F.col(n))) for n in names})

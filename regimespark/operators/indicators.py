@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.windows import ewm, ffill, lag, ratio, rolling, running, span, trailing
+from ..functions.windows import ewm, ffill, frame, framed, lag, ratio, rolling, running, span, trailing
 
 
 
@@ -147,13 +148,17 @@ def hurst(df: DataFrame, window: int = 100, max_lag: int = 20) -> DataFrame:
     xs = [math.log(k) for k in lags]
     mean = sum(xs) / len(xs)
     scale = sum((x - mean) ** 2 for x in xs)
-    df = df.withColumn("_lp", F.log("close"))
-    df = df.withColumns({f"_d{k}": F.pow(F.col("_lp") - lag("_lp", k), 2.0) for k in lags}).drop("_lp")
-    df = df.withColumns({f"_d{k}": rolling(F.avg, f"_d{k}", window) for k in lags})
-    slope = F.lit(0.0)
-    for k, x in zip(lags, xs, strict=True):
-        slope = slope + F.log(F.when(F.col(f"_d{k}") > 0, F.col(f"_d{k}"))) / 2 * ((x - mean) / scale)
-    return df.withColumn(name, slope).drop(*[f"_d{k}" for k in lags])
+
+    def slope(v):
+        out = np.zeros(len(v))
+        for k, x in zip(lags, xs, strict=True):
+            d = (v[:, k:] - v[:, :-k])[:, -window:]
+            square = np.einsum("ij,ij->i", d, d) / window
+            out += np.log(np.where(square > 0, square, np.nan)) / 2 * ((x - mean) / scale)
+        return out
+
+    size = window + max_lag
+    return df.withColumn("_lp", F.log("close")).withColumn(name, framed(slope, size)(frame("_lp", size))).drop("_lp")
 
 
 def swing_points(df: DataFrame, left: int = 5, right: int = 5) -> DataFrame:

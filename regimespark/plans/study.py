@@ -22,6 +22,10 @@ from ..sources.bars import bars_per_year, between, resample
 from .settings import Settings
 
 
+#: Bars of a range of features: ten blocks of exponential means.
+RANGE = 30_000
+
+
 @dataclass
 class Study:
     run_id: str
@@ -60,12 +64,17 @@ def prepare(bars: DataFrame, config: Settings, extra=None) -> DataFrame:
     windows = {"returns": s["return_horizons"], "volatility": s["volatility_windows"], "trend": s["trend_windows"]}
     if config["data.start"] is not None or config["data.end"] is not None:
         bars = between(bars, config["data.start"], config["data.end"])
-    feats = features.build_features(bars, tuple(s["blocks"]), config["data.warmup_bars"], windows)
+    # swing levels may be older than a halo; all other blocks look back so far only
+    size = None if "structure" in s["blocks"] else RANGE
+    feats = features.build_features(bars, tuple(s["blocks"]), config["data.warmup_bars"], windows, size)
     if extra is not None:
         feats = extra(feats).dropna("any")
+    # labels rest on the rows that have all features, so these are kept rather than worked out for each use
+    feats = stored(feats)
     marked = labels.build_labels(feats.select(*features.OHLCV), config["labeling.method"], **label_arguments(config))
     extra = [c for c in (*labels.LABEL, "primary") if c in marked.columns]
-    rows = feats.join(marked.select("symbol", "ts", *extra), ["symbol", "ts"], "left")
+    marked = stored(marked.select("symbol", "ts", *extra))
+    rows = feats.join(marked, ["symbol", "ts"], "left")
     last = marked.groupBy("symbol").agg(F.max("ts").alias("_last"))
     return numbered(rows.join(last, "symbol").where(F.col("ts") <= F.col("_last")).drop("_last"))
 

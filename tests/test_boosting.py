@@ -113,3 +113,16 @@ def test_odd_tables(spark):
     assert np.allclose(p, [0.5, 0.0, 0.5], atol=1e-6)  # nothing to split by
     none = table(spark, ("k", (x[:0], [], [])))
     assert boosting.fit(spark.createDataFrame([], none.schema), FEATURES, Boosting(rounds=1)).rounds == {}
+
+
+def test_sums_grow_with_keys_and_tasks_not_with_their_product(spark):
+    sets = [(f"k{i}", rows(10 + i, 200)) for i in range(6)]
+    df, spec = table(spark, *sets), Boosting(bins=8)
+    _, start, edges = boosting.measured(df, FEATURES, spec, "y", "weight", "key", None)
+    base = boosting.prepared(df, FEATURES, edges, start, "y", "weight", "key", 4).persist()
+    growing, wanted = {k: [boosting.Tree() for _ in range(3)] for k, _ in sets}, {k: [[0], [0], [0]] for k, _ in sets}
+    got = boosting.cells(base, growing, wanted, 5, 0, spec).collect()
+    assert len({(r.key, r.part) for r in got}) <= 6 + 4 - 1
+    counts = {k: sum(np.frombuffer(r.sums, float).reshape(3, 5, -1)[2, 0].sum() for r in got if r.key == k and r.tree == 0) for k, _ in sets}
+    assert set(counts.values()) == {200.0}
+    base.unpersist()

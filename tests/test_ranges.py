@@ -80,3 +80,16 @@ def test_features(spark):
 def test_short_ranges_are_refused(spark):
     with pytest.raises(ValueError, match="too short"):
         ranges.with_halo(spark.range(3).withColumnRenamed("id", "rn"), 5, 6)
+
+
+def test_gaps_in_ranges_are_filled_from_whole_symbols(spark, monkeypatch):
+    """A value carried over more bars than a halo keeps its rows, as in whole symbols."""
+    monkeypatch.setattr(features, "HALO", 300)
+    rng = np.random.default_rng(5)
+    close = 100 * np.exp(np.cumsum(rng.normal(size=1500) * 0.001))
+    close[400:1100] = close[399]  # autocorrelation is unknown for longer than a halo
+    rows = [("A", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=15 * i), *[float(c)] * 4, 1.0) for i, c in enumerate(close)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double")
+    found = [features.build_features(df, ("returns", "session"), 120, range_rows=size).select("ts", "ret_autocorr_50", "ret_skew_50", "ret_3_norm").orderBy("ts").collect() for size in (None, 300)]
+    assert [r.ts for r in found[0]] == [r.ts for r in found[1]] and len(found[0]) > 500
+    assert np.allclose([r[1:] for r in found[0]], [r[1:] for r in found[1]], rtol=0, atol=1e-8)
