@@ -139,8 +139,10 @@ def percent_rank(x: Column | str, k: int) -> Column:
     """Average-tie rank of the last value among the last k, divided by k. `x` must be a column of the frame."""
 
     def rank(v):
-        last = v[:, -1:]
-        return ((v < last).sum(axis=1) * 2 + (v == last).sum(axis=1) + 1) / 2.0 / k
+        # NaN equals NaN and is the greatest, as in Spark
+        last, none = v[:, -1:], np.isnan(v)
+        less, same = (v < last) | (~none & none[:, -1:]), (v == last) | (none & none[:, -1:])
+        return (less.sum(axis=1) * 2 + same.sum(axis=1) + 1) / 2.0 / k
 
     return framed(rank, k)(frame(x, k))
 
