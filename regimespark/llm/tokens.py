@@ -20,37 +20,58 @@ that does not read as such raises an error; an empty table gives no rows; other
 
 from __future__ import annotations
 
+import codecs
 import os
 import zlib
 from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept, materialise, new_path, relieved
+from .common import byte_column, doc_groups, kept, materialise, new_path, relieved
 
 FRAME = 128 << 10
 #: Bytes of text that a file is meant to hold; a task sorts and writes one file.
 FILE_BYTES = 16 << 20
 #: Words whose ids a worker remembers, at least, and twice as many at most.
 CACHE = 300_000
+#: Bytes of text that are cut into words at a time; each distinct word of them is looked up once.
+GROUP = 2 << 20
+#: Bytes of a word that is remembered as one; a longer one goes by its pieces.
+LONG = 64
 # Fixed values of the public seekable format: magic numbers of the seek table's frame and footer, and of our index frame.
 SEEK_MAGIC, FOOTER_MAGIC, INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 # Fixed value: the split of byte-level BPE with its standard expression.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Bytes by kind: letters and digits (and all beyond ASCII), space, line end, other white space and controls, signs.
-_KINDS = bytes(97 if b > 127 or chr(b).isalnum() else b if b in (10, 32) else 33 if 32 < b < 127 else 88 for b in range(256)).replace(b"X", b"\x00")
-
-
-def plainly_cut(text: str) -> bool:
-    """Whether a cut before each space, comma and full stop and around line ends falls between the pieces of SPLIT."""
-    data = text.encode()
-    kinds = data.translate(_KINDS)
-    if any(x in kinds for x in (b"  ", b" \n", b"\n ", b"\n\n", b"!!", b"\x00")) or b" ," in data or b" ." in data or kinds[:1] in b" \n" or kinds[-1:] in b" \n":
-        return False
-    return text.isascii() or all(c.isalpha() for c in set(text) if c > "\x7f")
+#: Bytes by kind: 0 controls, 1 letters and digits, 2 signs, 3 apostrophe, 4 white space, 5 part of a character beyond ASCII.
+_KINDS = np.array([5 if b > 127 else 1 if chr(b).isalnum() else 3 if b == 39 else 2 if 32 < b < 127 else 4 if b == 32 or 8 < b < 14 else 0 for b in range(256)], np.uint8)
+#: By kinds of a byte and of the next: 1, pieces of SPLIT end between them wherever they stand; 2, they do if the first byte ends a letter.
+_CUTS = np.array([[0, 0, 0, 0, 0, 0], [0, 0, 1, 1, 1, 0], [0, 1, 0, 0, 1, 0], [0, 0, 0, 0, 1, 0], [0, 0, 0, 0, 0, 0], [0, 0, 2, 2, 2, 0]], np.uint8).ravel()
+#: Letters of up to three bytes.
+_LETTERS = np.array([chr(c).isalpha() for c in range(1 << 16)])
+
+
+def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where words start in the bytes of texts; a word is a run of whole pieces of SPLIT and lies within one text.
+
+    No piece goes on from a letter, digit or sign into white space, from a letter or digit into a sign, or from
+    a sign into letters or digits, but for an apostrophe. Runs of white space stay with what follows them, as
+    their pieces depend on it; a line end by itself is a piece.
+    """
+    kinds = _KINDS[data]
+    cut = np.zeros(len(data), np.uint8)
+    cut[1:] = _CUTS[kinds[:-1] * np.uint8(6) + kinds[1:]]
+    at = np.flatnonzero(cut == 2)
+    x, y, z = (data[at - k].astype(np.int32) for k in (1, 2, 3))
+    two, three = (y & 31) << 6 | x & 63, (z & 15) << 12 | (y & 63) << 6 | x & 63
+    cut[at] = np.where(y >= 0xC0, _LETTERS[two], (z >= 0xE0) & (z < 0xF0) & _LETTERS[three])
+    cut[offsets[:-1][offsets[:-1] < len(data)]] = 1
+    ends = np.flatnonzero(data[:-1] == 10)
+    cut[ends[(cut[ends] == 1) & (kinds[ends + 1] > 0) & (kinds[ends + 1] < 4)] + 1] = 1
+    return np.flatnonzero(cut)
 
 
 def default_vocabulary() -> str:
@@ -67,7 +88,11 @@ def _byte_letters() -> dict[int, int]:
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library; words met before are looked up."""
+    """Ids of whole texts by the tokenizers library; words met before are looked up.
+
+    Texts are cut into words many at a time. Arrow numbers the distinct ones, and only these are looked up or
+    given to the library; the texts' ids are then gathered by number.
+    """
 
     @classmethod
     def of_worker(cls, path: str, end: int) -> Encoder:
@@ -90,50 +115,72 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([end], self.kind).tobytes()
         self.find = regex.compile(SPLIT).findall
-        self.known: dict[str, bytes] = {}
-        self.former: dict[str, bytes] = {}
-        self.letters, self.merge = _byte_letters(), self.tokenizer.model.tokenize
-
-    def words(self, text: str) -> list[str] | None:
-        if not self.by_word or any(t in text for t in self.special):
-            return None
-        if not plainly_cut(text):
-            return self.find(text)
-        return text.replace(" ", "\0 ").replace(",", "\0,").replace(".", "\0.").replace("\n", "\0\n\0").split("\0")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.words(t) if t else [] for t in texts]
+        self.known: dict[bytes, bytes] = {}
+        self.former: dict[bytes, bytes] = {}
+        letters = _byte_letters()
+        self.letters, self.merge = "".join(chr(letters.get(b, b)) for b in range(256)), self.tokenizer.model.tokenize
+
+    def _library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of these distinct words."""
         if len(self.known) > CACHE:
             # words that come again move on to the new generation, the others are forgotten with the next
             self.former, self.known = self.known, {}
-        new = set().union(*(w for w in split if w)).difference(self.known)
-        again = new.intersection(self.former)
-        self.known.update((w, self.former[w]) for w in again)
-        new -= again
-        # a space and letters are one piece for the model; all else is split by the tokenizer
-        plain = [w for w in new if w.removeprefix(" ").isalpha()]
-        space, code = chr(self.letters[32]), self.kind.char
-        for w in plain:
-            shown = w.replace(" ", space) if w.isascii() else w.encode().decode("latin-1").translate(self.letters)
-            self.known[w] = array(code, [t.id for t in self.merge(shown)]).tobytes()
-        new = sorted(new.difference(plain))
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            got = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, self.kind)
-            cut = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(some) + 1)) * self.kind.itemsize
-            raw = ids.tobytes()
-            self.known.update((w, raw[a:b]) for w, a, b in zip(some, cut.tolist(), cut[1:].tolist(), strict=False))
-        get = self.known.__getitem__
-        out = []
-        for text, ws in zip(texts, split, strict=True):
-            if ws is None:
-                ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-            else:
-                ids = b"".join(map(get, ws))
-            out.append(ids + self.end)
+        out, code, rest = list(map(self.known.get, words)), self.kind.char, []
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            w = words[k]
+            ids = self.former.get(w)
+            if ids is None:
+                text = w.decode()
+                # a space and letters are one piece for the model; all else is split by the tokenizer
+                if not text.removeprefix(" ").isalpha():
+                    rest.append((k, w, text))
+                    continue
+                ids = array(code, [t.id for t in self.merge(codecs.charmap_decode(w, "strict", self.letters)[0])]).tobytes()
+            self.known[w] = out[k] = ids
+        for i in range(0, len(rest), 20_000):
+            some = rest[i : i + 20_000]
+            got = self.tokenizer.encode([text for _, _, text in some], is_pretokenized=True, add_special_tokens=False)
+            raw = np.array(got.ids, self.kind).tobytes()
+            cut = (np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(some) + 1)) * self.kind.itemsize).tolist()
+            for (k, w, _), x, y in zip(some, cut, cut[1:], strict=False):
+                self.known[w] = out[k] = raw[x:y]
         return out
 
+    def _by_word(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        starts = word_starts(data, offsets)
+        ends = np.append(starts, len(data))
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        pieces = {}
+        if len(starts) and np.diff(ends).max() > LONG:
+            pieces = {k: [p.encode() for p in self.find(w.decode())] for k, w in enumerate(distinct) if len(w) > LONG}
+            distinct = [w if len(w) <= LONG else b"" for w in distinct]
+        found = self._ids(distinct)
+        if pieces:
+            known = list(set().union(*pieces.values()))
+            known = dict(zip(known, self._ids(known), strict=True))
+            for k, of in pieces.items():
+                found[k] = b"".join(map(known.__getitem__, of))
+        raw, places = byte_column(pa.array(found, pa.large_binary()).take(words.indices))
+        raw, places = raw.tobytes(), places[np.searchsorted(starts, offsets)].tolist()
+        return [raw[x:y] for x, y in zip(places, places[1:], strict=False)]
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        if not self.by_word:
+            return [self._library(t or "") + self.end for t in column.to_pylist()]
+        data, offsets = byte_column(column)
+        out = []
+        for i, j in doc_groups(offsets, GROUP):
+            out += self._by_word(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        for t in self.special:
+            for k in np.flatnonzero(pc.match_substring(column, t).fill_null(False)).tolist():
+                out[k] = self._library(column[k].as_py())
+        return [ids + self.end for ids in out]
+
 
 # Schemes that Hadoop has its own names for, and those of the same stores in pyarrow.
 SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
@@ -259,7 +306,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
                 writer = Writer(stream, encoder.kind)
             for i in range(0, len(batch), 500):
                 part = batch.slice(i, 500)
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist()), strict=True):
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text")), strict=True):
                     writer.add(doc_id, ids)
         if writer is not None:
             writer.close()

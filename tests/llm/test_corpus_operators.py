@@ -11,6 +11,7 @@ from decimal import Context, Decimal
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from regimespark.llm import decontam, exact_dedup, langid, line_dedup, minmax, mixing, pfp_dedup, rolling, sharding, tokens, urlfilter
@@ -571,6 +572,41 @@ def test_words_join_to_the_library_ids(text):
     assert np.frombuffer(e.encode([text])[0], e.kind).tolist() == [*e.tokenizer.encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_distinct_words_are_looked_up_once():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            self.asked += 1
+            return super().get(*a)
+
+        def __getitem__(self, k):
+            self.asked += 1
+            return super().__getitem__(k)
+
+    e = tokens.Encoder(tokens.default_vocabulary(), 0)
+    e.known = Counted()
+    text = "one two, three two.\nSigns** are -- (cut) \tas well; l'été, naïve."
+    want = [*e.tokenizer.encode(text, add_special_tokens=False).ids, 0]
+    got = e.encode([text] * 1000)
+    assert len(got) == 1000 and all(np.frombuffer(x, e.kind).tolist() == want for x in got)
+    assert e.known.asked < 100  # 1000 texts of some 20 words
+
+
+@pytest.mark.parametrize("group", [1, 300, tokens.FILE_BYTES])
+def test_odd_words_of_a_column_join_to_the_library_ids(group, monkeypatch):
+    monkeypatch.setattr(tokens, "GROUP", group)
+    monkeypatch.setattr(tokens, "CACHE", 50)
+    e, r = tokens.Encoder(tokens.default_vocabulary(), 0), random.Random(group)
+    odd = [*"abZ01  \n\n\t\r,.;''!-\x00\x1c\x7f\x85\xa0\u2003éÉ×。中文का½😀’«", "'s", "'ll", "\r\n", " " + "y" * 64, "e\u0301", "<|endoftext|>"]
+    for _ in range(20):
+        some = r.sample(odd, r.randint(2, len(odd)))
+        texts = [None, ""] + ["".join(r.choices(some, k=r.randint(1, 40))) for _ in range(50)]
+        column = pa.array(["before", *texts, "after"]).slice(1, len(texts))
+        for text, ids in zip(texts, e.encode(column), strict=True):
+            assert np.frombuffer(ids, e.kind).tolist() == [*e.tokenizer.encode(text or "", add_special_tokens=False).ids, 0], repr(text)
+
+
 # 9 --------------------------------------------------------------------------------------------
 
 
