@@ -1,24 +1,30 @@
 """Gradient boosting on histograms with a softmax loss.
 
 Features are cut at quantiles into bins of a byte each. In each round one tree for each class is
-grown on gradients and hessians of the loss, for all keys (symbols, folds) at once: tasks sum
-them over (key, tree, node) into arrays by feature and bin, and groups of these add the arrays up and find
-each node's best split. Trees grow by leaf, the best split first. To need few passes, a pass sums
+grown on gradients and hessians of the loss. Trees grow by leaf, the best split first.
+
+Many small keys (symbols, folds) are dealt to tasks, one to each: a key whose rows are worth one task, or that has no more
+than a SHARE of all rows and fits a task, grows all its rounds where its rows are (`planted`), in one job for all such keys.
+
+Larger keys grow a round at a time, all at once: tasks sum gradients and hessians over (key, tree, node) into arrays by
+feature and bin, and groups of these add the arrays up and find each node's best split. To need few passes, a pass sums
 for the children of every leaf that could still be split; which of them stay is settled when all
 gains that the order depends on are known, so the trees are those of one split after another.
+Their rows are packed once into blocks of one key and stay in their tasks: what is shuffled are sums, and as the rows of a
+key lie in neighbouring tasks, there are as many as nodes, and few more. A round's scores are kept beside the blocks
+while the next trees grow, so a round costs the same however many went before; they are stored every STORE rounds.
 
-Rows are packed once into blocks of one key and stay in their tasks: what is shuffled are sums, and as the rows of a
-key lie in neighbouring tasks, there are as many as nodes, and few more. What comes to the driver is one row for each
-node, and the trees. A round's scores are kept beside the blocks while the next trees grow, so a round costs the same however
-many went before; they are stored every STORE rounds. A null or NaN feature counts as the
+What comes to the driver is one row for each node or round, and the trees. A null or NaN feature counts as the
 least value. Row and column sampling go by hashes and repeat exactly.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import pickle
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,6 +39,12 @@ from ..functions.storage import stored
 STORE = 25
 #: Rows that are worth a task of their own while there are cores, and the most of one task.
 TASK_ROWS, MOST_ROWS = 1 << 16, 1 << 20
+#: The share of all rows up to which a key of more than TASK_ROWS is left to one task.
+SHARE = 1 / 4
+#: Tasks that small keys are dealt to, at most.
+MOST_TASKS = 4096
+#: Rows of a node that are summed at a time.
+STEP = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -53,19 +65,19 @@ class Boosting:
 
 @dataclass
 class Tree:
-    """Nodes in the order in which they were made; a node without children has left = -1."""
+    """Nodes in the order in which they were made; a node without children has left = -1, one without a split a gain of NaN."""
 
-    feature: list[int] = field(default_factory=lambda: [0])
-    cut: list[int] = field(default_factory=lambda: [0])
-    left: list[int] = field(default_factory=lambda: [-1])
-    right: list[int] = field(default_factory=lambda: [-1])
-    depth: list[int] = field(default_factory=lambda: [0])
-    value: list[float] = field(default_factory=lambda: [0.0])
-    gain: list[float | None] = field(default_factory=lambda: [None])
+    feature: array = field(default_factory=lambda: array("i", [0]))
+    cut: array = field(default_factory=lambda: array("i", [0]))
+    left: array = field(default_factory=lambda: array("i", [-1]))
+    right: array = field(default_factory=lambda: array("i", [-1]))
+    depth: array = field(default_factory=lambda: array("i", [0]))
+    value: array = field(default_factory=lambda: array("d", [0.0]))
+    gain: array = field(default_factory=lambda: array("d", [math.nan]))
 
     def split(self, node: int) -> tuple[int, int]:
         for _ in range(2):
-            for column, x in ((self.feature, 0), (self.cut, 0), (self.left, -1), (self.right, -1), (self.depth, self.depth[node] + 1), (self.value, 0.0), (self.gain, None)):
+            for column, x in ((self.feature, 0), (self.cut, 0), (self.left, -1), (self.right, -1), (self.depth, self.depth[node] + 1), (self.value, 0.0), (self.gain, math.nan)):
                 column.append(x)
         self.left[node], self.right[node] = len(self.left) - 2, len(self.left) - 1
         return self.left[node], self.right[node]
@@ -119,8 +131,8 @@ def _named(key: str | None):
     return F.lit("") if key is None else F.col(key).cast("string")
 
 
-def measured(df: DataFrame, features: list[str], spec: Boosting, label: str, weight: str | None, key: str | None, edges: list | None) -> tuple[int, dict, dict]:
-    """The number of rows and, of each key, the logarithms of the classes' weights' shares and the edges of each feature: distinct quantiles, by sketches of bounded size. One pass."""
+def measured(df: DataFrame, features: list[str], spec: Boosting, label: str, weight: str | None, key: str | None, edges: list | None) -> tuple[dict, dict, dict]:
+    """Of each key, the number of rows, the logarithms of the classes' weights' shares and the edges of each feature: distinct quantiles, by sketches of bounded size. One pass."""
     w, shares = F.lit(1.0) if weight is None else F.col(weight), [i / spec.bins for i in range(1, spec.bins)]
     value = lambda f: F.when(~F.isnan(F.col(f)), F.col(f)).cast("double")
     sums = [F.coalesce(F.sum(F.when(F.col(label) == k, w)), F.lit(0.0)) for k in range(spec.classes)]
@@ -128,7 +140,7 @@ def measured(df: DataFrame, features: list[str], spec: Boosting, label: str, wei
     rows = [(r[0], r[1], np.array(r[2 : 2 + spec.classes], float), r[2 + spec.classes :]) for r in df.groupBy(_named(key)).agg(F.count("*"), *sums, *sketches).collect()]
     start = {k: np.log(np.maximum(v / max(v.sum(), 1e-300), 1e-9)) for k, _, v, _ in rows}
     found = {k: [np.array(e, float) for e in edges] if edges is not None else [np.unique(np.array(x or [], float)) for x in q] for k, _, _, q in rows}
-    return sum(n for _, n, _, _ in rows), start, found
+    return {k: n for k, n, _, _ in rows}, start, found
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -155,8 +167,8 @@ def _blocks(batches, width: int, classes: int):
             yield key.as_py(), read(rid, np.int64), read(y, np.int32), read(w, float), read(bins, np.uint8).reshape(width, -1).T, read(scores, float).reshape(classes, -1).T
 
 
-def prepared(df: DataFrame, features: list[str], edges: dict, start: dict, label: str, weight: str | None, key: str | None, parts: int) -> DataFrame:
-    """Rows in blocks, as the passes read them: sorted by key, in tasks of equal size."""
+def prepared(df: DataFrame, features: list[str], edges: dict, start: dict, label: str, weight: str | None, key: str | None, parts: int, tasks: DataFrame | None = None, spread: bool = True) -> DataFrame:
+    """Rows in blocks, as the passes read them, sorted by key. Keys listed in `tasks` (key, task) are left out if rows are spread over tasks of equal size; else they alone are taken, each to its task."""
     width, shipped = len(features), df.sparkSession.sparkContext.broadcast(pickle.dumps((edges, start)))
 
     def pack(batches):
@@ -172,7 +184,12 @@ def prepared(df: DataFrame, features: list[str], edges: dict, start: dict, label
 
     x = F.array(*(F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in features)).alias("x")
     rows = df.select(_named(key).alias("key"), F.monotonically_increasing_id().alias("rid"), F.col(label).cast("int").alias("y"), (F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("w"), x)
-    return rows.repartitionByRange(parts, "key", "rid").sortWithinPartitions("key", "rid").mapInArrow(pack, _BASE_SQL)
+    if spread:
+        rest = rows if tasks is None else rows.join(F.broadcast(tasks), "key", "left_anti")
+        dealt = rest.repartitionByRange(parts, "key", "rid")
+    else:
+        dealt = rows.join(F.broadcast(tasks), "key").repartitionById(parts, "task").drop("task")
+    return dealt.sortWithinPartitions("key", "rid").mapInArrow(pack, _BASE_SQL)
 
 
 def cells(base: DataFrame, growing: dict, wanted: dict, width: int, number: int, spec: Boosting) -> DataFrame:
@@ -225,6 +242,22 @@ def _kept(width: int, number: int, k: int, spec: Boosting) -> np.ndarray:
     return np.flatnonzero(_shares(np.arange(width), spec.column_share, spec.seed, number, k))
 
 
+def _best(total: np.ndarray, features: np.ndarray, spec: Boosting) -> tuple | None:
+    """(feature, bin, gain) of the split with the greatest gain by sums of a node; of equal gains the first by feature and bin."""
+    (gl, hl, nl), (g, h, n) = np.cumsum(total, axis=2), total[:, 0].sum(axis=1)
+    gr, hr = g - gl, h - hl
+    fits = (total[2] > 0) & (nl >= spec.least) & (nl <= n - spec.least) & (hl >= spec.hessian) & (hr >= spec.hessian)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = gl * gl / (hl + spec.l2) + gr * gr / (hr + spec.l2) - g * g / (h + spec.l2)
+    gain = np.where(fits & (gain > 0), gain, 0.0).round(6)
+    feature, at = divmod(int(gain.argmax()), spec.bins)
+    return (int(features[feature]), at, float(gain[feature, at])) if gain[feature, at] > 0 else None
+
+
+def _value(g: float, h: float, spec: Boosting) -> float:
+    return -spec.rate * g / (h + spec.l2) if h + spec.l2 > 0 else 0.0
+
+
 def best_splits(found: DataFrame, width: int, number: int, spec: Boosting) -> DataFrame:
     """(key, tree, node, g, h, n, feature, bin, gain): of each node, its sums and the split at `bin` (values up to it go left) with the greatest gain; equal gains by feature and bin."""
 
@@ -233,14 +266,8 @@ def best_splits(found: DataFrame, width: int, number: int, spec: Boosting) -> Da
         features = _kept(width, number, tree, spec)
         # added up in the order of the tasks, whichever ends first
         total = sum(np.frombuffer(v, float) for v in table.sort_by("part").column("sums").to_pylist()).reshape(3, len(features), spec.bins)
-        (gl, hl, nl), (gt, ht, nt) = (left := np.cumsum(total, axis=2)), left[:, :, -1:]
-        fits = (total[2] > 0) & (nl >= spec.least) & (nt - nl >= spec.least) & (hl >= spec.hessian) & (ht - hl >= spec.hessian)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = np.round(gl * gl / (hl + spec.l2) + (gt - gl) ** 2 / (ht - hl + spec.l2) - gt * gt / (ht + spec.l2), 6)
-        gain = np.where(fits & (gain > 0), gain, 0.0)
-        feature, at = divmod(int(gain.argmax()), spec.bins)
-        split = (int(features[feature]), at, float(gain[feature, at])) if gain[feature, at] > 0 else (None, None, None)
-        return pa.Table.from_batches([_row(_SPLITS, key, tree, node, float(gt[0, 0]), float(ht[0, 0]), int(nt[0, 0]), *split)])
+        g, h, n = total[:, 0].sum(axis=1)
+        return pa.Table.from_batches([_row(_SPLITS, key, tree, node, float(g), float(h), int(n), *(_best(total, features, spec) or (None, None, None)))])
 
     return found.groupBy("key", "tree", "node").applyInArrow(best, "key string, tree int, node int, g double, h double, n long, feature int, bin int, gain double")
 
@@ -250,7 +277,7 @@ def chosen(tree: Tree, spec: Boosting) -> tuple[set[int], list[int]]:
     split, heap, leaves, known = set(), [], 1, []
 
     def offer(node):
-        if tree.gain[node] is not None and tree.depth[node] < spec.depth:
+        if not math.isnan(tree.gain[node]) and tree.depth[node] < spec.depth:
             heapq.heappush(heap, (-tree.gain[node], node))
 
     offer(0)
@@ -286,10 +313,9 @@ def grown(base: DataFrame, keys: list[str], width: int, number: int, spec: Boost
     while wanted:
         for r in best_splits(cells(base, growing, wanted, width, number, spec), width, number, spec).collect():
             tree = growing[r.key][r.tree]
-            tree.value[r.node] = -spec.rate * r.g / (r.h + spec.l2) if r.h + spec.l2 > 0 else 0.0
-            tree.gain[r.node] = r.gain
+            tree.value[r.node] = _value(r.g, r.h, spec)
             if r.gain is not None:
-                tree.feature[r.node], tree.cut[r.node] = r.feature, r.bin
+                tree.feature[r.node], tree.cut[r.node], tree.gain[r.node] = r.feature, r.bin, r.gain
         wanted = {}
         for key, trees in growing.items():
             asked = [[c for n in chosen(t, spec)[1] for c in t.split(n)] for t in trees]
@@ -298,6 +324,101 @@ def grown(base: DataFrame, keys: list[str], width: int, number: int, spec: Boost
     return {key: [pruned(t, chosen(t, spec)[0]) for t in trees] for key, trees in growing.items()}
 
 
+def _paired(bins: np.ndarray, size: int) -> np.ndarray:
+    """Codes of the bins of two features each, pairs by rows; an odd last feature is paired with zeros."""
+    other = bins[1::2] if len(bins) % 2 == 0 else np.vstack([bins[1::2], np.zeros_like(bins[:1])])
+    return bins[::2].astype(np.uint16) * np.uint16(size) + other
+
+
+def _summed(bins: np.ndarray, pairs: np.ndarray, rows: np.ndarray, g: np.ndarray, h: np.ndarray, size: int) -> np.ndarray:
+    """Sums of some rows' gradients, hessians and numbers by feature and bin; bins are features by rows.
+
+    Nodes with many rows are counted by the codes of two features at a time, which are then added up by either.
+    """
+    width, g, h = len(bins), g[rows], h[rows]
+    if 2 * len(rows) < size * size:
+        cell = (bins[:, rows] + np.arange(width)[:, None] * size).ravel()
+        return np.stack([np.bincount(cell, None if v is None else np.tile(v, width), width * size) for v in (g, h, None)]).reshape(3, width, size)
+    out, cells = np.empty((3, 2 * len(pairs), size)), np.empty((3, size, size))
+    for j, codes in enumerate(pairs):
+        cells[:] = 0
+        for at in range(0, len(rows), STEP):
+            step = slice(at, at + STEP)
+            cell = codes[rows[step]].astype(np.intp)
+            for i, v in enumerate((g, h, None)):
+                cells[i] += np.bincount(cell, None if v is None else v[step], size * size).reshape(size, size)
+        out[:, 2 * j], out[:, 2 * j + 1] = cells.sum(axis=2), cells.sum(axis=1)
+    return out[:, :width]
+
+
+def planted(bins: np.ndarray, g: np.ndarray, h: np.ndarray, seen: np.ndarray | None, features: np.ndarray, spec: Boosting) -> tuple[Tree, np.ndarray]:
+    """A tree of rows that are all here, one split after another, and the value of each row; bins are features by rows, rows not `seen` are left out of sums.
+
+    Of two children only the smaller is summed; the other has what is left of its parent's sums.
+    """
+    tree, values, heap, totals = Tree(), np.zeros(len(g)), [], {}
+    rows = {0: np.arange(len(g))}
+    if not len(features):
+        return tree, values
+    kept = bins[features]
+    pairs = _paired(kept, spec.bins)
+    counted = lambda node: rows[node] if seen is None else rows[node][seen[rows[node]]]
+
+    def offer(node, total):
+        if total is not None and (split := _best(total, features, spec)) is not None:
+            totals[node] = total
+            heapq.heappush(heap, (-split[2], node, split))
+
+    def valued(node, own):
+        tree.value[node] = _value(float(g[own].sum()), float(h[own].sum()), spec)
+
+    valued(0, own := counted(0))
+    offer(0, _summed(kept, pairs, own, g, h, spec.bins) if spec.depth > 0 and spec.leaves > 1 else None)
+    leaves = 1
+    while heap and leaves < spec.leaves:
+        _, node, (tree.feature[node], tree.cut[node], tree.gain[node]) = heapq.heappop(heap)
+        children, here, total = tree.split(node), rows.pop(node), totals.pop(node)
+        low = bins[tree.feature[node]][here] <= tree.cut[node]
+        rows[children[0]], rows[children[1]] = here[low], here[~low]
+        leaves += 1
+        own = {c: counted(c) for c in children}
+        for c in children:
+            valued(c, own[c])
+        small, large = sorted(children, key=lambda c: len(own[c]))
+        # a node of fewer rows has no split, nor have those that are never reached
+        if leaves < spec.leaves and tree.depth[small] < spec.depth and len(own[large]) >= 2 * spec.least:
+            part = _summed(kept, pairs, own[small], g, h, spec.bins)
+            for c, sums in sorted({small: part, large: total - part}.items()):
+                offer(c, sums)
+    for leaf, own in rows.items():
+        values[own] = tree.value[leaf]
+    return tree, values
+
+
+_ROUNDS = pa.schema([("key", pa.string()), ("number", pa.int32()), ("trees", pa.binary())])
+
+
+def planted_rounds(blocks: DataFrame, width: int, spec: Boosting) -> DataFrame:
+    """(key, number, trees): all rounds of keys whose blocks lie in one task each, one after another."""
+
+    def grow(batches):
+        for key, own in itertools.groupby(_blocks(batches, width, spec.classes), lambda block: block[0]):
+            rid, y, w, bins, scores = (list(c) for c in list(zip(*own, strict=True))[1:])
+            rid, y, w, scores = (np.concatenate(c) for c in (rid, y, w, scores))
+            bins = np.concatenate([b.T for b in bins], axis=1)
+            for number in range(spec.rounds):
+                seen = _shares(rid, spec.row_share, spec.seed, number) if spec.row_share < 1 else None
+                p, trees = softmax(scores), []
+                for k in range(spec.classes):
+                    share = p[:, k]
+                    tree, values = planted(bins, w * (share - (y == k)), w * share * (1 - share), seen, _kept(width, number, k, spec), spec)
+                    trees.append(tree)
+                    scores[:, k] += values
+                yield _row(_ROUNDS, key, number, pickle.dumps(trees))
+
+    return blocks.mapInArrow(grow, "key string, number int, trees binary")
+
+
 @dataclass
 class Boosted:
     features: list[str]
@@ -308,18 +429,17 @@ class Boosted:
 
     def probability(self, df: DataFrame, key: str | None = None, rounds: int | None = None):
         """A column of the classes' probabilities; null for a key that was not fitted."""
-        shipped = df.sparkSession.sparkContext.broadcast(pickle.dumps((self.edges, self.start, {k: r[:rounds] for k, r in self.rounds.items()})))
+        shipped = df.sparkSession.sparkContext.broadcast({k: pickle.dumps((self.edges[k], self.start[k], r[:rounds])) for k, r in self.rounds.items()})
         classes, width = self.spec.classes, len(self.features)
 
         @F.arrow_udf("array<double>")
         def score(x: pa.Array, keys: pa.Array) -> pa.Array:
-            edges, start, trees = pickle.loads(shipped.value)
             rows, named = _matrix(x, width), keys.dictionary_encode()
             of, out, there = named.indices.fill_null(-1).to_numpy(zero_copy_only=False), np.zeros((len(rows), classes)), np.zeros(len(rows), bool)
             for i, k in enumerate(named.dictionary.to_pylist()):
-                if k in edges:
-                    own = np.flatnonzero(of == i)
-                    out[own] = softmax(added(np.tile(start[k], (len(own), 1)).reshape(-1, classes), binned(rows[own], edges[k]), trees[k]))
+                if k in shipped.value:
+                    (edges, start, trees), own = pickle.loads(shipped.value[k]), np.flatnonzero(of == i)
+                    out[own] = softmax(added(np.tile(start, (len(own), 1)).reshape(-1, classes), binned(rows[own], edges), trees))
                     there[own] = True
             ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * classes, mask=np.append(~there, False))
             return pa.ListArray.from_arrays(ends, pa.array(out.ravel()))
@@ -356,12 +476,29 @@ def fit(df: DataFrame, features: list[str], spec: Boosting | None = None, label:
     spec = spec or Boosting()
     if not 2 <= spec.bins <= 256:
         raise ValueError("bins must lie between 2 and 256")
-    n, start, edges = measured(df, features, spec, label, weight, key, edges)
-    parts = max(min(math.ceil(n / TASK_ROWS), df.sparkSession.sparkContext.defaultParallelism), math.ceil(n / MOST_ROWS), 1)
-    model, width = Boosted(features, edges, start, {k: [] for k in edges}, spec), len(features)
-    base, before = stored(prepared(df, features, edges, start, label, weight, key, parts)), None
-    for number in range(spec.rounds if edges else 0):
-        trees = grown(base, list(edges), width, number, spec)
+    sizes, start, edges = measured(df, features, spec, label, weight, key, edges)
+    model, n = Boosted(features, edges, start, {k: [] for k in edges}, spec), sum(sizes.values())
+    most, arguments = max(TASK_ROWS, min(MOST_ROWS, int(n * SHARE))), (df, features, edges, start, label, weight, key)
+    # the largest first, so that no long task begins at the end; a null key is none
+    small = sorted((k for k, size in sizes.items() if k is not None and size <= most), key=lambda k: (-sizes[k], k))
+    tasks = df.sparkSession.createDataFrame([(k, i) for i, k in enumerate(small)], "key string, task int") if small else None
+    if small:
+        blocks = prepared(*arguments, min(len(small), MOST_TASKS), tasks, False)
+        for r in sorted(planted_rounds(blocks, len(features), spec).collect(), key=lambda r: r.number):
+            model.rounds[r.key].append(pickle.loads(r.trees))
+    if large := list(edges.keys() - set(small)):
+        n = sum(sizes[k] for k in large)
+        parts = max(min(math.ceil(n / TASK_ROWS), df.sparkSession.sparkContext.defaultParallelism), math.ceil(n / MOST_ROWS))
+        _grow_large(prepared(*arguments, parts, tasks), large, model)
+    return model
+
+
+def _grow_large(blocks: DataFrame, keys: list[str], model: Boosted) -> None:
+    """All rounds of keys that are spread over tasks, round by round."""
+    spec, width = model.spec, len(model.features)
+    base, before = stored(blocks), None
+    for number in range(spec.rounds):
+        trees = grown(base, keys, width, number, spec)
         if before is not None:
             before.unpersist()
         for key_, of in trees.items():
@@ -370,7 +507,6 @@ def fit(df: DataFrame, features: list[str], spec: Boosting | None = None, label:
             after = _scored(base, trees, width, spec.classes)
             base, before = stored(after) if (number + 1) % STORE == 0 else after.persist(), base
     base.unpersist()
-    return model
 
 
 def _scored(base: DataFrame, trees: dict, width: int, classes: int) -> DataFrame:

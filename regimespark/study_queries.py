@@ -141,8 +141,8 @@ def _(spark, d):
 
 @register("study_boosted")
 def _(spark, d):
-    """The same with boosted trees."""
-    return study_metrics(spark, d, "model.name=lightgbm", 'model.params={"n_estimators": 10}')
+    """The same with boosted trees, all rounds of the learner's own settings."""
+    return study_metrics(spark, d, "model.name=lightgbm")
 
 
 # ---------------------------------------------------------------- significance

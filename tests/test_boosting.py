@@ -126,3 +126,59 @@ def test_sums_grow_with_keys_and_tasks_not_with_their_product(spark):
     counts = {k: sum(np.frombuffer(r.sums, float).reshape(3, 5, -1)[2, 0].sum() for r in got if r.key == k and r.tree == 0) for k, _ in sets}
     assert set(counts.values()) == {200.0}
     base.unpersist()
+
+
+@pytest.mark.parametrize("spec", [Boosting(rounds=4, rate=0.3, depth=3, leaves=99, bins=12, l2=1.0), Boosting(rounds=3, rate=0.3, depth=20, leaves=7, bins=64, least=10), Boosting(rounds=2, leaves=1), Boosting(rounds=2, depth=0)])
+def test_keys_grown_in_their_tasks_equal_the_plain_version(spark, spec, monkeypatch):
+    monkeypatch.setattr(boosting, "_grow_large", None)
+    sets = {"one": rows(1), "two": rows(2, 500), "o'three": rows(3, 60)}
+    df = table(spark, *sets.items())
+    model = boosting.fit(df, FEATURES, spec, weight="weight", key="key")
+    got = df.select("key", *FEATURES, model.probability(df, "key").alias("p")).collect()
+    for key, (x, y, w) in sets.items():
+        order = lambda v: tuple(-9.0 if u is None or np.isnan(u) else round(u, 12) for u in v)
+        mine = sorted((order(g[1:6]), g.p) for g in got if g.key == key)
+        theirs = sorted((order(v), list(p)) for v, p in zip(x, plain(x, y, w, model.edges[key], spec)[-1], strict=True))
+        assert [m[0] for m in mine] == [t[0] for t in theirs] and np.allclose([m[1] for m in mine], [t[1] for t in theirs], atol=1e-9)
+
+
+def test_keys_grow_alike_in_a_task_and_over_tasks(spark, monkeypatch):
+    """With rows and columns sampled, a class that one key lacks, and small and large keys beside each other."""
+    x, y, w = rows(5, 700)
+    sets = [("a", (x, y, w)), ("b", (x[:200], np.minimum(y[:200], 1), w[:200])), ("c", rows(6, 300))]
+    df = table(spark, *sets).coalesce(1).cache()
+    spec = Boosting(rounds=3, rate=0.2, bins=16, row_share=0.7, column_share=0.6, leaves=9)
+    found = {}
+    for most in (1 << 16, 250, 0):
+        monkeypatch.setattr(boosting, "TASK_ROWS", max(most, 1))
+        monkeypatch.setattr(boosting, "SHARE", 0)
+        model = boosting.fit(df, FEATURES, spec, weight="weight", key="key")
+        assert {k: len(r) for k, r in model.rounds.items()} == dict.fromkeys("abc", 3)
+        found[most] = np.array([r.p for r in df.select("key", model.probability(df, "key").alias("p")).collect()])
+    assert np.allclose(found[1 << 16], found[0], atol=1e-9) and np.allclose(found[250], found[0], atol=1e-9)
+    df.unpersist()
+
+
+def test_jobs_do_not_grow_with_the_rounds_of_small_keys(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # which makes jobs of its own
+    df = table(spark, *((f"k{i}", rows(i, 150)) for i in range(3)))
+
+    def jobs(rounds):
+        spark.sparkContext.setJobGroup(f"rounds{rounds}", "")
+        model = boosting.fit(df, FEATURES, Boosting(rounds=rounds, bins=8), weight="weight", key="key")
+        assert {len(r) for r in model.rounds.values()} == {rounds}
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"rounds{rounds}"))
+
+    try:
+        assert jobs(2) == jobs(12)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_a_task_grows_no_large_part_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "TASK_ROWS", 100)
+    spread = []
+    monkeypatch.setattr(boosting, "_grow_large", lambda blocks, keys, _: spread.append(({r.key for r in blocks.collect()}, keys, blocks.rdd.getNumPartitions())))
+    df = table(spark, ("large", rows(1, 500)), *((f"k{i}", rows(i, 180)) for i in range(4)))
+    boosting.fit(df, FEATURES, Boosting(rounds=1, bins=8), weight="weight", key="key")
+    assert spread == [({"large"}, ["large"], 5)]

@@ -1,7 +1,10 @@
 """One small study end to end."""
 
+from types import SimpleNamespace
+
 import pytest
 
+from regimespark import queries
 from regimespark.operators import models
 from regimespark.plans import panel, search, study
 from regimespark.plans.settings import Settings
@@ -96,3 +99,10 @@ def test_the_arms_are_listed_and_their_changes_are_settings():
         Settings().but(*search.COMMON, *changes)
     with pytest.raises(KeyError):
         search.arms("nonsense")
+
+
+def test_the_boosted_query_takes_all_rounds_of_its_learner(spark, data, monkeypatch):
+    seen = []
+    monkeypatch.setattr(panel, "run", lambda bars, config: seen.append(config) or SimpleNamespace(metrics=bars))
+    queries.QUERIES["study_boosted"](spark, data)
+    assert models.settings_of(seen[0]["model.name"], seen[0]["model.params"]) == models.SPECS["lightgbm"].defaults and models.SPECS["lightgbm"].defaults["rounds"] == 500
