@@ -330,34 +330,44 @@ def _paired(bins: np.ndarray, size: int) -> np.ndarray:
     return bins[::2].astype(np.uint16) * np.uint16(size) + other
 
 
-def _summed(bins: np.ndarray, pairs: np.ndarray, rows: np.ndarray, g: np.ndarray, h: np.ndarray, size: int) -> np.ndarray:
-    """Sums of some rows' gradients, hessians and numbers by feature and bin; bins are features by rows.
+def _summed(bins: np.ndarray, pairs: np.ndarray, rows: np.ndarray | None, gh: np.ndarray, size: int, counts: np.ndarray | None = None) -> np.ndarray:
+    """Sums of gradients (real) and hessians (imaginary) and numbers of some rows, or all, by feature and bin; bins are features by rows, `counts` numbers that are known.
 
     Nodes with many rows are counted by the codes of two features at a time, which are then added up by either.
     """
-    width, g, h = len(bins), g[rows], h[rows]
-    if 2 * len(rows) < size * size:
-        cell = (bins[:, rows] + np.arange(width)[:, None] * size).ravel()
-        return np.stack([np.bincount(cell, None if v is None else np.tile(v, width), width * size) for v in (g, h, None)]).reshape(3, width, size)
-    out, cells = np.empty((3, 2 * len(pairs), size)), np.empty((3, size, size))
+    width, of = len(bins), gh if rows is None else gh[rows]
+    if len(of) < size * size:
+        cell = ((bins if rows is None else bins[:, rows]) + np.arange(width)[:, None] * size).ravel()
+        sums, numbers = np.zeros(width * size, complex), np.bincount(cell, minlength=width * size)
+        np.add.at(sums, cell, np.tile(of, width))
+        return np.stack([sums.real, sums.imag, numbers]).reshape(3, width, size)
+    out = np.empty((3, 2 * len(pairs), size))
     for j, codes in enumerate(pairs):
-        cells[:] = 0
-        for at in range(0, len(rows), STEP):
+        sums, numbers = np.zeros(size * size, complex), np.zeros(size * size, np.int64)
+        for at in range(0, len(of), STEP):
             step = slice(at, at + STEP)
-            cell = codes[rows[step]].astype(np.intp)
-            for i, v in enumerate((g, h, None)):
-                cells[i] += np.bincount(cell, None if v is None else v[step], size * size).reshape(size, size)
-        out[:, 2 * j], out[:, 2 * j + 1] = cells.sum(axis=2), cells.sum(axis=1)
+            cell = (codes[step] if rows is None else codes[rows[step]]).astype(np.intp)
+            np.add.at(sums, cell, of[step])
+            if counts is None:
+                numbers += np.bincount(cell, minlength=size * size)
+        for f, axis in ((2 * j, 1), (2 * j + 1, 0)):
+            own = sums.reshape(size, size).sum(axis)
+            out[0, f], out[1, f] = own.real, own.imag
+            if counts is None:
+                out[2, f] = numbers.reshape(size, size).sum(axis)
+    if counts is not None:
+        out[2, :width] = counts
     return out[:, :width]
 
 
-def planted(bins: np.ndarray, g: np.ndarray, h: np.ndarray, seen: np.ndarray | None, features: np.ndarray, spec: Boosting) -> tuple[Tree, np.ndarray]:
-    """A tree of rows that are all here, one split after another, and the value of each row; bins are features by rows, rows not `seen` are left out of sums.
+def planted(bins: np.ndarray, gh: np.ndarray, seen: np.ndarray | None, counts: np.ndarray, features: np.ndarray, spec: Boosting) -> tuple[Tree, np.ndarray]:
+    """A tree of rows that are all here, one split after another, and the value of each row.
 
+    Bins are features by rows, gh gradients and hessians, `counts` the numbers of rows by feature and bin; rows not `seen` are left out of sums.
     Of two children only the smaller is summed; the other has what is left of its parent's sums.
     """
-    tree, values, heap, totals = Tree(), np.zeros(len(g)), [], {}
-    rows = {0: np.arange(len(g))}
+    tree, values, heap, totals = Tree(), np.zeros(len(gh)), [], {}
+    rows = {0: np.arange(len(gh))}
     if not len(features):
         return tree, values
     kept = bins[features]
@@ -365,15 +375,14 @@ def planted(bins: np.ndarray, g: np.ndarray, h: np.ndarray, seen: np.ndarray | N
     counted = lambda node: rows[node] if seen is None else rows[node][seen[rows[node]]]
 
     def offer(node, total):
-        if total is not None and (split := _best(total, features, spec)) is not None:
+        """A node's value, and its split among those to choose from."""
+        g, h = total[:2, 0].sum(axis=1)
+        tree.value[node] = _value(float(g), float(h), spec)
+        if tree.depth[node] < spec.depth and (split := _best(total, features, spec)) is not None:
             totals[node] = total
             heapq.heappush(heap, (-split[2], node, split))
 
-    def valued(node, own):
-        tree.value[node] = _value(float(g[own].sum()), float(h[own].sum()), spec)
-
-    valued(0, own := counted(0))
-    offer(0, _summed(kept, pairs, own, g, h, spec.bins) if spec.depth > 0 and spec.leaves > 1 else None)
+    offer(0, _summed(kept, pairs, None, gh, spec.bins, counts[features]) if seen is None else _summed(kept, pairs, counted(0), gh, spec.bins))
     leaves = 1
     while heap and leaves < spec.leaves:
         _, node, (tree.feature[node], tree.cut[node], tree.gain[node]) = heapq.heappop(heap)
@@ -382,14 +391,16 @@ def planted(bins: np.ndarray, g: np.ndarray, h: np.ndarray, seen: np.ndarray | N
         rows[children[0]], rows[children[1]] = here[low], here[~low]
         leaves += 1
         own = {c: counted(c) for c in children}
-        for c in children:
-            valued(c, own[c])
         small, large = sorted(children, key=lambda c: len(own[c]))
         # a node of fewer rows has no split, nor have those that are never reached
         if leaves < spec.leaves and tree.depth[small] < spec.depth and len(own[large]) >= 2 * spec.least:
-            part = _summed(kept, pairs, own[small], g, h, spec.bins)
+            part = _summed(kept, pairs, own[small], gh, spec.bins)
             for c, sums in sorted({small: part, large: total - part}.items()):
                 offer(c, sums)
+        else:
+            for c in children:
+                x = gh[own[c]].sum()
+                tree.value[c] = _value(float(x.real), float(x.imag), spec)
     for leaf, own in rows.items():
         values[own] = tree.value[leaf]
     return tree, values
@@ -406,12 +417,14 @@ def planted_rounds(blocks: DataFrame, width: int, spec: Boosting) -> DataFrame:
             rid, y, w, bins, scores = (list(c) for c in list(zip(*own, strict=True))[1:])
             rid, y, w, scores = (np.concatenate(c) for c in (rid, y, w, scores))
             bins = np.concatenate([b.T for b in bins], axis=1)
+            counts = np.stack([np.bincount(b, minlength=spec.bins) for b in bins])
             for number in range(spec.rounds):
                 seen = _shares(rid, spec.row_share, spec.seed, number) if spec.row_share < 1 else None
                 p, trees = softmax(scores), []
                 for k in range(spec.classes):
-                    share = p[:, k]
-                    tree, values = planted(bins, w * (share - (y == k)), w * share * (1 - share), seen, _kept(width, number, k, spec), spec)
+                    share, gh = p[:, k], np.empty(len(y), complex)
+                    gh.real, gh.imag = w * (share - (y == k)), w * share * (1 - share)
+                    tree, values = planted(bins, gh, seen, counts, _kept(width, number, k, spec), spec)
                     trees.append(tree)
                     scores[:, k] += values
                 yield _row(_ROUNDS, key, number, pickle.dumps(trees))
